@@ -61,4 +61,17 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_fingerprints, op3_byte_bpe, op4_line_dedup, op6_pii)}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossaflow.llm.quality import add_scores, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return add_scores(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossaflow.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_fingerprints, op3_byte_bpe, op4_line_dedup, op5_quality, op6_pii, op8_decontamination)}
