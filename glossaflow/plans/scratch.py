@@ -15,6 +15,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _paths: list[tuple[SparkSession, str]] = []
 
 
@@ -36,10 +38,18 @@ def stage_path(spark: SparkSession, name: str) -> str:
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a reader of what was written."""
+    """Write ``df`` once and return a reader of what was written.
+
+    Nothing reads the shuffle files of the write later, so they go with it.
+    """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.parquet(path)
+    kept = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept) if kept is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
