@@ -74,4 +74,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_fingerprints, op3_byte_bpe, op4_line_dedup, op5_quality, op6_pii, op8_decontamination)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossaflow.llm.simhash import near_groups
+
+    groups = near_groups(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_fingerprints, op3_byte_bpe, op4_line_dedup, op5_quality, op6_pii, op8_decontamination, op9_simhash)}
