@@ -2,7 +2,8 @@
 
 Lines are normalised and hashed to 128 bits, each document counts once per
 hash, and hashes found in ``min_docs`` documents or more lose their lines in
-every document. What is left is joined again in the order of position.
+every document. The hashes are written once, with 128 bits a row and line, and
+serve the count and the drop. What is left is joined again in the order of position.
 
 Defined cases: a null or empty text is one empty line; keys of fewer than
 ``min_chars`` code points are never dropped; a text whose lines all go becomes
@@ -12,36 +13,49 @@ occur; rows with a null id are kept and treated like others.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaflow.plans.scratch import stage_table
 
 SPACES = " \t\n\x0b\f\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_key(line: Column) -> Column:
-    """Stripped line with A-Z lower-cased; pure ASCII takes the faster way."""
-    bare = F.btrim(line, F.lit(SPACES))
-    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
+def bare_line(line: Column) -> Column:
+    """Stripped at both ends; the strip itself runs only where an end has a space."""
+    ends = [end for s in SPACES for end in (line.startswith(s), line.endswith(s))]
+    return F.when(reduce(Column.__or__, ends), F.btrim(line, F.lit(SPACES))).otherwise(line)
+
+
+def folded(line: Column) -> Column:
+    """A form that two lines share if and only if they differ in the case of A-Z alone.
+
+    Other lines than ASCII are lower-cased byte for byte, as Latin-1. That maps
+    some lead bytes of UTF-8 to others, but the number of bytes that follow
+    still tells which one it was, so no two characters become one.
+    """
+    ascii_only = F.octet_length(line) == F.length(line)
+    return F.lower(F.when(ascii_only, line).otherwise(F.decode(line.cast("binary"), "ISO-8859-1")))
 
 
-def line_hash(line: Column, min_chars: int) -> Column:
-    key = line_key(line)
-    return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b")))
+def line_hashes(lines: Column, min_chars: int) -> Column:
+    """128-bit hashes of the keys of lines, null for keys that are too short."""
+    keys = F.transform(F.transform(lines, bare_line), lambda x: F.when(F.length(x) >= min_chars, folded(x)))
+    return F.transform(keys, lambda k: F.when(k.isNotNull(), F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(7), k).alias("b"))))
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All columns of ``docs`` plus n_lines, n_dropped and kept_text."""
     body = F.coalesce(F.col(text), F.lit(""))
     row = [F.xxhash64(F.lit(1), F.col(doc_id), body).alias("_r1"), F.xxhash64(F.lit(2), body, F.col(doc_id)).alias("_r2")]
-    hashes = F.transform(F.split(body, "\n"), lambda x: line_hash(x, min_chars))
+    hashed = stage_table(docs.select(*row, line_hashes(F.split(body, "\n"), min_chars).alias("hashes")), "line-hashes")
 
-    seen = docs.select(F.explode(F.array_distinct(hashes)).alias("h")).filter("h is not null")
+    seen = hashed.select(F.explode(F.array_distinct("hashes")).alias("h")).filter("h is not null")
     common = stage_table(seen.groupBy("h.a", "h.b").count().filter(F.col("count") >= min_docs).select("a", "b"), "common-lines")
 
-    lines = docs.select(*row, F.posexplode(hashes).alias("pos", "h")).filter("h is not null").select("_r1", "_r2", "pos", "h.a", "h.b")
+    lines = hashed.select("_r1", "_r2", F.posexplode("hashes").alias("pos", "h")).filter("h is not null").select("_r1", "_r2", "pos", "h.a", "h.b")
     drops = lines.join(common, ["a", "b"]).groupBy("_r1", "_r2").agg(F.collect_set("pos").alias("_drop"))
 
     out = docs.select("*", *row).join(drops, ["_r1", "_r2"], "left")
