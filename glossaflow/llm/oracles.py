@@ -24,4 +24,16 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.key IS NOT NULL) AS
 FROM k LEFT JOIN c ON k.key = c.key GROUP BY doc_id
 """
 
-ORACLES = {"op1_url_filters": OP1, "op4_line_dedup": OP4}
+OP10 = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM t),
+g AS (SELECT doc_id, pos, word, string_agg(word, ' ') OVER v AS win, count(*) OVER v = 20 AS whole FROM w
+      WINDOW v AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+r AS (SELECT doc_id, pos, word, CASE WHEN whole AND row_number() OVER (PARTITION BY whole, win ORDER BY doc_id, pos) > 1 THEN 1 ELSE 0 END AS rep FROM g),
+c AS (SELECT doc_id, pos, word, max(rep) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
+k AS (SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN k ON t.doc_id = k.doc_id
+"""
+
+ORACLES = {"op1_url_filters": OP1, "op4_line_dedup": OP4, "op10_substring_dedup": OP10}

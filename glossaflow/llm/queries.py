@@ -81,4 +81,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_fingerprints, op3_byte_bpe, op4_line_dedup, op5_quality, op6_pii, op8_decontamination, op9_simhash)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossaflow.llm.substring_dedup import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_fingerprints, op3_byte_bpe, op4_line_dedup, op5_quality, op6_pii, op8_decontamination, op9_simhash, op10_substring_dedup)}
