@@ -68,6 +68,16 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_scores(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from glossaflow.llm.lm import score_documents
+
+    with open(ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        content = f.read()
+    return score_documents(_table(spark, sf_dir, "documents"), content)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossaflow.llm.decontaminate import contaminated
 
@@ -88,4 +98,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_fingerprints, op3_byte_bpe, op4_line_dedup, op5_quality, op6_pii, op8_decontamination, op9_simhash, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_fingerprints, op3_byte_bpe, op4_line_dedup, op5_quality, op6_pii, op7_lm_scoring, op8_decontamination, op9_simhash, op10_substring_dedup)}
