@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glossaflow.plans.scratch import bounded_batches
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 1_000_000
 CACHE_BYTES = 64
 
 
@@ -43,23 +43,19 @@ class Ranks:
         self.halves: dict[int, tuple[int, int]] = {}
         self._made: dict[tuple[int, int], int] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
-        self.reachable: set[int] = set()
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
-                self.reachable.add(rank)
-            elif len(parts := self._merged(token, rank)) == 2:
-                self.halves[rank] = self._made_key(parts, rank)
-                self.reachable.add(rank)
+                continue
+            parts = self._merged(token, rank)
+            if len(parts) != 2:
+                raise ValueError(f"token {rank} can't come from the merges before it")
+            self.halves[rank] = (parts[0], parts[1])
+            self._made[self.halves[rank]] = rank
 
     @classmethod
     def parse(cls, content: bytes) -> "Ranks":
         return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())})
 
-    def _made_key(self, parts: list[int], rank: int) -> tuple[int, int]:
-        pair = (parts[0], parts[1])
-        self._made[pair] = rank
-        return pair
-
     def _merged(self, text: bytes, below: int) -> list[int]:
         """Ids after all merges of a rank under ``below``, lowest rank first."""
         parts = [text[i : i + 1] for i in range(len(text))]
@@ -108,13 +104,19 @@ class PrefixTable:
         self.append(text)
 
     def append(self, more: bytes) -> None:
-        r, last = self.ranks, self.last
-        done = len(self.text)
+        last, get, fits, pairs = self.last, self.ranks.ids.get, self.ranks.fits, self.ranks._pairs
+        done, longest = len(self.text), self.ranks.longest
         self.text = text = self.text + more
         for end in range(done + 1, len(text) + 1):
-            for start in range(max(0, end - r.longest), end):
-                token = r.ids.get(text[start:end])
-                if token is not None and token in r.reachable and (start == 0 or r.fits(last[start - 1], token)):
+            for start in range(end - 1, max(0, end - longest) - 1, -1):
+                token = get(text[start:end])
+                if token is None:
+                    continue
+                if not start:
+                    last.append(token)
+                    break
+                known = pairs.get((last[start - 1], token))
+                if known or known is None and fits(last[start - 1], token):
                     last.append(token)
                     break
 
