@@ -203,38 +203,37 @@ def codec_of(content: bytes, pattern: str) -> Codec:
 
 
 def encode_documents(docs: DataFrame, content: bytes, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, ids array<int>."""
-    return _per_document(docs, content, pattern, text, doc_id, False)
+    """One row per document: doc_id, n_tokens, ids, and digests of the ids and of what they decode to."""
+    return _per_document(docs, content, pattern, text, doc_id, True)
 
 
 def encode_digests(docs: DataFrame, content: bytes, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, n_tokens and digests of the ids and of what they decode to."""
-    return _per_document(docs, content, pattern, text, doc_id, True)
+    """The same without the ids."""
+    return _per_document(docs, content, pattern, text, doc_id, False)
 
 
-def _per_document(docs: DataFrame, content: bytes, pattern: str, text: str, doc_id: str, digests: bool) -> DataFrame:
+def _per_document(docs: DataFrame, content: bytes, pattern: str, text: str, doc_id: str, with_ids: bool) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
     ranks = spark.sparkContext.broadcast(content)  # the rank file, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(ranks.value, pattern)
-        sha = lambda b: hashlib.sha256(b).hexdigest()
         for b in batches:
+            cols = {"doc_id": b.column(0)}
             n, ids_sha, bytes_sha, all_ids = [], [], [], []
             for t in b.column(1).to_pylist():
                 ids = codec.encode(t)
-                if digests:
-                    n.append(len(ids))
-                    ids_sha.append(sha(codec.joined(ids).encode()))
-                    bytes_sha.append(sha(codec.decode(ids)))
-                else:
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(codec.joined(ids).encode()).hexdigest())
+                bytes_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                if with_ids:
                     all_ids.append(ids)
-            if digests:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            else:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(all_ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            cols["n_tokens"] = pa.array(n, pa.int64())
+            if with_ids:
+                cols["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
+            cols |= {"ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(bytes_sha, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else f"doc_id {kind}, ids array<int>"
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, {'ids array<int>, ' if with_ids else ''}ids_sha256 string, decoded_sha256 string")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from glossaflow.plans.scratch import stage_table
 
+NEW = ("n_lines", "n_dropped", "kept_text")
 SPACES = " \t\n\x0b\f\r"
 
 
@@ -47,7 +48,7 @@ def line_hashes(lines: Column, min_chars: int) -> Column:
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """All columns of ``docs`` plus n_lines, n_dropped and kept_text."""
+    """All columns of ``docs`` plus n_lines, n_dropped and kept_text, which replace columns so named."""
     body = F.coalesce(F.col(text), F.lit(""))
     row = [F.xxhash64(F.lit(1), F.col(doc_id), body).alias("_r1"), F.xxhash64(F.lit(2), body, F.col(doc_id)).alias("_r2")]
     hashed = stage_table(docs.select(*row, line_hashes(F.split(body, "\n"), min_chars).alias("hashes")), "line-hashes")
@@ -62,7 +63,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, t
     parts = F.split(body, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop"))
     return out.select(
-        *[out[c] for c in docs.columns],
+        *[out[c] for c in docs.columns if c not in NEW],
         F.size(parts).cast("long").alias("n_lines"),
         F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("_drop").isNull(), body).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")).alias("kept_text"),

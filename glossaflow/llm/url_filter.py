@@ -7,7 +7,8 @@ digests confirm, and the longest confirmed rule decides.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and
 fits no rule; two rules with the same host and path count once, ``block`` over
-``allow``; repeated pages keep one row each; other columns pass through.
+``allow``; repeated pages keep one row each; other columns pass through, but for those
+named host, path, rule or verdict, which the results replace.
 """
 
 from __future__ import annotations
@@ -68,5 +69,5 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         .agg(F.max(F.struct(F.length("rule").alias("n"), "_host_len", "rule", "rule_verdict")).alias("_best"))
     )
     return cut.join(best, ["host", "_cut"], "left").select(
-        *[c for c in out.columns], F.col("_best.rule").alias("rule"), F.coalesce("_best.rule_verdict", F.lit(default)).alias("verdict")
+        *[c for c in out.columns if c not in ("rule", "verdict")], F.col("_best.rule").alias("rule"), F.coalesce("_best.rule_verdict", F.lit(default)).alias("verdict")
     )
