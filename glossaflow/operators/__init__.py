@@ -1 +1 @@
-
+"""Relational operators of the localisation engine."""
