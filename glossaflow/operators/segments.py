@@ -11,6 +11,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from glossaflow.functions.masking import chunks_column
 from glossaflow.functions.text import TOKEN, seq_id
+from glossaflow.plans.scratch import stage_table
 
 
 def numbered(df: DataFrame, book: list[str], order: list[Column | str], prefix: str, width: int, name: str = "id") -> DataFrame:
@@ -52,31 +53,108 @@ def previous_context(df: DataFrame, book: list[str], order: list[str], text: str
     return df.withColumn("context_prev_source", F.coalesce(F.right(before, F.lit(n)) if n else before, F.lit("")))
 
 
+class _Fill:
+    """The open batch of a book: its number, rows and characters."""
+
+    def __init__(self, max_chars: int, max_rows: int, number: int = 0, rows: int = 0, size: int = 0):
+        self.max_chars, self.max_rows = max_chars, max_rows
+        self.number, self.rows, self.size = number, rows, size
+
+    def add(self, n: int) -> int:
+        if self.rows and (self.rows >= self.max_rows or self.size + n > self.max_chars):
+            self.number, self.rows, self.size = self.number + 1, 0, 0
+        self.rows, self.size = self.rows + 1, self.size + n
+        return self.number
+
+
 def greedy_batches(df: DataFrame, book: str, order: str, chars: str, max_chars: int = 8000, max_rows: int = 20) -> DataFrame:
     """Adds batch_no: rows fill a batch until it would pass a limit; long rows stand alone.
 
-    Where a batch begins depends on the one before, so a book is folded in
-    order. Rows stream through with three numbers of state: a book of any
-    length takes no memory, and books run side by side.
+    Where a batch begins depends on all before it in its book, yet what a
+    stretch of rows must know of them is only how many of the last ``max_rows``
+    rows are in the open batch. Rows are dealt in order to even stretches, which
+    may split a book of any length. Each stretch works out where it ends for
+    every such number; these short tables are chained on the driver, a few
+    numbers a stretch, and each stretch is numbered from its true start.
     """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, book, order).sortWithinPartitions(book, order)
+    placed = stage_table(dealt.withColumn("_pos", F.monotonically_increasing_id()), "batch-rows")
+
+    def stretches(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(n, F.shiftright("_pos", 33).cast("int")).sortWithinPartitions("_pos")
+
+    narrow = placed.select("_pos", F.col(book).cast("string").alias("_book"), F.coalesce(F.col(chars).cast("long"), F.lit(0)).alias("_n"))
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """First and last book of a stretch, and the last rows of the last one."""
+        first, now, tail, whole, part = None, None, [], True, None
+        for b in batches:
+            for pos, k, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part is None:
+                    part, first, now = pos >> 33, k, k
+                elif k != now:
+                    now, tail, whole = k, [], False
+                tail = [*tail[1 - max_rows :], size] if max_rows > 1 else [size]
+        if part is not None:
+            yield pa.RecordBatch.from_pylist([{"part": part, "first": first, "last": now, "tail": tail, "whole": whole}], pa.schema([("part", pa.int64()), ("first", pa.string()), ("last", pa.string()), ("tail", pa.list_(pa.int64())), ("whole", pa.bool_())]))
+
+    ends = sorted(stretches(narrow).mapInArrow(tails, "part long, first string, last string, tail array<long>, whole boolean").collect(), key=lambda r: r["part"])
+    before: dict[int, list[int]] = {}  # the rows before a stretch that goes on with their book
+    held: tuple[str | None, list[int]] | None = None
+    for r in ends:
+        if held is not None and r["first"] == held[0]:
+            before[r["part"]] = held[1]
+        tail = [*(held[1] if held is not None and r["whole"] and r["first"] == held[0] else []), *r["tail"]]
+        held = (r["last"], tail[-max_rows:])
+
+    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each number of open rows at the start (0: a new book): what is open at the end."""
+        fills: dict[int, _Fill] | None = None
+        now, fresh, part = None, False, None
+        for b in batches:
+            for pos, k, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if fills is None:
+                    part, now = pos >> 33, k
+                    prior = before.get(part, [])
+                    fills = {m: _Fill(max_chars, max_rows, 0, m, sum(prior[len(prior) - m :])) for m in (range(1, len(prior) + 1) if prior else [0])}
+                elif k != now:
+                    now, fresh, fills = k, True, {0: _Fill(max_chars, max_rows)}
+                for fill in {id(f): f for f in fills.values()}.values():
+                    fill.add(size)
+                if len(fills) > 1:  # fills that agree from here on become one
+                    same: dict[tuple[int, int, int], _Fill] = {}
+                    fills = {m: same.setdefault((f.number, f.rows, f.size), f) for m, f in fills.items()}
+        rows = [{"part": part, "open": m, "fresh": fresh, "number": f.number, "rows": f.rows, "size": f.size} for m, f in (fills or {}).items()]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int64()), ("open", pa.int32()), ("fresh", pa.bool_()), ("number", pa.int32()), ("rows", pa.int32()), ("size", pa.int64())]))
+
+    chained = {(r["part"], r["open"]): r for r in stretches(narrow).mapInArrow(exits, "part long, open int, fresh boolean, number int, rows int, size long").collect()}
+    starts: dict[int, tuple[int, int, int]] = {}  # number, rows and size of the batch open at the start
+    state = (0, 0, 0)
+    for r in ends:
+        part = r["part"]
+        starts[part] = state if part in before else (0, 0, 0)
+        end = chained[(part, 0)] if not starts[part][1] or (part, 0) in chained else chained[(part, starts[part][1])]
+        base = 0 if end["fresh"] else starts[part][0]
+        state = (base + end["number"], end["rows"], end["size"])
+
     schema = StructType([*df.schema.fields, StructField("batch_no", IntegerType())])
-    at = [df.columns.index(c) for c in (book, chars)]
+    names, at = df.columns, [df.columns.index(c) for c in (book, chars)]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, number, rows, size = object(), 0, 0, 0
+        now, fill, seen = None, None, False
         for b in batches:
             out = []
-            for k, n in zip(b.column(at[0]).to_pylist(), b.column(at[1]).to_pylist(), strict=True):
-                n = n or 0
-                if k != now:
-                    now, number, rows, size = k, 0, 0, 0
-                elif rows >= max_rows or size + n > max_chars:
-                    number, rows, size = number + 1, 0, 0
-                rows, size = rows + 1, size + n
-                out.append(number)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=schema.names)
-
-    return df.repartition(book).sortWithinPartitions(book, order).mapInArrow(fold, schema)
+            for pos, k, size in zip(b.column(len(names)).to_pylist(), b.column(at[0]).to_pylist(), b.column(at[1]).to_pylist(), strict=True):
+                if not seen:
+                    seen, now, fill = True, k, _Fill(max_chars, max_rows, *starts[pos >> 33])
+                elif k != now:
+                    now, fill = k, _Fill(max_chars, max_rows)
+                out.append(fill.add(int(size or 0)))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out, pa.int32())], names=schema.names)
+
+    return stretches(placed.select(*names, "_pos")).mapInArrow(fold, schema)
 
 
 def merge_chunks(segments: DataFrame, texts: DataFrame, node: list[str], segment: list[str]) -> DataFrame:

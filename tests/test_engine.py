@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -140,6 +141,23 @@ def test_greedy_batches(spark):
     assert got == [0, 0, 1, 2, 2, 2, 3, 3]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_batches_across_stretches(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, i, rng.choice([1, 3, 9, 30])) for k, n in (("hot", 400), ("b", 3), ("a", 60), (None, 9)) for i in range(n)]
+    want, state = {}, {}
+    for k, i, n in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        number, count, size = state.get(k, (0, 0, 0))
+        if count and (count >= 5 or size + n > 20):
+            number, count, size = number + 1, 0, 0
+        state[k] = (number, count + 1, size + n)
+        want[k, i] = number
+    df = spark.createDataFrame(rows, "book string, o int, n int").repartition(3)
+    got = {(r["book"], r["o"]): r["batch_no"] for r in segments.greedy_batches(df, "book", "o", "n", 20, 5).collect()}
+    assert got == want
+    assert segments.greedy_batches(df.limit(0), "book", "o", "n").count() == 0
+
+
 def test_merge_chunks_loses_space_between_chunks(spark):
     s = spark.createDataFrame([("n", 1, "x"), ("n", 0, "y"), ("n", 2, "z")], "node string, chunk_index int, segment_id string")
     t = spark.createDataFrame([("x", "Four"), ("y", "three.")], "segment_id string, text string")
