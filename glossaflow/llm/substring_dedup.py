@@ -13,7 +13,7 @@ being ``BLOCK`` words that start at a multiple of ``BLOCK``. So:
 
 What is dealt by hash is first made distinct within a task, so a passage that
 very many documents share costs one entry a task, and no pairs are made. Hashes
-travel as packed arrays by bucket. Texts move in two joins by id.
+travel as packed arrays by bucket, a bucket for each shuffle partition. Texts move in two joins by id.
 
 Defined cases: null and empty texts have no words; a text of fewer words than a
 window loses nothing; rows without an id come after all others; of rows that
@@ -83,9 +83,13 @@ def _buckets(sorted_buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(sorted_buckets[a]), slice(a, b)
 
 
-def _split(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket (the top bits) and the 32 bits below it."""
-    return (h >> np.uint64(64 - bits)).astype(np.int64), (h >> np.uint64(32 - bits)).astype(np.uint32)
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Even shares of the upper 32 bits."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _split(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    return _bucket(h, buckets), h.astype(np.uint32)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -107,7 +111,7 @@ def _dealt(df: DataFrame, column: str) -> DataFrame:
     return df.repartitionById(n, F.pmod(F.col(column), F.lit(n)).cast("int")).sortWithinPartitions(column)
 
 
-def _shared(docs: DataFrame, bits: int, block: int) -> DataFrame:
+def _shared(docs: DataFrame, buckets: int, block: int) -> DataFrame:
     """(bucket, hashes): packed hashes that rolling windows hold at least twice."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +119,7 @@ def _shared(docs: DataFrame, bits: int, block: int) -> DataFrame:
 
         def emit(held: list[np.ndarray]) -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            bucket, low = _split(values, bits)
+            bucket, low = _split(values, buckets)
             rows = [(k, low[s].tobytes(), low[s][counts[s] > 1].tobytes()) for k, s in _buckets(bucket)]
             return _batch("bucket once twice", kinds, rows)
 
@@ -142,7 +146,7 @@ def _shared(docs: DataFrame, bits: int, block: int) -> DataFrame:
     return _dealt(probes, "bucket").mapInArrow(meet, "bucket int, hashes binary")
 
 
-def _anchors(docs: DataFrame, shared: DataFrame, bits: int, block: int) -> DataFrame:
+def _anchors(docs: DataFrame, shared: DataFrame, buckets: int, block: int) -> DataFrame:
     """(doc_id, blocks): numbers of the blocks whose hash is shared."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +154,7 @@ def _anchors(docs: DataFrame, shared: DataFrame, bits: int, block: int) -> DataF
 
         def emit(held: list[tuple]) -> pa.RecordBatch:
             h, ids, numbers = (np.concatenate(c) for c in zip(*held, strict=True))
-            bucket, low = _split(h, bits)
+            bucket, low = _split(h, buckets)
             o = np.argsort(bucket, kind="stable")
             bucket, low, ids, numbers = bucket[o], low[o], ids[o], numbers[o]
             return _batch("bucket low ids numbers", kinds, [(k, low[s].tobytes(), _pack(ids[s]), _pack(numbers[s])) for k, s in _buckets(bucket)])
@@ -182,7 +186,7 @@ def _anchors(docs: DataFrame, shared: DataFrame, bits: int, block: int) -> DataF
     return hits.groupBy("doc_id").agg(F.collect_list("number").alias("blocks"))
 
 
-def _repeats(docs: DataFrame, anchors: DataFrame, bits: int, block: int, groups: int) -> DataFrame:
+def _repeats(docs: DataFrame, anchors: DataFrame, buckets: int, block: int) -> DataFrame:
     """(doc_id, cuts): starts and ends of the words to remove, one after the other."""
     size = 2 * block
     kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -190,7 +194,7 @@ def _repeats(docs: DataFrame, anchors: DataFrame, bits: int, block: int, groups:
 
     def gone(ids: np.ndarray, starts: np.ndarray) -> list[tuple]:
         """Removed windows by group of documents; their parts are below zero."""
-        part = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % groups
+        part = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
         o = np.lexsort((starts, ids, part))
         part, ids, starts = part[o], ids[o], starts[o]
         return [(-1 - k, b"", _pack(ids[s]), _pack(starts[s])) for k, s in _buckets(part)]
@@ -198,7 +202,7 @@ def _repeats(docs: DataFrame, anchors: DataFrame, bits: int, block: int, groups:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(held: list[tuple]) -> pa.RecordBatch:
             d, ids, starts = (np.concatenate(c) for c in zip(*held, strict=True))
-            bucket = (d[:, 0] >> np.uint64(64 - bits)).astype(np.int64)
+            bucket = _bucket(d[:, 0], buckets)
             o = np.lexsort((starts, ids, d[:, 1], bucket))
             bucket, keys, ids, starts = bucket[o], d[o, 1], ids[o], starts[o]
             first = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (keys[1:] != keys[:-1])))
@@ -228,6 +232,7 @@ def _repeats(docs: DataFrame, anchors: DataFrame, bits: int, block: int, groups:
             yield emit(held)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
         for k, rows in _by_bucket(batches):
             if k < 0:
                 yield _batch(names, kinds, rows)
@@ -239,7 +244,13 @@ def _repeats(docs: DataFrame, anchors: DataFrame, bits: int, block: int, groups:
             new = np.concatenate(([True], keys[1:] != keys[:-1]))
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             later = (ids != ids[lead]) | (starts != starts[lead])
-            yield _batch(names, kinds, gone(ids[later], starts[later]))
+            held.append((ids[later], starts[later]))
+            count += len(held[-1][0])
+            if count >= HELD // 4:
+                yield _batch(names, kinds, gone(*(np.concatenate(c) for c in zip(*held, strict=True))))
+                held, count = [], 0
+        if count:
+            yield _batch(names, kinds, gone(*(np.concatenate(c) for c in zip(*held, strict=True))))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
@@ -281,11 +292,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     docs, order = _numbered(docs.select(*others, text), doc_id, text)
     plain = docs.select(F.col(order).alias("doc_id"), F.col(text).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(4, min(20, (4 * n - 1).bit_length()))
-
-    shared = stage_table(_shared(plain, bits, block), "shared")
-    anchors = stage_table(_anchors(plain, shared, bits, block), "anchors")
-    cuts = stage_table(_repeats(plain, anchors, bits, block, 4 * n), "cuts").withColumnsRenamed({"doc_id": "_order", "cuts": "_cuts"})
+    shared = stage_table(_shared(plain, n, block), "shared")
+    anchors = stage_table(_anchors(plain, shared, n, block), "anchors")
+    cuts = stage_table(_repeats(plain, anchors, n, block), "cuts").withColumnsRenamed({"doc_id": "_order", "cuts": "_cuts"})
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
