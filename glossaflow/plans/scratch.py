@@ -70,8 +70,12 @@ def _drop_all() -> None:
             return
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches small enough that a batch of very long texts fits a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """Bound Arrow batches by rows and by bytes, so that very long texts fit a worker.
+
+    Smaller bounds that the session has already are kept.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or int(now) > most:
+            spark.conf.set(key, str(most))
