@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from glossaflow.plans.components import components
 from glossaflow.plans.scratch import bounded_batches, stage_table
@@ -236,15 +237,27 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """The document of the smallest id of each group, with its columns.
 
-    Of rows that repeat that id one stays; of groups without any id, none has a
-    name, and all their rows stay.
+    The ids to drop, fewer than those to keep, are what the texts are joined
+    with. Of rows that repeat the smallest id one stays. Rows without an id go
+    if their group has an id, and all stay if it has none.
     """
     groups = stage_table(near_groups(docs, text, doc_id, shingle), "groups")
-    kept = groups.filter("component_id IS NOT NULL").groupBy("component_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("_n"))
-    kept = stage_table(kept.withColumnRenamed("component_id", "_keep"), "kept")
-    id_ = F.col(doc_id).cast("long")
-    out = docs.join(kept.select("_keep"), id_ == F.col("_keep"), "left_semi")
-    if kept.filter("_n > 1").limit(1).count():
+    facts = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("component_id")).alias("drop"))
+    facts = stage_table(facts, "group-facts")
+    drop = stage_table(facts.filter("drop").select(F.col("doc_id").alias("_drop")), "dropped")
+    out = docs.join(drop, F.col(doc_id).cast("long") == F.col("_drop"), "left_anti")
+    if facts.filter("doc_id IS NOT NULL AND NOT drop AND n > 1").limit(1).count():
         out = out.dropDuplicates([doc_id])
-    nameless = groups.filter("component_id IS NULL").limit(1).count()
-    return out.unionByName(docs.filter(F.col(doc_id).isNull())) if nameless else out
+    if not facts.filter("doc_id IS NULL").count():
+        return out
+    nameless = groups.filter("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias("_fp")).distinct()
+    without = docs.filter(F.col(doc_id).isNull())
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([simhash(t, shingle) for t in b.column(columns.index(text)).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*columns, "_fp"])
+
+    marked = without.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+    return out.filter(F.col(doc_id).isNotNull()).unionByName(marked.join(nameless, "_fp", "left_semi").select(*columns))

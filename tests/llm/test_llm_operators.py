@@ -536,6 +536,9 @@ def test_simhash_defined_cases(spark):
     nameless = doubled.withColumn("doc_id", F.lit(None).cast("long"))
     assert {r["component_id"] for r in simhash.near_groups(nameless).collect()} == {None}
     assert simhash.keep_one(nameless).count() == 4
+    mixed = rows.unionByName(docs_of(spark, ["a b c d", "quite another text here"]).withColumn("doc_id", F.lit(None).cast("long")))
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(mixed).collect() if r["doc_id"] is not None) == [(0, "a b c d"), (1, None)]
+    assert [r["text"] for r in simhash.keep_one(mixed).collect() if r["doc_id"] is None] == ["quite another text here"]
 
 
 # 10 -----------------------------------------------------------------------------------------
