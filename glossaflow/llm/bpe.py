@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glossaflow.plans.scratch import bounded_batches
 
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 400_000
 CACHE_BYTES = 64
 
 
@@ -75,7 +75,7 @@ class Ranks:
         known = self._pairs.get((left, right))
         if known is None:
             known = self._fits(left, right)
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 400_000:
                 self._pairs.clear()
             self._pairs[(left, right)] = known
         return known
