@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossaflow.plans.scratch import stage_table
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_HEX = 8
 RULE_SCHEMA = "rule_host string, rule_path string, rule_verdict string"
@@ -68,6 +70,9 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         .groupBy("host", "_cut")
         .agg(F.max(F.struct(F.length("rule").alias("n"), "_host_len", "rule", "rule_verdict")).alias("_best"))
     )
+    # Staged, the verdicts have a known size: small ones are sent out, and for
+    # large ones a hot host's pages can be split in the join.
+    best = stage_table(best.select("host", "_cut", F.col("_best.rule").alias("_rule"), F.col("_best.rule_verdict").alias("_verdict")), "url-verdicts")
     return cut.join(best, ["host", "_cut"], "left").select(
-        *[c for c in out.columns if c not in ("rule", "verdict")], F.col("_best.rule").alias("rule"), F.coalesce("_best.rule_verdict", F.lit(default)).alias("verdict")
+        *[c for c in out.columns if c not in ("rule", "verdict")], F.col("_rule").alias("rule"), F.coalesce("_verdict", F.lit(default)).alias("verdict")
     )
