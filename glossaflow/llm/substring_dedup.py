@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from glossaflow.plans.scratch import bounded_batches, stage_table
 
 BLOCK = 10
-HELD = 1 << 21
+HELD = 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
