@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glossaflow.plans.scratch import bounded_batches
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 CACHE_BYTES = 64
 
 
@@ -75,7 +75,7 @@ class Ranks:
         known = self._pairs.get((left, right))
         if known is None:
             known = self._fits(left, right)
-            if len(self._pairs) > 400_000:
+            if len(self._pairs) > 1_000_000:
                 self._pairs.clear()
             self._pairs[(left, right)] = known
         return known
@@ -135,28 +135,34 @@ class PrefixTable:
         return out[::-1]
 
 
+class _Pieces(dict):
+    """Ids of pieces; unknown ones are encoded, short ones remembered up to a fixed number."""
+
+    def __init__(self, ranks: Ranks):
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        raw = piece.encode("utf-8", "surrogatepass")
+        whole = self.ranks.ids.get(raw)
+        ids = (whole,) if whole is not None else tuple(PrefixTable(self.ranks, raw).ids())
+        if len(raw) <= CACHE_BYTES:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Codec:
-    """Encodes whole texts; short pieces are remembered, up to a fixed number."""
+    """Encodes whole texts, each match of the pattern by itself."""
 
     def __init__(self, ranks: Ranks, pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self._known: dict[str, tuple[int, ...]] = {}
+        self.pieces = _Pieces(ranks)
         self._names = [str(i) for i in range(len(ranks.tokens))]
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        ids = self._known.get(piece)
-        if ids is None:
-            raw = piece.encode("utf-8", "surrogatepass")
-            whole = self.ranks.ids.get(raw)
-            ids = (whole,) if whole is not None else tuple(PrefixTable(self.ranks, raw).ids())
-            if len(raw) <= CACHE_BYTES:
-                if len(self._known) >= CACHE_PIECES:
-                    self._known.clear()
-                self._known[piece] = ids
-        return ids
-
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.piece, self.pattern.findall(text or ""))))
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text or ""))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.ranks.tokens.__getitem__, ids))
@@ -188,7 +194,7 @@ class EncodedText:
         self.pieces[kept:] = [m[0] for m in self.codec.pattern.finditer(self.text, at)]
 
     def ids(self) -> list[int]:
-        return list(chain.from_iterable(map(self.codec.piece, self.pieces)))
+        return list(chain.from_iterable(map(self.codec.pieces.__getitem__, self.pieces)))
 
 
 _codecs: dict[str, Codec] = {}
