@@ -32,6 +32,7 @@ BITS = 18
 DIMS = 1 << BITS
 SAMPLE = 5_000
 EPOCHS = 12
+PART = 1 << 20
 C = 0.05
 RUNS = 12
 _flags = np.zeros(DIMS + RUNS, dtype=bool)
@@ -40,14 +41,15 @@ _flags = np.zeros(DIMS + RUNS, dtype=bool)
 def features(text: str | None) -> np.ndarray:
     """Sorted places of the features a text has."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    b = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
     flags = _flags
-    gram = b
-    for n in (2, 3, 4):
-        if len(b) < n:
-            break
-        gram = (gram[:-1] << np.uint32(8)) | b[n - 1 :]
-        flags[(gram * np.uint32(2654435761) + np.uint32(n * 0x3C6EF372)) >> np.uint32(32 - BITS)] = True
+    for start in range(0, len(raw), PART):
+        b = np.frombuffer(raw[start : start + PART + 3], dtype=np.uint8).astype(np.uint32)
+        gram = b
+        for n in (2, 3, 4):
+            if len(b) < n:
+                break
+            gram = (gram[:-1] << np.uint32(8)) | b[n - 1 :]
+            flags[(gram * np.uint32(2654435761) + np.uint32(n * 0x3C6EF372)) >> np.uint32(32 - BITS)] = True
     words = raw.split()
     same = bytes(map(eq, words, words[1:]))
     for n in range(1, RUNS + 1):

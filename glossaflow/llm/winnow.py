@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from glossaflow.plans.scratch import bounded_batches
 
 K, W = 20, 30
+PART = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, dtype=np.uint64)
 
@@ -74,10 +75,20 @@ def choose(hashes: np.ndarray, w: int = W) -> np.ndarray:
 
 
 def fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen 32-bit hashes and their positions, in order of position."""
-    hashes = gram_hashes(text or "")
-    at = choose(hashes)
-    return (hashes[at] >> np.uint64(32)).astype(np.uint32), at
+    """Chosen 32-bit hashes and their positions, in order of position.
+
+    Texts of any length are taken a part at a time, each part with the code
+    points that the windows starting in it reach.
+    """
+    text = text or ""
+    hashes, places = [], []
+    for start in range(0, max(1, len(text) - K - W + 2), PART):
+        h = gram_hashes(text[start : start + PART + K + W - 2])
+        at = choose(h)
+        hashes.append((h[at] >> np.uint64(32)).astype(np.uint32))
+        places.append(at + start)
+    places, first = np.unique(np.concatenate(places), return_index=True)
+    return np.concatenate(hashes)[first], places
 
 
 def shown(fp: tuple[np.ndarray, np.ndarray]) -> str:

@@ -83,6 +83,15 @@ def test_winnowing_chooses_rightmost_minima(n):
     assert winnow.choose(h).tolist() == want
 
 
+def test_winnowing_and_features_by_parts(monkeypatch):
+    rng = random.Random(16)
+    texts = ["".join(rng.choice("abc ") for _ in range(n)) for n in (0, 1, 19, 20, 48, 49, 50, 120, 777)]
+    whole = [(winnow.shown(winnow.fingerprint(t)), quality.features(t).tolist()) for t in texts]
+    monkeypatch.setattr(winnow, "PART", 13)
+    monkeypatch.setattr(quality, "PART", 7)
+    assert [(winnow.shown(winnow.fingerprint(t)), quality.features(t).tolist()) for t in texts] == whole
+
+
 def test_gram_hashes_depend_on_the_gram_alone():
     text = "abcabcabcabcabcabcabcabcabcabc"
     h = winnow.gram_hashes(text, 7)
