@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from glossaflow.functions import masking
 from glossaflow.functions import text as T
 from glossaflow.operators import memory, qa, segments, terms, translate
+from glossaflow.plans.scratch import stage_table
 from glossaflow.sources import epub
 
 
@@ -374,7 +375,7 @@ def epub_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def epub_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives made of all documents, read back in reading order: tasks per book."""
-    books = epub.pack(epub_files(spark, sf_dir))
+    books = stage_table(epub.pack(epub_files(spark, sf_dir)), "books")
     order = epub.reading_order(epub.manifest(books), epub.spine(books))
     files = epub.entries(books).withColumnRenamed("entry", "file_path")
     chapters = files.join(order.select("book", "file_path"), ["book", "file_path"], "left_semi")
