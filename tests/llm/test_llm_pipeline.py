@@ -10,7 +10,7 @@ import tiktoken
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from glossaflow.llm import bpe, decontaminate, quality, simhash
+from glossaflow.llm import bpe, decontaminate, near_copies, quality, simhash
 from tests.test_entry import SF, _rows, duck  # noqa: F401
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -73,6 +73,62 @@ def test_stages_return_the_columns_of_documents(spark, tables):
         assert stage(spark, docs.limit(0), path).count() == 0
 
 
+def _kept(texts):
+    """Ids to stay, by brute force over all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    up = {i: i for i in texts}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return {i for i in texts if root(i) == i}
+
+
+def test_near_dedup_links_five_word_similarity(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(400)}"
+    texts = [None, "", "a b c", "A  b c", "a b c d", "a b c d e", "a b c d e f"]
+    for size in (12, 40, 150, 600):
+        for _ in range(6):
+            base = [word() for _ in range(size)]
+            texts.append(" ".join(base))
+            for edits in (0, 1, 2, size // 60, size // 40, size // 30):
+                copy = list(base)
+                for _ in range(edits):
+                    copy[rng.randrange(len(copy))] = word()
+                texts.append(" ".join(copy[: len(copy) - rng.randrange(3)]))
+    core = [word() for _ in range(60)]
+    for _ in range(80):  # share most shingles, and are not all similar
+        texts.append(" ".join([word() for _ in range(rng.randrange(8))] + core + [word() for _ in range(rng.randrange(8))]))
+    rng.shuffle(texts)
+    want = _kept(dict(enumerate(texts)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS)
+    for few in (32, 4):
+        monkeypatch.setattr(near_copies, "FEW", few)
+        got = corpus_pipeline.one_of_each(spark, docs, "")
+        assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
+    near = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert len(near) > len(want)  # 3 bits leave copies apart
+
+
+def test_near_dedup_keeps_unique_texts_of_repeated_ids(spark):
+    long = " ".join(f"t{i}" for i in range(50))
+    rows = [(1, long), (2, long + " x"), (2, "quite another text"), (3, "p q r"), (3, "s t u"), (4, "k l m"), (4, "k l m"), (None, "k  l m"), (None, "n o p"), (None, "n o p")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], COLUMNS)
+    got = Counter((r["doc_id"], r["text"]) for r in near_copies.keep_one(docs).collect())
+    assert got == Counter([(1, long), (2, "quite another text"), (3, "p q r"), (3, "s t u"), (4, "k l m"), (None, "n o p"), (None, "n o p")])
+
+
 @pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n[:2] == "op" or n == "pipeline"))
 def test_query(spark, duck, name):  # noqa: F811
     got = entry.queries()[name](spark, SF)
