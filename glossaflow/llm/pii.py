@@ -4,7 +4,9 @@ Every kind has a pattern that proposes spans, a validator that confirms them,
 and a prior score. Words within ``CONTEXT_CHARS`` code points before a span
 raise or lower the score. The four base kinds (email, ip, card, phone) keep
 every confirmed span whatever its score; the added kinds (iban by mod-97, ssn
-and phone numbers without a plus sign) are kept at ``THRESHOLD`` or more.
+and phone numbers without a plus sign) are kept at ``THRESHOLD`` or more. An
+ssn or phone number that overlaps a base span is dropped; an iban is confirmed
+by itself and stays beside it.
 
 Defined cases: a null text is empty and has no spans; a text has any number of
 equal spans; spans are in code points with an exclusive end.
@@ -64,6 +66,18 @@ def mod97_ok(iban: str) -> bool:
     return 15 <= len(flat) <= 34 and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """The longest part of each candidate, from its start to the end of a group, that passes mod-97."""
+    m = _IBAN.search(text)
+    while m:
+        start, groups = m.start(), m[0]
+        while groups and not mod97_ok(groups):
+            groups = groups.rpartition(" ")[0]
+        if groups:
+            yield start, start + len(groups)
+        m = _IBAN.search(text, start + max(1, len(groups)))
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches of the email pattern, tried only around each ``@``."""
     done = 0
@@ -99,9 +113,8 @@ def _proposed(text: str, numeric: bool) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(_digits(m[0])) <= 15:
                 yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        if mod97_ok(m[0]):
-            yield "iban", *m.span()
+    for a, b in ibans(text):
+        yield "iban", a, b
     for m in _SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", *m.span()
@@ -121,7 +134,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     numeric = _DIGIT.search(text) is not None
     found = [(k, a, b, score(k, text, a)) for k, a, b in _proposed(text, numeric)]
     taken = [(a, b) for k, a, b, _ in found if k in BASE]
-    found = [x for x in found if x[0] in BASE or x[3] >= THRESHOLD and not any(a < x[2] and x[1] < b for a, b in taken)]
+    apart = lambda x: x[0] == "iban" or not any(a < x[2] and x[1] < b for a, b in taken)
+    found = [x for x in found if x[0] in BASE or x[3] >= THRESHOLD and apart(x)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

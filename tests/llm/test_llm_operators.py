@@ -304,6 +304,31 @@ def test_pii_added_spans():
     assert spans["call 555-123-4567"] == ["local_phone"] and spans[None] == spans[""] == []
 
 
+def _iban(country, rest):
+    """A valid IBAN: the check digits that mod-97 asks for."""
+    value = int("".join(str(int(c, 36)) for c in rest + country + "00"))
+    return f"{country}{98 - value % 97:02d}{rest}"
+
+
+def test_pii_ibans_before_and_after_other_words():
+    for iban in ("DE89370400440532013000", "GB82WEST12345698765432", "NL91ABNA0417164300", "GB82 WEST 1234 5698 7654 32"):
+        for before, after in (("", " BIC COBADEFFXXX"), ("", " 2024-01-02"), ("", " EUR 500"), ("", " I paid"), ("AB12 ", ""), ("REF XY99 ", " X"), ("(", ")")):
+            text = before + iban + after
+            assert [text[a:b] for k, a, b, _ in pii.find_spans(text) if k == "iban"] == [iban], text
+    two = "DE89370400440532013000 NL91ABNA0417164300"
+    assert [two[a:b] for k, a, b, _ in pii.find_spans(two) if k == "iban"] == two.split()
+    assert not any(k == "iban" for k, *_ in pii.find_spans("DE89370400440532013001 BIC EUR 500"))
+
+
+def test_pii_ibans_beside_base_spans():
+    rng, both = random.Random(12), 0
+    for _ in range(300):
+        kinds = [k for k, *_ in pii.find_spans(_iban("NO", "".join(rng.choice("0123456789") for _ in range(11))))]
+        assert "iban" in kinds
+        both += "card" in kinds
+    assert both
+
+
 def test_pii_long_runs_are_linear():
     assert pii.find_spans("a" * 300_000 + "@") == []
     assert pii.find_spans("1" * 300_000) == []
