@@ -7,9 +7,8 @@ merges of a public rank file, up to the ids that the model has.
 
 1. Words are counted, pre-aggregated in each task. Their subword counts, over
    all training rows, set the model's classes and first output biases.
-2. Every task trains on its training rows, on every ``EVERY``-th run of ``RUN``
-   words, the first chosen by the row's hash; the tasks' parameters are averaged
-   with their numbers of ids as weights. What is trained on grows with the input.
+2. Every task trains on all words of its training rows, once; the tasks'
+   parameters are averaged with their numbers of ids as weights.
 3. One pass scores each whole text, overlapping windows in batches. Words with
    a share of 1/``FREQUENT`` or more of the tokens, ``FREQUENT`` at most, go to
    the tasks; the others meet their counts in a join, where none can be hot.
@@ -23,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import random
-import zlib
 from array import array
 from base64 import b64decode
 from collections import Counter
@@ -41,7 +39,6 @@ from glossaflow.llm import attention
 from glossaflow.plans.scratch import bounded_batches, stage_table
 
 FREQUENT = 2_000_000
-EVERY, RUN = 16, 64
 BATCH = 128
 KNOWN_WORDS = 1_500_000
 COUNTED = 800_000
@@ -150,48 +147,45 @@ def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([total.tobytes()], pa.binary())], names=["weight", "flat"])
 
 
-def train(docs: DataFrame, counts: np.ndarray, ranks, every: int = EVERY) -> attention.Model:
-    """A model trained on rows (doc_id, text), each task on its own, then averaged."""
+def learned(batches: Iterator[pa.RecordBatch], first: attention.Model, coder: Subwords) -> Iterator[pa.RecordBatch]:
+    """(weight, flat): ids trained on and parameters times ids, after one pass over all words of rows (text)."""
+    trainer, seen = attention.Trainer(first), 0
+    held: list[np.ndarray] = []
+    size = 0
+
+    def learn() -> int:
+        windows, targets, _ = attention.blocks(held)
+        order = np.random.default_rng(len(windows)).permutation(len(windows))
+        for a in range(0, len(order), BATCH):
+            at = order[a : a + BATCH]
+            trainer.step(windows[at], targets[at])
+        return int((targets >= 0).sum())
+
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            held.append(coder.ids(words_of(t)))
+            size += len(held[-1])
+            if size >= HELD_IDS:
+                seen += learn()
+                held, size = [], 0
+    if held:
+        seen += learn()
+    if seen:
+        flat = trainer.model.flat().astype(np.float64) * seen
+        yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([flat.tobytes()], pa.binary())], names=["weight", "flat"])
+
+
+def train(docs: DataFrame, counts: np.ndarray, ranks) -> attention.Model:
+    """A model trained on rows (text), each task on its own, then averaged."""
     spark = docs.sparkSession
     first = attention.start(counts)
     shared = spark.sparkContext.broadcast(first)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, trainer, seen = _coder(ranks.value), attention.Trainer(shared.value), 0
-        pool = random.Random(17)
-        held: list[np.ndarray] = []
-        size = 0
-
-        def learn() -> int:
-            windows, targets, _ = attention.blocks(held)
-            order = np.random.default_rng(len(windows)).permutation(len(windows))
-            for a in range(0, len(order), BATCH):
-                at = order[a : a + BATCH]
-                trainer.step(windows[at], targets[at])
-            return int((targets >= 0).sum())
-
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = words_of(t)
-                runs = len(words) // RUN + 1
-                for k in range(zlib.crc32(f"{i}/{len(words)}".encode()) % every, runs, every):
-                    held.append(coder.ids(words[k * RUN : (k + 1) * RUN], end=k == runs - 1))
-                    if not len(held[-1]):
-                        held.pop()
-                    else:
-                        size += len(held[-1])
-                if size >= HELD_IDS:
-                    pool.shuffle(held)
-                    seen += learn()
-                    held, size = [], 0
-        if held:
-            seen += learn()
-        if seen:
-            flat = trainer.model.flat().astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([flat.tobytes()], pa.binary())], names=["weight", "flat"])
+        return learned(batches, shared.value, _coder(ranks.value))
 
     schema = "weight double, flat binary"
-    parts = docs.select("doc_id", "text").mapInArrow(run, schema).repartition(SUMS).mapInArrow(_weighted, schema)
+    parts = docs.select("text").mapInArrow(run, schema).repartition(SUMS).mapInArrow(_weighted, schema)
     rows = parts.collect()  # SUMS rows of fixed size
     weight = sum(r["weight"] for r in rows)
     if not weight:

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -404,6 +405,21 @@ def test_lm_base_scores(spark):
         assert abs(r["base_score"] - want) < 1e-6 and r["score"] < 0 and r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2)
 
 
+def test_lm_trains_on_every_word_of_every_row(spark):
+    coder = lm.Subwords(content())
+    texts = [f"{w} {w}x and {w}" * (1 + i % 3) for i, w in enumerate(["cat", "É", "the"] * 20)] + ["a b " * 3000, "", None]
+    ids = np.concatenate([coder.ids(lm.words_of(t)) for t in texts])
+    first = attention.start(np.bincount(ids, minlength=attention.IDS).astype(float))
+    rows = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    assert [r["weight"] for b in lm.learned(iter([rows]), first, coder) for r in b.to_pylist()] == [len(ids)]
+    # Short rows of which a sample by the row's hash would take none.
+    short = [(i, "one two three") for i in range(300) if zlib.crc32(f"{i}/3".encode()) % 16]
+    ranks = spark.sparkContext.broadcast(content())
+    docs = spark.createDataFrame(short, "doc_id bigint, text string").coalesce(1)
+    counts = np.bincount(coder.ids(lm.words_of("one two three")), minlength=attention.IDS).astype(float)
+    assert not np.array_equal(lm.train(docs, counts, ranks).flat(), attention.start(counts).flat())
+
+
 def test_lm_rare_words_take_the_join(spark, monkeypatch):
     docs = docs_of(spark, ["a a a a b c", "a b d", "e a", "x y z"])
     want = {r["doc_id"]: r["base_score"] for r in lm.score_documents(docs, content()).collect()}
