@@ -39,7 +39,7 @@ from glossaflow.llm import attention
 from glossaflow.plans.scratch import bounded_batches, stage_table
 
 FREQUENT = 2_000_000
-BATCH = 128
+BATCH = 64
 KNOWN_WORDS = 1_500_000
 COUNTED = 800_000
 SUMS = 16

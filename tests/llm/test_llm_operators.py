@@ -377,6 +377,12 @@ def test_attention_is_causal_and_a_distribution():
     assert np.allclose(scorer.block_scores(w, a)[:4], scorer.block_scores(w2, a2)[:4], atol=1e-4)
 
 
+def test_attention_has_its_full_size():
+    assert (attention.HIDDEN, attention.WINDOW) == (24, 32)
+    ids = np.arange(60, dtype=np.int16)
+    assert [(w.shape, a.shape) for w, a, _ in [attention.blocks([ids])]] == [((3, 32), (3, 24))]
+
+
 def test_attention_learns():
     rng = np.random.default_rng(2)
     seqs = [np.tile([7, 8, 9, 10], 12).astype(np.int16) for _ in range(40)]
