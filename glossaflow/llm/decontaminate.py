@@ -4,8 +4,11 @@ Runs of ``SEED`` words that a document shares with a benchmark item are the
 seeds. Where there are any, greedy string tiling covers both texts with their
 longest common runs, each word used once, so that passages in another order
 count as much as whole ones; runs are found by running Karp-Rabin hashes at a
-falling search length and confirmed word by word. A document is contaminated by
-an item of whose words the tiles cover ``COVERAGE`` or more.
+falling search length and confirmed word by word. Whether there is a common run
+of a length is one look-up of all hashes of that length, so the longest is found
+by halving, and time and memory stay in proportion to the text however often
+its words repeat. A document is contaminated by an item of whose words the tiles
+cover ``COVERAGE`` or more.
 
 Items are a stated query set. They are taken in blocks of about ``BLOCK_WORDS``
 words, so that what goes to the executors is bounded, and every document meets
@@ -32,8 +35,7 @@ from glossaflow.plans.scratch import bounded_batches
 SEED = 5
 COVERAGE = 0.5
 BLOCK_WORDS = 2_000_000
-FIRST_SEARCH = 20
-_BASE, _PRIME = 1_000_003, (1 << 61) - 1
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _APART = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -41,55 +43,94 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_APART).split()
 
 
-def _rolling(ids: list[int], free: list[bool], n: int) -> Iterator[tuple[int, int]]:
-    """(hash, start) of every run of n words of which none is marked."""
-    value, length, drop = 0, 0, pow(_BASE, n, _PRIME)
-    for at, word in enumerate(ids):
-        if not free[at]:
-            value = length = 0
-            continue
-        value = (value * _BASE + word) % _PRIME
-        length += 1
-        if length > n:
-            value = (value - ids[at - n] * drop) % _PRIME
-            length = n
-        if length == n:
-            yield value, at - n + 1
+class _Runs:
+    """Karp-Rabin hashes of the runs of any length of one text, and its free words."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.free = ids, ids > 0
+        n = len(ids)
+        with np.errstate(over="ignore"):
+            self.powers = np.ones(n + 1, np.uint64)
+            np.multiply.accumulate(np.full(n, _BASE), out=self.powers[1:]) if n else None
+            # A word's number alone would let equal sums of powers meet.
+            mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            self.sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(mixed * self.powers[:n], out=self.sums[1:])
+
+    def mark(self, at: int, n: int) -> None:
+        self.free[at : at + n] = False
+
+    def starts(self, n: int) -> np.ndarray:
+        """Where runs of n free words start."""
+        if n > len(self.ids):
+            return np.empty(0, np.int64)
+        taken = np.concatenate(([0], np.cumsum(~self.free)))
+        return np.flatnonzero(taken[n:] == taken[:-n])
+
+    def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the runs at these places, carried to the same power of the base."""
+        with np.errstate(over="ignore"):
+            return (self.sums[at + n] - self.sums[at]) * self.powers[len(self.ids) - at]
+
+
+def _common(doc: _Runs, item: _Runs, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts in doc, their hashes, starts in item, their hashes) of the runs of n words that both have."""
+    here, there = doc.starts(n), item.starts(n)
+    with np.errstate(over="ignore"):
+        a, b = doc.hashes(here, n) * item.powers[-1], item.hashes(there, n) * doc.powers[-1]
+    b_only = np.unique(b)
+    if not len(b_only) or not len(a):
+        return here[:0], a[:0], there[:0], b[:0]
+    spot = np.minimum(np.searchsorted(b_only, a), len(b_only) - 1)
+    found = b_only[spot] == a
+    here, a = here[found], a[found]
+    kept = np.isin(b, a)
+    return here, a, there[kept], b[kept]
+
+
+def _longest(doc: _Runs, item: _Runs, least: int, most: int) -> int:
+    """The length of the longest common run, 0 if it is below ``least``."""
+    if not len(_common(doc, item, least)[0]):
+        return 0
+    low, high = least, most
+    while low < high:  # whoever shares a run shares all shorter parts of it
+        half = (low + high + 1) // 2
+        low, high = (half, high) if len(_common(doc, item, half)[0]) else (low, half - 1)
+    return low
 
 
 def tile(doc: list[int], item: list[int], least: int) -> list[tuple[int, int, int]]:
-    """Tiles (start in doc, start in item, length): longest first, none overlapping."""
-    free_d, free_i = [w > 0 for w in doc], [w > 0 for w in item]
+    """Tiles (start in doc, start in item, length): always a longest common run of
+    free words, of equal ones that of the first place in doc, then in item."""
+    d, i = _Runs(np.asarray(doc, np.int64)), _Runs(np.asarray(item, np.int64))
     tiles: list[tuple[int, int, int]] = []
-    search = max(least, min(FIRST_SEARCH, len(item)))
-    while True:
-        places = defaultdict(list)
-        for value, at in _rolling(item, free_i, search):
-            places[value].append(at)
-        found = []
-        longest = 0
-        for value, at in _rolling(doc, free_d, search) if places else ():
-            for start in places.get(value, ()):
-                n = 0
-                while at + n < len(doc) and start + n < len(item) and doc[at + n] == item[start + n] and free_d[at + n] and free_i[start + n]:
-                    n += 1
-                if n >= search:
-                    found.append((-n, at, start))
-                    longest = max(longest, n)
-        if longest > 2 * search:
-            search = longest
-            continue
-        for n, at, start in sorted(found):
-            n = -n
-            if all(free_d[at : at + n]) and all(free_i[start : start + n]):
-                tiles.append((at, start, n))
-                free_d[at : at + n] = [False] * n
-                free_i[start : start + n] = [False] * n
-        if found:
-            continue  # what a longer tile overlapped may leave another match of this length
-        if search == least or not any(free_i):
-            return tiles
-        search = max(least, search // 2) if search > 2 * least else least
+    most = min(len(doc), len(item))
+    while most >= least:
+        n = _longest(d, i, least, most)
+        if not n:
+            break
+        here, a, there, b = _common(d, i, n)
+        places: dict[int, list[int]] = defaultdict(list)
+        for value, start in zip(b.tolist(), there.tolist(), strict=True):
+            places[value].append(start)
+        stop = 0
+        for at, value in zip(here.tolist(), a.tolist(), strict=True):
+            if at < stop or value not in places:
+                continue
+            places[value] = [s for s in places[value] if i.free[s : s + n].all()]
+            same = next((s for s in places[value] if np.array_equal(d.ids[at : at + n], i.ids[s : s + n])), None)
+            if same is not None:
+                tiles.append((at, same, n))
+                d.mark(at, n)
+                i.mark(same, n)
+                stop = at + n
+            elif not places[value]:
+                del places[value]
+                if not places:
+                    break
+        most = n - 1
+    return tiles
 
 
 class Items:
@@ -121,32 +162,39 @@ class Items:
         """(item id, coverage, tiles, longest tile) of items that contaminate a text."""
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in words_of(text)], dtype=np.uint64)
-        at: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        shared: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)  # item: places of its seeds, which items share
         for n, (values, owners) in self.seeds.items():
             grams = self._grams(ids, n)
             if not len(grams):
                 continue
             spot = np.searchsorted(values, grams)
             spot[spot == len(values)] = 0
-            for p in np.flatnonzero(values[spot] == grams).tolist():
-                for k in owners[int(grams[p])]:
-                    at[k].append((p, n))
+            at = np.flatnonzero(values[spot] == grams)
+            at = at[np.argsort(spot[at], kind="stable")]
+            for places in np.split(at, np.flatnonzero(np.diff(spot[at])) + 1):
+                for k in owners[int(grams[places[0]])] if len(places) else ():
+                    shared[k].append((places, n))
         out = []
-        for k, spots in at.items():
+        for k, seeds in shared.items():
             item_id, item = self.items[k]
-            doc: list[int] = []
-            end = -1
-            for p, n in spots:  # only words inside seeds can be in a tile
-                if end >= 0 and p > end:
-                    doc.append(0)
-                doc.extend(ids[max(p, end) : p + n].tolist())
-                end = p + n
-            tiles = tile(doc, item, min(SEED, len(item)))
+            tiles = tile(self._inside(ids, seeds), item, min(SEED, len(item)))
             covered = sum(n for _, _, n in tiles) / len(item)
             if covered >= COVERAGE:
                 out.append((item_id, covered, len(tiles), max(n for _, _, n in tiles)))
         return sorted(out)
 
+    @staticmethod
+    def _inside(ids: np.ndarray, seeds: list[tuple[np.ndarray, int]]) -> np.ndarray:
+        """The words inside seeds, since no other can be in a tile, with a zero between stretches."""
+        cover = np.zeros(len(ids) + 1, np.int64)
+        for places, n in seeds:
+            np.add.at(cover, places, 1)
+            np.add.at(cover, places + n, -1)
+        inside = np.cumsum(cover[:-1]) > 0
+        first = inside & ~np.concatenate(([False], inside[:-1]))
+        at = np.flatnonzero(inside)
+        return np.insert(ids[at].astype(np.int64), np.flatnonzero(first[at])[1:], 0)
+
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
     """Blocks of items, one at a time on the driver."""
