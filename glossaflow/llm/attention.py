@@ -26,7 +26,7 @@ DIM, HIDDEN = 16, 24
 STRIDE, CONTEXT = 24, 8
 WINDOW = STRIDE + CONTEXT
 BATCH = 256
-RATE = 4e-3
+RATE = 1.2e-2
 SHAPES = {
     "emb": (IDS + 1, DIM), "wq": (DIM, DIM), "wk": (DIM, DIM), "wv": (DIM, DIM), "near": (WINDOW,),
     "w1": (DIM, HIDDEN), "w2": (DIM, HIDDEN), "b1": (HIDDEN,), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wi": (CLASSES, HIDDEN, WIDE), "bi": (CLASSES, WIDE),
@@ -89,37 +89,6 @@ def blocks(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(inputs), np.concatenate(targets), np.concatenate(owner)
 
 
-def _softmax_parts(model: Model, h: np.ndarray, place: np.ndarray):
-    """Exponentials of both outputs; the second for rows ordered by class."""
-    p = model.params
-    ec = np.exp(h @ p["wc"] + p["bc"])
-    klass = place // WIDE
-    order = np.argsort(klass.astype(np.uint8), kind="stable")
-    counts = np.bincount(klass, minlength=CLASSES)
-    stops = np.cumsum(counts)
-    ei = np.empty((len(h), WIDE), dtype=np.float32)
-    sorted_h = h[order]
-    for c in np.flatnonzero(counts).tolist():
-        s = slice(stops[c] - counts[c], stops[c])
-        np.dot(sorted_h[s], p["wi"][c], out=ei[s])
-        ei[s] += p["bi"][c]
-    np.exp(ei, out=ei)
-    return ec, ei, klass, order, counts, stops, sorted_h
-
-
-def _forward(model: Model, tables: dict[str, np.ndarray], window: np.ndarray):
-    p = model.params
-    keys = tables["k"][window]
-    weight = np.matmul(tables["q"][window[:, CONTEXT:]], keys.transpose(0, 2, 1))
-    weight += p["near"][_distance]
-    np.exp(weight, out=weight)
-    weight *= _causal
-    weight *= (window != PAD)[:, None, :]
-    weight /= weight.sum(axis=2, keepdims=True) + 1e-30
-    mixed = np.matmul(weight, tables["v"][window])
-    return weight, mixed
-
-
 def _tables(model: Model) -> dict[str, np.ndarray]:
     p = model.params
     q = p["emb"] @ p["wq"] / np.float32(np.sqrt(DIM))
@@ -202,76 +171,130 @@ class Scorer:
 
 
 class Trainer:
-    """Adam on blocks of windows."""
+    """Adam on blocks of windows.
+
+    Keys, queries, values and the hidden layer's share of each id are rows of
+    tables, so gradients are summed by id first, and what depends on the
+    parameters alone is done on tables. Positions are ordered by the class of
+    their id once; padding comes last there and is left out of the outputs.
+    The exponentials of the attention are never divided by their sums: the
+    sums go into the smaller factors of each product.
+    """
 
     def __init__(self, model: Model, rate: float = RATE):
         self.flat = model.flat().astype(np.float32)  # the parameters below are views of it
         self.model, self.rate, self.steps = model.with_flat(self.flat), rate, 0
-        self.mean, self.square = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.mean, self.square, self.slope = np.zeros_like(self.flat), np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.g = model.with_flat(self.slope).params  # views too
 
     def step(self, window: np.ndarray, aim: np.ndarray) -> float:
         """One update; returns the mean loss of the ids, in nats."""
-        window, aim = window.astype(np.int64), aim.astype(np.int64)
-        m, p = self.model, self.model.params
-        tables = _tables(m)
-        weight, mixed = _forward(m, tables, window)
-        real = aim >= 0
-        n = int(real.sum())
-        here = window[:, CONTEXT:][real]
-        a = mixed[real]
-        h = np.tanh(a @ p["w2"] + tables["w"][here])
-        place = m.place[aim[real]]
-        ec, ei, klass, order, counts, stops, sorted_h = _softmax_parts(m, h, place)
-        rows, number = np.arange(n), (place % WIDE)[order]
-        ec /= ec.sum(axis=1, keepdims=True)
-        ei /= ei.sum(axis=1, keepdims=True)
-        loss = -(np.log(ec[rows, klass]).sum() + np.log(ei[rows, number]).sum()) / n
-        g = {}
-        ec[rows, klass] -= 1
-        ei[rows, number] -= 1
-        ec /= n
-        ei /= n
-        g["wc"], g["bc"] = h.T @ ec, ec.sum(axis=0)
-        dh = ec @ p["wc"].T
-        di = np.empty_like(h)
-        both = np.zeros((CLASSES, HIDDEN + 1, WIDE), np.float32)  # the bias is the weight of a one
-        with_one = np.hstack((sorted_h, np.ones((n, 1), np.float32)))
-        for c in np.flatnonzero(counts).tolist():
-            s = slice(stops[c] - counts[c], stops[c])
-            np.dot(with_one[s].T, ei[s], out=both[c])
-            np.dot(ei[s], p["wi"][c].T, out=di[s])
-        g["wi"], g["bi"] = both[:, :HIDDEN], both[:, HIDDEN]
-        dh[order] += di
-        dh *= 1 - h * h
-        e = p["emb"][here]
-        g["w1"], g["b1"], g["w2"] = e.T @ dh, dh.sum(axis=0), a.T @ dh
-        dmixed = np.zeros_like(mixed)
-        dmixed[real] = dh @ p["w2"].T
-        dweight = np.matmul(dmixed, tables["v"][window].transpose(0, 2, 1))
-        dv = np.matmul(weight.transpose(0, 2, 1), dmixed)
-        dscore = weight * (dweight - (dweight * weight).sum(axis=2, keepdims=True))
-        g["near"] = np.bincount(_distance.ravel(), weights=dscore.sum(axis=0).ravel(), minlength=WINDOW).astype(np.float32)
-        dq = np.matmul(dscore, tables["k"][window]) / np.float32(np.sqrt(DIM))
-        dk = np.matmul(dscore.transpose(0, 2, 1), tables["q"][window[:, CONTEXT:]])
-        everything, block = p["emb"][window].reshape(-1, DIM), p["emb"][window[:, CONTEXT:]].reshape(-1, DIM)
-        flat = [x.reshape(-1, DIM) for x in (dq, dk, dv)]
-        g["wq"], g["wk"], g["wv"] = block.T @ flat[0], everything.T @ flat[1], everything.T @ flat[2]
-        to_window = (flat[1] @ p["wk"].T + flat[2] @ p["wv"].T).reshape(*window.shape, DIM)
-        to_block = (flat[0] @ p["wq"].T).reshape(*aim.shape, DIM)
-        to_block[real] += dh @ p["w1"].T
-        to_window[:, CONTEXT:] += to_block
-        g["emb"] = _summed(window.ravel(), to_window.reshape(-1, DIM), IDS + 1)
+        loss = self.slopes(window, aim)
+        self._update()
+        return loss
+
+    def slopes(self, window: np.ndarray, aim: np.ndarray) -> float:
+        """Sets the gradients of the mean loss, which it returns."""
+        window, aim = window.astype(np.intp), aim.ravel()
+        block = np.ascontiguousarray(window[:, CONTEXT:]).ravel()
+        size, n = len(window), len(aim)
+        p, g, t = self.model.params, self.g, _tables(self.model)
+        ones = np.ones((IDS + 1, 1), np.float32)
+        padding = np.zeros((IDS + 1, 1), np.float32)
+        padding[PAD] = -1e4
+        query = np.hstack((t["q"], ones)).take(block, axis=0).reshape(size, STRIDE, DIM + 1)
+        sides = np.hstack((t["k"], padding, t["v"], ones)).take(window.ravel(), axis=0).reshape(size, WINDOW, 2 * DIM + 2)
+        key, value = sides[:, :, : DIM + 1], sides[:, :, DIM + 1 :]
+        weight = np.matmul(query, key.transpose(0, 2, 1))
+        weight += (p["near"][_distance] - 1e4 * (1 - _causal)).astype(np.float32)
+        np.exp(weight, out=weight)
+        mixed = np.matmul(weight, value)
+        share = 1 / (mixed[:, :, DIM:] + np.float32(1e-30))
+        mean = (mixed[:, :, :DIM] * share).reshape(n, DIM)
+        hidden = mean @ p["w2"]
+        hidden += t["w"].take(block, axis=0)
+        np.tanh(hidden, out=hidden)
+
+        place = np.where(aim >= 0, self.model.place[aim], IDS)
+        klass = place // WIDE
+        order = np.argsort(klass.astype(np.uint8), kind="stable")
+        counts = np.bincount(klass, minlength=CLASSES + 1)
+        real, stops = n - int(counts[CLASSES]), np.cumsum(counts)
+        order, rows = order[:real], np.arange(real)
+        klass, number = klass[order], place[order] % WIDE
+        h = np.empty((real, HIDDEN + 1), np.float32)
+        h[:, HIDDEN] = 1
+        h[:, :HIDDEN] = hidden.take(order, axis=0)
+        outer = h @ np.vstack((p["wc"], p["bc"]))
+        np.exp(outer, out=outer)
+        inner = np.empty((real, WIDE), np.float32)
+        within = np.concatenate((p["wi"], p["bi"][:, None, :]), axis=1)
+        parts = [(c, slice(stops[c] - counts[c], stops[c])) for c in np.flatnonzero(counts[:CLASSES]).tolist()]
+        for c, s in parts:
+            np.dot(h[s], within[c], out=inner[s])
+        np.exp(inner, out=inner)
+        loss = 0.0
+        for x, hit in ((outer, klass), (inner, number)):  # turns into probabilities less the truth
+            total = x @ np.ones(x.shape[1], np.float32)
+            loss -= float(np.log(x[rows, hit] / total).sum())
+            x *= (1 / (total * np.float32(real)))[:, None]
+            x[rows, hit] -= np.float32(1 / real)
+
+        both = h.T @ outer
+        g["wc"][:], g["bc"][:] = both[:HIDDEN], both[HIDDEN]
+        dh = outer @ p["wc"].T
+        g["wi"][:], g["bi"][:] = 0, 0
+        for c, s in parts:
+            both = h[s].T @ inner[s]
+            g["wi"][c], g["bi"][c] = both[:HIDDEN], both[HIDDEN]
+            dh[s] += inner[s] @ p["wi"][c].T
+        h = h[:, :HIDDEN]
+        dh -= dh * h * h
+        dhidden = np.zeros((n, HIDDEN), np.float32)
+        dhidden[order] = dh
+        g["w2"][:], g["b1"][:] = mean.T @ dhidden, dhidden.sum(axis=0)
+
+        dmean = dhidden @ p["w2"].T
+        left = np.empty((n, DIM + 1), np.float32)
+        left[:, :DIM] = dmean
+        np.einsum("ij,ij->i", dmean, mean, out=left[:, DIM])
+        left[:, DIM] *= -1
+        left = left.reshape(size, STRIDE, DIM + 1)
+        left *= share
+        upward = weight.transpose(0, 2, 1)
+        dsides = np.empty((size, WINDOW, 2 * DIM), np.float32)
+        np.matmul(upward, left[:, :, :DIM], out=dsides[:, :, DIM:])
+        weight_slope = np.matmul(left, value.transpose(0, 2, 1))
+        weight_slope *= weight
+        down = np.empty((n, DIM + HIDDEN), np.float32)
+        np.matmul(weight_slope, key[:, :, :DIM], out=down.reshape(size, STRIDE, DIM + HIDDEN)[:, :, :DIM])
+        down[:, DIM:] = dhidden
+        np.matmul(weight_slope.transpose(0, 2, 1), query[:, :, :DIM], out=dsides[:, :, :DIM])
+        g["near"][:] = np.bincount(_distance.ravel(), weights=weight_slope.sum(axis=0).ravel(), minlength=WINDOW)
+
+        own, around = _summed(block, down, IDS + 1), _summed(window.ravel(), dsides.reshape(-1, 2 * DIM), IDS + 1)
+        dq, dw, dk, dv = own[:, :DIM] / np.float32(np.sqrt(DIM)), own[:, DIM:], around[:, :DIM], around[:, DIM:]
+        e = p["emb"]
+        for name, d in (("wq", dq), ("wk", dk), ("wv", dv), ("w1", dw)):
+            g[name][:] = e.T @ d
+        g["emb"][:] = dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T + dw @ p["w1"].T
         g["emb"][PAD] = 0
-        self._update(g)
-        return float(loss)
+        return loss / real
 
-    def _update(self, g: dict[str, np.ndarray]) -> None:
+    def _update(self) -> None:
         self.steps += 1
         rate = self.rate * min(1.0, self.steps / 20) * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
-        flat = np.concatenate([g[k].ravel() for k in SHAPES])
-        self.mean += np.float32(0.1) * (flat - self.mean)
-        self.square += np.float32(0.01) * (flat * flat - self.square)
-        self.flat -= np.float32(rate) * self.mean / (np.sqrt(self.square) + np.float32(1e-8))
+        slope = self.slope
+        self.mean *= np.float32(0.9)
+        self.mean += np.float32(0.1) * slope
+        slope *= slope
+        self.square *= np.float32(0.99)
+        self.square += np.float32(0.01) * slope
+        np.sqrt(self.square, out=slope)
+        slope += np.float32(1e-8)
+        np.divide(self.mean, slope, out=slope)
+        slope *= np.float32(rate)
+        self.flat -= slope
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -280,5 +303,5 @@ def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     ordered = rows[order]
     first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     out = np.zeros((n, values.shape[1]), np.float32)
-    out[ordered[first]] = np.add.reduceat(values[order], first, axis=0)
+    out[ordered[first]] = np.add.reduceat(values.take(order, axis=0), first, axis=0)
     return out

@@ -7,21 +7,27 @@ merges of a public rank file, up to the ids that the model has.
 
 1. Words are counted, pre-aggregated in each task. Their subword counts, over
    all training rows, set the model's classes and first output biases.
-2. Every task trains on all words of its training rows, once; the tasks'
-   parameters are averaged with their numbers of ids as weights.
+2. The model is trained on all words of all training rows, once, in rounds. A
+   row's hash puts it into a round and a shard of it; how many there are follows
+   from the number of words, so neither partitions nor cores change a score. A
+   round starts all its shards from the same parameters, a task trains a shard,
+   and the shards' parameters are averaged by their numbers of ids. The first
+   round is one shard of ``FIRST_WORDS``; a round has four times the shards of
+   the one before, of twice the words, the last one what is left.
 3. One pass scores each whole text, overlapping windows in batches. Words with
    a share of 1/``FREQUENT`` or more of the tokens, ``FREQUENT`` at most, go to
    the tasks; the others meet their counts in a join, where none can be hot.
 
 Defined cases: null and empty texts are one end; rows without an id are learned
 from and not held out; without training rows the base scores 0 per token;
-repeated rows count and score as often as they occur.
+repeated rows count and score as often as they occur, and are in one shard; ids
+may be of any type.
 """
 
 from __future__ import annotations
 
 import hashlib
-import random
+import math
 from array import array
 from base64 import b64decode
 from collections import Counter
@@ -32,6 +38,7 @@ from operator import is_
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +46,8 @@ from glossaflow.llm import attention
 from glossaflow.plans.scratch import bounded_batches, stage_table
 
 FREQUENT = 2_000_000
-BATCH = 64
+BATCH = 256
+FIRST_WORDS = 500_000
 KNOWN_WORDS = 1_500_000
 COUNTED = 800_000
 SUMS = 16
@@ -135,21 +143,36 @@ def subword_counts(counts: DataFrame, ranks) -> np.ndarray:
     return out
 
 
-def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of parameters times weights, and of weights."""
-    total, weight = None, 0.0
+def plan_rounds(words: int, first: int = FIRST_WORDS) -> list[tuple[float, float, int]]:
+    """(begin, end, shards) of each round; begin and end are shares of all rows' hashes."""
+    rounds, done, k = [], 0, 0
+    while done < words or not rounds:
+        size = first * 2**k
+        most = size * 4**k
+        now = min(most, words - done)
+        last = done + now >= words
+        rounds.append((done / max(1, words), 1.0 if last else (done + now) / words, 4**k if now == most else max(1, math.ceil(now / size))))
+        done, k = done + now, k + 1
+    return rounds
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of parameters times weights, and of weights, in the order of the rows (shard, weight, flat)."""
+    total, weight, first = None, 0.0, 0
     for b in batches:
-        for w, flat in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for shard, w, flat in zip(*(c.to_pylist() for c in b.columns), strict=True):
             part = np.frombuffer(flat, dtype=np.float64)
-            total = part.copy() if total is None else total + part
+            total, first = (part.copy(), shard) if total is None else (total + part, first)
             weight += w
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([total.tobytes()], pa.binary())], names=["weight", "flat"])
+        yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([weight]), pa.array([total.tobytes()], pa.binary())], names=["shard", "weight", "flat"])
 
 
 def learned(batches: Iterator[pa.RecordBatch], first: attention.Model, coder: Subwords) -> Iterator[pa.RecordBatch]:
-    """(weight, flat): ids trained on and parameters times ids, after one pass over all words of rows (text)."""
-    trainer, seen = attention.Trainer(first), 0
+    """(shard, weight, flat): for each shard the ids trained on, and parameters times ids, after
+    one pass over all words of its rows (shard, text), which come one shard after the other."""
+    names = ["shard", "weight", "flat"]
+    now, trainer, seen = None, attention.Trainer(first), 0
     held: list[np.ndarray] = []
     size = 0
 
@@ -161,51 +184,73 @@ def learned(batches: Iterator[pa.RecordBatch], first: attention.Model, coder: Su
             trainer.step(windows[at], targets[at])
         return int((targets >= 0).sum())
 
+    def result() -> pa.RecordBatch:
+        flat = trainer.model.flat().astype(np.float64) * seen
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([float(seen)]), pa.array([flat.tobytes()], pa.binary())], names=names)
+
     for b in batches:
-        for t in b.column(0).to_pylist():
+        for shard, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if now is not None and shard != now:
+                seen += learn() if held else 0
+                yield result()
+                trainer, seen, held, size = attention.Trainer(first), 0, [], 0
+            now = shard
             held.append(coder.ids(words_of(t)))
             size += len(held[-1])
             if size >= HELD_IDS:
                 seen += learn()
                 held, size = [], 0
-    if held:
-        seen += learn()
-    if seen:
-        flat = trainer.model.flat().astype(np.float64) * seen
-        yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([flat.tobytes()], pa.binary())], names=["weight", "flat"])
+    if now is not None:
+        seen += learn() if held else 0
+        yield result()
 
 
-def train(docs: DataFrame, counts: np.ndarray, ranks) -> attention.Model:
-    """A model trained on rows (text), each task on its own, then averaged."""
-    spark = docs.sparkSession
-    first = attention.start(counts)
-    shared = spark.sparkContext.broadcast(first)  # of fixed size
+def _round(rows: DataFrame, shards: int, model: attention.Model, ranks) -> attention.Model:
+    """The average of models trained on the shards of rows (h, text), each from ``model`` on."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return learned(batches, shared.value, _coder(ranks.value))
 
-    schema = "weight double, flat binary"
-    parts = docs.select("text").mapInArrow(run, schema).repartition(SUMS).mapInArrow(_weighted, schema)
-    rows = parts.collect()  # SUMS rows of fixed size
-    weight = sum(r["weight"] for r in rows)
+    schema = "shard bigint, weight double, flat binary"
+    dealt = rows.select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "text", "h")
+    dealt = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "h").select("shard", "text")
+    parts = dealt.mapInArrow(run, schema).repartitionById(SUMS, (F.col("shard") % SUMS).cast("int")).sortWithinPartitions("shard")
+    found = sorted(stage_table(parts.mapInArrow(_sums, schema), "parameters").collect())  # SUMS rows of fixed size
+    weight = sum(r["weight"] for r in found)
     if not weight:
-        return first
-    return first.with_flat(sum(np.frombuffer(r["flat"], dtype=np.float64) for r in rows) / weight)
+        return model
+    return model.with_flat(sum(np.frombuffer(r["flat"], dtype=np.float64) for r in found) / weight)
+
+
+def train(docs: DataFrame, counts: np.ndarray, words: int, ranks) -> attention.Model:
+    """A model trained on all rows (h, text), h being a hash of the row, of so many words."""
+    model = attention.start(counts)
+    rounds = plan_rounds(words)
+    place = (F.col("h").cast("double") / F.lit(2.0**64)) + 0.5
+    before = docs
+    if len(rounds) > 1:  # all rounds but the last hold about an eighth: they are read from a table of their own
+        before = stage_table(docs.filter(place < rounds[-1][0]), "first-rounds")
+    for k, (begin, end, shards) in enumerate(rounds):
+        rows = (docs if k == len(rounds) - 1 else before).filter((place >= begin) & ((place < end) | F.lit(end >= 1)))
+        model = _round(rows, shards, model, ranks)
+    return model
 
 
 def _scored(docs: DataFrame, model: attention.Model, frequent: dict[bytes, int], ranks) -> DataFrame:
     """A row per document with its model score, sums over frequent words, and the other words."""
     shared = docs.sparkSession.sparkContext.broadcast((model, {w: float(np.log10(c + 1)) for w, c in frequent.items()}))
     names = "doc_id rid n_tokens n_known part score words times"
-    schema = "doc_id bigint, rid bigint, n_tokens bigint, n_known bigint, part double, score double, words array<binary>, times array<int>"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid bigint, n_tokens bigint, n_known bigint, part double, score double, words array<binary>, times array<int>"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, logs = shared.value
-        coder, scorer, bits = _coder(ranks.value), attention.Scorer(net), random.SystemRandom()
+        coder, scorer = _coder(ranks.value), attention.Scorer(net)
+        row = TaskContext.get().partitionId() << 40  # what a task writes is kept once, so its number and a row's are an id
         for b in batches:
             rows, sequences, size, scores = [], [], 0, []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for t in b.column(1).to_pylist():
                 words = words_of(t)
                 sequences.append(coder.ids(words))
                 size += len(sequences[-1])
@@ -217,11 +262,12 @@ def _scored(docs: DataFrame, model: attention.Model, frequent: dict[bytes, int],
                 rest = Counter(compress(words, map(is_, got, repeat(None)))) if None in got else {}
                 part = sum(filter(None, got))  # no logarithm of a count plus one is zero
                 known = len(words) - sum(rest.values())
-                rows.append((i, bits.getrandbits(63), len(words), known, float(part), list(rest.keys()), list(rest.values())))
+                rows.append((row, len(words), known, float(part), list(rest.keys()), list(rest.values())))
+                row += 1
             scores.extend(scorer.scores(sequences).tolist())
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            cols = [*cols[:5], scores, *cols[5:]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names.split())
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            cols = [*cols[:4], scores, *cols[4:]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names.split())
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -231,8 +277,8 @@ def score_documents(docs: DataFrame, content: bytes, text: str = "text", doc_id:
     spark = docs.sparkSession
     bounded_batches(spark)
     ranks = spark.sparkContext.broadcast(content)  # the rank file, of fixed size
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), remainder(F.col(doc_id)).alias("_r"))
-    learned = plain.filter(F.col("_r") != HELD_OUT)
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    learned = plain.filter(remainder(F.col("doc_id")) != HELD_OUT).select("text", F.xxhash64("doc_id", "text").alias("h"))
 
     counts = stage_table(word_counts(learned), "word-counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -240,7 +286,7 @@ def score_documents(docs: DataFrame, content: bytes, text: str = "text", doc_id:
     # At most FREQUENT words can have c * FREQUENT >= n.
     often = (F.col("c") * FREQUENT >= n) & (F.octet_length("word") <= 64)
     frequent = {bytes(r["word"]): r["c"] for r in counts.filter(often).toLocalIterator()}
-    model = train(learned, subword_counts(counts, ranks), ranks)
+    model = train(learned, subword_counts(counts, ranks), n, ranks)
 
     scored = stage_table(_scored(plain, model, frequent, ranks), "scored")
     rest = scored.select("rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))

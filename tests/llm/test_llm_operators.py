@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -349,10 +350,9 @@ def test_attention_gradients():
     model = attention.start(rng.integers(1, 50, attention.IDS).astype(float))
     windows, aims, _ = attention.blocks([rng.integers(0, attention.IDS, n).astype(np.int16) for n in (30, 5, 49)])
     total = float((aims >= 0).sum())
-    caught = {}
     trainer = attention.Trainer(model)
-    trainer._update = caught.update
-    trainer.step(windows, aims)
+    assert abs(trainer.slopes(windows, aims) + attention.Scorer(model).block_scores(windows, aims).sum() / total) < 1e-4
+    caught = {k: v.copy() for k, v in trainer.g.items()}
 
     def loss(name, at, by):
         m = attention.Model({k: v.copy() for k, v in model.params.items()}, model.place)
@@ -411,19 +411,101 @@ def test_lm_base_scores(spark):
         assert abs(r["base_score"] - want) < 1e-6 and r["score"] < 0 and r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2)
 
 
+def _naive_scores(model, ids):
+    """Natural log probability of each id, position by position in plain loops."""
+    p, n, out = {k: v.astype(float) for k, v in model.params.items()}, len(ids), []
+    seen = [attention.END, *ids[:-1].tolist()]
+    for at in range(n):
+        begin = max(0, at // attention.STRIDE * attention.STRIDE - attention.CONTEXT)
+        q = p["emb"][seen[at]] @ p["wq"]
+        keys = range(begin, at + 1)
+        logits = np.array([q @ (p["emb"][seen[j]] @ p["wk"]) / math.sqrt(attention.DIM) + p["near"][at - j] for j in keys])
+        share = np.exp(logits - logits.max())
+        share /= share.sum()
+        mean = sum(a * (p["emb"][seen[j]] @ p["wv"]) for a, j in zip(share, keys, strict=True))
+        h = np.tanh(p["emb"][seen[at]] @ p["w1"] + p["b1"] + mean @ p["w2"])
+        klass, number = divmod(int(model.place[ids[at]]), attention.WIDE)
+        outer, inner = h @ p["wc"] + p["bc"], h @ p["wi"][klass] + p["bi"][klass]
+        out.append(outer[klass] - np.log(np.exp(outer).sum()) + inner[number] - np.log(np.exp(inner).sum()))
+    return np.array(out)
+
+
+def test_attention_is_what_plain_loops_give():
+    rng = np.random.default_rng(3)
+    seqs = [rng.integers(0, attention.IDS, n).astype(np.int16) for n in (1, 23, 24, 25, 70)]
+    model = attention.start(rng.integers(1, 50, attention.IDS).astype(float))
+    trainer = attention.Trainer(model, rate=0.05)  # away from the start, where attention is even
+    for _ in range(5):
+        trainer.step(*attention.blocks(seqs)[:2])
+    want = [_naive_scores(trainer.model, s).sum() / math.log(10) for s in seqs]
+    assert np.allclose(attention.Scorer(trainer.model).scores(seqs), want, rtol=1e-4, atol=1e-4)
+
+
+def test_lm_rounds_follow_from_the_words():
+    assert lm.plan_rounds(0) == [(0.0, 1.0, 1)] and lm.plan_rounds(10, 100) == [(0.0, 1.0, 1)]
+    assert lm.plan_rounds(100, 100) == [(0.0, 1.0, 1)]
+    assert lm.plan_rounds(500, 100) == [(0.0, 0.2, 1), (0.2, 1.0, 2)]
+    assert lm.plan_rounds(4100, 100) == [(0.0, 100 / 4100, 1), (100 / 4100, 900 / 4100, 4), (900 / 4100, 1.0, 8)]
+    for words in (1, 10**6, 10**9, 10**13):
+        rounds = lm.plan_rounds(words)
+        assert [r[0] for r in rounds[1:]] == [r[1] for r in rounds[:-1]] and rounds[-1][1] == 1.0
+        assert max(r[2] for r in rounds) <= 1 + words / lm.FIRST_WORDS and len(rounds) <= 10
+
+
 def test_lm_trains_on_every_word_of_every_row(spark):
     coder = lm.Subwords(content())
     texts = [f"{w} {w}x and {w}" * (1 + i % 3) for i, w in enumerate(["cat", "É", "the"] * 20)] + ["a b " * 3000, "", None]
-    ids = np.concatenate([coder.ids(lm.words_of(t)) for t in texts])
-    first = attention.start(np.bincount(ids, minlength=attention.IDS).astype(float))
-    rows = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
-    assert [r["weight"] for b in lm.learned(iter([rows]), first, coder) for r in b.to_pylist()] == [len(ids)]
-    # Short rows of which a sample by the row's hash would take none.
-    short = [(i, "one two three") for i in range(300) if zlib.crc32(f"{i}/3".encode()) % 16]
-    ranks = spark.sparkContext.broadcast(content())
-    docs = spark.createDataFrame(short, "doc_id bigint, text string").coalesce(1)
-    counts = np.bincount(coder.ids(lm.words_of("one two three")), minlength=attention.IDS).astype(float)
-    assert not np.array_equal(lm.train(docs, counts, ranks).flat(), attention.start(counts).flat())
+    ids = [len(coder.ids(lm.words_of(t))) for t in texts]
+    counts = np.ones(attention.IDS)
+    rows = pa.RecordBatch.from_arrays([pa.array([k // 20 for k in range(len(texts))]), pa.array(texts)], names=["shard", "text"])
+    got = [(r["shard"], r["weight"]) for b in lm.learned(iter([rows[:7], rows[7:]]), attention.start(counts), coder) for r in b.to_pylist()]
+    assert got == [(0, sum(ids[:20])), (1, sum(ids[20:40])), (2, sum(ids[40:60])), (3, sum(ids[60:]))]
+    assert list(lm.learned(iter([rows[:0]]), attention.start(counts), coder)) == []
+
+
+def _prose(n):
+    rng = random.Random(17)
+    likely = {w: rng.choices("abcdefghijklmnopqrst", k=3) for w in "abcdefghijklmnopqrst"}
+    for i in range(n):
+        words = ["a"]
+        for _ in range(rng.randint(5, 120)):
+            words.append(rng.choice(likely[words[-1]]))
+        yield i, " ".join(words)
+
+
+def test_lm_rounds_beat_the_start_and_ignore_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm, "plan_rounds", lambda words, f=lm.plan_rounds: f(words, 2_000))
+    docs = spark.createDataFrame(list(_prose(400)), "doc_id bigint, text string")
+    n = sum(len(t.split()) + 1 for _, t in _prose(400))
+    assert len(lm.plan_rounds(n)) == 3  # several rounds of several shards
+    runs = []
+    for layout in (docs.coalesce(1), docs.repartition(8, "text")):
+        runs.append({r["doc_id"]: (r["score"], r["base_score"]) for r in lm.score_documents(layout, content()).collect()})
+    assert all(abs(runs[0][i][0] - runs[1][i][0]) < 1e-4 * abs(runs[0][i][0]) for i in runs[0])
+    monkeypatch.setattr(lm, "train", lambda docs, counts, words, ranks: attention.start(counts))
+    untrained = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, content()).collect()}
+    held = [i for i in untrained if zlib.crc32(str(i).encode()) % 7 == 2]
+    assert sum(runs[0][i][0] for i in held) > sum(untrained[i] for i in held)  # by few steps
+
+
+def test_lm_training_shows_on_held_out_rows(monkeypatch):
+    monkeypatch.setattr(lm, "BATCH", 8)
+    coder = lm.Subwords(content())
+    ids = {i: coder.ids(lm.words_of(t)) for i, t in _prose(400)}
+    held = [i for i in ids if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [t for i, t in _prose(400) if i not in held]
+    first = attention.start(np.bincount(np.concatenate([ids[i] for i in ids if i not in held]), minlength=attention.IDS).astype(float))
+    (batch,) = lm.learned(iter([pa.RecordBatch.from_arrays([pa.array([0] * len(rows)), pa.array(rows)], names=["shard", "text"])]), first, coder)
+    (r,) = batch.to_pylist()
+    model = first.with_flat(np.frombuffer(r["flat"]) / r["weight"])
+    before, after = (attention.Scorer(m).scores([ids[i] for i in held]).sum() for m in (first, model))
+    assert after > 0.8 * before
+
+
+def test_lm_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("x1", "one two"), ("x2", "three"), (None, "four")], "doc_id string, text string")
+    got = {r["doc_id"]: r["held_out"] for r in lm.score_documents(docs, content()).collect()}
+    assert got == {i: zlib.crc32(i.encode()) % 7 == 2 for i in ("x1", "x2")} | {None: False}
 
 
 def test_lm_rare_words_take_the_join(spark, monkeypatch):
@@ -474,7 +556,40 @@ def test_tiling_covers_what_brute_force_does():
         doc, item = ([rng.randint(0, 4) for _ in range(rng.randint(0, 40))] for _ in range(2))
         for least in (2, 3):
             got, want = decontaminate.tile(doc, item, least), _tile_brute(doc, item, least)
-            assert sorted(n for *_, n in got) == sorted(n for *_, n in want)
+            assert got == want
+
+
+def test_items_match_what_tiling_of_whole_texts_does():
+    rng = random.Random(13)
+    text = lambda n, k: " ".join(f"v{rng.randint(0, k)}" for _ in range(n))
+    found = 0
+    for _ in range(60):
+        benchmark = [(j, text(rng.randint(0, 30), 2)) for j in range(4)]
+        words = text(rng.randint(0, 60), 3).split()
+        for _, t in benchmark[:2]:  # passages in another order
+            part = t.split()
+            cut = rng.randint(0, len(part))
+            words += part[cut:] + ["x"] + part[:cut]
+        items = decontaminate.Items(benchmark)
+        want = []
+        for j, t in benchmark:
+            ids = {w: k + 1 for k, w in enumerate(dict.fromkeys(t.split()))}
+            item = [ids[w] for w in t.split()]
+            tiles = _tile_brute([ids.get(w, 0) for w in words], item, min(decontaminate.SEED, len(item))) if item else []
+            covered = sum(n for *_, n in tiles)
+            if item and covered >= decontaminate.COVERAGE * len(item):
+                want.append((j, covered / len(item), len(tiles), max(n for *_, n in tiles)))
+        assert items.matches(" ".join(words)) == want
+        found += len(want)
+    assert found > 40
+
+
+@pytest.mark.parametrize("text", ["a " * 100_000, "a " * 30 + "b " + "a b " * 50_000, " ".join(["a " * 30 + "b"] * 3_000)])
+def test_tiling_of_long_repetitive_texts(text):
+    items = decontaminate.Items([(k, ("a " * 100 if k % 2 else "a b " * 60)) for k in range(6)])
+    began = time.process_time()
+    assert items.matches(text)
+    assert time.process_time() - began < 15
 
 
 def test_decontamination(spark):
