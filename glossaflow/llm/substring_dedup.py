@@ -3,26 +3,32 @@
 A window of ``2 * BLOCK`` words holds a whole block of its document, a block
 being ``BLOCK`` words that start at a multiple of ``BLOCK``. So:
 
-1. every rolling window of ``BLOCK`` words probes, as a hash without a place;
-   hashes probed at least twice are kept (``shared``);
-2. the non-overlapping blocks, a tenth of the windows, are the index; those of
-   a shared hash are the anchors, and return to their documents;
-3. an anchor is extended to the windows around it. These are compared by
-   128-bit digests, the first of each by document and start stays, and the
-   others join to the maximal repeats that are removed.
+1. the non-overlapping blocks, a tenth of the windows, are the index, and every
+   rolling window of ``BLOCK`` words probes it: both are dealt by hash, and meet
+   in one pass over each bucket. A block whose hash is probed twice or more
+   (its own window is one) is an anchor and returns to its document;
+2. an anchor is extended to the windows around it that hold it. These are
+   compared by whole 128-bit digests, the first of each by document and start
+   stays, and the others join to the maximal repeats that are removed.
 
 What is dealt by hash is first made distinct within a task, so a passage that
 very many documents share costs one entry a task, and no pairs are made. Hashes
-travel as packed arrays by bucket, a bucket for each shuffle partition. Texts move in two joins by id.
+travel as packed arrays by bucket. There are as many buckets as keep
+``BUCKET_BYTES`` of text to each, several to a shuffle partition where its share
+is larger, so what a worker holds doesn't grow with the input. Texts move in two
+joins by id.
 
 Defined cases: null and empty texts have no words; a text of fewer words than a
 window loses nothing; rows without an id come after all others; of rows that
 share an id, the one whose text has the smaller hash comes first, and exact
-repeats of a row are one document that keeps its words in each.
+repeats of a row are one document that keeps its words in each; ids that are no
+integers come in their own order; other columns pass through, but for those
+named n_words, n_removed or kept_text, which the results replace.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossaflow.llm.columns import apart, is_integral, numbers_of
 from glossaflow.plans.scratch import bounded_batches, stage_table
 
 BLOCK = 10
+BUCKET_BYTES = 16 << 20
 HELD = 1 << 20
 
 
@@ -88,10 +96,6 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _split(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    return _bucket(h, buckets), h.astype(np.uint32)
-
-
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
     """Rows of one first column after the other; rows come ordered by it."""
     now, rows = None, []
@@ -111,106 +115,95 @@ def _dealt(df: DataFrame, column: str) -> DataFrame:
     return df.repartitionById(n, F.pmod(F.col(column), F.lit(n)).cast("int")).sortWithinPartitions(column)
 
 
-def _shared(docs: DataFrame, buckets: int, block: int) -> DataFrame:
-    """(bucket, hashes): packed hashes that rolling windows hold at least twice."""
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.binary(), pa.binary()]
+def _bucket_count(docs: DataFrame) -> int:
+    """Buckets of about ``BUCKET_BYTES`` of text, the same number in each shuffle partition."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return partitions * max(1, math.ceil(size / (partitions * BUCKET_BYTES)))
 
-        def emit(held: list[np.ndarray]) -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            bucket, low = _split(values, buckets)
-            rows = [(k, low[s].tobytes(), low[s][counts[s] > 1].tobytes()) for k, s in _buckets(bucket)]
-            return _batch("bucket once twice", kinds, rows)
 
-        held, count = [], 0
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                spans = _Spans(t)
-                if spans.n >= 2 * block:
-                    held.append(spans.hashes(np.arange(spans.n - block + 1), block))
-                    count += len(held[-1])
-                    if count >= HELD:
-                        yield emit(held)
-                        held, count = [], 0
-        if held:
-            yield emit(held)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, rows in _by_bucket(batches):
-            values = np.frombuffer(b"".join(x for _, once, twice in rows for x in (once, twice)), dtype=np.uint32)
-            values, counts = np.unique(values, return_counts=True)
-            yield _batch("bucket hashes", [pa.int32(), pa.binary()], [(k, values[counts > 1].tobytes())])
-
-    probes = docs.select("text").mapInArrow(probe, "bucket int, once binary, twice binary")
-    return _dealt(probes, "bucket").mapInArrow(meet, "bucket int, hashes binary")
-
-
-def _anchors(docs: DataFrame, shared: DataFrame, buckets: int, block: int) -> DataFrame:
-    """(doc_id, blocks): numbers of the blocks whose hash is shared."""
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+def _anchors(docs: DataFrame, buckets: int, block: int) -> DataFrame:
+    """(doc_id, blocks): numbers of the blocks whose hash some other rolling window has too."""
+    kinds = [pa.int32(), *[pa.binary()] * 5]
+    names, schema = "bucket once twice low ids numbers", "bucket int, once binary, twice binary, low binary, ids binary, numbers binary"
 
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(held: list[tuple]) -> pa.RecordBatch:
-            h, ids, numbers = (np.concatenate(c) for c in zip(*held, strict=True))
-            bucket, low = _split(h, buckets)
+            h, begins, ids = zip(*held, strict=True)
+            values, counts = np.unique(np.concatenate(h), return_counts=True)
+            bucket, low = _bucket(values, buckets), values.astype(np.uint32)
+            rows = {k: [k, low[s].tobytes(), low[s][counts[s] > 1].tobytes(), b"", b"", b""] for k, s in _buckets(bucket)}
+            blocks = np.concatenate([x[b] for x, b in zip(h, begins, strict=True)])
+            ids = np.repeat(np.array(ids, np.int64), [len(b) for b in begins])
+            numbers = np.concatenate(begins) // block
+            bucket, low = _bucket(blocks, buckets), blocks.astype(np.uint32)
             o = np.argsort(bucket, kind="stable")
             bucket, low, ids, numbers = bucket[o], low[o], ids[o], numbers[o]
-            return _batch("bucket low ids numbers", kinds, [(k, low[s].tobytes(), _pack(ids[s]), _pack(numbers[s])) for k, s in _buckets(bucket)])
+            for k, s in _buckets(bucket):
+                rows[k][3:] = low[s].tobytes(), _pack(ids[s]), _pack(numbers[s])
+            return _batch(names, kinds, list(rows.values()))
 
         held, count = [], 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 spans = _Spans(t)
                 if spans.n >= 2 * block:
-                    at = np.arange(0, spans.n - block + 1, block)
-                    held.append((spans.hashes(at, block), np.full(len(at), i), at // block))
-                    count += len(at)
-                    if count >= HELD // 4:
+                    h = spans.hashes(np.arange(spans.n - block + 1), block)
+                    held.append((h, np.arange(0, len(h), block), i))
+                    count += len(h)
+                    if count >= HELD:
                         yield emit(held)
                         held, count = [], 0
         if held:
             yield emit(held)
 
-    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for low, ids, numbers, hashes in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                low, known = np.frombuffer(low, dtype=np.uint32), np.frombuffer(hashes, dtype=np.uint32)
-                if len(known):
-                    yes = known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low
-                    yield pa.RecordBatch.from_arrays([pa.array(_unpack(ids)[yes]), pa.array(_unpack(numbers)[yes].astype(np.int32))], names=["doc_id", "number"])
-
-    blocks = docs.select("doc_id", "text").mapInArrow(index, "bucket int, low binary, ids binary, numbers binary")
-    hits = blocks.join(shared, "bucket").select("low", "ids", "numbers", "hashes").mapInArrow(hit, "doc_id bigint, number int")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches):
+            values = np.frombuffer(b"".join(x for r in rows for x in r[1:3]), dtype=np.uint32)
+            values, counts = np.unique(values, return_counts=True)
+            shared = values[counts > 1]
+            if not len(shared):
+                continue
+            for _, _, _, low, ids, numbers in rows:
+                if low:
+                    low = np.frombuffer(low, dtype=np.uint32)
+                    yes = shared[np.minimum(np.searchsorted(shared, low), len(shared) - 1)] == low
+                    if yes.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(_unpack(ids)[yes]), pa.array(_unpack(numbers)[yes].astype(np.int32))], names=["doc_id", "number"])
+
+    probes = docs.select("doc_id", "text").mapInArrow(probe, schema)
+    hits = _dealt(probes, "bucket").mapInArrow(meet, "doc_id bigint, number int")
     return hits.groupBy("doc_id").agg(F.collect_list("number").alias("blocks"))
 
 
 def _repeats(docs: DataFrame, anchors: DataFrame, buckets: int, block: int) -> DataFrame:
     """(doc_id, cuts): starts and ends of the words to remove, one after the other."""
     size = 2 * block
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    names, schema = "part keys ids starts", "part int, keys binary, ids binary, starts binary"
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+    names, schema = "part high low ids starts", "part int, high binary, low binary, ids binary, starts binary"
 
     def gone(ids: np.ndarray, starts: np.ndarray) -> list[tuple]:
         """Removed windows by group of documents; their parts are below zero."""
         part = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
         o = np.lexsort((starts, ids, part))
         part, ids, starts = part[o], ids[o], starts[o]
-        return [(-1 - k, b"", _pack(ids[s]), _pack(starts[s])) for k, s in _buckets(part)]
+        return [(-1 - k, b"", b"", _pack(ids[s]), _pack(starts[s])) for k, s in _buckets(part)]
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(held: list[tuple]) -> pa.RecordBatch:
-            d, ids, starts = (np.concatenate(c) for c in zip(*held, strict=True))
-            bucket = _bucket(d[:, 0], buckets)
-            o = np.lexsort((starts, ids, d[:, 1], bucket))
-            bucket, keys, ids, starts = bucket[o], d[o, 1], ids[o], starts[o]
-            first = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (keys[1:] != keys[:-1])))
-            rows = gone(ids[~first], starts[~first])
-            bucket, keys, ids, starts = bucket[first], keys[first], ids[first], starts[first]
-            o = np.lexsort((starts, ids, bucket))
-            bucket, keys, ids, starts = bucket[o], keys[o], ids[o], starts[o]
-            rows += [(k, keys[s].tobytes(), _pack(ids[s]), _pack(starts[s])) for k, s in _buckets(bucket)]
+            held.sort(key=lambda x: x[1])  # from here on, equal digests are in the order of document and start
+            d, starts = np.concatenate([x[0] for x in held]), np.concatenate([x[2] for x in held])
+            ids = np.repeat(np.array([x[1] for x in held], np.int64), [len(x[2]) for x in held])
+            o = np.lexsort((d[:, 1], d[:, 0]))
+            s = d[o]
+            first = np.concatenate(([True], (s[1:] != s[:-1]).any(axis=1)))
+            rows = gone(ids[o[~first]], starts[o[~first]])
+            at = np.sort(o[first])
+            bucket = _bucket(d[at, 0], buckets)
+            o = np.argsort(bucket, kind="stable")
+            bucket, at = bucket[o], at[o]
+            high, low, ids, starts = d[at, 0], d[at, 1], ids[at], starts[at]
+            rows += [(k, high[s].tobytes(), low[s].tobytes(), _pack(ids[s]), _pack(starts[s])) for k, s in _buckets(bucket)]
             return _batch(names, kinds, rows)
 
         held, count = [], 0
@@ -223,7 +216,7 @@ def _repeats(docs: DataFrame, anchors: DataFrame, buckets: int, block: int) -> D
                 np.add.at(near, at + 1, -1)
                 at = np.flatnonzero(np.cumsum(near)[: max(0, spans.n - size + 1)])
                 if len(at):
-                    held.append((spans.digests(at, size), np.full(len(at), i), at))
+                    held.append((spans.digests(at, size), i, at))
                     count += len(at)
                     if count >= HELD // 4:
                         yield emit(held)
@@ -237,14 +230,16 @@ def _repeats(docs: DataFrame, anchors: DataFrame, buckets: int, block: int) -> D
             if k < 0:
                 yield _batch(names, kinds, rows)
                 continue
-            keys = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint64)
-            ids, starts = (np.concatenate([_unpack(r[c]) for r in rows]) for c in (2, 3))
-            o = np.lexsort((starts, ids, keys))
-            keys, ids, starts = keys[o], ids[o], starts[o]
-            new = np.concatenate(([True], keys[1:] != keys[:-1]))
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (ids != ids[lead]) | (starts != starts[lead])
-            held.append((ids[later], starts[later]))
+            high, low = (np.frombuffer(b"".join(r[c] for r in rows), dtype=np.uint64) for c in (1, 2))
+            ids, starts = (np.concatenate([_unpack(r[c]) for r in rows]) for c in (3, 4))
+            o = np.lexsort((low, high))
+            new = np.concatenate(([True], (high[o[1:]] != high[o[:-1]]) | (low[o[1:]] != low[o[:-1]])))
+            group = np.cumsum(new) - 1
+            several = np.bincount(group)[group] > 1
+            o, group = o[several], group[several]
+            o, group = o[(by := np.lexsort((starts[o], ids[o], group)))], group[by]
+            later = np.concatenate(([False], group[1:] == group[:-1])) if len(o) else several[:0]
+            held.append((ids[o[later]], starts[o[later]]))
             count += len(held[-1][0])
             if count >= HELD // 4:
                 yield _batch(names, kinds, gone(*(np.concatenate(c) for c in zip(*held, strict=True))))
@@ -254,7 +249,7 @@ def _repeats(docs: DataFrame, anchors: DataFrame, buckets: int, block: int) -> D
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
-            ids, starts = (np.concatenate([_unpack(r[c]) for r in rows]) for c in (2, 3))
+            ids, starts = (np.concatenate([_unpack(r[c]) for r in rows]) for c in (3, 4))
             o = np.lexsort((starts, ids))
             ids, starts = ids[o], starts[o]
             out = []
@@ -270,17 +265,19 @@ def _repeats(docs: DataFrame, anchors: DataFrame, buckets: int, block: int) -> D
     return _dealt(settled, "part").mapInArrow(collect, "doc_id bigint, cuts array<int>")
 
 
-def _numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
-    """Documents under unique ids of the same order, and the column of these ids."""
-    ids = docs.select(F.col(doc_id).cast("long").alias("i"))
-    n = ids.agg(F.count("*").alias("all"), F.countDistinct("i").alias("known")).first()
-    if n["all"] == n["known"]:
-        return docs.withColumn("_order", F.col(doc_id).cast("long")), "_order"
-    key = [F.col(doc_id).cast("long").alias("_i"), F.xxhash64(text).alias("_h")]
-    order = docs.select(*key).distinct().orderBy(F.col("_i").asc_nulls_last(), "_h").withColumn("_order", F.monotonically_increasing_id())
-    order = stage_table(order, "order")
-    keyed = docs.select("*", *key)
-    return keyed.join(order, keyed["_i"].eqNullSafe(order["_i"]) & (keyed["_h"] == order["_h"])).select(*[keyed[c] for c in docs.columns], "_order"), "_order"
+def _numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str, DataFrame]:
+    """Documents under integer ids of the same order, the column of these ids, and each of them once (doc_id, text)."""
+    order, i, h = apart(docs, "order", "i", "h")
+    if is_integral(docs, doc_id):
+        n = docs.agg(F.count("*").alias("all"), F.countDistinct(doc_id).alias("known")).first()
+        if n["all"] == n["known"]:
+            docs = docs.withColumn(order, F.col(doc_id).cast("long"))
+            return docs, order, docs.select(F.col(order).alias("doc_id"), F.col(text).alias("text"))
+    keyed = docs.select("*", F.col(doc_id).alias(i), F.xxhash64(text).alias(h))
+    numbers = numbers_of(keyed.select(i, h), order)
+    met = keyed[i].eqNullSafe(numbers[i]) & (keyed[h] == numbers[h])
+    docs = keyed.join(numbers, met).select(*[keyed[c] for c in docs.columns], order)
+    return docs, order, docs.select(F.col(order).alias("doc_id"), F.col(text).alias("text")).dropDuplicates(["doc_id"])
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
@@ -289,12 +286,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     bounded_batches(spark)
     new = ("n_words", "n_removed", "kept_text")
     others = [c for c in docs.columns if c != text and c not in new]
-    docs, order = _numbered(docs.select(*others, text), doc_id, text)
-    plain = docs.select(F.col(order).alias("doc_id"), F.col(text).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = stage_table(_shared(plain, n, block), "shared")
-    anchors = stage_table(_anchors(plain, shared, n, block), "anchors")
-    cuts = stage_table(_repeats(plain, anchors, n, block), "cuts").withColumnsRenamed({"doc_id": "_order", "cuts": "_cuts"})
+    docs, order, plain = _numbered(docs.select(*others, text), doc_id, text)
+    (cut,) = apart(docs, "cuts")
+    buckets = _bucket_count(plain)
+    anchors = stage_table(_anchors(plain, buckets, block), "anchors")
+    cuts = stage_table(_repeats(plain, anchors, buckets, block), "cuts").withColumnsRenamed({"doc_id": order, "cuts": cut})
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -308,7 +304,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             added = _batch(" ".join(new), [pa.int64(), pa.int64(), pa.string()], rows)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], *added.columns], names=[*others, *new])
 
-    kept = docs.join(cuts, "_order", "left").select(*others, text, "_cuts")
+    kept = docs.join(cuts, order, "left").select(*others, text, cut)
     schema = kept.select(*others).schema
     for name, kind in zip(new, ("long", "long", "string"), strict=True):
         schema = schema.add(name, kind)

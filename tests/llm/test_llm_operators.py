@@ -746,12 +746,31 @@ def test_substring_dedup(spark):
     assert [got[i] for i in range(len(texts))] == _kept(texts)
 
 
+def test_substring_dedup_in_many_buckets(spark, monkeypatch):
+    rng = random.Random(16)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([f"d{d}u{k}" for k in range(rng.randint(0, 40))] + passage[rng.randint(0, 20) : rng.randint(30, 60)]) for d in range(60)]
+    want = _kept(texts)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 64)
+    docs = docs_of(spark, texts).repartition(7)
+    assert substring_dedup._bucket_count(docs) > 100
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_substring_dedup_ids_and_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([("b", text, 1, 2, 3, 4), ("a", text + " x", 1, 2, 3, 4), ("c", text, 1, 2, 3, 4)], "doc_id string, text string, _order int, _cuts int, _i int, _h int")
+    got = {r["doc_id"]: (r["n_removed"], r["_order"], r["_cuts"], r["_i"], r["_h"]) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == {"a": (0, 1, 2, 3, 4), "b": (30, 1, 2, 3, 4), "c": (30, 1, 2, 3, 4)}
+
+
 def test_substring_dedup_defined_cases(spark):
     assert substring_dedup.remove_repeats(docs_of(spark, [])).count() == 0
     text = " ".join(f"w{i}" for i in range(30))
     rows = docs_of(spark, [text])
-    exact = substring_dedup.remove_repeats(rows.unionByName(rows)).collect()
-    assert [r["n_removed"] for r in exact] == [0, 0]
+    for both in (rows.unionByName(rows), rows.unionByName(rows).coalesce(1)):
+        assert [r["n_removed"] for r in substring_dedup.remove_repeats(both).collect()] == [0, 0]
     nameless = docs_of(spark, [text + " end"]).withColumn("doc_id", F.lit(None).cast("long"))
     mixed = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(rows.unionByName(nameless)).collect()}
     assert mixed == {0: 0, None: 30}
