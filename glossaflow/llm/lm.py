@@ -48,8 +48,8 @@ from glossaflow.plans.scratch import bounded_batches, stage_table
 FREQUENT = 2_000_000
 BATCH = 256
 FIRST_WORDS = 500_000
-KNOWN_WORDS = 1_500_000
-COUNTED = 800_000
+KNOWN_WORDS = 400_000
+COUNTED = 400_000
 SUMS = 16
 HELD_IDS = 300_000
 MOD, HELD_OUT = 7, 2
