@@ -10,46 +10,77 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from glossaflow.operators import memory, qa
+from glossaflow.operators import memory, qa, translate
 from glossaflow.plans import run as runs
-from glossaflow.plans.config import Provider, load_settings, read_mapping
+from glossaflow.plans.config import read_document, read_settings
 from glossaflow.sources import epub
 
 
-def main(argv: list[str] | None = None) -> int:
+def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="glossaflow")
     commands = parser.add_subparsers(dest="command", required=True)
     t = commands.add_parser("translate", help="translate all archives of a path or pattern")
     t.add_argument("input")
     t.add_argument("output", help="folder for archives, report and summary")
-    t.add_argument("--config")
     t.add_argument("--termbase")
-    t.add_argument("--memory", help="folder of the translation memory")
+    t.add_argument("--memory", help="folder of the translation memory and the records of runs")
     t.add_argument("--resume", action="store_true")
-    t.add_argument("--provider", default="mock")
+    t.add_argument("--provider", default="mock", choices=[*translate.PROVIDERS, translate.MIXED])
+    t.add_argument("--model", default="")
+    for step in ("draft", "revise"):
+        t.add_argument(f"--{step}-provider", choices=[*translate.PROVIDERS, *["none"] * (step == "revise")])
+        t.add_argument(f"--{step}-model")
     m = commands.add_parser("termbase", help="mine terms")
     m.add_argument("input")
     m.add_argument("output", help="YAML or JSON file; its terms are kept")
     m.add_argument("--min-freq", type=int, default=2)
     m.add_argument("--max-terms", type=int, default=300)
     m.add_argument("--single", action="store_true")
+    m.add_argument("--replace", action="store_true", help="leave out the terms that the file has")
     m.add_argument("--fill", action="store_true")
-    args = parser.parse_args(argv)
+    m.add_argument("--fill-provider", default="mock", choices=list(translate.PROVIDERS))
+    m.add_argument("--fill-model", default="")
+    m.add_argument("--fill-batch-size", type=int, default=40)
+    for command in (t, m):
+        command.add_argument("--config")
+        command.add_argument("--max-concurrency", type=int, help="calls that may be open at a time; else the cores of the cluster are the bound")
+        command.add_argument("--verbose", action="store_true")
+    return parser
+
+
+def known_terms(spark: SparkSession, path: str) -> list[dict]:
+    """Terms of a file that may not be there or may be no termbase; then there are none."""
+    try:
+        found = read_document(spark, path)
+        return [t for t in found["terms"] if isinstance(t, dict) and t.get("source")]
+    except Exception:
+        return []
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("glossaflow").getOrCreate()
-    books = epub.read_books(spark, args.input)
+    books, settings = epub.read_books(spark, args.input), read_settings(spark, args.config)
     if args.command == "termbase":
-        old = read_mapping(args.output).get("terms", []) if os.path.exists(args.output) else []
-        options = runs.MiningOptions(args.min_freq, args.max_terms, args.single, fill_empty_targets=args.fill)
-        payload, counts = runs.generate_termbase(spark, books, options, old, os.path.basename(args.input))
+        options = runs.MiningOptions(
+            args.min_freq, args.max_terms, args.single, not args.replace, args.fill, args.fill_provider, args.fill_model, args.fill_batch_size
+        )
+        old = known_terms(spark, args.output) if options.merge_existing else []
+        payload, counts = runs.generate_termbase(spark, books, options, old, os.path.basename(args.input), settings, args.max_concurrency)
         write_mapping(payload, args.output)
         print(json.dumps(counts))
         return 0
-    store = memory.VersionedTable(spark, args.memory, memory.SCHEMA) if args.memory else None
-    outcome = runs.translate_books(spark, books, load_settings(args.config), args.termbase, Provider(provider=args.provider), store, args.resume)
+    plan = translate.plan(args.provider, args.model, args.draft_provider, args.revise_provider, args.draft_model, args.revise_model)
+    store = memory.Workspace(spark, args.memory) if args.memory else None
+    run = runs.Run(spark, print if args.verbose else None)
+    outcome = runs.translate_books(spark, books, settings, args.termbase, plan, store, args.resume, run, args.max_concurrency, (args.input, args.output))
+    if outcome.trace:
+        print(outcome.trace, file=sys.stderr)
     if outcome.books is not None:
         # Archives as rows of Parquet: executors write side by side to any store.
         outcome.books.write.mode("overwrite").parquet(f"{args.output}/books")
-    qa.report(outcome.issues, outcome.counts.get("total_segments", 0)).orderBy("part").select(F.col("line").alias("value")).write.mode("overwrite").text(f"{args.output}/report")
+    if outcome.issues is not None:
+        qa.report(outcome.issues, outcome.counts.get("total_segments", 0)).orderBy("part").select(F.col("line").alias("value")).write.mode("overwrite").text(f"{args.output}/report")
     print(outcome.summary)
     return outcome.code
 

@@ -118,9 +118,10 @@ def chunks(text: str, size: int) -> list[str]:
 # Words around capitalised phrases, and words that are no term alone.
 CONNECTORS = frozenset({"of", "the", "and", "de", "von", "van", "la", "le", "di", "da", "du"})
 ARTICLES = frozenset({"the", "a", "an"})
-STOP_WORDS = frozenset(
-    "the a an in on at for to from and but or nor yet so he she it they we i this that these those chapter book part".split()
-)
+STOP_WORDS = frozenset({
+    "the", "a", "an", "in", "on", "at", "for", "to", "from", "and", "but", "or", "nor", "yet", "so", "he", "she", "it", "they", "we", "i",
+    "this", "that", "these", "those", "chapter", "book", "part",
+})
 SENTENCE = re.compile(r"[\n\r.!?;:]+")
 WORD = re.compile(r"[A-Za-z][A-Za-z'’-]*|[A-Z]{2,}")
 ROMAN = re.compile(r"[IVXLCDM]+")

@@ -16,9 +16,41 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from glossaflow.functions.text import REVISE_GUIDES, TRANSLATE_GUIDES
-from glossaflow.plans.config import Calls, normal_style
+from glossaflow.plans.config import Settings, known_style
 
 Answer = tuple[int, str, str | None]  # status, body, Retry-After
+COMPLETIONS = "/chat/completions"
+
+
+@dataclass(frozen=True)
+class Service:
+    """Where a service is, the environment variable of its key, and what its models take."""
+
+    url: str
+    key_name: str
+    schema: Callable[[str], bool]
+    one_by_one: Callable[[str], bool] = lambda model: False
+
+
+def _is_pure_translator(model: str) -> bool:
+    return "qwen-mt" in model.lower()
+
+
+def _follows_schema(model: str) -> bool:
+    """Whether a model of the family takes a JSON schema, by the parts of its name."""
+    model = model.lower()
+    named = any(model in known or known in model for known in SCHEMA_MODELS)
+    return named or "qwen" in model and "mt" not in model and any(size in model for size in ("max", "plus", "turbo"))
+
+
+# Public services with this interface, and models known to take a JSON schema.
+SCHEMA_MODELS = ("qwen-max", "qwen-plus", "qwen-turbo", "qwen2.5-72b-instruct", "qwen2.5-vl-72b-instruct")
+SERVICES = {
+    "openai": Service("https://api.openai.com/v1", "OPENAI_API_KEY", lambda model: True),
+    "deepseek": Service("https://api.deepseek.com/v1", "DEEPSEEK_API_KEY", lambda model: False),
+    "dashscope": Service("https://dashscope.aliyuncs.com/compatible-mode/v1", "DASHSCOPE_API_KEY", _follows_schema, _is_pure_translator),
+    "dashscope-mt": Service("https://dashscope.aliyuncs.com/compatible-mode/v1", "DASHSCOPE_API_KEY", _follows_schema, _is_pure_translator),
+}
 RULES = (
     "Translate into simplified Chinese, faithfully and in full. Answer with JSON of the given schema and nothing else. "
     "Keep every token of the form ⟦PH:000000⟧ as it is and as often. Use the given terms; those with force are binding, "
@@ -66,10 +98,9 @@ class ChatProvider:
     url: str
     model: str
     key_name: str  # environment variable that holds the key
-    style: str = "faithful_literal"
     schema: bool = True  # ask for the JSON schema, else for JSON
     one_by_one: bool = False  # a text a call, plain text back: for pure translation models
-    calls: Calls = field(default_factory=Calls)
+    settings: Settings = field(default_factory=Settings)
     send: Callable[[str, str, dict, float], Answer] = post
     sleep: Callable[[float], None] = time.sleep
 
@@ -85,8 +116,9 @@ class ChatProvider:
         shown = [{"id": r["segment_id"], "source": r["source_text"], "draft": drafts.get(r["segment_id"], "")} for r in rows]
         return self._batch("revise_translation", REVISE_GUIDES, shown, hits)
 
+    # The names in a request.
     def _batch(self, task: str, guides: dict[str, str], shown: list[dict], hits: list[dict]) -> dict[str, str]:
-        payload = {"task": task, "style_guide": guides[normal_style(self.style)], "termbase_hits": hits, "segments": shown, "source_lang": "auto", "target_lang": "Simplified Chinese"}
+        payload = {"task": task, "style_guide": guides[known_style(self.settings["style"])], "termbase_hits": hits, "segments": shown, "source_lang": "auto", "target_lang": "Simplified Chinese"}
         messages = [{"role": "system", "content": RULES}, {"role": "user", "content": json.dumps(payload, ensure_ascii=False)}]
         form = {"type": "json_schema", "json_schema": {"name": "results", "strict": True, "schema": SCHEMA}} if self.schema else {"type": "json_object"}
         return self._ask(messages, lambda c: parse_reply(c, [s["id"] for s in shown]), {"response_format": form})
@@ -95,17 +127,21 @@ class ChatProvider:
         key = os.environ.get(self.key_name)
         if not key:
             raise RuntimeError(f"{self.key_name} is not set")
-        body = {"model": self.model, "messages": messages, "temperature": self.calls.temperature, **extra}
-        backoff, wrong = self.calls.retry_backoff_seconds or [1], ""
-        for i in range(self.calls.max_retries):
+        body = {"model": self.model, "messages": messages, "temperature": self.settings["llm.temperature"], **extra}
+        backoff, wrong = self.settings["llm.retry_backoff_seconds"] or [1], ""
+        attempts = self.settings["llm.max_retries"]
+        for i in range(attempts):
             if wrong and messages[0]["role"] == "system":
                 body["messages"] = [{"role": "system", "content": f"{messages[0]['content']} The last reply was wrong: {wrong}"}, *messages[1:]]
             wait = float(backoff[min(i, len(backoff) - 1)])
             try:
-                status, text, after = self.send(self.url, key, body, self.calls.timeout_seconds)
+                status, text, after = self.send(self.url, key, body, self.settings["llm.timeout_seconds"])
                 if status == 400 and "temperature" in text.lower() and "unsupported" in text.lower() and "temperature" in body:
                     del body["temperature"]
-                    status, text, after = self.send(self.url, key, body, self.calls.timeout_seconds)
+                    status, text, after = self.send(self.url, key, body, self.settings["llm.timeout_seconds"])
+                if status == 400 and "json_schema" in text.lower() and "unsupported" in text.lower() and self.schema:
+                    body["response_format"] = {"type": "json_object"}
+                    status, text, after = self.send(self.url, key, body, self.settings["llm.timeout_seconds"])
                 if status < 300:
                     return read(json.loads(text)["choices"][0]["message"]["content"])
                 wrong = f"status {status}: {text[:300]}"
@@ -114,4 +150,10 @@ class ChatProvider:
             except (OSError, ValueError, KeyError, IndexError) as e:
                 wrong = str(e)
             self.sleep(wait)
-        raise RuntimeError(f"no fit reply after {self.calls.max_retries} attempts: {wrong}")
+        raise RuntimeError(f"no fit reply after {attempts} attempts: {wrong}")
+
+
+def service_provider(service: str, model: str, settings: Settings) -> ChatProvider:
+    """A provider for a service by its name; what the request looks like follows from the model."""
+    s = SERVICES[service]
+    return ChatProvider(s.url + COMPLETIONS, model, s.key_name, s.schema(model), s.one_by_one(model), settings)

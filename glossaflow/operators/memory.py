@@ -1,21 +1,30 @@
-"""Translation memory: keyed look-ups, last-write-wins upserts, and run logs.
+"""Translation memory and the tables of a run: keyed look-ups, upserts, logs.
 
 Parquet tables can't be merged in place or overwritten while they are read, so
-a table is a folder of versions: an upsert writes a new version beside the old
-and a pointer file names the current one. A reader holds one version throughout.
+a keyed table is a folder of parts, and each part is written once: an upsert
+adds its rows alone, and a reader takes the newest row of each key over the
+parts that were complete when it began. Writers don't meet, since a part has a
+name of its own. ``compact`` makes one part of all; the parts it replaces stay
+until the next one, for readers that still hold them.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaflow.functions import text as T
 
 KEY = ["segment_id", "source_hash", "config_hash"]
 SCHEMA = "segment_id string, source_hash string, config_hash string, draft_text string, revise_text string, provider string, updated_at timestamp"
+SEGMENT_SCHEMA = "segment_id string, file_path string, node_selector string, order_index int, source_hash string, updated_at timestamp"
+RUN_SCHEMA = "run_id string, started_at timestamp, input_epub string, output_epub string, provider string, config_hash string"
+ERROR_SCHEMA = "id string, run_id string, segment_id string, stage string, message string, created_at timestamp"
+PARTS = 32
+HELD = "_HELD"  # marks a part whose rows a later part holds too
 
 
 def latest(rows: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
@@ -44,40 +53,56 @@ def probe(segments: DataFrame, memory: DataFrame, prefer_revise: bool = True) ->
     return out.withColumn("state", state).drop("draft_text", "revise_text")
 
 
-class VersionedTable:
-    """A keyed Parquet table at ``path``, replaced version by version."""
+class KeyedTable:
+    """A table at ``path`` with one row for each key, of parts that are written once."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: str = SCHEMA, keys: list[str] = KEY, newest: str = "updated_at"):
+        self.spark, self.path, self.schema, self.keys, self.newest = spark, path.rstrip("/"), schema, keys, newest
 
-    def _fs(self):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _at(self, name: str = ""):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _path(self, *parts: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
-
-    def version(self) -> str | None:
-        """Versions are numbered; the greatest one whose write was completed is current."""
-        fs, root = self._fs(), self._path()
+    def parts(self) -> list[str]:
+        """Complete parts that no other part holds, oldest first."""
+        fs, root = self._at()
         if not fs.exists(root):
-            return None
+            return []
         names = sorted(s.getPath().getName() for s in fs.listStatus(root))
-        done = [n for n in names if n.startswith("v") and fs.exists(self._path(n, "_SUCCESS"))]
-        return done[-1] if done else None
-
-    def read(self) -> DataFrame:
-        now = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{now}") if now else self.spark.createDataFrame([], self.schema)
+        return [n for n in names if fs.exists(self._at(f"{n}/_SUCCESS")[1]) and not fs.exists(self._at(f"{n}/{HELD}")[1])]
 
-    def write(self, df: DataFrame) -> str:
-        now = self.version()
-        name = f"v{int(now[1:13]) + 1 if now else 1:012d}-{uuid.uuid4().hex[:8]}"
-        df.select(*self.read().columns).write.parquet(f"{self.path}/{name}")
-        return name
+    def _rows(self, parts: list[str]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{n}" for n in parts))
+        if len(parts) == 1:
+            return rows
+        part = F.regexp_extract(F.input_file_name(), r"/(p[0-9]{20})[^/]*/[^/]*$", 1)
+        return latest(rows.withColumn("_part", part), self.keys, ["_part", self.newest]).drop("_part")
 
-    def upsert(self, rows: DataFrame, keys: list[str] = KEY, newest: str = "updated_at") -> str:
-        return self.write(upsert(self.read(), rows, keys, newest))
+    def read(self) -> DataFrame:
+        return self._rows(self.parts())
+
+    def upsert(self, rows: DataFrame) -> None:
+        """Rows replace older rows of their key; among themselves the newest wins."""
+        columns = self.spark.createDataFrame([], self.schema).columns
+        part = f"{self.path}/p{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        latest(rows.select(*columns), self.keys, [self.newest]).select(*columns).write.parquet(part)
+        if len(self.parts()) > PARTS:
+            self.compact()
+
+    def compact(self) -> None:
+        """One part of all there are; what the last compaction had replaced goes."""
+        fs, root = self._at()
+        parts = self.parts()
+        if len(parts) < 2:
+            return
+        gone = [s.getPath() for s in fs.listStatus(root) if fs.exists(self._at(f"{s.getPath().getName()}/{HELD}")[1])]
+        self._rows(parts).write.parquet(f"{self.path}/{parts[-1][:21]}-{uuid.uuid4().hex[:8]}")  # stands where its last part stood
+        for n in parts:
+            fs.create(self._at(f"{n}/{HELD}")[1]).close()
+        for path in gone:
+            fs.delete(path, True)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -85,6 +110,11 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def segment_rows(segments: DataFrame) -> DataFrame:
+    """What is kept of each segment: where it stands, and the hash of its source."""
+    return segments.select("segment_id", "file_path", "node_selector", F.col("order_index").cast("int").alias("order_index"), "source_hash", F.current_timestamp().alias("updated_at"))
+
+
 def run_record(spark: SparkSession, run_id: str, source: str, target: str, provider: str, config_hash: str) -> DataFrame:
     row = [(run_id, source, target, provider, config_hash)]
     return spark.createDataFrame(row, "run_id string, input_epub string, output_epub string, provider string, config_hash string").withColumn("started_at", F.current_timestamp())
@@ -95,6 +125,16 @@ def error_rows(failed: DataFrame, run_id: str, stage: str) -> DataFrame:
     return failed.select(F.expr("uuid()").alias("id"), F.lit(run_id).alias("run_id"), "segment_id", F.lit(stage).alias("stage"), "message", F.current_timestamp().alias("created_at"))
 
 
-def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+class Workspace:
+    """The tables of runs side by side in one folder."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.translations = KeyedTable(spark, f"{self.path}/translations")
+        self.segments = KeyedTable(spark, f"{self.path}/segments", SEGMENT_SCHEMA, ["segment_id"])
+
+    def begin(self, run_id: str, source: str, target: str, provider: str, config_hash: str) -> None:
+        append(run_record(self.spark, run_id, source, target, provider, config_hash), f"{self.path}/runs")
+
+    def fail(self, failed: DataFrame, run_id: str, stage: str) -> None:
+        append(error_rows(failed, run_id, stage), f"{self.path}/errors")

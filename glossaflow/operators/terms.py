@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +40,6 @@ def _blocks(terms: DataFrame) -> Iterator[list[str]]:
 
 
 def _finder(words: list[str]):
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {w for w in words if w in text}
     machine = ahocorasick.Automaton()
     for w in words:
         machine.add_word(w, w)
@@ -151,7 +148,7 @@ def term_segments(terms: DataFrame, order: str) -> DataFrame:
 
     rows = numbered(terms.withColumn("file_path", F.lit("termbase")), ["file_path"], [order], "TERM_", 6, "segment_id")
     source = T.strip("source")
-    return rows.select("segment_id", F.col("segment_id").alias("node_task_id"), F.lit(0).alias("chunk_index"), F.lit("paragraph").alias("segment_type"), "file_path", source.alias("node_selector"), source.alias("source_text"))
+    return rows.select("source", "segment_id", F.col("segment_id").alias("node_task_id"), F.lit(0).alias("chunk_index"), F.lit("paragraph").alias("segment_type"), "file_path", source.alias("node_selector"), source.alias("source_text"))
 
 
 def fingerprint(terms: list[dict], version: str) -> str:

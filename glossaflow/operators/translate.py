@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import json
 import re
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial
 from typing import Protocol
 
 import pandas as pd
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaflow.functions import text as T
+from glossaflow.operators import chat
+from glossaflow.plans.config import Settings
 
 RESULT = "segment_id string, draft_text string, revise_text string, provider string, calls int, error string"
 REPLY = "results array<struct<id:string,translated_text:string>>"
@@ -46,6 +49,7 @@ class MixedProvider:
 
     def __init__(self, draft: Provider, revise: Provider | None):
         self.draft, self.reviser = draft, revise
+        self.name = "+".join(type(p).__name__ for p in (draft, revise) if p)
 
     def translate(self, rows: list[dict], hits: list[dict]) -> dict[str, str]:
         return self.draft.translate(rows, hits)
@@ -54,16 +58,58 @@ class MixedProvider:
         return self.reviser.revise(rows, drafts, hits) if self.reviser else drafts
 
 
-PROVIDERS: dict[str, Callable[[], Provider]] = {"mock": MockProvider}
+Build = Callable[[str, Settings], Provider]
+PROVIDERS: dict[str, Build] = {"mock": lambda model, settings: MockProvider()}
+PROVIDERS |= {name: partial(chat.service_provider, name) for name in chat.SERVICES}
 
+# What the steps of the mixed provider and of the pure translator are where nothing is said.
+MIXED, STEPS = "mixed", {"mixed": ("openai", "deepseek"), "dashscope-mt": ("dashscope-mt", "none")}
 
-def build_provider(name: str, draft: str = "mock", revise: str = "none") -> Provider:
-    """Registered providers by name; ``mixed`` takes one for each step."""
-    if name == "mixed":
-        return MixedProvider(PROVIDERS[draft](), None if revise == "none" else PROVIDERS[revise]())
-    if name not in PROVIDERS:
-        raise ValueError(f"unknown provider: {name}")
-    return PROVIDERS[name]()
+
+@dataclass(frozen=True)
+class Step:
+    provider: str
+    model: str = ""
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Who drafts, and who revises, if anyone."""
+
+    draft: Step = Step("mock")
+    revise: Step | None = None
+
+    def values(self) -> dict:
+        return {step: None if who is None else f"{who.provider}:{who.model}" for step, who in (("draft", self.draft), ("revise", self.revise))}
+
+    def maker(self, settings: Settings | None = None) -> Callable[[], Provider]:
+        """What makes the provider inside a task; unknown names fail here, before any call."""
+        settings = settings or Settings()
+        steps = [step for step in (self.draft, self.revise) if step]
+        for step in steps:
+            if step.provider not in PROVIDERS:
+                raise ValueError(f"unknown provider: {step.provider}")
+        builds = [partial(PROVIDERS[step.provider], step.model, settings) for step in steps]
+
+        def make() -> Provider:
+            made = [build() for build in builds]
+            return made[0] if self.revise and self.draft == self.revise else MixedProvider(*made) if self.revise else MixedProvider(made[0], None)
+
+        return make
+
+
+def plan(provider: str = "mock", model: str = "", draft: str | None = None, revise: str | None = None, draft_model: str | None = None, revise_model: str | None = None) -> Plan:
+    """Steps from a provider's name and what is said of each step.
+
+    ``mixed`` names no provider itself: both steps have their own. Of any other
+    the draft is its own, whatever the draft settings say; ``mock`` revises its
+    own drafts, and ``none`` leaves revision out.
+    """
+    usual = STEPS.get(provider, (provider, provider))
+    mixed = provider == MIXED
+    first = Step(draft or usual[0], draft_model or model) if mixed else Step(provider, model)
+    second = "none" if provider == "mock" else revise or usual[1]
+    return Plan(first, None if second == "none" else Step(second, revise_model or model))
 
 
 def post_edit(drafts: dict[str, str]) -> dict[str, str]:
@@ -135,43 +181,35 @@ def run_batch(provider: Provider, rows: list[dict], hits: list[dict]) -> tuple[d
     return drafts, texts, rounds
 
 
-def translate(batches: DataFrame, provider: str | Callable[[], Provider] = "mock") -> DataFrame:
-    """Results for segments of batches (batch_key, segment_id, source_text, hits)."""
-    make = provider if callable(provider) else (lambda: build_provider(provider))
+def translate(batches: DataFrame, provider: str | Plan | Callable[[], Provider] = "mock", in_flight: int | None = None) -> DataFrame:
+    """Results for segments of batches (batch_key, segment_id, source_text, hits).
+
+    ``in_flight`` bounds the batches that are out at a time: they are dealt to
+    so many partitions, and a task has one call open.
+    """
+    make = provider if callable(provider) else (plan(provider) if isinstance(provider, str) else provider).maker()
 
     def call(frame: pd.DataFrame) -> pd.DataFrame:
         engine = make()
+        name = getattr(engine, "name", None) or type(engine).__name__
         rows = frame[["segment_id", "source_text"]].to_dict("records")
         hits = json.loads(frame["hits"].iloc[0] or "[]")
         try:
             drafts, texts, rounds = run_batch(engine, rows, hits)
-            out = [(r["segment_id"], drafts.get(r["segment_id"]), texts[r["segment_id"]], type(engine).__name__, rounds, None) for r in rows]
+            out = [(r["segment_id"], drafts.get(r["segment_id"]), texts[r["segment_id"]], name, rounds, None) for r in rows]
         except Exception as e:
-            out = [(r["segment_id"], None, None, type(engine).__name__, 1, f"Batch translation failed: {e}") for r in rows]
+            out = [(r["segment_id"], None, None, name, 1, f"Batch translation failed: {e}") for r in rows]
         return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return batches.select("batch_key", "segment_id", "source_text", "hits").groupBy("batch_key").applyInPandas(call, RESULT)
+    rows = batches.select("batch_key", "segment_id", "source_text", "hits")
+    rows = rows.repartition(in_flight, "batch_key") if in_flight else rows
+    return rows.groupBy("batch_key").applyInPandas(call, RESULT)
 
 
-def repair(segments: DataFrame, provider: str | Callable[[], Provider] = "mock") -> DataFrame:
+def repair(segments: DataFrame, provider: str | Plan | Callable[[], Provider] = "mock", in_flight: int | None = None) -> DataFrame:
     """A second pass over segments (segment_id, source_text, translated) that need it, each by itself."""
     bad = segments.filter(T.needs_repair("source_text", F.coalesce("translated", F.lit(""))))
-    return translate(bad.withColumns({"batch_key": F.col("segment_id"), "hits": F.lit("[]")}), provider)
-
-
-def with_retries(call: Callable[[], tuple[int, str, str | None]], attempts: int, backoff: list[float], sleep: Callable[[float], None] = time.sleep) -> str:
-    """Calls until a status below 400; waits by the list, longer where the service says so."""
-    last = ""
-    for i in range(attempts):
-        status, body, after = call()
-        if status < 400:
-            return body
-        last = f"{status}: {body}"
-        wait = float(backoff[min(i, len(backoff) - 1)]) if backoff else 0.0
-        if status == 429:
-            wait = float(after) if after else max(wait, 2.0 ** (i + 2))
-        sleep(wait)
-    raise RuntimeError(f"gave up after {attempts} attempts: {last}")
+    return translate(bad.withColumns({"batch_key": F.col("segment_id"), "hits": F.lit("[]")}), provider, in_flight)
 
 
 def batch_payload(segments: DataFrame, style: str, revise: bool = False) -> DataFrame:
@@ -234,9 +272,3 @@ def exit_code(passed: bool | None, cancelled: bool = False, failed: bool = False
 def unchanged_count(rows: DataFrame) -> DataFrame:
     same = T.strip("source_text") == T.strip("translated")
     return rows.agg(F.count_if(same).alias("unchanged"))
-
-
-def iterate(rows: DataFrame) -> Iterator[dict]:
-    """Rows one partition at a time, for callers outside Spark."""
-    for r in rows.toLocalIterator():
-        yield r.asDict(recursive=True)

@@ -4,10 +4,16 @@ Each is one plan over all archives at a path; what several steps read is staged
 once. The outcome is a set of files and an exit code: 0 if the gate is passed,
 2 if not, 1 on failure, 130 if cancelled. Archives are written in either case
 of the gate.
+
+Calls are made in waves of batches, and the memory takes the results of a wave
+before the next begins: whatever ends a run later, finished waves are kept, and
+``resume`` goes on after them.
 """
 
 from __future__ import annotations
 
+import math
+import traceback
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
@@ -18,12 +24,14 @@ from pyspark.sql import functions as F
 
 from glossaflow.functions import text as T
 from glossaflow.operators import memory, qa, segments, terms, translate
-from glossaflow.plans.config import Provider, Settings, config_hash, read_mapping
+from glossaflow.plans.config import Settings, fingerprint, read_document
 from glossaflow.plans.scratch import stage_table
 from glossaflow.sources import epub
 
 TERM = terms.TERM
 Progress = Callable[[str], None]
+WAVES = 50  # at most; each is a job and a part of the memory
+WAVE_BATCHES = 64  # at least, where there are so many
 
 
 @dataclass
@@ -33,11 +41,12 @@ class Outcome:
     books: DataFrame | None = None
     issues: DataFrame | None = None
     summary: str = ""
+    trace: str = ""
 
 
 def load_terms(spark: SparkSession, path: str | None) -> tuple[DataFrame, str]:
     """Accepted terms of a file, longest source first by rank, and their fingerprint."""
-    payload = read_mapping(path) if path else {}
+    payload = read_document(spark, path) if path else {}
     rows = terms.read_terms(payload)
     frame = spark.createDataFrame([(t["source"], t["target"], t["force"], t["note"], i) for i, t in enumerate(rows)], f"{TERM}, place int")
     kept = terms.accepted(frame)
@@ -65,6 +74,29 @@ class Run:
         self.cancelled = True
         self.spark.sparkContext.cancelJobGroup(self.id)
 
+    def go_on(self) -> None:
+        """Between steps, since a cancel may come while no job is running."""
+        if self.cancelled:
+            raise InterruptedError("cancelled")
+
+
+def _in_waves(batched: DataFrame, make: Callable, in_flight: int | None, store: memory.Workspace | None, run: Run) -> DataFrame:
+    """Results of all batches; each wave of them is in the memory before the next begins."""
+    batches = batched.select("batch_key").distinct().count()
+    waves = min(WAVES, math.ceil(batches / max(WAVE_BATCHES, 4 * (in_flight or 0)))) if store else 1
+    keys = batched.select(*memory.KEY)
+    done = None
+    for k in range(max(1, waves)):
+        run.go_on()
+        rows = batched.filter(F.pmod(F.xxhash64("batch_key"), F.lit(waves)) == k) if waves > 1 else batched
+        found = stage_table(translate.translate(rows, make, in_flight), "translated")
+        if store:
+            good = found.filter("error IS NULL").join(keys, "segment_id").withColumn("updated_at", F.current_timestamp())
+            store.translations.upsert(good)
+        run.say(f"wave {k + 1} of {max(1, waves)}")
+        done = found if done is None else done.unionByName(found)
+    return done
+
 
 def _files(books: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All files, those in reading order, and the tables of contents."""
@@ -76,46 +108,55 @@ def _files(books: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def translate_books(
-    spark: SparkSession, books: DataFrame, settings: Settings, term_path: str | None = None, provider: Provider | None = None,
-    store: memory.VersionedTable | None = None, resume: bool = False, run: Run | None = None, make: str | Callable | None = None,
+    spark: SparkSession, books: DataFrame, settings: Settings | None = None, term_path: str | None = None, plan: translate.Plan | None = None,
+    store: memory.Workspace | None = None, resume: bool = False, run: Run | None = None, in_flight: int | None = None, names: tuple[str, str] = ("", ""),
 ) -> Outcome:
-    """Translates archives (book, content)."""
-    provider, run = provider or Provider(), run or Run(spark)
+    """Translates archives (book, content); ``names`` are those of input and output in the record of runs."""
+    settings, plan, run = settings or Settings(), plan or translate.plan(), run or Run(spark)
     try:
-        known, fingerprint = load_terms(spark, term_path)
-        key = config_hash(settings, fingerprint, provider)
+        make = plan.maker(settings)
+        known, terms_digest = load_terms(spark, term_path)
+        key = fingerprint(settings=settings, terms={"all": terms_digest}, provider=plan.values())
+        if store:
+            store.begin(run.id, *names, plan.draft.provider, key)
         files, order, toc = _files(books)
         chapters = files.join(order.select("book", "file_path").distinct(), ["book", "file_path"], "left_semi")
         run.say("reading")
         columns = ["book", "node_task_id", "file_path", "node_selector", "segment_type", "source_text", "pairs", "order_index", "poetry_line_count"]
-        tasks = epub.node_tasks(epub.nodes(chapters, settings.translate_titles), order).select(*columns)
-        if settings.translate_toc:
+        tasks = epub.node_tasks(epub.nodes(chapters, settings["translate_titles"]), order).select(*columns)
+        if settings["translate_toc"]:
             labels = epub.toc_tasks(epub.toc_rows(toc)).withColumns({"order_index": F.col("pos"), "poetry_line_count": F.lit(None).cast("int")})
             tasks = segments.task_union(tasks, labels.select(*columns), ["book"])
         tasks = stage_table(tasks, "tasks")
-        seg = segments.build_segments(tasks, ["book"], settings.segmentation.max_chars_per_segment, settings.context.prev_segment_chars)
+        seg = segments.build_segments(tasks, ["book"], settings["segmentation.max_chars_per_segment"], settings["context.prev_segment_chars"])
         seg = seg.withColumns({"source_hash": T.text_hash("source_text"), "config_hash": F.lit(key), "segment_id": F.concat_ws("#", "book", "segment_id")})
         seg = stage_table(seg, "segments")
+        if store:
+            store.segments.upsert(memory.segment_rows(seg))
 
-        held = store.read() if store and resume else spark.createDataFrame([], memory.SCHEMA)
-        probed = stage_table(memory.probe(seg, held, prefer_revise=True), "probed")
+        held = store.translations.read() if store and resume else spark.createDataFrame([], memory.SCHEMA)
+        probed = stage_table(memory.probe(seg, held, prefer_revise=plan.revise is not None), "probed")
         todo = probed.filter("state <> 'cached'").withColumns({"chars": F.length("source_text"), "_order": F.struct("order_index", "chunk_index")})
-        limits = settings.segmentation
-        batched = segments.greedy_batches(todo, "book", "_order", "chars", limits.max_chars_per_batch, limits.max_segments_per_batch)
+        batched = segments.greedy_batches(todo, "book", "_order", "chars", settings["segmentation.max_chars_per_batch"], settings["segmentation.max_segments_per_batch"])
         batched = stage_table(batched.withColumn("batch_key", F.concat_ws("/", "book", F.col("batch_no").cast("string"))), "batched")
         hits = terms.batch_hits(terms.term_hits(batched.select("batch_key", "order_index", "source_text"), known), ["batch_key"])
         shown = F.to_json(F.array_sort(F.collect_list(F.struct("source", "target", "force", "note"))))
-        batched = batched.join(hits.groupBy("batch_key").agg(shown.alias("hits")), "batch_key", "left")
+        batched = stage_table(batched.join(hits.groupBy("batch_key").agg(shown.alias("hits")), "batch_key", "left"), "asked")
         run.say("translating")
-        done = stage_table(translate.translate(batched, make or provider.provider), "translated")
+        done = _in_waves(batched, make, in_flight, store, run)
         merged = probed.join(done, "segment_id", "left").withColumn("translated", F.coalesce("cached", "revise_text", F.lit("")))
         merged = stage_table(merged.join(batched.select("segment_id", "batch_key"), "segment_id", "left"), "merged")
-        repaired = stage_table(translate.repair(merged.select("segment_id", "source_text", "translated"), make or provider.provider), "repaired")
-        better = repaired.filter("error IS NULL").select("segment_id", F.col("revise_text").alias("_better"), F.col("draft_text").alias("_draft"))
-        final = stage_table(merged.join(better, "segment_id", "left").withColumn("translated", F.coalesce("_better", "translated")), "final")
+        run.go_on()
+        repaired = stage_table(translate.repair(merged.select("segment_id", "source_text", "translated"), make, in_flight), "repaired")
         if store:
-            rows = final.filter("state <> 'cached' AND error IS NULL").withColumns({"draft_text": F.coalesce("_draft", "draft_text"), "revise_text": F.col("translated"), "updated_at": F.current_timestamp(), "provider": F.coalesce("provider", F.lit(provider.provider))})
-            store.upsert(rows.select(*memory.KEY, "draft_text", "revise_text", "provider", "updated_at"))
+            store.translations.upsert(repaired.filter("error IS NULL").join(seg.select(*memory.KEY), "segment_id").withColumn("updated_at", F.current_timestamp()))
+            failed = done.filter("error IS NOT NULL").select("segment_id", F.lit("translate").alias("stage"), F.col("error").alias("message"))
+            failed = failed.unionByName(repaired.filter("error IS NOT NULL").select("segment_id", F.lit("repair").alias("stage"), F.col("error").alias("message")))
+            for stage in ("translate", "repair"):
+                store.fail(failed.filter(F.col("stage") == stage).drop("stage"), run.id, stage)
+        better = repaired.filter("error IS NULL").select("segment_id", F.col("revise_text").alias("_better"))
+        final = stage_table(merged.join(better, "segment_id", "left").withColumn("translated", F.coalesce("_better", "translated")), "final")
+        run.go_on()
 
         pieces = final.select("segment_id", F.col("translated").alias("text"))
         texts = segments.merge_chunks(seg.select("book", "node_task_id", "chunk_index", "segment_id"), pieces, ["book", "node_task_id"], ["segment_id"])
@@ -139,15 +180,17 @@ def translate_books(
         )
         issues = stage_table(issues, "issues")
         counts = translate.run_counts(final.select("state", "translated", "batch_key", "error")).first().asDict()
-        gate = qa.gate(issues, counts["total_segments"], settings.qa.warn_ratio_limit, settings.qa.warn_min_cap).first()
+        gate = qa.gate(issues, counts["total_segments"], settings["qa.warn_ratio_limit"], settings["qa.warn_min_cap"]).first()
         packed = epub.pack(out.withColumnRenamed("file_path", "entry"))
         return Outcome(translate.exit_code(gate["passed"]), counts, packed, issues, qa.summary(issues, counts["total_segments"]))
     except Exception as e:
         if run.cancelled:
             return Outcome(translate.exit_code(None, cancelled=True))
-        failed = spark.createDataFrame([(None, str(e)[:2000])], "segment_id string, message string")
+        failed = spark.createDataFrame([(None, f"{type(e).__name__}: {e}")], "segment_id string, message string")
+        if store:
+            store.fail(failed, run.id, "runtime")
         issues = qa.all_issues(qa.runtime_failure(failed))
-        return Outcome(translate.exit_code(None, failed=True), {}, None, issues, qa.summary(issues, 0))
+        return Outcome(translate.exit_code(None, failed=True), {}, None, issues, qa.summary(issues, 0), traceback.format_exc())
 
 
 @dataclass
@@ -162,7 +205,10 @@ class MiningOptions:
     fill_batch_size: int = 40
 
 
-def generate_termbase(spark: SparkSession, books: DataFrame, options: MiningOptions, existing: list[dict] | None = None, name: str = "") -> tuple[dict, dict]:
+def generate_termbase(
+    spark: SparkSession, books: DataFrame, options: MiningOptions, existing: list[dict] | None = None, name: str = "",
+    settings: Settings | None = None, in_flight: int | None = None,
+) -> tuple[dict, dict]:
     """(payload to write as YAML or JSON, counts); at most max_terms new terms."""
     files, order, _ = _files(books)
     chapters = files.join(order.select("book", "file_path").distinct(), ["book", "file_path"], "left_semi")
@@ -175,9 +221,12 @@ def generate_termbase(spark: SparkSession, books: DataFrame, options: MiningOpti
     every = stage_table(terms.termbase_union(known, fresh), "termbase")
     outcomes: dict[str, int] = {}
     if options.fill_empty_targets:
-        asked = terms.to_fill(every).select("source").distinct()
-        rows = asked.withColumns({"segment_id": F.col("source"), "source_text": T.strip("source"), "hits": F.lit("[]"), "batch_key": F.pmod(F.xxhash64("source"), F.lit(max(1, options.max_terms // max(1, options.fill_batch_size))))})
-        replies = translate.translate(rows, options.fill_provider).select(F.col("segment_id").alias("source"), F.col("draft_text").alias("reply"))
+        asked = terms.term_segments(terms.to_fill(every).select("source").distinct(), "source")
+        size = max(1, options.fill_batch_size)
+        number = F.floor((F.regexp_extract("segment_id", r"(\d+)$", 1).cast("long") - 1) / size)
+        make = translate.plan(options.fill_provider, options.fill_model, revise="none").maker(settings)
+        asked = stage_table(asked.withColumns({"hits": F.lit("[]"), "batch_key": number.cast("string")}), "asked")
+        replies = translate.translate(asked, make, in_flight).join(asked.select("segment_id", "source"), "segment_id").select("source", F.col("draft_text").alias("reply"))
         every = stage_table(terms.fill_targets(every, replies), "filled")
         outcomes = {r["outcome"]: r["count"] for r in every.groupBy("outcome").count().collect()}
     done = stage_table(terms.normalise_targets(every), "normal")

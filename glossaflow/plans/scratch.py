@@ -21,11 +21,11 @@ _paths: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """The shared folder that the session names; where it names none, a temporary one, on a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="glossaflow-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -50,7 +50,17 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, kept) if kept is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_path = path
+    return staged
+
+
+def release(*staged: DataFrame) -> None:
+    """Removes tables that ``stage_table`` returned and that nothing will read again."""
+    for df in staged:
+        path = df.__dict__["_staged_path"]
+        drop_path(df.sparkSession, path)
+        _paths.remove((df.sparkSession, path))
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -14,16 +14,17 @@ from xml.etree import ElementTree as ET
 from glossaflow.functions.masking import TOKEN, mask_markup, name_of
 
 # Which elements are tasks, which are never translated, and what is watched.
-TASK_TAGS = frozenset(
-    "title section article div h1 h2 h3 h4 h5 h6 p li blockquote dd dt figcaption caption td th q cite a em strong i b sup sub span".split()
-)
-OPAQUE_TAGS = frozenset("code pre kbd samp var script style math annotation semantics".split())
+TASK_TAGS = frozenset({
+    "title", "section", "article", "div", "h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "blockquote", "dd", "dt",
+    "figcaption", "caption", "td", "th", "q", "cite", "a", "em", "strong", "i", "b", "sup", "sub", "span",
+})
+OPAQUE_TAGS = frozenset({"code", "pre", "kbd", "samp", "var", "script", "style", "math", "annotation", "semantics"})
 OPAQUE_CLASSES = frozenset({"no-translate", "notranslate", "raw", "code"})
 CONTAINERS = frozenset({"section", "article", "div"})
 WATCHED = frozenset({"id", "href", "src", "role", "epub:type"})
 OPS = "http://www.idpf.org/2007/ops"
 XHTML = "http://www.w3.org/1999/xhtml"
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
 
 ET.register_namespace("", XHTML)
 ET.register_namespace("epub", OPS)

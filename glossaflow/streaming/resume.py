@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from glossaflow.functions import text as T
-from glossaflow.operators.memory import KEY, VersionedTable, probe
+from glossaflow.operators.memory import KEY, KeyedTable, probe
 from glossaflow.operators.segments import greedy_batches
 from glossaflow.operators.translate import translate
 
@@ -30,7 +30,7 @@ def translate_missing(segments: DataFrame, memory: DataFrame, config_hash: str,
     return done.join(keys, "segment_id").withColumn("updated_at", F.current_timestamp()).select(*KEY, "draft_text", "revise_text", "provider", "updated_at")
 
 
-def resume(segments: DataFrame, table: VersionedTable, config_hash: str, checkpoint: str, provider="mock", after: Callable[[int], None] | None = None) -> StreamingQuery:
+def resume(segments: DataFrame, table: KeyedTable, config_hash: str, checkpoint: str, provider="mock", after: Callable[[int], None] | None = None) -> StreamingQuery:
     """Starts a query that handles what is there in micro-batches, then stops."""
 
     def each(batch: DataFrame, epoch: int) -> None:

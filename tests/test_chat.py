@@ -4,8 +4,8 @@ import json
 
 import pytest
 
-from glossaflow.operators.chat import ChatProvider, ReplyError, parse_reply
-from glossaflow.plans.config import Calls
+from glossaflow.operators.chat import ChatProvider, ReplyError, parse_reply, service_provider
+from glossaflow.plans.config import Settings
 
 ROWS = [{"segment_id": "1", "source_text": "a"}]
 
@@ -37,7 +37,7 @@ def service(monkeypatch):
 
 
 def test_draft_and_revision(service):
-    p, sent, _ = service([reply(f"```json\n{GOOD}\n```"), reply(GOOD)], style="concise_cn")
+    p, sent, _ = service([reply(f"```json\n{GOOD}\n```"), reply(GOOD)], settings=Settings({"style": "concise_cn"}))
     assert p.revise(ROWS, p.translate(ROWS, [{"source": "a"}]), []) == {"1": "甲"}
     first, second = (json.loads(s["messages"][1]["content"]) for s in sent)
     assert first["style_guide"] == "concise_zh_hans" and first["termbase_hits"] == [{"source": "a"}]
@@ -63,7 +63,7 @@ def test_one_by_one(service):
 
 
 def test_it_gives_up(service, monkeypatch):
-    p, _, waits = service([(500, "x", None)] * 3, calls=Calls(max_retries=3, retry_backoff_seconds=[1, 5]))
+    p, _, waits = service([(500, "x", None)] * 3, settings=Settings({"llm": {"max_retries": 3, "retry_backoff_seconds": [1, 5]}}))
     with pytest.raises(RuntimeError, match="after 3 attempts"):
         p.translate(ROWS, [])
     assert waits == [1.0, 5.0, 5.0]
@@ -76,3 +76,22 @@ def test_it_gives_up(service, monkeypatch):
 def test_unfit_replies(bad):
     with pytest.raises(ReplyError):
         parse_reply(bad, ["1"])
+
+
+def test_a_schema_is_given_up_where_unsupported(service):
+    p, sent, _ = service([(400, "json_schema is unsupported", None), reply(GOOD)])
+    assert p.translate(ROWS, []) == {"1": "甲"}
+    assert [s["response_format"]["type"] for s in sent] == ["json_schema", "json_object"]
+
+
+@pytest.mark.parametrize(
+    "service,model,schema,single",
+    [
+        ("openai", "any", True, False), ("deepseek", "any", False, False), ("dashscope", "qwen-plus-latest", True, False), ("dashscope", "qwen3-turbo", True, False),
+        ("dashscope", "qwen-mt-plus", False, True), ("dashscope-mt", "Qwen-MT-flash", False, True), ("dashscope", "llama", False, False),
+    ],
+)
+def test_services_by_model(service, model, schema, single):
+    p = service_provider(service, model, Settings())
+    assert (p.schema or single) == (schema or single) and p.one_by_one is single
+    assert p.url.endswith("/chat/completions") and p.key_name.endswith("_API_KEY")

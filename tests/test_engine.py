@@ -191,14 +191,30 @@ def test_term_files():
     assert terms.fingerprint(found, "2") == terms.fingerprint(found[::-1], "2") and '"source":"a"' in terms.fingerprint(found, "2")
 
 
-def test_versioned_table(spark, tmp_path):
-    store = memory.VersionedTable(spark, str(tmp_path / "tm"), memory.SCHEMA)
+def test_keyed_table(spark, tmp_path, monkeypatch):
+    store = memory.KeyedTable(spark, str(tmp_path / "tm"))
     assert store.read().count() == 0
-    row = lambda text, at: spark.createDataFrame([("s1", "h", "c", text, None, "p", at)], "segment_id string, source_hash string, config_hash string, draft_text string, revise_text string, provider string, at string").select("segment_id", "source_hash", "config_hash", "draft_text", "revise_text", "provider", F.to_timestamp("at").alias("updated_at"))
+    row = lambda text, at, key="s1": spark.createDataFrame([(key, "h", "c", text, None, "p", at)], "segment_id string, source_hash string, config_hash string, draft_text string, revise_text string, provider string, at string").select("segment_id", "source_hash", "config_hash", "draft_text", "revise_text", "provider", F.to_timestamp("at").alias("updated_at"))
     store.upsert(row("one", "2024-01-01 00:00:00"))
     held = store.read()
     store.upsert(row("old", "2023-01-01 00:00:00").unionByName(row("two", "2023-02-01 00:00:00")))
     assert store.read().first()["draft_text"] == "two" and held.first()["draft_text"] == "one"
+    # two writers that began together both stay
+    monkeypatch.setattr(memory.time, "time_ns", lambda: 7)
+    store.upsert(row("a", "2024-01-01 00:00:00", "x"))
+    store.upsert(row("b", "2024-01-02 00:00:00", "y"))
+    monkeypatch.undo()
+    before = store.read()
+    store.compact()
+    assert len(store.parts()) == 1 and before.count() == 3
+    assert {r["segment_id"]: r["draft_text"] for r in store.read().collect()} == {"s1": "two", "x": "a", "y": "b"}
+    store.upsert(row("three", "2020-01-01 00:00:00"))
+    store.compact()
+    assert {r["segment_id"]: r["draft_text"] for r in store.read().collect()} == {"s1": "three", "x": "a", "y": "b"}
+    assert len(list((tmp_path / "tm").glob("p*"))) == 3  # the whole, and what it replaced
+    monkeypatch.setattr(memory, "PARTS", 1)
+    store.upsert(row("four", "2020-01-01 00:00:00"))
+    assert len(store.parts()) == 1 and store.read().filter("segment_id = 's1'").first()["draft_text"] == "four"
 
 
 def test_probe(spark):
@@ -239,8 +255,8 @@ def test_provider_rounds(spark):
     rows = [{"segment_id": "1", "source_text": f"a {P1}"}]
     assert translate.run_batch(translate.MockProvider(), rows, [])[1:] == ({"1": f"[中]a {P1}"}, 1)
     with pytest.raises(ValueError):
-        translate.build_provider("absent")
-    assert translate.build_provider("mixed").revise([], {"1": "x"}, []) == {"1": "x"}
+        translate.translate(spark.createDataFrame([], "batch_key string, segment_id string, source_text string, hits string"), "absent")
+    assert translate.plan().maker()().revise([], {"1": "x"}, []) == {"1": "x"}
     batch = spark.createDataFrame([("k", "1", "t", "[]")], "batch_key string, segment_id string, source_text string, hits string")
 
     class Broken:
@@ -252,16 +268,41 @@ def test_provider_rounds(spark):
     assert [(r["segment_id"], r["revise_text"]) for r in translate.repair(bad).collect()] == [("1", f"[中]a {P1}")]
 
 
-def test_retries_wait():
-    waits, answers = [], iter([(429, "slow", None), (429, "slow", "7"), (500, "oops", None), (200, "fine", None)])
-    assert translate.with_retries(lambda: next(answers), 8, [1, 2], waits.append) == "fine"
-    assert waits == [4.0, 7.0, 2.0]
-    with pytest.raises(RuntimeError):
-        translate.with_retries(lambda: (500, "no", None), 2, [0], waits.append)
-    assert len(waits) == 5
+class Marks:
+    def __init__(self, model, settings):
+        self.model = model
+
+    def translate(self, rows, hits):
+        return {r["segment_id"]: f"{self.model}译{r['source_text']}" for r in rows}
+
+    def revise(self, rows, drafts, hits):
+        return {i: f"{self.model}校{t}" for i, t in drafts.items()}
+
+
+def test_provider_plans(monkeypatch):
+    step, plan = translate.Step, translate.plan
+    assert plan() == translate.Plan(step("mock"), None)
+    assert plan("openai", "m", draft="deepseek") == translate.Plan(step("openai", "m"), step("openai", "m"))
+    assert plan("deepseek", "m", revise="none") == translate.Plan(step("deepseek", "m"), None)
+    assert plan("mixed", "m", revise_model="r") == translate.Plan(step("openai", "m"), step("deepseek", "r"))
+    assert plan("mixed", "m", "mock", "none", "d") == translate.Plan(step("mock", "d"), None)
+    assert plan("dashscope-mt", "qwen-mt-plus") == translate.Plan(step("dashscope-mt", "qwen-mt-plus"), None)
+    with pytest.raises(ValueError):
+        plan("mixed", draft="absent").maker()
+    for name in ("one", "two"):
+        monkeypatch.setitem(translate.PROVIDERS, name, Marks)
+    rows = [{"segment_id": "1", "source_text": "a"}]
+    both = plan("mixed", "m", "one", "two", "d", "r").maker()()
+    assert translate.run_batch(both, rows, [])[1] == {"1": "r校d译a"}
     assert [translate.exit_code(True), translate.exit_code(False), translate.exit_code(None, failed=True), translate.exit_code(None, cancelled=True)] == [0, 2, 1, 130]
 
 
+def test_calls_in_flight(spark):
+    rows = spark.createDataFrame([(str(k), str(k), "a", "[]") for k in range(40)], "batch_key string, segment_id string, source_text string, hits string")
+    done = translate.translate(rows, "mock", in_flight=3)
+    assert done.rdd.getNumPartitions() == 3 and done.count() == 40
+
+
 def test_payload_and_replies(spark):
     seg = spark.createDataFrame([("k", "1", 1, "paragraph", "a", "d", [P1], "[]")], "batch_key string, segment_id string, order_index int, segment_type string, source_text string, draft_text string, placeholders array<string>, hits string")
     sent = json.loads(translate.batch_payload(seg, "concise_cn").first()["payload"])
@@ -285,17 +326,24 @@ def test_gate_report_and_summary(spark):
     assert qa.runtime_failure(rows.withColumn("message", F.lit("m"))).first()["issue_type"] == "runtime_fail"
 
 
-def test_settings(tmp_path):
+def test_settings(spark, tmp_path):
     file = tmp_path / "c.json"
     file.write_text('{"style": " LITERARY_CN ", "qa": {"warn_min_cap": 3, "unknown": 1}, "other": 2}')
-    s = config.load_settings(str(file))
-    assert s.style == "literary_cn" and s.qa.warn_min_cap == 3 and s.qa.warn_ratio_limit == 0.005
+    s = config.read_settings(spark, str(file))
+    assert s["style"] == "literary_cn" and s["qa.warn_min_cap"] == 3 and s["qa.warn_ratio_limit"] == 0.005
     (tmp_path / "c.yaml").write_text("style: nonsense\nllm:\n  max_retries: 2\n")
-    assert config.load_settings(str(tmp_path / "c.yaml")).style == "faithful_literal"
+    t = config.read_settings(spark, str(tmp_path / "c.yaml"))
+    assert t["style"] == "faithful_literal" and t["llm.max_retries"] == 2 and len(t) == len(config.DEFAULTS)
+    (tmp_path / "empty.yaml").write_text("")
+    assert dict(config.read_settings(spark, str(tmp_path / "empty.yaml"))) == dict(config.read_settings(spark, None))
     with pytest.raises(FileNotFoundError):
-        config.load_settings(str(tmp_path / "none.yaml"))
-    p = config.Provider()
-    assert config.config_hash(s, "t", p) != config.config_hash(s, "u", p) and len(config.config_hash(s, "t", p)) == 64
+        config.read_settings(spark, str(tmp_path / "none.yaml"))
+    for bad in ({"llm": {"max_retries": "two"}}, {"translate_toc": 1}, {"qa": {"warn_min_cap": -1}}, {"llm": {"retry_backoff_seconds": [1, "x"]}}, {"llm": {"max_retries": True}}):
+        with pytest.raises(ValueError):
+            config.Settings(bad)
+    key = lambda s, terms, plan: config.fingerprint(settings=s, terms={"all": terms}, provider=plan.values())
+    keys = [key(s, "t", translate.plan()), key(s, "u", translate.plan()), key(t, "t", translate.plan()), key(s, "t", translate.plan("openai", "m")), key(s, "t", translate.plan("openai", "m", revise="none"))]
+    assert len(set(keys)) == 5 and all(len(k) == 64 for k in keys)
 
 
 def test_components(spark):
@@ -316,7 +364,7 @@ def test_streaming_resume(spark, tmp_path):
     source = tmp_path / "in"
     schema = "book string, order_index int, segment_id string, source_text string"
     put = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(str(source))
-    store = memory.VersionedTable(spark, str(tmp_path / "tm"), memory.SCHEMA)
+    store = memory.KeyedTable(spark, str(tmp_path / "tm"))
     put([("b", 1, "s1", "one"), ("b", 2, "s2", "two")])
     run = lambda: resume(spark.readStream.schema(schema).parquet(str(source)), store, "c", str(tmp_path / "cp")).awaitTermination(120)
     run()

@@ -7,9 +7,8 @@ import zipfile
 import pytest
 
 from glossaflow.__main__ import main, write_mapping
-from glossaflow.operators import memory
+from glossaflow.operators import memory, translate
 from glossaflow.plans import run as runs
-from glossaflow.plans.config import Provider, Settings
 from tests.test_engine import CASES, archive
 
 
@@ -20,10 +19,10 @@ def books(spark):
 
 
 def test_translation(spark, books, tmp_path):
-    store = memory.VersionedTable(spark, str(tmp_path / "tm"), memory.SCHEMA)
+    store = memory.Workspace(spark, str(tmp_path / "tm"))
     said = []
-    out = runs.translate_books(spark, books, Settings(), store=store, run=runs.Run(spark, said.append))
-    assert said == ["reading", "translating", "checking"]
+    out = runs.translate_books(spark, books, store=store, run=runs.Run(spark, said.append))
+    assert said == ["reading", "translating", "wave 1 of 1", "checking"], out.trace
     kinds = {r["issue_type"] for r in out.issues.collect()}
     assert kinds <= {"link_break", "attribute_changed"}, out.issues.collect()
     packed = {r["book"]: bytes(r["content"]) for r in out.books.collect()}
@@ -32,16 +31,57 @@ def test_translation(spark, books, tmp_path):
         text = z.read("OEBPS/ch0.xhtml").decode()
         assert ">raw<" in text and "[中]see" in text and ">no<" in text
         assert "[中]One 1" in z.read("OEBPS/nav.xhtml").decode() and "[中]A" in z.read("OEBPS/toc.ncx").decode()
-    rows = store.read().count()
-    again = runs.translate_books(spark, books, Settings(), store=store, resume=True)
-    assert store.read().count() == rows and again.counts["cached_segments"] == again.counts["total_segments"] == rows
+    rows = store.translations.read().count()
+    again = runs.translate_books(spark, books, store=store, resume=True)
+    assert store.translations.read().count() == rows and again.counts["cached_segments"] == again.counts["total_segments"] == rows
     assert out.counts["llm_calls"] == len(CASES) and again.counts["llm_calls"] == 0
+    assert store.segments.read().count() == rows and spark.read.schema(memory.RUN_SCHEMA).parquet(f"{store.path}/runs").count() == 2
 
 
-def test_failure_and_gate(spark, books):
+class _Stops:
+    """Fails on every call of the text that it is given."""
+
+    def __init__(self, model, settings):
+        self.model = model
+
+    def translate(self, rows, hits):
+        if any(self.model in r["source_text"] for r in rows):
+            raise OSError("down")
+        return {r["segment_id"]: f"译{r['source_text']}" for r in rows}
+
+    def revise(self, rows, drafts, hits):
+        return drafts
+
+
+def test_finished_waves_outlive_a_cancel(spark, books, tmp_path, monkeypatch):
+    monkeypatch.setattr(runs, "WAVE_BATCHES", 2)
+    store = memory.Workspace(spark, str(tmp_path / "tm"))
+    run = runs.Run(spark)
+    run._progress = lambda said: said == "wave 1 of 3" and run.cancel()
+    out = runs.translate_books(spark, books, store=store, run=run)
+    assert out.code == 130 and out.books is None
+    kept = store.translations.read().count()
+    assert kept > 0
+    again = runs.translate_books(spark, books, store=store, resume=True, run=runs.Run(spark))
+    assert again.counts["cached_segments"] == kept and 0 < again.counts["llm_calls"] < len(CASES)
+
+
+def test_failed_batches_are_recorded(spark, books, tmp_path, monkeypatch):
+    monkeypatch.setitem(translate.PROVIDERS, "stops", _Stops)
+    store = memory.Workspace(spark, str(tmp_path / "tm"))
+    out = runs.translate_books(spark, books.filter("book IN ('code', 'tables')"), plan=translate.plan("stops", "Norman", revise="none"), store=store)
+    errors = spark.read.schema(memory.ERROR_SCHEMA).parquet(f"{store.path}/errors")
+    found = {r["stage"] for r in errors.collect()}
+    assert found == {"translate", "repair"} and out.counts["failed_segments"] > 0 and out.code == 2
+    assert errors.filter("run_id IS NULL OR segment_id IS NULL OR message NOT LIKE '%down%'").count() == 0
+
+
+def test_failure_and_gate(spark, tmp_path):
     bad = spark.createDataFrame([("x", bytearray(b"no archive"))], "book string, content binary")
-    out = runs.translate_books(spark, bad, Settings(), provider=Provider())
-    assert out.code == 1 and out.issues.first()["issue_type"] == "runtime_fail"
+    store = memory.Workspace(spark, str(tmp_path / "tm"))
+    out = runs.translate_books(spark, bad, store=store)
+    assert out.code == 1 and out.issues.first()["issue_type"] == "runtime_fail" and "Traceback" in out.trace
+    assert spark.read.schema(memory.ERROR_SCHEMA).parquet(f"{store.path}/errors").first()["stage"] == "runtime"
     term = runs.load_terms(spark, None)
     assert term[0].count() == 0 and '"empty"' in term[1]
 
@@ -64,4 +104,6 @@ def test_command_line(spark, tmp_path):
     report = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out" / "report")).collect()]
     assert code == (0 if not any("severity" in r for r in report) else 2)
     assert spark.read.parquet(str(tmp_path / "out" / "books")).count() == 1
-    assert main(["termbase", str(tmp_path / "in" / "*.epub"), str(tmp_path / "t.json")]) == 0
+    (tmp_path / "t.json").write_text("no termbase")
+    assert main(["termbase", str(tmp_path / "in" / "*.epub"), str(tmp_path / "t.json"), "--fill", "--fill-batch-size", "2", "--max-concurrency", "2"]) == 0
+    assert main(["translate", str(tmp_path / "in" / "*.epub"), str(tmp_path / "out2"), "--provider", "mixed", "--draft-provider", "mock", "--revise-provider", "none", "--memory", str(tmp_path / "m")]) == code
