@@ -1,21 +1,34 @@
-"""Near copies by the exact Jaccard similarity of their word shingles.
+"""SimHash near-duplicates of five-word shingles, decided by exact Jaccard similarity.
 
 Texts are linked where the sets of their five-word shingles have a similarity
-of 0.8 or more, and groups are the connected components. No link is lost: with
-the shingles of each text in one total order, two such texts share one of the
-first fifth of each (prefix filter). Candidates share such a shingle, pass the
-bounds on size and place, and are compared by their whole sets.
+of 0.8 or more, and groups are the connected components. Bits alone can't find
+such pairs: at 0.8 the fingerprints of op9 differ in about ten of 64 bits, which
+no key of equal bits survives. So the steps of ``simhash`` are kept, with
+candidates of another kind and a last exact step:
+
+1. candidates share a shingle among the first fifth of each, all shingles being
+   in one total order (prefix filter, which loses no pair), and pass the bounds
+   on size and place;
+2. each text has a 256-bit fingerprint and, computed once, its distances to
+   ``PIVOTS`` reference fingerprints. Candidates go if these differ by more than
+   ``FAR`` anywhere, then if the fingerprints do. At a similarity of 0.8 the
+   fingerprints of ``SMALL`` shingles or more differ in 41 bits or fewer on
+   average, with a deviation of 6, so that ``FAR`` is more than six deviations
+   away; pairs of fewer shingles aren't judged by bits;
+3. survivors are compared by their whole sets.
 
 The order is by how often a shingle occurs in a sample, then by hash. It is
 the same for all texts, so the sample changes the cost and never the result.
-Of a shingle that many texts share, each text first meets the one before it
+Of a shingle that several texts share, each text first meets the one before it
 and the first of its run; what these join is one group from then on, and only
 texts of different groups meet in full. So many near copies of one text cost
-few comparisons.
+few comparisons. A shingle of more than ``CHUNK`` texts is dealt to several
+tasks, with its first text in each.
 
 Defined cases: texts of fewer words have one shingle, of all words; texts
 without words and null texts are equal; rows without an id are linked but name
-no group. Sets are of 64-bit hashes, and texts of equal words are one node.
+no group; ids may be of any type. Sets are of 64-bit hashes, and texts of equal
+words are one node.
 """
 
 from __future__ import annotations
@@ -27,19 +40,26 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
+from glossaflow.llm.columns import apart
 from glossaflow.plans.components import components
-from glossaflow.plans.scratch import bounded_batches, stage_table
+from glossaflow.plans.scratch import bounded_batches, release, stage_table
 
 SHINGLE = 5
 SEED = 42
 SAMPLED = 16  # one row of so many is counted for the order
 OFTEN, OFTEN_AT_MOST = 4, 1 << 16
-FEW = 32  # texts that share a shingle and meet in full at once
+FEW = 4  # texts that share a shingle and meet in full at once
+CHUNK = 2048
+WORDS = 4  # of 64 bits in a fingerprint
+PIVOTS = 16
+FAR = 80
+SMALL = 32
 HELD = 1 << 19
 EMITTED = 1 << 18
 _PAIR = "a bigint, b bigint"
+_pivots = np.random.default_rng(256).integers(0, 1 << 64, (PIVOTS, WORDS), dtype=np.uint64)
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
@@ -58,6 +78,24 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> tuple[int, np.ndarray]
     return node, np.unique(np.array([digest(whole[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64).view(np.int64))
 
 
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """A bit is 1 if it is set in over half of the shingles' hashes, ``WORDS`` of each."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    with np.errstate(over="ignore"):
+        for part in np.array_split(hashes.view(np.uint64), 1 + len(hashes) // 4096):
+            wide = part[:, None] * (np.uint64(0x9E3779B97F4A7C15) * np.arange(1, 2 * WORDS, 2, dtype=np.uint64))
+            wide = (wide ^ (wide >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            bits = np.unpackbits((wide ^ (wide >> np.uint64(32))).view(np.uint8).reshape(len(part), 8 * WORDS), axis=1, bitorder="little")
+            for a in range(0, len(bits), 255):  # sums of 255 bits fit a byte
+                ones += np.add.reduce(bits[a : a + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def pivot_distances(prints: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints to the reference ones, 255 at most."""
+    return np.minimum(np.bitwise_count(prints[:, None, :] ^ _pivots).sum(axis=2, dtype=np.int64), 255).astype(np.uint8)
+
+
 def similar(n: np.ndarray, m: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """Whether sets of n and m with so many shared have a similarity of 0.8."""
     return 9 * shared >= 4 * (n + m)
@@ -92,25 +130,29 @@ def _often(docs: DataFrame, text: str, doc_id: str) -> tuple[np.ndarray, np.ndar
 
 
 def marked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` with _node, _n (shingles) and _keys (their prefix)."""
+    """A row for each of ``docs``: id, raw (hash of the text), node, n (shingles), keys (their prefix), print, pivots."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_often(docs, text, doc_id))  # OFTEN_AT_MOST at most
-    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = shared.value
         for b in batches:
-            nodes, sizes, keys = [], [], []
-            for t in b.column(columns.index(text)).to_pylist():
+            nodes, sizes, keys, prints = [], [], [], []
+            for t in b.column(2).to_pylist():
                 node, h = shingles(t)
                 nodes.append(node)
                 sizes.append(len(h))
                 keys.append(prefix(h, often, times))
-            added = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*columns, "_node", "_n", "_keys"])
+                prints.append(fingerprint(h))
+            prints = np.stack(prints) if prints else np.empty((0, WORDS), np.uint64)
+            rows = lambda a: pa.array([x.tobytes() for x in a], pa.binary())
+            added = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), rows(prints), rows(pivot_distances(prints))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *added], names=[f.name for f in schema.fields])
 
-    more = [StructField("_node", LongType()), StructField("_n", LongType()), StructField("_keys", ArrayType(LongType()))]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("raw"), F.col(text).alias("text"))
+    more = [StructField("node", LongType()), StructField("n", LongType()), StructField("keys", ArrayType(LongType())), StructField("print", BinaryType()), StructField("pivots", BinaryType())]
+    schema = StructType([*rows.schema.fields[:2], *more])
+    return rows.mapInArrow(run, schema)
 
 
 def _possible(n: np.ndarray, p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -127,6 +169,8 @@ def _few_and_first(group: np.ndarray, node: np.ndarray, n: np.ndarray, p: np.nda
     head = begin[group] + (every - begin[group]) // FEW * FEW
     for x, y in ((every[large], head[large]), (head[large], begin[group[large]]), (every[1:][large[1:]] - 1, every[1:][large[1:]])):
         keep = (x != y) & (group[x] == group[y])
+        x, y = x[keep], y[keep]
+        keep = _possible(n, p, x, y)
         yield x[keep], y[keep]
     at = every[~large]
     for step in range(1, FEW):
@@ -158,10 +202,10 @@ def _across(group: np.ndarray, label: np.ndarray, n: np.ndarray, p: np.ndarray)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates among rows (key, n, p, node[, label]) ordered by key and n, whole keys at a time."""
+    """Candidates among rows (key, chunk, n, p, node[, label]) ordered by key, chunk and n, whole ones at a time."""
 
-    def solve(key: np.ndarray, n: np.ndarray, p: np.ndarray, node: np.ndarray, *label: np.ndarray) -> Iterator[pa.RecordBatch]:
-        group = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
+    def solve(key: np.ndarray, chunk: np.ndarray, n: np.ndarray, p: np.ndarray, node: np.ndarray, *label: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])))) - 1
         alone = np.bincount(group)[group] < 2
         if alone.all():
             return
@@ -172,6 +216,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for x, y in found:
             u, v = node[x], node[y]
+            u, v = u[u != v], v[u != v]  # the first of a run is in each of its chunks
             held.append(np.stack((np.minimum(u, v), np.maximum(u, v)), axis=1))
             count += len(u)
             if count >= EMITTED:
@@ -195,7 +240,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count += batch.num_rows
         if count >= HELD:
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            last = int(np.flatnonzero((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]))[0])
             if last:
                 yield from solve(*(c[:last] for c in cols))
             held, count = [[c[last:] for c in cols]], (len(cols[0]) - last) // 2
@@ -204,39 +249,67 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_meet, _PAIR).distinct()
+    """Pairs of nodes (a, b) to compare among rows (key, chunk, n, p, node[, label])."""
+    return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "n").mapInArrow(_meet, _PAIR).distinct()
+
 
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose pivot distances, then fingerprints, are near enough, or that are small."""
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose whole sets have a similarity of 0.8 or more; ``texts`` has _node, text."""
+    def column(b: pa.RecordBatch, k: int, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=kind).reshape(b.num_rows, -1)
+
+    for b in (b for b in batches if b.num_rows):
+        small = b.column(2).to_numpy() < SMALL
+        far = np.abs(column(b, 3, np.uint8).astype(np.int16) - column(b, 4, np.uint8)).max(axis=1, initial=0) > FAR
+        bits = np.bitwise_count(column(b, 5, np.uint64) ^ column(b, 6, np.uint64)).sum(axis=1, dtype=np.int64)
+        yield b.select([0, 1]).filter(pa.array(small | ~far & (bits <= FAR)))
+
+
+def _verified(pairs: DataFrame, once: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose whole sets have a similarity of 0.8 or more; texts: id, raw, text."""
     bounded_batches(pairs.sparkSession)
     pairs = stage_table(pairs, "candidates")
-    wanted = pairs.selectExpr("explode(array(a, b)) AS _node").distinct()
+    side = lambda x: once.selectExpr(f"node AS {x}", f"n AS n{x}", f"pivots AS d{x}", f"print AS f{x}")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.least("na", "nb"), "da", "db", "fa", "fb")
+    left = stage_table(both.mapInArrow(_within, _PAIR), "survivors")
+    wanted = left.selectExpr("explode(array(a, b)) AS node").distinct().join(once.select("node", F.col("id").alias("wanted_id"), "raw"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t)[1] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "h"])
 
-    sets = texts.join(wanted, "_node", "left_semi").dropDuplicates(["_node"]).mapInArrow(run, "node bigint, h array<bigint>")
-    sets = stage_table(sets, "sets")
-    met = pairs.join(sets.selectExpr("node AS a", "h AS ha"), "a").join(sets.selectExpr("node AS b", "h AS hb"), "b")
-    return stage_table(met.filter("9 * size(array_intersect(ha, hb)) >= 4 * (size(ha) + size(hb))").select("a", "b"), "verified")
-
-
-def near_nodes(rows: DataFrame, text: str = "text") -> DataFrame:
-    """(node, root) of all nodes of marked rows that are no root themselves."""
-    texts = rows.select("_node", F.col(text).alias("text"))
-    once = rows.filter("_n > 0").select("_node", "_n", "_keys").dropDuplicates(["_node"])
-    spread = once.select(F.posexplode("_keys").alias("p", "key"), F.col("_n").alias("n"), F.col("_node").alias("node"))
-    spread = stage_table(spread.select("key", "n", F.col("p").cast("long").alias("p"), "node"), "prefixes")
-    near = _verified(_candidates(spread), texts)
-    many = stage_table(spread.groupBy("key").count().filter(F.col("count") > FEW).select("key"), "many")
+    wanted = stage_table(wanted, "wanted")
+    met = (texts["raw"] == wanted["raw"]) & texts["id"].eqNullSafe(wanted["wanted_id"])
+    found = texts.join(wanted, met).select("node", "text")
+    sets = stage_table(found.mapInArrow(run, "node bigint, h array<bigint>").dropDuplicates(["node"]), "sets")
+    met = left.join(sets.selectExpr("node AS a", "h AS ha"), "a").join(sets.selectExpr("node AS b", "h AS hb"), "b")
+    out = stage_table(met.filter("9 * size(array_intersect(ha, hb)) >= 4 * (size(ha) + size(hb))").select("a", "b"), "verified")
+    release(pairs, left, wanted, sets)
+    return out
+
+
+def near_nodes(once: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of all nodes of staged rows ``once`` that are no root themselves."""
+    spread = once.filter("n > 0").select(F.posexplode("keys").alias("p", "key"), "n", "node").select("key", "n", F.col("p").cast("long").alias("p"), "node")
+    first = F.min(F.struct("n", "p", "node")).alias("first")
+    many = stage_table(spread.groupBy("key").agg(F.count("*").alias("count"), first).filter(F.col("count") > FEW), "many")
+    hot = stage_table(many.filter(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).alias("chunks"), "first"), "hot")
+    rows = spread.withColumn("chunk", F.lit(0).cast("long"))
+    if hot.limit(1).count():
+        chunk = F.coalesce(F.pmod(F.xxhash64("node"), "chunks"), F.lit(0).cast("long"))
+        heads = hot.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "first.*")
+        rows = spread.join(hot.select("key", "chunks"), "key", "left").withColumn("chunk", chunk)
+        columns = ["key", "chunk", "n", "p", "node"]
+        rows = rows.select(*columns).unionByName(heads.select(*columns))
+    near = _verified(_candidates(rows.select("key", "chunk", "n", "p", "node")), once, texts)
     if many.limit(1).count():
         tied = components(near)
-        hot = spread.join(many, "key", "left_semi").join(tied, "node", "left")
-        hot = hot.select("key", "n", "p", "node", F.coalesce("root", "node").alias("label"))
-        near = near.unionByName(_verified(_candidates(hot), texts))
+        labelled = spread.join(many.select("key"), "key", "left_semi").join(tied, "node", "left").withColumn("label", F.coalesce("root", "node"))
+        apart_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+        labelled = labelled.join(stage_table(apart_keys, "keys-apart"), "key", "left_semi").withColumn("chunk", F.lit(0).cast("long"))
+        near = near.unionByName(_verified(_candidates(labelled.select("key", "chunk", "n", "p", "node", "label")), once, texts))
     return components(near)
 
 
@@ -246,17 +319,25 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     Of different texts of that id one stays, of repeated rows too. Rows without
     an id go if their group has an id, and all stay if it has none.
     """
+    raw, drop_id, drop_raw = apart(docs, "raw", "drop_id", "drop_raw")
     rows = stage_table(marked(docs, text, doc_id), "marked")
-    tied = near_nodes(rows, text)
-    facts = rows.groupBy(F.col(doc_id).alias("_id"), "_node").agg(F.count("*").alias("n"))
-    facts = facts.join(tied, F.col("_node") == F.col("node"), "left").select("_id", "_node", "n", F.coalesce("root", "_node").alias("root"))
+    once = stage_table(rows.dropDuplicates(["node"]), "once")
+    tied = near_nodes(once, docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("raw"), F.col(text).alias("text")))
+    facts = rows.groupBy("id", "raw", "node").agg(F.count("*").alias("n"))
+    facts = facts.join(tied, "node", "left").select("id", "raw", "node", "n", F.coalesce("root", "node").alias("root"))
     facts = stage_table(facts, "facts")
-    first = facts.filter("_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("_id", "_node")).alias("first"))
-    judged = facts.join(first, "root").select("_id", "_node", "n", F.coalesce(F.struct("_id", "_node") == F.col("first"), F.lit(False)).alias("stays"))
-    judged = stage_table(judged, "judged")
-    drop = judged.filter("NOT stays").select(F.col("_id").alias("_drop_id"), F.col("_node").alias("_drop_node"))
-    out = rows.join(drop, F.col(doc_id).eqNullSafe(F.col("_drop_id")) & (F.col("_node") == F.col("_drop_node")), "left_anti")
-    if judged.filter("stays AND n > 1").limit(1).count():
+    release(rows, once)
+    first = facts.filter("id IS NOT NULL").groupBy("root").agg(F.min(F.struct("id", "node")).alias("first"))
+    # Of one id and node, texts of other spacing are copies too: the least hash stays.
+    own = F.struct("id", "node") == F.col("first")
+    judged = facts.join(first, "root", "left").withColumn("stays", F.when(F.col("first").isNull(), True).otherwise(F.coalesce(own, F.lit(False))))
+    least = judged.filter("stays AND id IS NOT NULL").groupBy("id", "node").agg(F.min("raw").alias("least"))
+    judged = judged.join(least, ["id", "node"], "left").withColumn("stays", F.col("stays") & (F.col("least").isNull() | (F.col("least") == F.col("raw"))))
+    judged = stage_table(judged.select("id", "raw", "n", "stays"), "judged")
+    drop = judged.filter("NOT stays").select(F.col("id").alias(drop_id), F.col("raw").alias(drop_raw))
+    keyed = docs.withColumn(raw, F.xxhash64(text))
+    out = keyed.join(drop, F.col(doc_id).eqNullSafe(F.col(drop_id)) & (F.col(raw) == F.col(drop_raw)), "left_anti")
+    if judged.filter("stays AND id IS NOT NULL AND n > 1").limit(1).count():
         nameless = out.filter(F.col(doc_id).isNull())
-        out = out.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, "_node"]).unionByName(nameless)
+        out = out.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, raw]).unionByName(nameless)
     return out.select(*docs.columns)

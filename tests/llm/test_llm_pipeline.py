@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -113,14 +114,49 @@ def test_near_dedup_links_five_word_similarity(spark, monkeypatch):
     rng.shuffle(texts)
     want = _kept(dict(enumerate(texts)))
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS)
-    for few in (32, 4):
-        monkeypatch.setattr(near_copies, "FEW", few)
+    for chunk in (near_copies.CHUNK, 9):  # the driver deals hot shingles
+        monkeypatch.setattr(near_copies, "CHUNK", chunk)
         got = corpus_pipeline.one_of_each(spark, docs, "")
         assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
     near = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
     assert len(near) > len(want)  # 3 bits leave copies apart
 
 
+def test_near_dedup_meets_many_of_a_shingle(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, p = np.sort(rng.integers(40, 60, 50)), rng.integers(0, 8, 50)
+    for few in (2, 4, 60):
+        monkeypatch.setattr(near_copies, "FEW", few)
+        pairs = [(a, b) for x, y in near_copies._few_and_first(np.zeros(50, int), np.arange(50), n, p) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+        assert len(pairs) <= 3 * 50 if few < 50 else len(pairs) > 3 * 50
+
+
+def test_fingerprints_of_near_sets_are_near():
+    rng = np.random.default_rng(4)
+    for n in (32, 60, 200, 3000):
+        prints = []
+        for _ in range(40):
+            base = rng.integers(-(2**63), 2**63, n)
+            other = np.concatenate((base[: -(n // 9)], rng.integers(-(2**63), 2**63, n // 9)))  # a similarity of 0.8
+            prints.append([near_copies.fingerprint(x) for x in (base, other)])
+        bits = [int(np.bitwise_count(a ^ b).sum()) for a, b in prints]
+        assert max(bits) < near_copies.FAR - 10
+        apart = [int(np.bitwise_count(prints[k][0] ^ prints[k - 1][0]).sum()) for k in range(40)]
+        assert min(apart) > near_copies.FAR
+        d = near_copies.pivot_distances(np.stack([x for pair in prints for x in pair])).astype(int)
+        assert np.abs(d[::2] - d[1::2]).max() <= max(bits)
+    whole = rng.integers(-(2**63), 2**63, 9001)
+    ones = sum(np.unpackbits(near_copies.fingerprint(whole[k : k + 1]).view(np.uint8), bitorder="little").astype(int) for k in range(9001))
+    assert np.array_equal(np.packbits(2 * ones > 9001, bitorder="little").view("<u8"), near_copies.fingerprint(whole))
+
+
+def test_near_dedup_ids_and_clashing_names(spark):
+    text = " ".join(f"t{i}" for i in range(50))
+    docs = spark.createDataFrame([("b", text, 1, 2, 3), ("a", text + " x", 1, 2, 3), ("c", "other", 1, 2, 3)], "doc_id string, text string, _raw int, _drop_id int, node int")
+    got = near_copies.keep_one(docs)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == ["a", "c"]
+
+
 def test_near_dedup_keeps_unique_texts_of_repeated_ids(spark):
     long = " ".join(f"t{i}" for i in range(50))
     rows = [(1, long), (2, long + " x"), (2, "quite another text"), (3, "p q r"), (3, "s t u"), (4, "k l m"), (4, "k l m"), (None, "k  l m"), (None, "n o p"), (None, "n o p")]
