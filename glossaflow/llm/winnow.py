@@ -9,7 +9,9 @@ share of distinct hashes they have in common.
 Defined cases: a null or empty text has an empty fingerprint; a text of fewer
 than ``K`` code points has one hash, of all of it; a text with fewer than ``W``
 hashes is one window; the likeness of two empty fingerprints is 1, of an empty
-and another 0; a lone document is its own next one.
+and another 0; a lone document is its own next one; rows of one id, and rows
+without an id, follow each other by a hash of their texts, then the texts; ids
+that are no integers come in their own order, and are returned as they are.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossaflow.llm.columns import is_integral, numbers_of
 from glossaflow.plans.scratch import bounded_batches
 
 K, W = 20, 30
 PART = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, dtype=np.uint64)
+_LOWEST = np.iinfo(np.int64).min
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -123,43 +126,73 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def compare_with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", groups: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text, and likenesses.
 
-    The next document is the next row by id, then text (null ids first); after
-    the last comes the first. Rows are dealt to contiguous ranges of ids, each
-    with the first rows of the following range as guests, so every document
-    meets its successor inside one task and the texts move once. Two numbers a
-    range are all that reaches the driver.
+    The next document is the next row by id (null ids first), then hash of the
+    text, then text; after the last comes the first. Rows are dealt to ranges
+    of this order, each with the first rows of the following range as guests,
+    so every document meets its successor inside one task and the texts move
+    once. An id that many rows have is split by the hash. Two numbers a range
+    are all that reaches the driver.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    if not is_integral(docs, doc_id):
+        keys = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text"))
+        order = numbers_of(keys.select("key"), "n")
+        numbered = keys.join(order, keys["key"].eqNullSafe(order["key"])).select(F.when(keys["key"].isNotNull(), F.col("n")).alias("n"), "text")
+        out = compare_with_next(numbered, "text", "n", groups)
+        back = order.filter("key IS NOT NULL").select(F.col("n").alias("doc_id"), F.col("key"))
+        return out.join(back, "doc_id", "left").select(F.col("key").alias("doc_id"), *out.columns[1:])
     n = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    only = ids.select("doc_id")
-    borders = np.unique(np.array(only.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n), dtype=np.int64))
-    lowest = np.iinfo(np.int64).min
+    known = F.coalesce("doc_id", F.lit(_LOWEST))  # as a column of its own kind, since pandas has no whole numbers beside nulls
+    place = ids.select("doc_id", F.xxhash64("text").alias("h"))
+    borders = _borders(place, n)
+
+    def range_of(i: pd.Series, h: pd.Series) -> np.ndarray:
+        i, h = i.to_numpy(np.int64), h.to_numpy(np.int64)
+        out = np.searchsorted(borders[:, 0], i, side="left")
+        stop = np.searchsorted(borders[:, 0], i, side="right")
+        for k in np.flatnonzero(stop > out).tolist():  # rows of a border's own id
+            out[k] += np.searchsorted(borders[out[k] : stop[k], 1], h[k], side="right")
+        return out.astype(np.int32)
 
     @F.pandas_udf("int")
-    def group(i: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(borders, i.fillna(lowest).to_numpy(np.int64), side="right").astype(np.int32))
+    def group(i: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(range_of(i, h))
 
-    found = only.select("doc_id", group("doc_id").alias("g")).groupBy("g")
-    found = found.agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("has_null")).orderBy("g").collect()
-    first = [lowest if r["has_null"] else r["first"] for r in found]
-    host = {f: found[i - 1]["g"] for i, f in enumerate(first)}  # the first of all is the last range's guest
+    key = F.struct(known.alias("i"), "h")
+    found = place.withColumn("g", group(known, "h")).groupBy("g").agg(F.min(key).alias("first")).orderBy("g").collect()
+    host = {tuple(r["first"]): found[k - 1]["g"] for k, r in enumerate(found)}  # the first of all is the last range's guest
 
     @F.pandas_udf("int")
-    def guest_of(i: pd.Series) -> pd.Series:
-        return pd.Series([host.get(x, -1) for x in i.fillna(lowest).to_numpy(np.int64).tolist()], dtype=np.int32)
+    def guest_of(i: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([host.get(x, -1) for x in zip(i.tolist(), h.tolist(), strict=True)], dtype=np.int32)
 
-    placed = ids.withColumn("own", group("doc_id")).withColumn("other", guest_of("doc_id"))
-    place = F.struct(F.col("own").alias("g"), F.lit(0).alias("guest"))
+    placed = ids.withColumn("h", F.xxhash64("text"))
+    placed = placed.withColumn("own", group(known, "h")).withColumn("other", guest_of(known, "h"))
+    home = F.struct(F.col("own").alias("g"), F.lit(0).alias("guest"))
     visit = F.struct(F.col("other").alias("g"), F.lit(1).alias("guest"))
-    placed = placed.select("doc_id", "text", F.explode(F.when(F.col("other") >= 0, F.array(place, visit)).otherwise(F.array(place))).alias("at"))
-    placed = placed.select("doc_id", "text", "at.g", "at.guest")
-    dealt = placed.repartitionById(len(borders) + 1, "g").sortWithinPartitions("guest", "doc_id", "text").drop("g")
+    placed = placed.select("doc_id", "h", "text", F.explode(F.when(F.col("other") >= 0, F.array(home, visit)).otherwise(F.array(home))).alias("at"))
+    placed = placed.select("doc_id", "text", "at.guest", "at.g", "h")
+    dealt = placed.repartitionById(len(borders) + 1, "g").sortWithinPartitions("guest", F.col("doc_id").asc_nulls_first(), "h", "text").drop("g", "h")
 
     return dealt.mapInArrow(_compare, OUT)
 
 
+def _borders(place: DataFrame, n: int) -> np.ndarray:
+    """Rows (id, hash) that begin ranges of about equal size; of an id that fills several ranges, evenly spaced hashes."""
+    nulls, rows = place.agg(F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    for_nulls = round(n * nulls / rows) if rows else 0
+    m = max(1, n - for_nulls)
+    cuts = [_LOWEST] * for_nulls + sorted(map(int, place.stat.approxQuantile("doc_id", [k / m for k in range(1, m)], 0.25 / m)))
+    values, times = np.unique(np.array(cuts, dtype=np.int64), return_counts=True)
+    out = []
+    for i, t in zip(values.tolist(), times.tolist(), strict=True):
+        # Once only: the range begins with the id. More often: its rows fill ranges of their own.
+        out += [(i, _LOWEST + k * ((1 << 64) // t)) for k in range(t)]
+    return np.array([x for x in out if x != (_LOWEST, _LOWEST)], dtype=np.int64).reshape(-1, 2)
+
+
 OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
