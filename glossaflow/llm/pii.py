@@ -1,22 +1,23 @@
 """Personal data: patterns propose, checksums confirm, near words adjust.
 
 Every kind has a pattern that proposes spans, a validator that confirms them,
-and a prior score. Words within ``CONTEXT_CHARS`` code points before a span
-raise or lower the score. The four base kinds (email, ip, card, phone) keep
-every confirmed span whatever its score; the added kinds (iban by mod-97, ssn
-and phone numbers without a plus sign) are kept at ``THRESHOLD`` or more. An
-ssn or phone number that overlaps a base span is dropped; an iban is confirmed
-by itself and stays beside it.
-
-Defined cases: a null text is empty and has no spans; a text has any number of
+and a prior score. Words within ``CONTEXT_CHARS`` code points before or after a
+span raise or lower the score. The four base kinds (email, ip, card, phone) keep
+every confirmed span whatever its score; the added kinds (iban by mod-97, ssn,
+phone numbers without a plus sign, and secrets: long runs of letters and digits
+as random as keys are) are kept at ``THRESHOLD`` or more. An ssn, phone number
+or secret that overlaps a base span is dropped; an iban is confirmed by itself
+and stays beside it.
+
+Defined cases: a null text is empty and has no spans; repeated rows have equal spans, a row each; a text has any number of
 equal spans; spans are in code points with an exclusive end.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from glossaflow.plans.scratch import bounded_batches
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn", "local_phone")
+KINDS = (*BASE, "iban", "ssn", "local_phone", "secret")
 CONTEXT_CHARS = 40
 THRESHOLD = 0.6
 
@@ -38,10 +39,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _TEL = re.compile(r"(?<![0-9+().-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_-])")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[a-z]+")
 
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.7, "ssn": 0.4, "local_phone": 0.35}
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.7, "ssn": 0.4, "local_phone": 0.35, "secret": 0.35}
 SUPPORT = {
     "email": {"mail", "email", "contact", "write"},
     "ip": {"ip", "address", "host", "server"},
@@ -50,8 +52,10 @@ SUPPORT = {
     "iban": {"iban", "account", "bank", "transfer"},
     "ssn": {"ssn", "social", "security"},
     "local_phone": {"phone", "tel", "call", "mobile", "fax", "telephone"},
+    "secret": {"token", "secret", "password", "passwd", "key", "apikey", "auth", "bearer", "credential", "credentials"},
 }
 DOUBT = {"version", "order", "isbn", "page", "token", "invoice", "example"}
+DOUBT_SECRET = {"commit", "checksum", "digest", "hash", "sha", "md", "version", "example"}
 
 
 def luhn_ok(digits: str) -> bool:
@@ -78,6 +82,14 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
         m = _IBAN.search(text, start + max(1, len(groups)))
 
 
+def random_enough(run: str) -> bool:
+    """Letters and digits mixed, and as many different ones as a key of this length has."""
+    if run.isalpha() or run.isdigit():
+        return False
+    share = [run.count(c) / len(run) for c in set(run)]
+    return -sum(p * log2(p) for p in share) >= min(3.0, 0.75 * log2(len(run)))
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches of the email pattern, tried only around each ``@``."""
     done = 0
@@ -121,18 +133,23 @@ def _proposed(text: str, numeric: bool) -> Iterator[tuple[str, int, int]]:
     for m in _TEL.finditer(text):
         if 9 <= len(_digits(m[0])) <= 11:
             yield "local_phone", *m.span()
+    for m in _SECRET.finditer(text):
+        if random_enough(m[0].rstrip("=")):
+            yield "secret", *m.span()
 
 
-def score(kind: str, text: str, start: int) -> float:
-    near = set(_WORD.findall(text[max(0, start - CONTEXT_CHARS) : start].lower()))
-    return min(1.0, max(0.0, PRIOR[kind] + 0.3 * bool(near & SUPPORT[kind]) - 0.2 * bool(near & DOUBT)))
+def score(kind: str, text: str, start: int, stop: int) -> float:
+    around = text[max(0, start - CONTEXT_CHARS) : start], text[stop : stop + CONTEXT_CHARS]
+    near = {w for part in around for w in _WORD.findall(part.lower())}
+    doubt = DOUBT_SECRET if kind == "secret" else DOUBT
+    return min(1.0, max(0.0, PRIOR[kind] + 0.3 * bool(near & SUPPORT[kind]) - 0.2 * bool(near & doubt)))
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by start, then kind as listed in KINDS."""
     text = text or ""
     numeric = _DIGIT.search(text) is not None
-    found = [(k, a, b, score(k, text, a)) for k, a, b in _proposed(text, numeric)]
+    found = [(k, a, b, score(k, text, a, b)) for k, a, b in _proposed(text, numeric)]
     taken = [(a, b) for k, a, b, _ in found if k in BASE]
     apart = lambda x: x[0] == "iban" or not any(a < x[2] and x[1] < b for a, b in taken)
     found = [x for x in found if x[0] in BASE or x[3] >= THRESHOLD and apart(x)]
@@ -152,6 +169,3 @@ def spans_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,stop:bigint,score:double>>")
 
-
-def digest(joined: str) -> str:
-    return hashlib.sha256(joined.encode()).hexdigest()
