@@ -2,7 +2,7 @@
 
 Texts become 64-bit fingerprints; equal ones are one row from then on. For each
 distinct fingerprint the Hamming distances to ``PIVOTS`` reference fingerprints
-are computed once. Two fingerprints within ``BITS`` bits differ by at most
+are computed once, and go with it wherever it is dealt. Two fingerprints within ``BITS`` bits differ by at most
 ``BITS`` in every such distance: candidates are ordered by the first distance
 and met only within that difference, discarded by the greatest difference over
 the others, and the survivors verified bit by bit.
@@ -17,7 +17,7 @@ are returned, so a group of near copies costs as many links as it has texts.
 Defined cases: texts of one or two words have one shingle, of all words; texts
 without words and null texts have the fingerprint zero and are linked like any
 other; rows without an id are linked but name no component; repeated rows have
-one row each.
+one row each; ids may be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from glossaflow.llm.columns import apart
 from glossaflow.plans.components import components
 from glossaflow.plans.scratch import bounded_batches, stage_table
 
@@ -56,8 +57,9 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(whole[a:b], SEED) for a, b in zip(starts.tolist(), stops[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
     ones = np.zeros(64, dtype=np.int64)
-    for part in np.array_split(h, 1 + n // 65_536):
-        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for a in range(0, n, 255):  # sums of 255 bits fit a byte
+        bits = np.unpackbits(h[a : a + 255].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
@@ -70,11 +72,23 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
             fps = np.array([simhash(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp bigint")
 
 
-def _cut(bits: int, size: int) -> list[tuple[int, int]]:
-    return [(i * size // 4, (i + 1) * size // 4) for i in range(4)] if bits else []
+def pivot_table(fps: np.ndarray) -> np.ndarray:
+    """A row of Hamming distances to the reference fingerprints for each fingerprint."""
+    return np.bitwise_count(fps[:, None] ^ _pivots).astype(np.uint8)
+
+
+def with_pivots(distinct: DataFrame) -> DataFrame:
+    """(fp, pivots) of rows (fp): the distances, a byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = pivot_table(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["fp", "pivots"])
+
+    return distinct.select("fp").mapInArrow(run, "fp bigint, pivots binary")
 
 
 class _Forest:
@@ -106,12 +120,11 @@ class _Forest:
         return out
 
 
-def links_within(keys: np.ndarray, fps: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links between fingerprints of equal keys."""
-    first = np.bitwise_count(fps ^ _pivots[0]).astype(np.int16)
-    order = np.lexsort((first, keys))
-    keys, fps, first = keys[order], fps[order], first[order]
-    table = np.stack([np.bitwise_count(fps ^ p).astype(np.int16) for p in _pivots[1:]])
+def links_within(keys: np.ndarray, fps: np.ndarray, pivots: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links between fingerprints of equal keys; pivots: a row each of ``pivot_table``."""
+    order = np.lexsort((pivots[:, 0], keys))
+    keys, fps, table = keys[order], fps[order], pivots[order].astype(np.int16).T
+    first, table = table[0], table[1:]
     forest = _Forest(len(fps))
     a, b = [], []
     at = np.arange(len(fps))
@@ -130,10 +143,10 @@ def links_within(keys: np.ndarray, fps: np.ndarray, bits: int = BITS) -> tuple[n
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _refined(fps: np.ndarray, free: list[int], bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _refined(fps: np.ndarray, pivots: np.ndarray, free: list[int], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links inside a large group whose members may differ in the bits ``free`` only."""
     if len(fps) <= REFINE or len(free) < 4 * 4:
-        return links_within(np.zeros(len(fps), dtype=np.int64), fps, bits)
+        return links_within(np.zeros(len(fps), dtype=np.int64), fps, pivots, bits)
     a, b = [], []
     for k in range(4):
         part = free[k * len(free) // 4 : (k + 1) * len(free) // 4]
@@ -145,14 +158,14 @@ def _refined(fps: np.ndarray, free: list[int], bits: int) -> tuple[np.ndarray, n
         small = []
         for group in np.split(order, cuts):
             if len(group) > REFINE:
-                x, y = _refined(fps[group], rest, bits)
+                x, y = _refined(fps[group], pivots[group], rest, bits)
                 a.append(x)
                 b.append(y)
             elif len(group) > 1:
                 small.append(group)
         if small:
             picked = np.concatenate(small)
-            x, y = links_within(values[picked].view(np.int64), fps[picked], bits)
+            x, y = links_within(values[picked].view(np.int64), fps[picked], pivots[picked], bits)
             a.append(x)
             b.append(y)
     none = fps[:0]
@@ -175,20 +188,20 @@ TABLES = _tables()
 
 
 def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (table, masked, fp) ordered by the first two; whole groups at a time."""
+    """Rows (table, masked, fp, pivots) ordered by the first two; whole groups at a time."""
 
-    def solve(t: np.ndarray, m: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+    def solve(t: np.ndarray, m: np.ndarray, f: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
         edge = np.concatenate(([True], (t[1:] != t[:-1]) | (m[1:] != m[:-1])))
         group = np.cumsum(edge) - 1
         size = np.bincount(group)
         a, b = [], []
         small = (size[group] > 1) & (size[group] <= REFINE)
         if small.any():
-            x, y = links_within(group[small], f[small])
+            x, y = links_within(group[small], f[small], d[small])
             a, b = [x], [y]
         for g in np.flatnonzero(size > REFINE).tolist():
             rows = group == g
-            x, y = _refined(f[rows], TABLES[int(t[rows][0])][1], BITS)
+            x, y = _refined(f[rows], d[rows], TABLES[int(t[rows][0])][1], BITS)
             a.append(x)
             b.append(y)
         none = f[:0]
@@ -200,24 +213,25 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+        pivots = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, PIVOTS)
+        held.append([*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), pivots])
         count += batch.num_rows
         if count >= HELD:
-            t, m, f = (np.concatenate(c) for c in zip(*held, strict=True))
+            t, m, f, d = (np.concatenate(c) for c in zip(*held, strict=True))
             last = int(np.flatnonzero((t == t[-1]) & (m == m[-1]))[0])
             if last:
-                yield solve(t[:last], m[:last], f[:last].view(np.uint64))
-            held, count = [[t[last:], m[last:], f[last:]]], (len(t) - last) // 2
+                yield solve(t[:last], m[:last], f[:last].view(np.uint64), d[:last])
+            held, count = [[t[last:], m[last:], f[last:], d[last:]]], (len(t) - last) // 2
     if held:
-        t, m, f = (np.concatenate(c) for c in zip(*held, strict=True))
-        yield solve(t, m, f.view(np.uint64))
+        t, m, f, d = (np.concatenate(c) for c in zip(*held, strict=True))
+        yield solve(t, m, f.view(np.uint64), d)
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints that keep all components."""
+def links(table: DataFrame) -> DataFrame:
+    """(a, b): links between distinct fingerprints (fp, pivots) that keep all components."""
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
     spots = F.array(*[F.struct(F.lit(i).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("m")) for i, (m, _) in enumerate(TABLES)])
-    rows = distinct.select("fp", F.explode(spots).alias("s")).select("s.t", "s.m", "fp")
+    rows = table.select("fp", "pivots", F.explode(spots).alias("s")).select("s.t", "s.m", "fp", "pivots")
     dealt = rows.repartition("t", "m").sortWithinPartitions("t", "m")
     return dealt.mapInArrow(_link_groups, "a bigint, b bigint").distinct()
 
@@ -226,7 +240,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     """One row per document: doc_id, fp, component_id (the smallest id reachable)."""
     fps = stage_table(fingerprints(docs, text, doc_id, shingle), "fingerprints")
     distinct = stage_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    tied = components(links(distinct.select("fp")))
+    tied = components(links(stage_table(with_pivots(distinct), "pivot-table")))
     known = distinct.join(tied, distinct["fp"] == tied["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     known = stage_table(known, "rooted")
     least = stage_table(known.groupBy("root").agg(F.min("least").alias("component_id")), "least-ids")
@@ -241,23 +255,24 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
     with. Of rows that repeat the smallest id one stays. Rows without an id go
     if their group has an id, and all stay if it has none.
     """
+    gone, print_ = apart(docs, "drop", "fp")
     groups = stage_table(near_groups(docs, text, doc_id, shingle), "groups")
     facts = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("component_id")).alias("drop"))
     facts = stage_table(facts, "group-facts")
-    drop = stage_table(facts.filter("drop").select(F.col("doc_id").alias("_drop")), "dropped")
-    out = docs.join(drop, F.col(doc_id).cast("long") == F.col("_drop"), "left_anti")
+    drop = stage_table(facts.filter("drop").select(F.col("doc_id").alias(gone)), "dropped")
+    out = docs.join(drop, F.col(doc_id) == F.col(gone), "left_anti")
     if facts.filter("doc_id IS NOT NULL AND NOT drop AND n > 1").limit(1).count():
         out = out.dropDuplicates([doc_id])
     if not facts.filter("doc_id IS NULL").count():
         return out
-    nameless = groups.filter("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias("_fp")).distinct()
+    nameless = groups.filter("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias(print_)).distinct()
     without = docs.filter(F.col(doc_id).isNull())
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([simhash(t, shingle) for t in b.column(columns.index(text)).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*columns, "_fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*columns, print_])
 
-    marked = without.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
-    return out.filter(F.col(doc_id).isNotNull()).unionByName(marked.join(nameless, "_fp", "left_semi").select(*columns))
+    marked = without.mapInArrow(run, StructType([*docs.schema.fields, StructField(print_, LongType())]))
+    return out.filter(F.col(doc_id).isNotNull()).unionByName(marked.join(nameless, print_, "left_semi").select(*columns))
