@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossaflow.llm.columns import apart
 from glossaflow.plans.scratch import stage_table
 
 NEW = ("n_lines", "n_dropped", "kept_text")
@@ -50,21 +51,22 @@ def line_hashes(lines: Column, min_chars: int) -> Column:
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All columns of ``docs`` plus n_lines, n_dropped and kept_text, which replace columns so named."""
     body = F.coalesce(F.col(text), F.lit(""))
-    row = [F.xxhash64(F.lit(1), F.col(doc_id), body).alias("_r1"), F.xxhash64(F.lit(2), body, F.col(doc_id)).alias("_r2")]
+    r1, r2, drop = apart(docs, "r1", "r2", "drop")
+    row = [F.xxhash64(F.lit(1), F.col(doc_id), body).alias(r1), F.xxhash64(F.lit(2), body, F.col(doc_id)).alias(r2)]
     hashed = stage_table(docs.select(*row, line_hashes(F.split(body, "\n"), min_chars).alias("hashes")), "line-hashes")
 
     seen = hashed.select(F.explode(F.array_distinct("hashes")).alias("h")).filter("h is not null")
     common = stage_table(seen.groupBy("h.a", "h.b").count().filter(F.col("count") >= min_docs).select("a", "b"), "common-lines")
 
-    lines = hashed.select("_r1", "_r2", F.posexplode("hashes").alias("pos", "h")).filter("h is not null").select("_r1", "_r2", "pos", "h.a", "h.b")
-    drops = lines.join(common, ["a", "b"]).groupBy("_r1", "_r2").agg(F.collect_set("pos").alias("_drop"))
+    lines = hashed.select(r1, r2, F.posexplode("hashes").alias("pos", "h")).filter("h is not null").select(r1, r2, "pos", "h.a", "h.b")
+    drops = lines.join(common, ["a", "b"]).groupBy(r1, r2).agg(F.collect_set("pos").alias(drop))
 
-    out = docs.select("*", *row).join(drops, ["_r1", "_r2"], "left")
+    out = docs.select("*", *row).join(drops, [r1, r2], "left")
     parts = F.split(body, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(drop))
     return out.select(
         *[out[c] for c in docs.columns if c not in NEW],
         F.size(parts).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("_drop").isNull(), body).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")).alias("kept_text"),
+        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col(drop).isNull(), body).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")).alias("kept_text"),
     )

@@ -10,7 +10,8 @@ The fit uses at most ``SAMPLE`` labelled rows, those of the smallest hash of
 their id; scores cover all rows and whole texts.
 
 Defined cases: a null text is empty, and an empty text is scored as one without
-features; ids with several labels take the largest; labels of unknown documents
+features; rows without an id are scored, never learned from and not held out;
+repeated rows have equal scores, a row each; ids with several labels take the largest; labels of unknown documents
 and null labels are not used; if the sample has one class or none, every score
 is that class's smoothed share, or a half.
 """
@@ -177,7 +178,7 @@ def add_scores(docs: DataFrame, model: Model, text: str = "text", doc_id: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     out = docs.select(doc_id, text).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, score double")
-    return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

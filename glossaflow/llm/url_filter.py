@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossaflow.llm.columns import apart
 from glossaflow.plans.scratch import stage_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,8 +53,9 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     labels, lengths = shape["labels"], shape["lengths"]
 
-    cut = out.withColumn("_cut", F.left("path", F.lit(max(lengths))))
-    urls = cut.filter("host <> ''").select("host", "_cut").distinct()
+    short, rule, verdict = apart(out, "cut", "rule", "verdict")
+    cut = out.withColumn(short, F.left("path", F.lit(max(lengths))))
+    urls = cut.filter("host <> ''").select("host", F.col(short).alias("_cut")).distinct()
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels))), lambda k: F.array_join(F.slice(parts, -k, k), "."))
     prefixes = F.filter(F.array(*[F.when(F.length("_cut") >= n, F.left("_cut", F.lit(n))) for n in lengths]), lambda p: p.isNotNull())
@@ -72,7 +74,7 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     )
     # Staged, the verdicts have a known size: small ones are sent out, and for
     # large ones a hot host's pages can be split in the join.
-    best = stage_table(best.select("host", "_cut", F.col("_best.rule").alias("_rule"), F.col("_best.rule_verdict").alias("_verdict")), "url-verdicts")
-    return cut.join(best, ["host", "_cut"], "left").select(
-        *[c for c in out.columns if c not in ("rule", "verdict")], F.col("_rule").alias("rule"), F.coalesce("_verdict", F.lit(default)).alias("verdict")
+    best = stage_table(best.select("host", F.col("_cut").alias(short), F.col("_best.rule").alias(rule), F.col("_best.rule_verdict").alias(verdict)), "url-verdicts")
+    return cut.join(best, ["host", short], "left").select(
+        *[c for c in out.columns if c not in ("rule", "verdict")], F.col(rule).alias("rule"), F.coalesce(verdict, F.lit(default)).alias("verdict")
     )

@@ -123,6 +123,24 @@ def test_winnowing_defined_cases(spark):
     twice = docs_of(spark, ["a b c d e f"]).unionByName(docs_of(spark, ["g h i", None]))
     nulls = twice.unionByName(twice.withColumn("doc_id", F.lit(None).cast("long")))
     assert winnow.compare_with_next(nulls).count() == 6
+    named = docs_of(spark, ["one text", "two texts", None]).select(F.concat(F.lit("k"), F.lit(9) - F.col("doc_id")).alias("doc_id"), "text")
+    got = {r["doc_id"]: r["n_chars"] for r in winnow.compare_with_next(named).collect()}
+    assert got == {"k9": 8, "k8": 9, "k7": 0}
+
+
+@pytest.mark.parametrize("ids", [[None] * 40, [5] * 40, [1, 2, 3, None] * 10, [2**62 + k // 20 for k in range(40)]])
+def test_winnowing_splits_rows_of_one_id(spark, ids):
+    texts = [f"text number {k} of some length" for k in range(40)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(((winnow._LOWEST if r["doc_id"] is None else r["doc_id"], r["h"], r["text"]) for r in rows))
+    want = Counter()
+    for k, (_, _, t) in enumerate(order):
+        following = order[(k + 1) % 40][2]
+        want[hashlib.sha256(winnow.edited(t, following).encode()).hexdigest()] += 1
+    out = winnow.compare_with_next(docs, groups=8)
+    assert Counter(r["edited_sha256"] for r in out.collect()) == want
+    assert out.withColumn("p", F.spark_partition_id()).groupBy("p").count().count() > 3
     assert winnow.likeness(np.array([]), np.array([1])) == 0.0
     assert winnow.fingerprints(docs_of(spark, ODD)).count() == len(ODD)
 
@@ -205,6 +223,17 @@ def test_line_dedup(spark):
     assert got[0]["pos"] == 1
 
 
+def test_working_columns_meet_no_others(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/x", "mine", 2, 3)], "page_id int, url string, _cut string, _rule int, _verdict int")
+    r = url_filter.apply_rules(pages, spark.createDataFrame([("com", "/en/", "block")], url_filter.RULE_SCHEMA)).first()
+    assert (r["_cut"], r["_rule"], r["_verdict"], r["rule"], r["verdict"]) == ("mine", 2, 3, "com/en/", "block")
+    docs = spark.createDataFrame([(k, "same\nx", "a", "b", "c") for k in range(10)], "doc_id bigint, text string, _r1 string, _r2 string, _drop string")
+    out = line_dedup.drop_common_lines(docs)
+    assert {(r["_r1"], r["_r2"], r["_drop"], r["n_dropped"]) for r in out.collect()} == {("a", "b", "c", 2)}
+    scored = quality.add_scores(docs_of(spark, ["t"]).withColumn("doc_id", F.lit(None).cast("long")), quality.fit([], np.array([])))
+    assert scored.first()["held_out"] is False
+
+
 def test_line_dedup_defined_cases(spark):
     same = docs_of(spark, ["shared\nown"] * 10).withColumn("doc_id", F.lit(None).cast("long"))
     assert {r["kept_text"] for r in line_dedup.drop_common_lines(same).collect()} == {""}
@@ -306,6 +335,36 @@ def test_pii_added_spans():
     assert spans["call 555-123-4567"] == ["local_phone"] and spans[None] == spans[""] == []
 
 
+def test_pii_context_on_both_sides_and_secrets():
+    kinds = lambda t: [k for k, *_ in pii.find_spans(t)]
+    assert kinds("123-45-6789 is my ssn") == ["ssn"] and kinds("555-123-4567 is my phone") == ["local_phone"]
+    assert kinds("123-45-6789" + " x" * 30 + " ssn") == []
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert kinds(f'token = "{key}" th') == ["secret"] and kinds(f"commit {key} th") == [] and kinds(f"commit {key} key") == []
+    assert kinds("key " + "a1" * 20) == [] and kinds("key " + "abcdefghij" * 3) == [] and kinds("api key: Zx9/Kq3vB7tLw2RmN8sY== ok") == ["secret"]
+
+
+def test_pii_recall_of_planted_added_kinds():
+    rng = random.Random(18)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("aeioustrnl") for _ in range(rng.randint(2, 9)))
+    made = {
+        "iban": lambda: (_iban(rng.choice(["DE", "GB", "NO"]), digits(rng.choice([14, 18]))), ["iban", "bank", ""]),
+        "ssn": lambda: (f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", ["ssn", "social"]),
+        "local_phone": lambda: (f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{digits(4)}", ["phone", "call", "tel"]),
+        "secret": lambda: ("".join(rng.choice("0123456789abcdef") for _ in range(40)), ["token", "key", "password"]),
+    }
+    for kind, make in made.items():
+        caught = 0
+        for _ in range(200):
+            span, context = make()
+            near, other = rng.choice(context), " ".join(word() for _ in range(3))
+            parts = [near, other, span] if rng.random() < 0.5 else [span, other, near]
+            text = " ".join([*(word() for _ in range(20)), *parts, *(word() for _ in range(20))])
+            caught += any(k == kind and text[a:b] == span for k, a, b, _ in pii.find_spans(text))
+        assert caught >= 190, (kind, caught)
+
+
 def _iban(country, rest):
     """A valid IBAN: the check digits that mod-97 asks for."""
     value = int("".join(str(int(c, 36)) for c in rest + country + "00"))
@@ -692,9 +751,9 @@ def test_simhash_links_inside_large_groups(monkeypatch):
             out.append(i)
         return out
 
-    assert grouped(*simhash.links_within(np.zeros(len(xs), np.int64), xs)) == want
+    assert grouped(*simhash.links_within(np.zeros(len(xs), np.int64), xs, simhash.pivot_table(xs))) == want
     monkeypatch.setattr(simhash, "REFINE", 30)
-    a, b = simhash._refined(xs, list(range(64)), 3)
+    a, b = simhash._refined(xs, simhash.pivot_table(xs), list(range(64)), 3)
     assert grouped(a, b) == want and len(a) < 60 * len(xs)
 
 
@@ -712,6 +771,13 @@ def test_simhash_defined_cases(spark):
     assert [r["text"] for r in simhash.keep_one(mixed).collect() if r["doc_id"] is None] == ["quite another text here"]
 
 
+def test_simhash_ids_and_clashing_names(spark):
+    docs = spark.createDataFrame([("b", "x y z", 1, 2), ("a", "x  Y z", 1, 2), ("c", "other words here", 1, 2), (None, "p q r", 1, 2)], "doc_id string, text string, _drop int, _fp int")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()} == {"a": "a", "b": "a", "c": "c", None: None}
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {"a", "c", None}
+
+
 # 10 -----------------------------------------------------------------------------------------
 
 
