@@ -25,6 +25,7 @@ def _translated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("translated", F.coalesce("translated", F.lit("")))
 
 
+# The messages and types of issues, here and below.
 def empty_translation(rows: DataFrame) -> DataFrame:
     rows = _translated(rows).filter(T.is_blank("translated"))
     return issue(rows, "empty_translation", F.lit("译文为空"), F.col("segment_id"))
@@ -37,11 +38,17 @@ def token_counts_json(c: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(F.array_distinct(found), lambda t: F.concat(F.lit('"'), t, F.lit('": '), count(t).cast("string"))), ", "), F.lit("}"))
 
 
-def placeholder_mismatch(rows: DataFrame) -> DataFrame:
-    rows = _translated(rows).filter(~T.is_blank("translated") & T.token_mismatch("source_text", "translated"))
+def _mismatch() -> tuple[Column, Column]:
+    """Message and meta of texts whose tokens differ."""
     src, dst = token_counts_json(F.col("source_text")), token_counts_json(F.col("translated"))
     meta = F.concat(F.lit('{"source": '), src, F.lit(', "translated": '), dst, F.lit("}"))
-    return issue(rows, "placeholder_mismatch", F.concat(F.lit("占位符不一致：源="), src, F.lit(" 译="), dst), F.col("segment_id"), meta)
+    return F.concat(F.lit("占位符不一致：源="), src, F.lit(" 译="), dst), meta
+
+
+def placeholder_mismatch(rows: DataFrame) -> DataFrame:
+    rows = _translated(rows).filter(~T.is_blank("translated") & T.token_mismatch("source_text", "translated"))
+    message, meta = _mismatch()
+    return issue(rows, "placeholder_mismatch", message, F.col("segment_id"), meta)
 
 
 def same_as_source(rows: DataFrame) -> DataFrame:
@@ -54,6 +61,26 @@ def term_inconsistency(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return issue(found, "term_inconsistency", F.concat(F.lit("强制术语未遵守: "), "source", F.lit(" -> "), "target"), F.col("segment_id"))
 
 
+def segment_issues(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """The four checks of segments and their translations, in one pass over them but for forced terms."""
+    none = F.lit(None).cast("string")
+
+    def found(order: int, kind: str, message: Column, meta: Column = none) -> Column:
+        return F.struct(F.lit("error").alias("severity"), F.lit(kind).alias("issue_type"), message.alias("message"), meta.alias("meta"), F.lit(order).alias("check_order"))
+
+    rows = _translated(rows)
+    judged = rows.withColumns({"_blank": T.is_blank("translated"), "_differ": T.token_mismatch("source_text", "translated"), "_why": T.unchanged_message("source_text", "translated")})
+    full = ~F.col("_blank")
+    issues = F.array(
+        F.when(F.col("_blank"), found(0, "empty_translation", F.lit("译文为空"))),
+        F.when(full & F.col("_differ"), found(1, "placeholder_mismatch", *_mismatch())),
+        F.when(full & F.col("_why").isNotNull(), found(2, "same_as_source", F.col("_why"))),
+    )
+    own = judged.select(F.col("segment_id").cast("string").alias("segment_id"), F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("i"))
+    own = own.select("segment_id", "i.severity", "i.issue_type", "i.message", "i.meta", "i.check_order")
+    return own.unionByName(term_inconsistency(rows, terms).select(*COLUMNS).withColumn("check_order", F.lit(3)))
+
+
 def poetry_line_mismatch(tasks: DataFrame, translations: DataFrame) -> DataFrame:
     """tasks: node_task_id, poetry_line_count; translations: node_task_id, text."""
     got = T.line_count("text")
@@ -105,8 +132,9 @@ def runtime_failure(failed: DataFrame) -> DataFrame:
 
 
 def all_issues(*checks: DataFrame) -> DataFrame:
-    """Issues of all checks, in the order of the checks."""
-    return reduce(DataFrame.unionByName, [c.select(*COLUMNS).withColumn("check_order", F.lit(i)) for i, c in enumerate(checks)])
+    """Issues of all checks, in the order of the checks; those that have an order of their own come first in it."""
+    numbered = [c if "check_order" in c.columns else c.select(*COLUMNS).withColumn("check_order", F.lit(i + 4)) for i, c in enumerate(checks)]
+    return reduce(DataFrame.unionByName, numbered)
 
 
 def type_counts(issues: DataFrame) -> DataFrame:

@@ -162,3 +162,8 @@ def merge_chunks(segments: DataFrame, texts: DataFrame, node: list[str], segment
     parts = segments.join(texts, segment, "left").groupBy(*node)
     parts = parts.agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.coalesce("text", F.lit("")).alias("text")))).alias("parts"))
     return parts.select(*node, F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
+
+
+def with_texts(tasks: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Tasks that have a translation, each once, however many rows of texts it has."""
+    return tasks.join(texts.select(*keys), keys, "left_semi")

@@ -6,10 +6,9 @@ import json
 from collections.abc import Iterator
 
 import ahocorasick
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from glossaflow.functions import text as T
 from glossaflow.functions.masking import phrases_column
@@ -49,34 +48,33 @@ def _finder(words: list[str]):
     return lambda text: {w for _, w in machine.iter(text)}
 
 
-def term_hits(rows: DataFrame, terms: DataFrame, text: str = "source_text") -> DataFrame:
-    """Rows joined with each term whose source their text contains, in any case.
+def found_terms(text: Column, terms: DataFrame) -> Column:
+    """array<string>: the lower-cased sources of terms that a text contains, in any case.
 
-    The containment join runs as one pass of a multi-pattern automaton over
-    each text. Terms are taken in blocks of ``BLOCK_CHARS``, which bounds what
-    is sent out; what the pass finds is joined with the terms by equality.
+    One pass of a multi-pattern automaton over each text, which alone goes to
+    the task's Python and doesn't come back. Terms are taken in blocks of
+    ``BLOCK_CHARS``, which bounds what is sent out; each block is a pass.
     """
-    spark = rows.sparkSession
-    schema = StructType([*rows.schema.fields, StructField("_found", StringType())])
-    low = rows.withColumn("_low", F.lower(text))
-    out = None
-    for block in _blocks(terms):
+    spark = terms.sparkSession
+
+    def finder(block: list[str]):
         shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            find = _finder(shared.value)
-            for b in batches:
-                keep, found = [], []
-                for i, t in enumerate(b.column(len(schema) - 1).to_pylist()):
-                    hits = sorted(find(t)) if t else ()
-                    keep += [i] * len(hits)
-                    found += hits
-                taken = b.take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*taken.columns[:-1], pa.array(found, pa.string())], names=schema.names)
-
-        hits = low.mapInArrow(run, schema)
-        out = hits if out is None else out.unionByName(hits)
-    return out.join(terms.withColumn("_found", F.lower("source")), "_found").drop("_found")
+        @F.pandas_udf("array<string>")
+        def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            hits = _finder(shared.value)
+            for s in texts:
+                yield pd.Series([sorted(hits(t)) if t else [] for t in s], dtype=object)
+
+        return find(F.lower(text))
+
+    return F.concat(*[finder(block) for block in _blocks(terms)])
+
+
+def term_hits(rows: DataFrame, terms: DataFrame, text: str = "source_text") -> DataFrame:
+    """Rows joined with each term whose source their text contains, in any case: an equality join."""
+    hits = rows.withColumn("_found", F.explode(found_terms(F.col(text), terms)))
+    return hits.join(terms.withColumn("_found", F.lower("source")), "_found").drop("_found")
 
 
 def batch_hits(hits: DataFrame, batch: list[str]) -> DataFrame:

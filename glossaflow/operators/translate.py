@@ -44,6 +44,13 @@ class MockProvider:
         return drafts
 
 
+class MockReviser(MockProvider):
+    """Puts another mark before each draft: a second stand-in, to tell the steps of a plan apart."""
+
+    def revise(self, rows: list[dict], drafts: dict[str, str], hits: list[dict]) -> dict[str, str]:
+        return {i: f"[校]{text}" for i, text in drafts.items()}
+
+
 class MixedProvider:
     """Drafts by one provider, revisions by another, or by none."""
 
@@ -59,7 +66,7 @@ class MixedProvider:
 
 
 Build = Callable[[str, Settings], Provider]
-PROVIDERS: dict[str, Build] = {"mock": lambda model, settings: MockProvider()}
+PROVIDERS: dict[str, Build] = {"mock": lambda model, settings: MockProvider(), "mock-reviser": lambda model, settings: MockReviser()}
 PROVIDERS |= {name: partial(chat.service_provider, name) for name in chat.SERVICES}
 
 # What the steps of the mixed provider and of the pure translator are where nothing is said.
@@ -264,6 +271,20 @@ def run_counts(states: DataFrame) -> DataFrame:
     )
 
 
+def with_candidates(segments: DataFrame, drafts: DataFrame, revisions: DataFrame, keys: list[str]) -> DataFrame:
+    """Segments with the draft and the revision of each, empty where there is none.
+
+    drafts: keys, draft; revisions: keys, revised. Both are keyed tables, so no segment is doubled.
+    """
+    out = segments.join(drafts, keys, "left").join(revisions, keys, "left")
+    return out.withColumns({"draft": F.coalesce("draft", F.lit("")), "revised": F.coalesce("revised", F.lit(""))})
+
+
+def failed_ids(results: DataFrame, key: str = "segment_id") -> DataFrame:
+    """Each id that has a failed call, once."""
+    return results.filter("error IS NOT NULL").select(key).distinct()
+
+
 def exit_code(passed: bool | None, cancelled: bool = False, failed: bool = False) -> int:
     """0: gate passed, 2: not passed, 1: failed, 130: cancelled."""
     return 130 if cancelled else 1 if failed else 0 if passed else 2

@@ -80,6 +80,47 @@ _FIRST_TWO = "split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)"
 _FIRST_WORD = "regexp_extract(text, '^[^ \\t\\n\\r\\x0b\\f]*')"
 _LIST = "list(struct_pack(turn := turn, h := {}) ORDER BY turn)"
 
+_TASK_LINE = r"""regexp_replace(line, '(?:https?://\\S+|mailto:\\S+)|[0-9]{1,3}(?:,[0-9]{3})*(?:\\.[0-9]+)?(?:st|nd|rd|th)?|[0-9]+', '', 'g')"""
+#: Lines of documents that make a task: what is left of them without numbers and addresses is not blank.
+LINES = f"""
+l AS (SELECT CAST(doc_id AS VARCHAR) AS book, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+p AS (SELECT book, count(*) FILTER (WHERE {_strip(_TASK_LINE)} <> '') AS n FROM l GROUP BY book)
+"""
+
+_WORD = "[A-Za-z][A-Za-z''’-]*|[A-Z]{2,}"
+_CONNECTOR = "('of', 'the', 'and', 'de', 'von', 'van', 'la', 'le', 'di', 'da', 'du')"
+_STOP = "('the', 'a', 'an', 'in', 'on', 'at', 'for', 'to', 'from', 'and', 'but', 'or', 'nor', 'yet', 'so', 'he', 'she', 'it', 'they', 'we', 'i', 'this', 'that', 'these', 'those', 'chapter', 'book', 'part')"
+_UPPER = "({0} = upper({0}) AND regexp_matches({0}, '[A-Z]'))"
+
+
+def _mined(single: bool) -> str:
+    """Capitalised runs of words: stretches of capitals and connectors from their first capital on, trimmed at both ends."""
+    alone = f"lower(phrase) NOT IN {_STOP}" if single else f"{_UPPER.format('phrase')} AND lower(phrase) NOT IN {_STOP}"
+    return f"""
+s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[\n\r.!?;:]+')) AS sentence, generate_subscripts(regexp_split_to_array(text, '[\n\r.!?;:]+'), 1) AS k FROM documents WHERE length({_strip('text')}) >= 2),
+w AS (SELECT doc_id, k, unnest(regexp_extract_all(sentence, '{_WORD}')) AS word, generate_subscripts(regexp_extract_all(sentence, '{_WORD}'), 1) AS i FROM s),
+c AS (SELECT *, length(word) >= 2 AND ({_UPPER.format('word')} OR regexp_matches(word, '^[A-Z]') AND regexp_matches(substr(word, 2), '[A-Za-z]')) AS cap, lower(word) IN {_CONNECTOR} AS conn FROM w),
+b AS (SELECT *, sum(CASE WHEN cap OR conn THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, k ORDER BY i) AS stretch FROM c),
+r AS (SELECT doc_id, k, stretch, list(word ORDER BY i) AS ws, list(cap ORDER BY i) AS cs, list(conn ORDER BY i) AS ns FROM b WHERE cap OR conn GROUP BY doc_id, k, stretch),
+e AS (SELECT *, list_position(cs, true) AS first, (SELECT max(j) FROM unnest(range(1, len(ns) + 1)) AS t(j) WHERE NOT ns[j]) AS last FROM r WHERE list_contains(cs, true)),
+t AS (SELECT *, (SELECT min(j) FROM unnest(range(first, last + 1)) AS t(j) WHERE lower(ws[j]) NOT IN ('the', 'a', 'an') OR j = last) AS start FROM e WHERE last >= first),
+f AS (SELECT array_to_string(ws[start:last], ' ') AS phrase, last - start + 1 AS n FROM t),
+found AS (SELECT phrase, count(*) AS freq FROM f WHERE length(phrase) >= 3 AND NOT regexp_full_match(phrase, '[IVXLCDM]+') AND (n > 1 OR {alone}) GROUP BY phrase),
+top AS (SELECT * FROM found WHERE freq >= 2 ORDER BY freq DESC, length(phrase) DESC, phrase LIMIT 300)
+"""
+
+
+#: Texts cut to pieces of 1200 code points at most: c (doc_id, n, piece). After each cut white space is passed over.
+_CHUNKS = f"""
+c AS (SELECT doc_id, 0 AS n, CAST(NULL AS VARCHAR) AS piece, text AS rest, length(text) <= 1200 AS whole FROM documents
+  UNION ALL SELECT doc_id, n + 1,
+    CASE WHEN length(rest) <= 1200 THEN rest WHEN {_strip("left(rest, cut)")} = '' THEN left(rest, 1200) ELSE {_strip("left(rest, cut)")} END,
+    CASE WHEN length(rest) > 1200 THEN ltrim(substr(rest, 1 + CASE WHEN {_strip("left(rest, cut)")} = '' THEN 1200 ELSE cut END), {_SPACES}) END, false
+  FROM (SELECT *, coalesce(nullif(length(regexp_extract(left(rest, 1200), '(?s)^(.*[。！？.!?;；:：])\\s', 1)), 0),
+      nullif(CASE WHEN strpos(reverse(left(rest, 1200)), ' ') > 0 AND strpos(reverse(left(rest, 1200)), ' ') < least(1200, length(rest)) THEN least(1200, length(rest)) + 1 - strpos(reverse(left(rest, 1200)), ' ') ELSE 0 END, 0), 1200) AS cut
+    FROM c WHERE rest IS NOT NULL AND (rest <> '' OR n = 0)))
+"""
+
 _STYLE = """CASE doc_id % 6 WHEN 0 THEN 'faithful_fluent' WHEN 1 THEN 'literary_cn' WHEN 2 THEN 'concise_cn' ELSE 'faithful_literal' END"""
 
 ORACLES = {
@@ -163,4 +204,25 @@ ORACLES = {
     "reply_check": "SELECT conv_id AS batch_key, CASE conv_id % 4 WHEN 2 THEN 'duplicate id' WHEN 3 THEN CASE WHEN count(*) > 0 THEN CASE WHEN count(*) = 1 THEN 'id/translated_text missing' ELSE 'ids mismatch' END END END AS error FROM conversations GROUP BY conv_id",
     "run_counts": f"""WITH {SEG} SELECT count(*) AS total_segments, count(*) FILTER (WHERE translated <> '') AS translated_segments, count(*) FILTER (WHERE order_index % 3 = 0) AS cached_segments,
         count(DISTINCT CASE WHEN order_index % 3 <> 0 THEN book END) AS llm_calls, count(*) FILTER (WHERE trim(translated, ' ') = chr(10)) AS failed_segments FROM seg""",
+    "provider_run": f"""WITH {SEG} SELECT segment_id, 'MockProvider+MockReviser' AS provider, sha256('[中]' || source_text) AS draft_hash, sha256('[校][中]' || source_text) AS revise_hash, true AS ok FROM seg""",
+    # Every page leaves its meta element open.
+    "parse_failures": "SELECT 'html_parse_fail' AS issue_type, CAST(page_id AS VARCHAR) AS file_path, 'mismatched tag' AS why FROM pages WHERE page_id % 3 <> 0",
+    "toc_snapshot": """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS book, lower(regexp_extract(coalesce(text, ''), '[A-Za-z]{3,}')) AS label FROM documents),
+        h AS (SELECT *, 'ch1.xhtml#' || book || ' ch1.xhtml #' || label AS hrefs FROM d)
+        SELECT book, 'NT_TOC_000001' AS node_task_id, 'ch1.xhtml#' || book AS href, label AS source_text, hrefs FROM h WHERE label <> ''
+        UNION ALL SELECT book, CASE WHEN label = '' THEN 'NT_TOC_000001' ELSE 'NT_TOC_000002' END, 'ch1.xhtml', 'all', hrefs FROM h""",
+    "epub_round_trip": f"""WITH {LINES} SELECT book, 'title' AS segment_type, 1 AS n_tasks, 'NT_000001' AS first_id FROM p
+        UNION ALL SELECT book, 'paragraph', n, 'NT_000002' FROM p WHERE n > 0""",
+    "epub_rewrite": f"WITH {LINES} SELECT book, n AS n_translated, n AS n_paragraphs FROM p WHERE n > 0",
+    "term_freq_topk": f"WITH {_mined(False)} SELECT phrase, freq FROM top",
+    "term_mining": f"""WITH {TERMS}, {_mined(True)} SELECT source, target, force, '' AS note, 0 AS branch FROM terms
+        UNION ALL SELECT phrase, '', false, 'auto-generated; freq=' || CAST(freq AS VARCHAR), 1 FROM top WHERE phrase NOT IN (SELECT source FROM terms)""",
+    "chunk_text": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, count(piece) AS n_chunks, max(length(piece)) AS longest FROM c GROUP BY doc_id",
+    "segments_build": f"""WITH RECURSIVE {_CHUNKS}, p AS (SELECT doc_id AS book, n, piece FROM c WHERE piece IS NOT NULL)
+        SELECT book, CAST(n - 1 AS INTEGER) AS chunk_index, 'S' || lpad(CAST(n AS VARCHAR), 9, '0') AS segment_id, sha256(piece) AS text_hash,
+          sha256(coalesce(right(lag(piece) OVER (PARTITION BY book ORDER BY n), 300), '')) AS context_hash FROM p""",
+    "mask_round_trip": "SELECT doc_id, sha256(text) AS decoded_hash FROM documents",
+    "html_text_nodes": r"""WITH t AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<!DOCTYPE[^>]*>', '', 'g') AS h FROM pages),
+        n AS (SELECT page_id, unnest(regexp_split_to_array(h, '<[^>]*>')) AS x FROM t)
+        SELECT CAST(page_id AS VARCHAR) AS book, count(*) AS n_nodes FROM n WHERE length(trim(x, ' ' || chr(10) || chr(9) || chr(13))) >= 2 GROUP BY page_id""",
 }

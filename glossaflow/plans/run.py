@@ -101,8 +101,9 @@ def _in_waves(batched: DataFrame, make: Callable, in_flight: int | None, store:
 def _files(books: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All files, those in reading order, and the tables of contents."""
     files = stage_table(epub.entries(books).withColumnRenamed("entry", "file_path"), "files")
-    items = epub.manifest(books)
-    order = stage_table(epub.reading_order(items, epub.spine(books)).filter("file_path IS NOT NULL"), "order")
+    rows = stage_table(epub.package(books), "package")
+    items = epub.manifest(rows)
+    order = stage_table(epub.reading_order(items, epub.spine(rows)).filter("file_path IS NOT NULL"), "order")
     toc = epub.nav_file(items).withColumn("kind", F.lit("nav")).unionByName(epub.ncx_file(items).withColumn("kind", F.lit("ncx")))
     return files, order, files.join(toc, ["book", "file_path"])
 
@@ -147,6 +148,7 @@ def translate_books(
         merged = probed.join(done, "segment_id", "left").withColumn("translated", F.coalesce("cached", "revise_text", F.lit("")))
         merged = stage_table(merged.join(batched.select("segment_id", "batch_key"), "segment_id", "left"), "merged")
         run.go_on()
+        run.say(f"{translate.failed_ids(done).count()} segments failed at first")
         repaired = stage_table(translate.repair(merged.select("segment_id", "source_text", "translated"), make, in_flight), "repaired")
         if store:
             store.translations.upsert(repaired.filter("error IS NULL").join(seg.select(*memory.KEY), "segment_id").withColumn("updated_at", F.current_timestamp()))
@@ -173,8 +175,7 @@ def translate_books(
         lines = tasks.select(F.concat_ws("#", "book", "node_task_id").alias("node_task_id"), "poetry_line_count")
         seen = facts(now)
         issues = qa.all_issues(
-            qa.empty_translation(final), qa.placeholder_mismatch(final), qa.same_as_source(final), qa.term_inconsistency(final, known),
-            qa.poetry_line_mismatch(lines, texts.select(F.concat_ws("#", "book", "node_task_id").alias("node_task_id"), "text")), qa.parse_failures(seen),
+            qa.segment_issues(final, known), qa.poetry_line_mismatch(lines, texts.select(F.concat_ws("#", "book", "node_task_id").alias("node_task_id"), "text")), qa.parse_failures(seen),
             qa.broken_links(seen.select("file_path", F.explode("hrefs").alias("href")), seen, seen.select("file_path", F.explode("ids").alias("anchor"))),
             qa.toc_changes(before, after), qa.attribute_changes(facts(was).select("file_path", "signatures"), seen.select("file_path", "signatures")),
         )

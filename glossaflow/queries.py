@@ -197,7 +197,7 @@ def poetry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, known = tagged(spark, sf_dir), term_list(spark, sf_dir)
-    return qa.all_issues(qa.empty_translation(rows), qa.placeholder_mismatch(rows), qa.same_as_source(rows), qa.term_inconsistency(rows, known))
+    return qa.segment_issues(rows, known)
 
 
 def qa_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,18 +268,19 @@ def revise_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     draft = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("draft"))
     revised = turns.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("revised"))
-    rows = turns.filter("role = 'user'").join(draft, ["conv_id", "turn"], "left").join(revised, ["conv_id", "turn"], "left")
-    return rows.select("conv_id", "turn", T.text_hash(F.coalesce("draft", F.lit(""))).alias("draft_hash"), T.text_hash(F.coalesce("revised", F.lit(""))).alias("revised_hash"))
+    rows = translate.with_candidates(turns.filter("role = 'user'"), draft, revised, ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", T.text_hash("draft").alias("draft_hash"), T.text_hash("revised").alias("revised_hash"))
 
 
 def translated_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have a label, each once."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").select("doc_id")
-    return docs.join(labels, "doc_id", "left_semi")
+    return segments.with_texts(docs, labels, ["doc_id"])
 
 
 def failed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").filter("event_type = 'error'").select("user_id").distinct()
+    calls = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") == "error", F.lit("failed")).alias("error"))
+    return translate.failed_ids(calls, "user_id")
 
 
 def segment_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,6 +330,11 @@ def mask_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("m.pairs").alias("n_masked"), T.text_hash("m.text").alias("masked_hash"), T.text_hash(T.decode_tokens("m.text", "m.pairs")).alias("decoded_hash"))
 
 
+def mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text masked and put together again."""
+    return mask_literals(spark, sf_dir).select("doc_id", "decoded_hash")
+
+
 def segments_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text cut, numbered and given its context; a document is a book."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), F.lit(1).alias("order_index"), F.col("text").alias("source_text"))
@@ -352,8 +358,12 @@ def html_text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(F.lit("site").alias("book"), F.col("url").alias("file_path"), F.col("html").cast("binary").alias("content"))
-    return qa.parse_failures(epub.file_facts(pages)).select("issue_type", "message")
+    """Pages as they are, and every third as well-formed XML: the files that fail, and what the parser says first."""
+    title = F.concat(F.lit("<html><title>"), F.col("page_id").cast("string"), F.lit("</title></html>"))
+    content = F.when(F.col("page_id") % 3 == 0, title).otherwise(F.col("html"))
+    pages = table(spark, sf_dir, "pages").select(F.lit("site").alias("book"), F.col("page_id").cast("string").alias("file_path"), content.cast("binary").alias("content"))
+    failed = F.split("message", ": ")
+    return qa.parse_failures(epub.file_facts(pages)).select("issue_type", failed[0].alias("file_path"), failed[1].alias("why"))
 
 
 def epub_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,8 +372,12 @@ def epub_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     safe = F.regexp_replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
     paragraphs = F.concat(F.lit("<p>"), F.replace(safe, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
     chapter = F.concat(F.lit('<html xmlns="http://www.w3.org/1999/xhtml"><head><title>T</title></head><body><section id="s1">'), paragraphs, F.lit("</section></body></html>"))
+    label = F.lower(F.regexp_extract("text", "[A-Za-z]{3,}", 0))
     container = F.lit('<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf"/></rootfiles></container>')
-    nav = F.lit('<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><ol><li><a href="ch1.xhtml#s1">One</a></li></ol></nav></body></html>')
+    nav = F.concat(
+        F.lit('<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><ol><li><a href="ch1.xhtml#'), "book",
+        F.lit('">'), label, F.lit('</a></li><li><a href="ch1.xhtml">all</a></li></ol></nav><nav><a href="#'), label, F.lit('">x</a></nav></body></html>'),
+    )
     package = F.lit(
         '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="nav" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/>'
         '<item id="c1" href="ch1.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="c1"/><itemref idref="gone"/></spine></package>'
@@ -376,7 +390,8 @@ def epub_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def epub_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives made of all documents, read back in reading order: tasks per book."""
     books = stage_table(epub.pack(epub_files(spark, sf_dir)), "books")
-    order = epub.reading_order(epub.manifest(books), epub.spine(books))
+    rows = stage_table(epub.package(books), "package")
+    order = epub.reading_order(epub.manifest(rows), epub.spine(rows))
     files = epub.entries(books).withColumnRenamed("entry", "file_path")
     chapters = files.join(order.select("book", "file_path"), ["book", "file_path"], "left_semi")
     tasks = epub.node_tasks(epub.nodes(chapters), order)
@@ -392,17 +407,18 @@ def epub_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toc_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and links of each archive's table of contents; documents without a word have one label less."""
     nav = epub_files(spark, sf_dir).filter("entry = 'OEBPS/nav.xhtml'").withColumns({"kind": F.lit("nav"), "file_path": F.col("entry")})
     items = epub.toc_tasks(epub.toc_rows(nav)).select("book", "node_task_id", "href", "source_text")
-    return items.join(epub.toc_hrefs(nav), "book")
+    return items.join(epub.toc_hrefs(nav).select("book", F.array_join("hrefs", " ").alias("hrefs")), "book")
 
 
 def provider_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole way: batches, provider calls with retries, then the chosen text."""
+    """The whole way: batches, calls of one provider for drafts and another for revisions, then the chosen text."""
     rows = tagged(spark, sf_dir).withColumn("chars", F.length("source_text")).select("book", "order_index", "segment_id", "source_text", "chars")
     batches = segments.greedy_batches(rows, "book", "order_index", "chars")
     batches = batches.withColumns({"batch_key": F.concat_ws("/", "book", F.col("batch_no").cast("string")), "hits": F.lit("[]")})
-    done = translate.translate(batches)
+    done = translate.translate(batches, translate.plan("mixed", draft="mock", revise="mock-reviser"))
     return done.select("segment_id", "provider", T.text_hash("draft_text").alias("draft_hash"), T.text_hash("revise_text").alias("revise_hash"), F.col("error").isNull().alias("ok"))
 
 
@@ -413,7 +429,7 @@ QUERIES = {
         candidate_choice, repair_tokens, decode_tokens, term_hits, term_inconsistency, batch_term_hits, format_term, normalise_targets,
         fill_outcomes, new_terms_anti, term_freq_topk, term_mining, cache_probe, tm_upsert, greedy_batches, prev_context, merge_chunks,
         poetry_lines, qa_issues, qa_type_counts, qa_gate, link_break, toc_changes, attribute_changes, task_union, node_ids, revise_join,
-        translated_tasks, failed_ids, segment_types, class_filter, style_guides, reply_check, run_counts, link_targets, mask_literals,
+        translated_tasks, failed_ids, segment_types, class_filter, style_guides, reply_check, run_counts, link_targets, mask_literals, mask_round_trip,
         segments_build, chunk_text, html_nodes, html_text_nodes, parse_failures, epub_round_trip, epub_rewrite, toc_snapshot, provider_run,
     )
 }

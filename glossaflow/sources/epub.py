@@ -22,10 +22,10 @@ from glossaflow.functions.masking import PAIRS, mask_text_column
 from glossaflow.sources import markup
 
 CONTAINER = "META-INF/container.xml"
+FRAME_ROWS, FRAME_BYTES = 5_000, 16 << 20
 NCX_TYPE = "application/x-dtbncx+xml"
 ENTRY = "book string, entry string, content binary"
 MANIFEST = "book string, pos int, item_id string, href string, media_type string, properties string, opf_dir string, toc_id string"
-SPINE = "book string, pos int, idref string"
 NODE = f"book string, file_path string, order_in_file int, node_selector string, tag string, classes string, footnote boolean, source_text string, pairs {PAIRS}"
 TOC = "book string, file_path string, pos int, href string, label_text string, node_selector string, kind string"
 
@@ -36,12 +36,21 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _each(books: DataFrame, columns: list[str], schema: str, rows) -> DataFrame:
+    """What ``rows`` makes of each row, in frames of about ``FRAME_ROWS`` rows or ``FRAME_BYTES`` of content."""
     names = [c.split()[0] for c in schema.replace("array<struct<token:string,raw:string>>", "x").split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for frame in frames:
-            for values in frame[columns].itertuples(index=False):
-                yield pd.DataFrame(list(rows(*values)), columns=names)
+            for values in zip(*(frame[c] for c in columns), strict=True):
+                for row in rows(*values):
+                    held.append(row)
+                    size += sum(len(v) for v in row if isinstance(v, str | bytes))
+                    if len(held) >= FRAME_ROWS or size >= FRAME_BYTES:
+                        yield pd.DataFrame(held, columns=names)
+                        held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
     return books.select(*columns).mapInPandas(run, schema)
 
@@ -76,23 +85,29 @@ def _under(root: ET.Element, parent: str, name: str) -> list[ET.Element]:
     return [n for p in root if isinstance(p.tag, str) and markup.name_of(p.tag) == parent for n in p if isinstance(n.tag, str) and markup.name_of(n.tag) == name]
 
 
-def manifest(books: DataFrame) -> DataFrame:
+def package(books: DataFrame) -> DataFrame:
+    """Rows of the package file of each archive, of one opening: ``part`` says of which of the two tables below."""
+
     def rows(book: str, content: bytes) -> Iterator[tuple]:
         path, root = _package(book, content)
         toc = next((p.get("toc") for p in root if isinstance(p.tag, str) and markup.name_of(p.tag) == "spine"), None)
         for i, n in enumerate(_under(root, "manifest", "item")):
-            yield book, i, n.get("id") or "", n.get("href") or "", n.get("media-type") or "", n.get("properties") or "", posixpath.dirname(path), toc or ""
+            yield book, i, n.get("id") or "", n.get("href") or "", n.get("media-type") or "", n.get("properties") or "", posixpath.dirname(path), toc or "", "item", None
+        for i, n in enumerate(_under(root, "spine", "itemref")):
+            if n.get("idref"):
+                yield book, i, None, None, None, None, None, None, "itemref", n.get("idref")
 
-    return _each(books, ["book", "content"], MANIFEST, rows)
+    return _each(books, ["book", "content"], f"{MANIFEST}, part string, idref string", rows)
 
 
-def spine(books: DataFrame) -> DataFrame:
-    def rows(book: str, content: bytes) -> Iterator[tuple]:
-        for i, n in enumerate(_under(_package(book, content)[1], "spine", "itemref")):
-            if n.get("idref"):
-                yield book, i, n.get("idref")
+def manifest(rows: DataFrame) -> DataFrame:
+    """The items of rows of ``package``."""
+    return rows.filter("part = 'item'").drop("part", "idref")
+
 
-    return _each(books, ["book", "content"], SPINE, rows)
+def spine(rows: DataFrame) -> DataFrame:
+    """The reading order of rows of ``package``."""
+    return rows.filter("part = 'itemref'").select("book", "pos", "idref")
 
 
 def item_path(c: str = "href"):

@@ -114,15 +114,22 @@ def inner_xml(node: ET.Element) -> str:
     return (node.text or "") + "".join(ET.tostring(c, encoding="unicode") for c in node)
 
 
-def _holds_task(node: ET.Element) -> bool:
-    return any(isinstance(d.tag, str) and d is not node and name_of(d.tag) in TASK_TAGS for d in node.iter())
+def _above_tasks(root: ET.Element) -> set[int]:
+    """Ids of the elements that have a task element somewhere below."""
+    pairs = [(node, child) for node in root.iter() for child in node]  # a parent's pairs come before its children's
+    above: set[int] = set()
+    for node, child in reversed(pairs):
+        if id(child) in above or isinstance(child.tag, str) and name_of(child.tag) in TASK_TAGS:
+            above.add(id(node))
+    return above
 
 
 def node_rows(root: ET.Element, titles: bool = True) -> Iterator[dict]:
     """A row for each element to translate, in document order."""
+    above = _above_tasks(root)
     for node, path, opaque, footnote in walk(root):
         tag = name_of(node.tag)
-        if opaque or tag not in TASK_TAGS or tag == "title" and not titles or tag in CONTAINERS and _holds_task(node):
+        if opaque or tag not in TASK_TAGS or tag == "title" and not titles or tag in CONTAINERS and id(node) in above:
             continue
         text, pairs = mask_markup(inner_xml(node))
         text = text.strip()

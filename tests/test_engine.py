@@ -53,7 +53,8 @@ def books(spark):
 
 
 def test_epub_reading_order(books):
-    m, s = epub.manifest(books), epub.spine(books)
+    rows = epub.package(books)
+    m, s = epub.manifest(rows), epub.spine(rows)
     order = epub.reading_order(m, s).filter("book = 'basic'").orderBy("pos").collect()
     assert [r["file_path"] for r in order] == ["OEBPS/ch1.xhtml", "OEBPS/ch0.xhtml"]
     assert {r["file_path"] for r in epub.nav_file(m).collect()} == {"OEBPS/nav.xhtml"}
@@ -61,7 +62,7 @@ def test_epub_reading_order(books):
 
 
 def test_epub_tasks(books):
-    order = epub.reading_order(epub.manifest(books), epub.spine(books))
+    order = epub.reading_order(*(part(epub.package(books)) for part in (epub.manifest, epub.spine)))
     files = epub.entries(books).withColumnRenamed("entry", "file_path").join(order.select("book", "file_path"), ["book", "file_path"], "left_semi")
     tasks = epub.node_tasks(epub.nodes(files), order).filter("file_path LIKE '%ch0%'").orderBy("book", "order_index").collect()
     by = {}
@@ -79,7 +80,7 @@ def test_epub_tasks(books):
 def test_epub_errors(spark):
     bad = spark.createDataFrame([("b", bytearray(archive(["<p>x</p>"], container=False)))], "book string, content binary")
     with pytest.raises(Exception, match="container.xml missing"):
-        epub.manifest(bad).count()
+        epub.package(bad).count()
 
 
 def test_toc(books):
@@ -315,6 +316,16 @@ def test_payload_and_replies(spark):
     assert got["k"] is None and got["m"] and got["n"]
 
 
+def test_segment_issues_are_those_of_the_checks(spark):
+    rows = spark.createDataFrame(
+        [("1", f"x {P1}", "y"), ("2", "", None), ("3", ENGLISH, f" {ENGLISH}"), ("4", "See Rome now", "看"), ("5", "See Rome now", "看 罗马（Rome）")], "segment_id string, source_text string, translated string"
+    )
+    known = spark.createDataFrame([("Rome", "罗马（Rome）", True, ""), ("now", "现在", False, "")], terms.TERM)
+    checks = (qa.empty_translation(rows), qa.placeholder_mismatch(rows), qa.same_as_source(rows), qa.term_inconsistency(rows, known))
+    want = sorted(map(str, (r for k, c in enumerate(checks) for r in c.withColumn("check_order", F.lit(k)).collect())))
+    assert sorted(map(str, qa.segment_issues(rows, known).select(*qa.COLUMNS, "check_order").collect())) == want and len(want) == 4
+
+
 def test_gate_report_and_summary(spark):
     rows = spark.createDataFrame([("1", "x", "y"), ("2", "", "")], "segment_id string, source_text string, translated string")
     issues = qa.all_issues(qa.empty_translation(rows), qa.placeholder_mismatch(rows))

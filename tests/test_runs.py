@@ -22,7 +22,7 @@ def test_translation(spark, books, tmp_path):
     store = memory.Workspace(spark, str(tmp_path / "tm"))
     said = []
     out = runs.translate_books(spark, books, store=store, run=runs.Run(spark, said.append))
-    assert said == ["reading", "translating", "wave 1 of 1", "checking"], out.trace
+    assert said == ["reading", "translating", "wave 1 of 1", "0 segments failed at first", "checking"], out.trace
     kinds = {r["issue_type"] for r in out.issues.collect()}
     assert kinds <= {"link_break", "attribute_changed"}, out.issues.collect()
     packed = {r["book"]: bytes(r["content"]) for r in out.books.collect()}
