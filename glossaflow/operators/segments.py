@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,11 +16,30 @@ from glossaflow.plans.scratch import stage_table
 
 
 def numbered(df: DataFrame, book: list[str], order: list[Column | str], prefix: str, width: int, name: str = "id") -> DataFrame:
-    """Dense ids per book in the given order; never one window over all books."""
+    """Dense ids per book in the given order; a book, like an archive, is bounded, and is one task's."""
     n = F.row_number().over(Window.partitionBy(*book).orderBy(*order))
     return df.withColumn("_n", n).withColumn(name, seq_id(prefix, "_n", width)).drop("_n")
 
 
+def numbered_in_stretches(df: DataFrame, book: list[str], order: list[str], prefix: str, width: int, name: str = "id") -> DataFrame:
+    """The ids of ``numbered`` for books of any size, such as a few that hold all rows.
+
+    Rows are dealt in order to even stretches and take their places from there;
+    what a stretch must know is how many rows of a book came before it, a
+    number for each book in each stretch.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *book, *order).sortWithinPartitions(*book, *order)
+    placed = stage_table(dealt.withColumn("_pos", F.monotonically_increasing_id()), "numbered-rows")
+    placed = placed.withColumn("_stretch", F.shiftright("_pos", 33))
+    counts = placed.groupBy("_stretch", *book).agg(F.min("_pos").alias("_first"), F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*book).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    counts = stage_table(counts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_rows"), "stretch-counts")
+    same = reduce(Column.__and__, [placed[c].eqNullSafe(counts[c]) for c in ["_stretch", *book]])
+    number = F.col("_pos") - F.col("_first") + F.col("_before") + 1
+    return placed.join(counts, same).select(*[placed[c] for c in df.columns], seq_id(prefix, number, width).alias(name))
+
+
 def task_union(nodes: DataFrame, toc: DataFrame, book: list[str]) -> DataFrame:
     """Node tasks and table-of-contents tasks in order of their index, per book."""
     both = nodes.withColumn("branch", F.lit(0)).unionByName(toc.withColumn("branch", F.lit(1)))

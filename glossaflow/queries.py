@@ -260,7 +260,7 @@ def task_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def node_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", "doc_id")
-    return segments.numbered(docs, ["source"], ["doc_id"], "NT_", 6, "node_task_id")
+    return segments.numbered_in_stretches(docs, ["source"], ["doc_id"], "NT_", 6, "node_task_id")
 
 
 def revise_join(spark: SparkSession, sf_dir: str) -> DataFrame:

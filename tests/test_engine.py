@@ -316,6 +316,13 @@ def test_payload_and_replies(spark):
     assert got["k"] is None and got["m"] and got["n"]
 
 
+def test_numbers_in_stretches(spark):
+    rows = spark.createDataFrame([(["a", "b", None][k % 7 // 3], (k * 37) % 101) for k in range(101)], "book string, k int")
+    ids = lambda f: sorted(map(str, f(rows, ["book"], ["k"], "N", 4).collect()))
+    assert ids(segments.numbered_in_stretches) == ids(segments.numbered)
+    assert segments.numbered_in_stretches(rows.limit(0), ["book"], ["k"], "N", 4).count() == 0
+
+
 def test_segment_issues_are_those_of_the_checks(spark):
     rows = spark.createDataFrame(
         [("1", f"x {P1}", "y"), ("2", "", None), ("3", ENGLISH, f" {ENGLISH}"), ("4", "See Rome now", "看"), ("5", "See Rome now", "看 罗马（Rome）")], "segment_id string, source_text string, translated string"
