@@ -22,8 +22,8 @@ the same for all texts, so the sample changes the cost and never the result.
 Of a shingle that several texts share, each text first meets the one before it
 and the first of its run; what these join is one group from then on, and only
 texts of different groups meet in full. So many near copies of one text cost
-few comparisons. A shingle of more than ``CHUNK`` texts is dealt to several
-tasks, with its first text in each.
+few comparisons. A shingle that by the sample has more than ``CHUNK`` texts is
+dealt to several tasks, with its first text in each.
 
 Defined cases: texts of fewer words have one shingle, of all words; texts
 without words and null texts are equal; rows without an id are linked but name
@@ -40,7 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from glossaflow.llm.columns import apart
 from glossaflow.plans.components import components
@@ -113,6 +113,15 @@ def prefix(hashes: np.ndarray, often: np.ndarray, times: np.ndarray) -> np.ndarr
     return hashes[np.lexsort((hashes, count))[: n - (4 * n + 4) // 5 + 1]]
 
 
+def chunks_of(keys: np.ndarray, often: np.ndarray, times: np.ndarray, size: int) -> np.ndarray:
+    """To how many tasks each shingle is dealt."""
+    out = np.ones(len(keys), dtype=np.int32)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, keys), len(often) - 1)
+        out = np.where(often[at] == keys, 1 + SAMPLED * times[at] // size, 1).astype(np.int32)
+    return out
+
+
 def _often(docs: DataFrame, text: str, doc_id: str) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles of sampled rows, in ascending order, and how often."""
 
@@ -130,27 +139,30 @@ def _often(docs: DataFrame, text: str, doc_id: str) -> tuple[np.ndarray, np.ndar
 
 
 def marked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """A row for each of ``docs``: id, raw (hash of the text), node, n (shingles), keys (their prefix), print, pivots."""
+    """A row for each of ``docs``: id, raw (hash of the text), node, n (shingles), keys (their prefix),
+    chunks (tasks that each key is dealt to), print, pivots."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_often(docs, text, doc_id))  # OFTEN_AT_MOST at most
+    size = CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = shared.value
         for b in batches:
-            nodes, sizes, keys, prints = [], [], [], []
+            nodes, sizes, keys, chunks, prints = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 node, h = shingles(t)
                 nodes.append(node)
                 sizes.append(len(h))
                 keys.append(prefix(h, often, times))
+                chunks.append(chunks_of(keys[-1], often, times, size))
                 prints.append(fingerprint(h))
             prints = np.stack(prints) if prints else np.empty((0, WORDS), np.uint64)
             rows = lambda a: pa.array([x.tobytes() for x in a], pa.binary())
-            added = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), rows(prints), rows(pivot_distances(prints))]
+            added = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(chunks, pa.list_(pa.int32())), rows(prints), rows(pivot_distances(prints))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *added], names=[f.name for f in schema.fields])
 
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("raw"), F.col(text).alias("text"))
-    more = [StructField("node", LongType()), StructField("n", LongType()), StructField("keys", ArrayType(LongType())), StructField("print", BinaryType()), StructField("pivots", BinaryType())]
+    more = [StructField("node", LongType()), StructField("n", LongType()), StructField("keys", ArrayType(LongType())), StructField("chunks", ArrayType(IntegerType())), StructField("print", BinaryType()), StructField("pivots", BinaryType())]
     schema = StructType([*rows.schema.fields[:2], *more])
     return rows.mapInArrow(run, schema)
 
@@ -160,21 +172,18 @@ def _possible(n: np.ndarray, p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.
     return similar(n[x], n[y], np.minimum(n[x] - p[x], n[y] - p[y]))
 
 
-def _few_and_first(group: np.ndarray, node: np.ndarray, n: np.ndarray, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of small groups; of large ones each row with the one before it and the first of its run."""
-    size = np.bincount(group)
-    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-    large = size[group] > FEW
-    every = np.arange(len(node))
-    head = begin[group] + (every - begin[group]) // FEW * FEW
-    for x, y in ((every[large], head[large]), (head[large], begin[group[large]]), (every[1:][large[1:]] - 1, every[1:][large[1:]])):
-        keep = (x != y) & (group[x] == group[y])
+def _few_and_first(group: np.ndarray, large: np.ndarray, n: np.ndarray, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of small groups; of large ones each row with the one before it and the first."""
+    begin = np.concatenate(([0], np.cumsum(np.bincount(group))[:-1]))
+    every = np.arange(len(group))
+    for x, y in ((every[large], begin[group[large]]), (every[large], every[large] - 1)):
+        keep = (x > y) & (y >= begin[group[x]])
         x, y = x[keep], y[keep]
         keep = _possible(n, p, x, y)
         yield x[keep], y[keep]
     at = every[~large]
     for step in range(1, FEW):
-        at = at[at + step < len(node)]
+        at = at[at + step < len(group)]
         # Ordered by size, whoever is too large here stays too large.
         at = at[(group[at] == group[at + step]) & (5 * n[at] >= 4 * n[at + step])] if len(at) else at
         if not len(at):
@@ -201,35 +210,49 @@ def _across(group: np.ndarray, label: np.ndarray, n: np.ndarray, p: np.ndarray)
             yield x[keep], near[keep]
 
 
+MET = "a bigint, b bigint, key bigint, n bigint, p bigint, node bigint"
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates among rows (key, chunk, n, p, node[, label]) ordered by key, chunk and n, whole ones at a time."""
+    """Candidates (a, b) among rows (key, chunk, n, p, node[, label]) ordered by all but p, whole groups at a time.
+
+    Without labels, the rows of large groups and of those dealt to several tasks
+    follow, which may have to meet again; other groups are chunk -1.
+    """
+    kinds = pa.schema([(c.split()[0], pa.int64()) for c in MET.split(", ")])
+
+    def rows_of(*columns: np.ndarray) -> pa.RecordBatch:
+        empty = pa.nulls(len(columns[0]), pa.int64())
+        found = [pa.array(c) for c in columns]
+        return pa.RecordBatch.from_arrays([*found, *[empty] * 4] if len(found) == 2 else [empty, empty, *found], schema=kinds)
+
+    def pairs_of(held: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate(held)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1)))]
+        return rows_of(pairs[:, 0], pairs[:, 1])
 
     def solve(key: np.ndarray, chunk: np.ndarray, n: np.ndarray, p: np.ndarray, node: np.ndarray, *label: np.ndarray) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])))) - 1
         alone = np.bincount(group)[group] < 2
         if alone.all():
             return
-        rows = [c[~alone] for c in (group, n, p, node, *label)]
-        group = np.unique(rows[0], return_inverse=True)[1]
-        _, n, p, node, *label = rows
-        found = _across(group, label[0], n, p) if label else _few_and_first(group, node, n, p)
+        group, key, chunk, n, p, node, *label = (c[~alone] for c in (group, key, chunk, n, p, node, *label))
+        group = np.unique(group, return_inverse=True)[1]
+        large = (np.bincount(group)[group] > FEW) | (chunk >= 0)
         held, count = [], 0
-        for x, y in found:
+        for x, y in _across(group, label[0], n, p) if label else _few_and_first(group, large, n, p):
             u, v = node[x], node[y]
             u, v = u[u != v], v[u != v]  # the first of a run is in each of its chunks
             held.append(np.stack((np.minimum(u, v), np.maximum(u, v)), axis=1))
             count += len(u)
             if count >= EMITTED:
-                yield rows_of(held)
+                yield pairs_of(held)
                 held, count = [], 0
         if count:
-            yield rows_of(held)
-
-    def rows_of(held: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.concatenate(held)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        pairs = pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1)))]
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            yield pairs_of(held)
+        if not label and large.any():
+            yield rows_of(key[large], n[large], p[large], node[large])
 
     held: list[list[np.ndarray]] = []
     count = 0
@@ -249,8 +272,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Pairs of nodes (a, b) to compare among rows (key, chunk, n, p, node[, label])."""
-    return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "n").mapInArrow(_meet, _PAIR).distinct()
+    """What ``_meet`` finds among rows (key, chunk, n, p, node[, label]), staged."""
+    dealt = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "n", "node")
+    return stage_table(dealt.mapInArrow(_meet, MET), "met")
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.filter("a IS NOT NULL").select("a", "b").distinct()
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,24 +320,25 @@ def _verified(pairs: DataFrame, once: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_nodes(once: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) of all nodes of staged rows ``once`` that are no root themselves."""
-    spread = once.filter("n > 0").select(F.posexplode("keys").alias("p", "key"), "n", "node").select("key", "n", F.col("p").cast("long").alias("p"), "node")
-    first = F.min(F.struct("n", "p", "node")).alias("first")
-    many = stage_table(spread.groupBy("key").agg(F.count("*").alias("count"), first).filter(F.col("count") > FEW), "many")
-    hot = stage_table(many.filter(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).alias("chunks"), "first"), "hot")
-    rows = spread.withColumn("chunk", F.lit(0).cast("long"))
-    if hot.limit(1).count():
-        chunk = F.coalesce(F.pmod(F.xxhash64("node"), "chunks"), F.lit(0).cast("long"))
-        heads = hot.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "first.*")
-        rows = spread.join(hot.select("key", "chunks"), "key", "left").withColumn("chunk", chunk)
-        columns = ["key", "chunk", "n", "p", "node"]
-        rows = rows.select(*columns).unionByName(heads.select(*columns))
-    near = _verified(_candidates(rows.select("key", "chunk", "n", "p", "node")), once, texts)
-    if many.limit(1).count():
-        tied = components(near)
-        labelled = spread.join(many.select("key"), "key", "left_semi").join(tied, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        apart_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        labelled = labelled.join(stage_table(apart_keys, "keys-apart"), "key", "left_semi").withColumn("chunk", F.lit(0).cast("long"))
-        near = near.unionByName(_verified(_candidates(labelled.select("key", "chunk", "n", "p", "node", "label")), once, texts))
+    spread = once.filter("n > 0").select(F.posexplode(F.arrays_zip("keys", "chunks")).alias("p", "k"), "n", "node")
+    spread = spread.select(F.col("k.keys").alias("key"), F.col("k.chunks").alias("chunks"), "n", F.col("p").cast("long").alias("p"), "node")
+    columns = ["key", "chunk", "n", "p", "node"]
+    chunk = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("node"), "chunks")).otherwise(-1).cast("long")
+    rows = spread.withColumn("chunk", chunk).select(*columns)
+    hot = spread.filter("chunks > 1").groupBy("key").agg(F.max("chunks").alias("chunks"), F.min(F.struct("n", "node", "p")).alias("first"))
+    heads = hot.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), "first.*")
+    met = _candidates(rows.unionByName(heads.select(*columns)))
+    near = _verified(_pairs(met), once, texts)
+    again = met.filter("key IS NOT NULL").select("key", "n", "p", "node").join(components(near), "node", "left")
+    again = stage_table(again.select("key", "n", "p", "node", F.coalesce("root", "node").alias("label")), "large-groups")
+    apart_keys = again.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    apart_keys = stage_table(apart_keys, "keys-apart")
+    if apart_keys.limit(1).count():
+        rows = again.join(apart_keys, "key", "left_semi").dropDuplicates(["key", "node"]).withColumn("chunk", F.lit(-1).cast("long"))
+        more = _candidates(rows.select(*columns, "label"))
+        near = near.unionByName(_verified(_pairs(more), once, texts))
+        release(more)
+    release(met, again, apart_keys)
     return components(near)
 
 
