@@ -11,7 +11,8 @@ Texts are first split by a pattern and each match is encoded by itself, so
 ``EncodedText`` keeps the matches before an edit and encodes the rest again.
 
 Defined cases: a null or empty text has no tokens; decoding returns the bytes
-of the text for any text; equal texts have equal ids.
+of the text for any text; equal texts have equal ids; repeated rows have a row
+each; ids of documents may be of any type and null.
 """
 
 from __future__ import annotations

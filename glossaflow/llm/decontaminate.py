@@ -10,13 +10,14 @@ by halving, and time and memory stay in proportion to the text however often
 its words repeat. A document is contaminated by an item of whose words the tiles
 cover ``COVERAGE`` or more.
 
-Items are a stated query set. They are taken in blocks of about ``BLOCK_WORDS``
-words, so that what goes to the executors is bounded, and every document meets
+Items are a stated query set. They are taken in blocks of about ``BLOCK_BYTES``
+of text, so that what goes to the executors is bounded, and every document meets
 every block.
 
 Defined cases: words are lower-cased and ASCII punctuation separates them; an
 item of fewer than ``SEED`` words is its own seed; items without words match
-nothing; null texts are empty; repeated items and documents each have rows.
+nothing; null texts are empty; repeated items and documents each have rows; ids
+of both may be of any type.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from glossaflow.plans.scratch import bounded_batches
 
 SEED = 5
 COVERAGE = 0.5
-BLOCK_WORDS = 2_000_000
+BLOCK_BYTES = 12 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _APART = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -196,11 +197,11 @@ class Items:
         return np.insert(ids[at].astype(np.int64), np.flatnonzero(first[at])[1:], 0)
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:
     """Blocks of items, one at a time on the driver."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    words = rows.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
-    n = max(1, math.ceil(words / block_words))
+    rows = benchmark.select("item_id", "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, math.ceil(size / block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
     for k in range(n):
         yield Items(sorted(((r["item_id"], r["text"]) for r in dealt.filter(F.col("block") == k).collect()), key=repr))
@@ -210,17 +211,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     """A row for each document and item that contaminates it."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    kind = docs.schema[doc_id].dataType.simpleString()
+    kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, doc_id), (benchmark, "item_id")))
+    item_type = benchmark.select("item_id").limit(0).toArrow().schema.field(0).type
 
     def over(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows = [(i, *m) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in shared.value.matches(t)]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                kinds = (b.schema.field(0).type, pa.int64(), pa.float64(), pa.int32(), pa.int32())
+                kinds = (b.schema.field(0).type, item_type, pa.float64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "coverage", "n_tiles", "longest"])
 
-        return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, item_id bigint, coverage double, n_tiles int, longest int")
+        return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, coverage double, n_tiles int, longest int")
 
     out = None
     for block in item_blocks(benchmark):

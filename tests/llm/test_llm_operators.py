@@ -670,9 +670,11 @@ def test_decontamination(spark):
 def test_decontamination_in_blocks_and_empty(spark, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(20)], "item_id bigint, text string")
     docs = docs_of(spark, ["pre " + " ".join(f"w{i}x{k}" for k in range(12)) for i in range(20)] + ["clean"])
-    monkeypatch.setattr(decontaminate, "item_blocks", lambda b, f=decontaminate.item_blocks: f(b, 50))
+    monkeypatch.setattr(decontaminate, "item_blocks", lambda b, f=decontaminate.item_blocks: f(b, 300))
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()} == {(i, i) for i in range(20)}
     assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()] == [20]
+    named = bench.withColumn("item_id", F.concat(F.lit("k"), "item_id"))
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, named).collect()} == {(i, f"k{i}") for i in range(20)}
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
