@@ -225,4 +225,10 @@ ORACLES = {
     "html_text_nodes": r"""WITH t AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<!DOCTYPE[^>]*>', '', 'g') AS h FROM pages),
         n AS (SELECT page_id, unnest(regexp_split_to_array(h, '<[^>]*>')) AS x FROM t)
         SELECT CAST(page_id AS VARCHAR) AS book, count(*) AS n_nodes FROM n WHERE length(trim(x, ' ' || chr(10) || chr(9) || chr(13))) >= 2 GROUP BY page_id""",
+    "html_simple_nodes": r"""WITH t AS (SELECT page_id, 'title' AS tag, unnest(regexp_extract_all(html, '<title>([^<]*)</title>', 1)) AS x FROM pages
+          UNION ALL SELECT page_id, 'h1', unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) FROM pages
+          UNION ALL SELECT page_id, 'a', unnest(regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1)) FROM pages),
+        k AS (SELECT page_id, tag FROM t WHERE trim(regexp_replace(x, '(?:https?://\S+|mailto:\S+)|\b[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]+)?(?:st|nd|rd|th)?\b|\b[0-9]+\b|\b[IVXLCDM]{2,}\b|\b(?:c\.|fl\.|r\.)', '', 'g')) <> '')
+        SELECT CAST(p.page_id AS VARCHAR) AS book, count(*) FILTER (WHERE tag = 'title') AS n_title, count(*) FILTER (WHERE tag = 'h1') AS n_h1, count(*) FILTER (WHERE tag = 'a') AS n_a, 0 AS n_li
+        FROM pages p LEFT JOIN k ON p.page_id = k.page_id GROUP BY p.page_id""",
 }

@@ -347,9 +347,19 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("c").alias("n_chunks"), F.array_max(F.transform("c", F.length)).alias("longest"))
 
 
+def _page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("book"), F.col("url").alias("file_path"), F.col("html").alias("content"))
+    return epub.nodes(pages, tolerant=True)
+
+
 def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("book"), "url", "html")
-    return epub.nodes(pages.select("book", F.col("url").alias("file_path"), F.col("html").alias("content")), tolerant=True).select("book", "node_selector", "tag", T.text_hash("source_text").alias("text_hash"))
+    return _page_nodes(spark, sf_dir).select("book", "node_selector", "tag", T.text_hash("source_text").alias("text_hash"))
+
+
+def html_simple_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of elements that hold text alone; list items hold a link, which is a token, and are none."""
+    found = _page_nodes(spark, sf_dir).groupBy("book")
+    return found.agg(*[F.count_if(F.col("tag") == tag).alias(f"n_{tag}") for tag in ("title", "h1", "a", "li")])
 
 
 def html_text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,6 +440,6 @@ QUERIES = {
         fill_outcomes, new_terms_anti, term_freq_topk, term_mining, cache_probe, tm_upsert, greedy_batches, prev_context, merge_chunks,
         poetry_lines, qa_issues, qa_type_counts, qa_gate, link_break, toc_changes, attribute_changes, task_union, node_ids, revise_join,
         translated_tasks, failed_ids, segment_types, class_filter, style_guides, reply_check, run_counts, link_targets, mask_literals, mask_round_trip,
-        segments_build, chunk_text, html_nodes, html_text_nodes, parse_failures, epub_round_trip, epub_rewrite, toc_snapshot, provider_run,
+        segments_build, chunk_text, html_nodes, html_simple_nodes, html_text_nodes, parse_failures, epub_round_trip, epub_rewrite, toc_snapshot, provider_run,
     )
 }
