@@ -20,9 +20,10 @@ candidates of another kind and a last exact step:
 The order is by how often a shingle occurs in a sample, then by hash. It is
 the same for all texts, so the sample changes the cost and never the result.
 Of a shingle that several texts share, each text first meets the one before it
-and the first of its run; what these join is one group from then on, and only
-texts of different groups meet in full. So many near copies of one text cost
-few comparisons. A shingle that by the sample has more than ``CHUNK`` texts is
+and the first; what these join is one group from then on. In up to ``ROUNDS``
+rounds, neighbours of different groups in another order meet, as long as one in
+twenty of them is linked, and what is left of different groups then meets in
+full. So many near copies of one text cost few comparisons, and none is missed. A shingle that by the sample has more than ``CHUNK`` texts is
 dealt to several tasks, with its first text in each.
 
 Defined cases: texts of fewer words have one shingle, of all words; texts
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
@@ -50,6 +51,7 @@ SHINGLE = 5
 SEED = 42
 SAMPLED = 16  # one row of so many is counted for the order
 OFTEN, OFTEN_AT_MOST = 4, 1 << 16
+ROUNDS = 6
 FEW = 4  # texts that share a shingle and meet in full at once
 CHUNK = 2048
 WORDS = 4  # of 64 bits in a fingerprint
@@ -318,6 +320,24 @@ def _verified(pairs: DataFrame, once: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _apart_rows(rows: DataFrame, tied: DataFrame) -> DataFrame:
+    """Rows (key, n, p, node, label) of the shingles that texts of different groups share, staged."""
+    labelled = rows.join(tied, "node", "left").select("key", "n", "p", "node", F.coalesce("root", "node").alias("label"))
+    labelled = stage_table(labelled.dropDuplicates(["key", "node"]), "labelled")
+    keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    out = stage_table(labelled.join(stage_table(keys, "keys-apart"), "key", "left_semi"), "rows-apart")
+    release(labelled)
+    return out
+
+
+def _neighbours(rows: DataFrame, k: int) -> DataFrame:
+    """Pairs of texts of different groups that follow each other under a shingle, in an order of round ``k``."""
+    before = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(k), "node"))
+    last = F.lag(F.struct("n", "p", "node", "label")).over(before)
+    pairs = rows.withColumn("o", last).filter("label <> o.label AND 9 * least(n - p, o.n - o.p) >= 4 * (n + o.n)")
+    return pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
+
+
 def near_nodes(once: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) of all nodes of staged rows ``once`` that are no root themselves."""
     spread = once.filter("n > 0").select(F.posexplode(F.arrays_zip("keys", "chunks")).alias("p", "k"), "n", "node")
@@ -329,16 +349,22 @@ def near_nodes(once: DataFrame, texts: DataFrame) -> DataFrame:
     heads = hot.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), "first.*")
     met = _candidates(rows.unionByName(heads.select(*columns)))
     near = _verified(_pairs(met), once, texts)
-    again = met.filter("key IS NOT NULL").select("key", "n", "p", "node").join(components(near), "node", "left")
-    again = stage_table(again.select("key", "n", "p", "node", F.coalesce("root", "node").alias("label")), "large-groups")
-    apart_keys = again.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    apart_keys = stage_table(apart_keys, "keys-apart")
-    if apart_keys.limit(1).count():
-        rows = again.join(apart_keys, "key", "left_semi").dropDuplicates(["key", "node"]).withColumn("chunk", F.lit(-1).cast("long"))
-        more = _candidates(rows.select(*columns, "label"))
+    large = met.filter("key IS NOT NULL").select("key", "n", "p", "node")
+    for k in range(ROUNDS):
+        apart_rows = _apart_rows(large, components(near))
+        pairs = stage_table(_neighbours(apart_rows, k), "neighbours")
+        found = _verified(pairs, once, texts)
+        near = near.unionByName(found)
+        tried, linked = pairs.count(), found.count()
+        release(apart_rows, pairs)
+        if 20 * linked < tried or not tried:
+            break
+    apart_rows = _apart_rows(large, components(near))
+    if apart_rows.limit(1).count():
+        more = _candidates(apart_rows.withColumn("chunk", F.lit(-1).cast("long")).select(*columns, "label"))
         near = near.unionByName(_verified(_pairs(more), once, texts))
         release(more)
-    release(met, again, apart_keys)
+    release(met, apart_rows)
     return components(near)
 
 
