@@ -49,7 +49,7 @@ def line_hashes(lines: Column, min_chars: int) -> Column:
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """All columns of ``docs`` plus n_lines, n_dropped and kept_text, which replace columns so named."""
+    """All columns of ``docs`` plus n_lines, n_dropped and kept_text, which replace columns so named in any case."""
     body = F.coalesce(F.col(text), F.lit(""))
     r1, r2, drop = apart(docs, "r1", "r2", "drop")
     row = [F.xxhash64(F.lit(1), F.col(doc_id), body).alias(r1), F.xxhash64(F.lit(2), body, F.col(doc_id)).alias(r2)]
@@ -65,7 +65,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, t
     parts = F.split(body, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(drop))
     return out.select(
-        *[out[c] for c in docs.columns if c not in NEW],
+        *[out[c] for c in docs.columns if c.lower() not in NEW],
         F.size(parts).cast("long").alias("n_lines"),
         F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col(drop).isNull(), body).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")).alias("kept_text"),

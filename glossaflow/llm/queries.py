@@ -98,4 +98,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_fingerprints, op3_byte_bpe, op4_line_dedup, op5_quality, op6_pii, op7_lm_scoring, op8_decontamination, op9_simhash, op10_substring_dedup)}
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossaflow.llm.minhash import near_groups
+
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossaflow.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossaflow.llm.lexical import rank
+
+    return rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (
+    op1_url_filters, op2_fingerprints, op3_byte_bpe, op4_line_dedup, op5_quality, op6_pii, op7_lm_scoring, op8_decontamination, op9_simhash,
+    op10_substring_dedup, op11_minhash, op12_whitening, op13_ranked_search,
+)
+QUERIES = {f.__name__: f for f in _ALL}

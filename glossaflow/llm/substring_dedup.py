@@ -23,7 +23,7 @@ window loses nothing; rows without an id come after all others; of rows that
 share an id, the one whose text has the smaller hash comes first, and exact
 repeats of a row are one document that keeps its words in each; ids that are no
 integers come in their own order; other columns pass through, but for those
-named n_words, n_removed or kept_text, which the results replace.
+named n_words, n_removed or kept_text in any case, which the results replace.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossaflow.llm.columns import apart, is_integral, numbers_of
+from glossaflow.llm.columns import apart, numbered
 from glossaflow.plans.scratch import bounded_batches, stage_table
 
 BLOCK = 10
@@ -265,28 +265,13 @@ def _repeats(docs: DataFrame, anchors: DataFrame, buckets: int, block: int) -> D
     return _dealt(settled, "part").mapInArrow(collect, "doc_id bigint, cuts array<int>")
 
 
-def _numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str, DataFrame]:
-    """Documents under integer ids of the same order, the column of these ids, and each of them once (doc_id, text)."""
-    order, i, h = apart(docs, "order", "i", "h")
-    if is_integral(docs, doc_id):
-        n = docs.agg(F.count("*").alias("all"), F.countDistinct(doc_id).alias("known")).first()
-        if n["all"] == n["known"]:
-            docs = docs.withColumn(order, F.col(doc_id).cast("long"))
-            return docs, order, docs.select(F.col(order).alias("doc_id"), F.col(text).alias("text"))
-    keyed = docs.select("*", F.col(doc_id).alias(i), F.xxhash64(text).alias(h))
-    numbers = numbers_of(keyed.select(i, h), order)
-    met = keyed[i].eqNullSafe(numbers[i]) & (keyed[h] == numbers[h])
-    docs = keyed.join(numbers, met).select(*[keyed[c] for c in docs.columns], order)
-    return docs, order, docs.select(F.col(order).alias("doc_id"), F.col(text).alias("text")).dropDuplicates(["doc_id"])
-
-
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """Columns of ``docs`` but the text, and n_words, n_removed, kept_text."""
     spark = docs.sparkSession
     bounded_batches(spark)
     new = ("n_words", "n_removed", "kept_text")
-    others = [c for c in docs.columns if c != text and c not in new]
-    docs, order, plain = _numbered(docs.select(*others, text), doc_id, text)
+    others = [c for c in docs.columns if c != text and c.lower() not in new]
+    docs, order, plain = numbered(docs.select(*others, text), doc_id, text)
     (cut,) = apart(docs, "cuts")
     buckets = _bucket_count(plain)
     anchors = stage_table(_anchors(plain, buckets, block), "anchors")

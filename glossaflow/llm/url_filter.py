@@ -76,5 +76,5 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     # large ones a hot host's pages can be split in the join.
     best = stage_table(best.select("host", F.col("_cut").alias(short), F.col("_best.rule").alias(rule), F.col("_best.rule_verdict").alias(verdict)), "url-verdicts")
     return cut.join(best, ["host", short], "left").select(
-        *[c for c in out.columns if c not in ("rule", "verdict")], F.col(rule).alias("rule"), F.coalesce(verdict, F.lit(default)).alias("verdict")
+        *[c for c in out.columns if c.lower() not in ("rule", "verdict")], F.col(rule).alias("rule"), F.coalesce(verdict, F.lit(default)).alias("verdict")
     )
