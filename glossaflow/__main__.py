@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import signal
 import sys
 
 from pyspark.sql import SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from glossaflow.operators import memory, qa, translate
 from glossaflow.plans import run as runs
 from glossaflow.plans.config import read_document, read_settings
-from glossaflow.sources import epub
+from glossaflow.sources import archive_files
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -21,7 +22,7 @@ def _parser() -> argparse.ArgumentParser:
     commands = parser.add_subparsers(dest="command", required=True)
     t = commands.add_parser("translate", help="translate all archives of a path or pattern")
     t.add_argument("input")
-    t.add_argument("output", help="folder for archives, report and summary")
+    t.add_argument("output", help="folder for archives and report, or the one .epub file")
     t.add_argument("--termbase")
     t.add_argument("--memory", help="folder of the translation memory and the records of runs")
     t.add_argument("--resume", action="store_true")
@@ -60,27 +61,33 @@ def known_terms(spark: SparkSession, path: str) -> list[dict]:
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("glossaflow").getOrCreate()
-    books, settings = epub.read_books(spark, args.input), read_settings(spark, args.config)
+    books, settings = archive_files.read_entries(spark, args.input), read_settings(spark, args.config)
+    run = runs.Run(spark, print if args.verbose else None)
+    signal.signal(signal.SIGINT, lambda *_: run.cancel())
     if args.command == "termbase":
         options = runs.MiningOptions(
             args.min_freq, args.max_terms, args.single, not args.replace, args.fill, args.fill_provider, args.fill_model, args.fill_batch_size
         )
         old = known_terms(spark, args.output) if options.merge_existing else []
-        payload, counts = runs.generate_termbase(spark, books, options, old, os.path.basename(args.input), settings, args.max_concurrency)
+        try:
+            payload, counts = runs.generate_termbase(spark, books, options, old, os.path.basename(args.input), settings, args.max_concurrency, run)
+        except runs.Cancelled:
+            print("cancelled", file=sys.stderr)
+            return translate.exit_code(None, cancelled=True)
         write_mapping(payload, args.output)
         print(json.dumps(counts))
         return 0
     plan = translate.plan(args.provider, args.model, args.draft_provider, args.revise_provider, args.draft_model, args.revise_model)
     store = memory.Workspace(spark, args.memory) if args.memory else None
-    run = runs.Run(spark, print if args.verbose else None)
     outcome = runs.translate_books(spark, books, settings, args.termbase, plan, store, args.resume, run, args.max_concurrency, (args.input, args.output))
     if outcome.trace:
         print(outcome.trace, file=sys.stderr)
-    if outcome.books is not None:
-        # Archives as rows of Parquet: executors write side by side to any store.
-        outcome.books.write.mode("overwrite").parquet(f"{args.output}/books")
+    one = args.output.lower().endswith(".epub")
+    folder, _, file = args.output.rpartition("/") if one else (args.output, "", "")
+    if outcome.files is not None:
+        archive_files.write_books(outcome.files, (folder or ".") if one else f"{folder}/books", name=file)
     if outcome.issues is not None:
-        qa.report(outcome.issues, outcome.counts.get("total_segments", 0)).orderBy("part").select(F.col("line").alias("value")).write.mode("overwrite").text(f"{args.output}/report")
+        qa.report(outcome.issues, outcome.counts.get("total_segments", 0)).orderBy("part").select(F.col("line").alias("value")).write.mode("overwrite").text(f"{args.output}-report" if one else f"{args.output}/report")
     print(outcome.summary)
     return outcome.code
 

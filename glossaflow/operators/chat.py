@@ -101,6 +101,7 @@ class ChatProvider:
     schema: bool = True  # ask for the JSON schema, else for JSON
     one_by_one: bool = False  # a text a call, plain text back: for pure translation models
     settings: Settings = field(default_factory=Settings)
+    key: str = field(default="", repr=False)  # else the environment's
     send: Callable[[str, str, dict, float], Answer] = post
     sleep: Callable[[float], None] = time.sleep
 
@@ -124,7 +125,7 @@ class ChatProvider:
         return self._ask(messages, lambda c: parse_reply(c, [s["id"] for s in shown]), {"response_format": form})
 
     def _ask(self, messages: list[dict], read: Callable, extra: dict):
-        key = os.environ.get(self.key_name)
+        key = self.key or os.environ.get(self.key_name)
         if not key:
             raise RuntimeError(f"{self.key_name} is not set")
         body = {"model": self.model, "messages": messages, "temperature": self.settings["llm.temperature"], **extra}
@@ -153,7 +154,15 @@ class ChatProvider:
         raise RuntimeError(f"no fit reply after {attempts} attempts: {wrong}")
 
 
-def service_provider(service: str, model: str, settings: Settings) -> ChatProvider:
+def key_of(service: str) -> str:
+    """The key of a service, from the environment."""
+    name = SERVICES[service].key_name
+    if not os.environ.get(name):
+        raise RuntimeError(f"{name} is not set")
+    return os.environ[name]
+
+
+def service_provider(service: str, model: str, settings: Settings, key: str = "") -> ChatProvider:
     """A provider for a service by its name; what the request looks like follows from the model."""
     s = SERVICES[service]
-    return ChatProvider(s.url + COMPLETIONS, model, s.key_name, s.schema(model), s.one_by_one(model), settings)
+    return ChatProvider(s.url + COMPLETIONS, model, s.key_name, s.schema(model), s.one_by_one(model), settings, key)

@@ -4,26 +4,41 @@ Parquet tables can't be merged in place or overwritten while they are read, so
 a keyed table is a folder of parts, and each part is written once: an upsert
 adds its rows alone, and a reader takes the newest row of each key over the
 parts that were complete when it began. Writers don't meet, since a part has a
-name of its own. ``compact`` makes one part of all; the parts it replaces stay
-until the next one, for readers that still hold them.
+name of its own.
+
+Parts have levels. More than ``PARTS`` of one level are merged into one of the
+next, so a row is written once for each level, of which there are as many as the
+logarithm of the table. What a merge replaces stays until the next one, for
+readers that still hold it.
+
+The files of a part lie in buckets by the upper bits of the key's hash, more at
+higher levels, are sorted by the hash and carry Parquet's statistics and Bloom
+filters of it. So a look-up of a batch's keys opens the buckets, row groups and
+pages that can hold them, and what it reads follows the batch, not the table.
 """
 
 from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaflow.functions import text as T
+from glossaflow.operators.result_log import ResultLog
 
 KEY = ["segment_id", "source_hash", "config_hash"]
 SCHEMA = "segment_id string, source_hash string, config_hash string, draft_text string, revise_text string, provider string, updated_at timestamp"
 SEGMENT_SCHEMA = "segment_id string, file_path string, node_selector string, order_index int, source_hash string, updated_at timestamp"
 RUN_SCHEMA = "run_id string, started_at timestamp, input_epub string, output_epub string, provider string, config_hash string"
 ERROR_SCHEMA = "id string, run_id string, segment_id string, stage string, message string, created_at timestamp"
-PARTS = 32
+PARTS = 8  # of a level
+BITS = 12  # of the hash deal rows to tasks and to the buckets of the highest levels; each level below has 3 fewer
+LITERALS = 2_000  # so many keys of a look-up are written into the plan
+IN_FILTER = "spark.sql.parquet.pushdown.inFilterThreshold"
+PLACE = 20  # digits
 HELD = "_HELD"  # marks a part whose rows a later part holds too
 
 
@@ -53,6 +68,10 @@ def probe(segments: DataFrame, memory: DataFrame, prefer_revise: bool = True) ->
     return out.withColumn("state", state).drop("draft_text", "revise_text")
 
 
+def _bits(level: int) -> int:
+    return min(3 * (level + 1), BITS)
+
+
 class KeyedTable:
     """A table at ``path`` with one row for each key, of parts that are written once."""
 
@@ -71,34 +90,74 @@ class KeyedTable:
         names = sorted(s.getPath().getName() for s in fs.listStatus(root))
         return [n for n in names if fs.exists(self._at(f"{n}/_SUCCESS")[1]) and not fs.exists(self._at(f"{n}/{HELD}")[1])]
 
-    def _rows(self, parts: list[str]) -> DataFrame:
+    @staticmethod
+    def level(part: str) -> int:
+        return int(part.split("-")[1])
+
+    def _empty(self) -> DataFrame:
+        return self.spark.createDataFrame([], self.schema)
+
+    def _stored(self, parts: list[str], only: Callable[[DataFrame, int], DataFrame] = lambda rows, level: rows) -> DataFrame:
+        """The newest row of each key over parts, of the rows that ``only`` leaves of each level."""
         if not parts:
-            return self.spark.createDataFrame([], self.schema)
-        rows = self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{n}" for n in parts))
-        if len(parts) == 1:
-            return rows
-        part = F.regexp_extract(F.input_file_name(), r"/(p[0-9]{20})[^/]*/[^/]*$", 1)
-        return latest(rows.withColumn("_part", part), self.keys, ["_part", self.newest]).drop("_part")
+            return self._empty()
+        out = None
+        for level in sorted({self.level(n) for n in parts}):
+            files = [f"{self.path}/{n}" for n in parts if self.level(n) == level]
+            found = self.spark.read.schema(f"{self.schema}, key_hash bigint, part string, bucket int").option("basePath", self.path).parquet(*files)
+            rows = only(found, level).withColumn("_part", F.left("part", F.lit(PLACE))).drop("key_hash", "bucket", "part")
+            out = rows if out is None else out.unionByName(rows)
+        return (latest(out, self.keys, ["_part", self.newest]) if len(parts) > 1 else out).drop("_part").select(*self._empty().columns)
 
     def read(self) -> DataFrame:
-        return self._rows(self.parts())
+        return self._stored(self.parts())
+
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """The rows of the keys that ``keys`` has (and of none that shares no hash with them)."""
+        hashes = keys.select(F.xxhash64(*self.keys).alias("key_hash")).distinct()
+        few = [r["key_hash"] for r in hashes.limit(LITERALS + 1).collect()]
+        if len(few) > LITERALS:
+            # Many keys are most of the table's blocks: rows of others go before they are shuffled for the newest.
+            return self._stored(self.parts(), lambda rows, level: rows.join(hashes, "key_hash", "left_semi"))
+        if not few:
+            return self._empty()
+        if int(self.spark.conf.get(IN_FILTER)) < LITERALS:  # else Parquet sees the least and the greatest hash alone
+            self.spark.conf.set(IN_FILTER, str(LITERALS))
+
+        def only(rows: DataFrame, level: int) -> DataFrame:
+            buckets = sorted({(h & (1 << 64) - 1) >> 64 - _bits(level) for h in few})
+            return rows.filter(F.col("bucket").isin(buckets) & F.col("key_hash").isin(few))
+
+        return self._stored(self.parts(), only)
+
+    def _write(self, rows: DataFrame, place: str, level: int) -> None:
+        """A part of rows of distinct keys; ``place`` is its time among the parts."""
+        top = lambda bits: F.shiftrightunsigned("key_hash", 64 - bits).cast("int")
+        rows = rows.withColumn("key_hash", F.xxhash64(*self.keys)).withColumn("bucket", top(_bits(level)))
+        # The first level has few buckets, which the tasks share; of the others each bucket is one task's, and one file.
+        rows = rows.repartition("bucket" if level else top(BITS)).sortWithinPartitions("bucket", "key_hash")
+        writer = rows.write.option("parquet.bloom.filter.enabled#key_hash", "true").partitionBy("bucket")
+        writer.parquet(f"{self.path}/part={place}-{level:02d}-{uuid.uuid4().hex[:8]}")
 
     def upsert(self, rows: DataFrame) -> None:
         """Rows replace older rows of their key; among themselves the newest wins."""
-        columns = self.spark.createDataFrame([], self.schema).columns
-        part = f"{self.path}/p{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        latest(rows.select(*columns), self.keys, [self.newest]).select(*columns).write.parquet(part)
-        if len(self.parts()) > PARTS:
-            self.compact()
+        self._write(latest(rows.select(*self._empty().columns), self.keys, [self.newest]), f"{time.time_ns():0{PLACE}d}", 0)
+        level = 0
+        while len(full := [n for n in self.parts() if self.level(n) == level]) > PARTS:
+            self._merge(full, level + 1)
+            level += 1
 
     def compact(self) -> None:
-        """One part of all there are; what the last compaction had replaced goes."""
-        fs, root = self._at()
+        """One part of all there are."""
         parts = self.parts()
-        if len(parts) < 2:
-            return
+        if len(parts) > 1:
+            self._merge(parts, 1 + max(map(self.level, parts)))
+
+    def _merge(self, parts: list[str], level: int) -> None:
+        """One part of those, which stands where the last of them stood; what the last merge had replaced goes."""
+        fs, root = self._at()
         gone = [s.getPath() for s in fs.listStatus(root) if fs.exists(self._at(f"{s.getPath().getName()}/{HELD}")[1])]
-        self._rows(parts).write.parquet(f"{self.path}/{parts[-1][:21]}-{uuid.uuid4().hex[:8]}")  # stands where its last part stood
+        self._write(self._stored(parts), parts[-1].removeprefix("part=")[:PLACE], level)
         for n in parts:
             fs.create(self._at(f"{n}/{HELD}")[1]).close()
         for path in gone:
@@ -133,6 +192,17 @@ class Workspace:
         self.translations = KeyedTable(spark, f"{self.path}/translations")
         self.segments = KeyedTable(spark, f"{self.path}/segments", SEGMENT_SCHEMA, ["segment_id"])
 
+    def log(self, run_id: str) -> ResultLog:
+        return ResultLog(f"{self.path}/log/{run_id}")
+
+    def recover(self, run_id: str = "*") -> int:
+        """Takes what logs of a run, or of all, hold into the memory; the number of batches."""
+        found = self.log(run_id).files()
+        if found:
+            self.translations.upsert(self.spark.read.schema(SCHEMA).parquet(*found))
+            ResultLog.drop(found)
+        return len(found)
+
     def begin(self, run_id: str, source: str, target: str, provider: str, config_hash: str) -> None:
         append(run_record(self.spark, run_id, source, target, provider, config_hash), f"{self.path}/runs")
 

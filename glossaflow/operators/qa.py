@@ -95,20 +95,22 @@ def parse_failures(files: DataFrame) -> DataFrame:
     return issue(rows, "html_parse_fail", F.concat("file_path", F.lit(": "), "parse_error"))
 
 
-def broken_links(links: DataFrame, files: DataFrame, anchors: DataFrame) -> DataFrame:
+def broken_links(links: DataFrame, files: DataFrame, anchors: DataFrame, book: str | None = None) -> DataFrame:
     """Links whose file is unknown, else whose fragment is.
 
     links: file_path, href; files: file_path; anchors: file_path, anchor. Links
-    without a fragment and external ones are never checked.
+    without a fragment and external ones are never checked. ``book`` is a column
+    of all three, if they hold files of several: paths are those inside a book.
     """
+    within = [book] if book else []
     inner = links.filter((F.col("href") != "") & ~T.is_external("href"))
     inner = inner.withColumns({"target_file": T.link_target("file_path", "href"), "fragment": T.link_fragment("href")}).filter("fragment <> ''")
-    known = files.select(F.col("file_path").alias("target_file")).distinct().withColumn("_known", F.lit(True))
-    held = anchors.select(F.col("file_path").alias("target_file"), F.col("anchor").alias("fragment")).distinct().withColumn("_held", F.lit(True))
-    checked = inner.join(known, "target_file", "left").join(held, ["target_file", "fragment"], "left")
+    known = files.select(*within, F.col("file_path").alias("target_file")).distinct().withColumn("_known", F.lit(True))
+    held = anchors.select(*within, F.col("file_path").alias("target_file"), F.col("anchor").alias("fragment")).distinct().withColumn("_held", F.lit(True))
+    checked = inner.join(known, [*within, "target_file"], "left").join(held, [*within, "target_file", "fragment"], "left")
     lost = checked.filter("_held IS NULL")
     what = F.when(F.col("_known").isNull(), "href target file missing: ").otherwise("href fragment missing: ")
-    return issue(lost, "link_break", F.concat(what, "href", F.lit(" from "), "file_path"))
+    return issue(lost, "link_break", F.concat(what, "href", F.lit(" from "), F.concat_ws("!", *within, "file_path")))
 
 
 def toc_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from glossaflow.functions import text as T
 from glossaflow.operators import chat
+from glossaflow.operators.result_log import ResultLog
 from glossaflow.plans.config import Settings
 
 RESULT = "segment_id string, draft_text string, revise_text string, provider string, calls int, error string"
@@ -96,7 +97,9 @@ class Plan:
         for step in steps:
             if step.provider not in PROVIDERS:
                 raise ValueError(f"unknown provider: {step.provider}")
-        builds = [partial(PROVIDERS[step.provider], step.model, settings) for step in steps]
+        # Keys are looked up here: a missing one fails before any call, and executors need no environment of their own.
+        keys = {step.provider: {"key": chat.key_of(step.provider)} for step in steps if step.provider in chat.SERVICES}
+        builds = [partial(PROVIDERS[step.provider], step.model, settings, **keys.get(step.provider, {})) for step in steps]
 
         def make() -> Provider:
             made = [build() for build in builds]
@@ -188,9 +191,12 @@ def run_batch(provider: Provider, rows: list[dict], hits: list[dict]) -> tuple[d
     return drafts, texts, rounds
 
 
-def translate(batches: DataFrame, provider: str | Plan | Callable[[], Provider] = "mock", in_flight: int | None = None) -> DataFrame:
+def translate(batches: DataFrame, provider: str | Plan | Callable[[], Provider] = "mock", in_flight: int | None = None, log: ResultLog | None = None) -> DataFrame:
     """Results for segments of batches (batch_key, segment_id, source_text, hits).
 
+    With a ``log``, each answered batch is committed to it at once; then the
+    batches have source_hash and config_hash too.
+
     ``in_flight`` bounds the batches that are out at a time: they are dealt to
     so many partitions, and a task has one call open.
     """
@@ -204,19 +210,22 @@ def translate(batches: DataFrame, provider: str | Plan | Callable[[], Provider]
         try:
             drafts, texts, rounds = run_batch(engine, rows, hits)
             out = [(r["segment_id"], drafts.get(r["segment_id"]), texts[r["segment_id"]], name, rounds, None) for r in rows]
+            if log:
+                keys = frame[["segment_id", "source_hash", "config_hash"]].to_dict("records")
+                log.commit(str(frame["batch_key"].iloc[0]), [{**k, "draft_text": drafts.get(k["segment_id"]), "revise_text": texts[k["segment_id"]], "provider": name} for k in keys])
         except Exception as e:
             out = [(r["segment_id"], None, None, name, 1, f"Batch translation failed: {e}") for r in rows]
         return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    rows = batches.select("batch_key", "segment_id", "source_text", "hits")
+    rows = batches.select("batch_key", "segment_id", "source_text", "hits", *["source_hash", "config_hash"] * bool(log))
     rows = rows.repartition(in_flight, "batch_key") if in_flight else rows
     return rows.groupBy("batch_key").applyInPandas(call, RESULT)
 
 
-def repair(segments: DataFrame, provider: str | Plan | Callable[[], Provider] = "mock", in_flight: int | None = None) -> DataFrame:
+def repair(segments: DataFrame, provider: str | Plan | Callable[[], Provider] = "mock", in_flight: int | None = None, log: ResultLog | None = None) -> DataFrame:
     """A second pass over segments (segment_id, source_text, translated) that need it, each by itself."""
     bad = segments.filter(T.needs_repair("source_text", F.coalesce("translated", F.lit(""))))
-    return translate(bad.withColumns({"batch_key": F.col("segment_id"), "hits": F.lit("[]")}), provider, in_flight)
+    return translate(bad.withColumns({"batch_key": F.col("segment_id"), "hits": F.lit("[]")}), provider, in_flight, log)
 
 
 def batch_payload(segments: DataFrame, style: str, revise: bool = False) -> DataFrame:

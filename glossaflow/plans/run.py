@@ -6,8 +6,10 @@ once. The outcome is a set of files and an exit code: 0 if the gate is passed,
 of the gate.
 
 Calls are made in waves of batches, and the memory takes the results of a wave
-before the next begins: whatever ends a run later, finished waves are kept, and
-``resume`` goes on after them.
+before the next begins. Inside a wave each task commits a batch to a log when it
+is answered. Whatever ends a run, the memory has every answered batch: a
+cancelled or failed run takes its log in itself, the next one those of runs that
+were killed, and ``resume`` goes on after them.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ WAVE_BATCHES = 64  # at least, where there are so many
 class Outcome:
     code: int
     counts: dict = field(default_factory=dict)
-    books: DataFrame | None = None
+    books: DataFrame | None = None  # (book, content), packed when it is read
+    files: DataFrame | None = None  # (book, entry, content)
     issues: DataFrame | None = None
     summary: str = ""
     trace: str = ""
@@ -55,6 +58,10 @@ def load_terms(spark: SparkSession, path: str | None) -> tuple[DataFrame, str]:
     return ranked, terms.fingerprint([r.asDict() for r in kept.select("source", "target", "force", "note").collect()], version)
 
 
+class Cancelled(InterruptedError):
+    """What a cancelled run raises between its steps."""
+
+
 class Run:
     """Job group of a run: cancel() ends its jobs, and the run returns 130."""
 
@@ -77,31 +84,37 @@ class Run:
     def go_on(self) -> None:
         """Between steps, since a cancel may come while no job is running."""
         if self.cancelled:
-            raise InterruptedError("cancelled")
+            raise Cancelled("cancelled")
 
 
 def _in_waves(batched: DataFrame, make: Callable, in_flight: int | None, store: memory.Workspace | None, run: Run) -> DataFrame:
-    """Results of all batches; each wave of them is in the memory before the next begins."""
+    """Results of all batches; each wave of them is in the memory before the next begins.
+
+    Batches lie apart by wave, so that a wave reads its own.
+    """
     batches = batched.select("batch_key").distinct().count()
-    waves = min(WAVES, math.ceil(batches / max(WAVE_BATCHES, 4 * (in_flight or 0)))) if store else 1
-    keys = batched.select(*memory.KEY)
+    waves = max(1, min(WAVES, math.ceil(batches / max(WAVE_BATCHES, 4 * (in_flight or 0)))) if store else 1)
+    if waves > 1:
+        batched = stage_table(batched.withColumn("wave", F.pmod(F.xxhash64("batch_key"), F.lit(waves)).cast("int")), "waves", ["wave"])
+    log = store.log(run.id) if store else None
     done = None
-    for k in range(max(1, waves)):
+    for k in range(waves):
         run.go_on()
-        rows = batched.filter(F.pmod(F.xxhash64("batch_key"), F.lit(waves)) == k) if waves > 1 else batched
-        found = stage_table(translate.translate(rows, make, in_flight), "translated")
+        rows = batched.filter(F.col("wave") == k) if waves > 1 else batched
+        found = stage_table(translate.translate(rows, make, in_flight, log), "translated")
         if store:
-            good = found.filter("error IS NULL").join(keys, "segment_id").withColumn("updated_at", F.current_timestamp())
-            store.translations.upsert(good)
-        run.say(f"wave {k + 1} of {max(1, waves)}")
+            store.translations.upsert(found.filter("error IS NULL").join(rows.select(*memory.KEY), "segment_id").withColumn("updated_at", F.current_timestamp()))
+            log.clear()
+        run.say(f"wave {k + 1} of {waves}")
         done = found if done is None else done.unionByName(found)
     return done
 
 
 def _files(books: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All files, those in reading order, and the tables of contents."""
-    files = stage_table(epub.entries(books).withColumnRenamed("entry", "file_path"), "files")
-    rows = stage_table(epub.package(books), "package")
+    """All files, those in reading order, and the tables of contents; of archives (book, content) or their files (book, entry, content)."""
+    rows = books if "entry" in books.columns else epub.entries(books)
+    files = stage_table(rows.withColumnRenamed("entry", "file_path"), "files")
+    rows = stage_table(epub.package_of(files), "package")
     items = epub.manifest(rows)
     order = stage_table(epub.reading_order(items, epub.spine(rows)).filter("file_path IS NOT NULL"), "order")
     toc = epub.nav_file(items).withColumn("kind", F.lit("nav")).unionByName(epub.ncx_file(items).withColumn("kind", F.lit("ncx")))
@@ -112,13 +125,14 @@ def translate_books(
     spark: SparkSession, books: DataFrame, settings: Settings | None = None, term_path: str | None = None, plan: translate.Plan | None = None,
     store: memory.Workspace | None = None, resume: bool = False, run: Run | None = None, in_flight: int | None = None, names: tuple[str, str] = ("", ""),
 ) -> Outcome:
-    """Translates archives (book, content); ``names`` are those of input and output in the record of runs."""
+    """Translates archives (book, content), or their files (book, entry, content); ``names`` are those of input and output in the record of runs."""
     settings, plan, run = settings or Settings(), plan or translate.plan(), run or Run(spark)
     try:
         make = plan.maker(settings)
         known, terms_digest = load_terms(spark, term_path)
         key = fingerprint(settings=settings, terms={"all": terms_digest}, provider=plan.values())
         if store:
+            store.recover()
             store.begin(run.id, *names, plan.draft.provider, key)
         files, order, toc = _files(books)
         chapters = files.join(order.select("book", "file_path").distinct(), ["book", "file_path"], "left_semi")
@@ -135,7 +149,7 @@ def translate_books(
         if store:
             store.segments.upsert(memory.segment_rows(seg))
 
-        held = store.translations.read() if store and resume else spark.createDataFrame([], memory.SCHEMA)
+        held = store.translations.lookup(seg.select(*memory.KEY)) if store and resume else spark.createDataFrame([], memory.SCHEMA)
         probed = stage_table(memory.probe(seg, held, prefer_revise=plan.revise is not None), "probed")
         todo = probed.filter("state <> 'cached'").withColumns({"chars": F.length("source_text"), "_order": F.struct("order_index", "chunk_index")})
         batched = segments.greedy_batches(todo, "book", "_order", "chars", settings["segmentation.max_chars_per_batch"], settings["segmentation.max_segments_per_batch"])
@@ -149,9 +163,11 @@ def translate_books(
         merged = stage_table(merged.join(batched.select("segment_id", "batch_key"), "segment_id", "left"), "merged")
         run.go_on()
         run.say(f"{translate.failed_ids(done).count()} segments failed at first")
-        repaired = stage_table(translate.repair(merged.select("segment_id", "source_text", "translated"), make, in_flight), "repaired")
+        log = store.log(run.id) if store else None
+        repaired = stage_table(translate.repair(merged.select(*memory.KEY, "source_text", "translated"), make, in_flight, log), "repaired")
         if store:
             store.translations.upsert(repaired.filter("error IS NULL").join(seg.select(*memory.KEY), "segment_id").withColumn("updated_at", F.current_timestamp()))
+            log.clear()
             failed = done.filter("error IS NOT NULL").select("segment_id", F.lit("translate").alias("stage"), F.col("error").alias("message"))
             failed = failed.unionByName(repaired.filter("error IS NOT NULL").select("segment_id", F.lit("repair").alias("stage"), F.col("error").alias("message")))
             for stage in ("translate", "repair"):
@@ -169,29 +185,31 @@ def translate_books(
         run.say("checking")
         was, now = (stage_table(epub.file_facts(x.join(order.select("book", "file_path").distinct(), ["book", "file_path"], "left_semi")), "facts") for x in (files, out))
         path = F.concat_ws("!", "book", "file_path")
-        facts = lambda x: x.select(path.alias("file_path"), "parse_error", "ids", "hrefs", "signatures")
+        facts = lambda x: x.select(path.alias("file_path"), "parse_error", "signatures")
         kinds = toc.select("book", "file_path", "kind")
         before, after = epub.toc_hrefs(toc), epub.toc_hrefs(out.join(kinds, ["book", "file_path"]))
         lines = tasks.select(F.concat_ws("#", "book", "node_task_id").alias("node_task_id"), "poetry_line_count")
         seen = facts(now)
         issues = qa.all_issues(
             qa.segment_issues(final, known), qa.poetry_line_mismatch(lines, texts.select(F.concat_ws("#", "book", "node_task_id").alias("node_task_id"), "text")), qa.parse_failures(seen),
-            qa.broken_links(seen.select("file_path", F.explode("hrefs").alias("href")), seen, seen.select("file_path", F.explode("ids").alias("anchor"))),
+            qa.broken_links(now.select("book", "file_path", F.explode("hrefs").alias("href")), now, now.select("book", "file_path", F.explode("ids").alias("anchor")), "book"),
             qa.toc_changes(before, after), qa.attribute_changes(facts(was).select("file_path", "signatures"), seen.select("file_path", "signatures")),
         )
         issues = stage_table(issues, "issues")
         counts = translate.run_counts(final.select("state", "translated", "batch_key", "error")).first().asDict()
         gate = qa.gate(issues, counts["total_segments"], settings["qa.warn_ratio_limit"], settings["qa.warn_min_cap"]).first()
-        packed = epub.pack(out.withColumnRenamed("file_path", "entry"))
-        return Outcome(translate.exit_code(gate["passed"]), counts, packed, issues, qa.summary(issues, counts["total_segments"]))
+        whole = out.withColumnRenamed("file_path", "entry")
+        return Outcome(translate.exit_code(gate["passed"]), counts, epub.pack(whole), whole, issues, qa.summary(issues, counts["total_segments"]))
     except Exception as e:
+        if store:
+            store.recover(run.id)
         if run.cancelled:
             return Outcome(translate.exit_code(None, cancelled=True))
         failed = spark.createDataFrame([(None, f"{type(e).__name__}: {e}")], "segment_id string, message string")
         if store:
             store.fail(failed, run.id, "runtime")
         issues = qa.all_issues(qa.runtime_failure(failed))
-        return Outcome(translate.exit_code(None, failed=True), {}, None, issues, qa.summary(issues, 0), traceback.format_exc())
+        return Outcome(translate.exit_code(None, failed=True), {}, None, None, issues, qa.summary(issues, 0), traceback.format_exc())
 
 
 @dataclass
@@ -208,12 +226,25 @@ class MiningOptions:
 
 def generate_termbase(
     spark: SparkSession, books: DataFrame, options: MiningOptions, existing: list[dict] | None = None, name: str = "",
-    settings: Settings | None = None, in_flight: int | None = None,
+    settings: Settings | None = None, in_flight: int | None = None, run: Run | None = None,
 ) -> tuple[dict, dict]:
-    """(payload to write as YAML or JSON, counts); at most max_terms new terms."""
+    """(payload to write as YAML or JSON, counts); at most max_terms new terms. Raises ``Cancelled`` when ``run`` is cancelled."""
+    run = run or Run(spark)
+    try:
+        return _mined(spark, books, options, existing, name, settings, in_flight, run)
+    except Exception:
+        run.go_on()  # what a cancelled job raises is no failure
+        raise
+
+
+def _mined(spark: SparkSession, books: DataFrame, options: MiningOptions, existing: list[dict] | None, name: str, settings: Settings | None, in_flight: int | None, run: Run) -> tuple[dict, dict]:
+    run.go_on()
+    run.say("reading")
     files, order, _ = _files(books)
     chapters = files.join(order.select("book", "file_path").distinct(), ["book", "file_path"], "left_semi")
     nodes = stage_table(epub.text_nodes(chapters), "text-nodes")
+    run.go_on()
+    run.say("mining")
     found = stage_table(terms.candidates(nodes, single=options.include_single_word), "candidates")
     old = [t for t in existing or [] if t.get("source")] if options.merge_existing else []
     known = spark.createDataFrame([(str(t["source"]), str(t.get("target") or ""), bool(t.get("force", False)), str(t.get("note", "")), i) for i, t in enumerate(old)], f"{TERM}, place int")
@@ -221,7 +252,9 @@ def generate_termbase(
     fresh = terms.new_terms(picked, known).withColumn("place", -F.regexp_extract("note", r"(\d+)$", 1).cast("int"))
     every = stage_table(terms.termbase_union(known, fresh), "termbase")
     outcomes: dict[str, int] = {}
+    run.go_on()
     if options.fill_empty_targets:
+        run.say("filling")
         asked = terms.term_segments(terms.to_fill(every).select("source").distinct(), "source")
         size = max(1, options.fill_batch_size)
         number = F.floor((F.regexp_extract("segment_id", r"(\d+)$", 1).cast("long") - 1) / size)
@@ -230,6 +263,7 @@ def generate_termbase(
         replies = translate.translate(asked, make, in_flight).join(asked.select("segment_id", "source"), "segment_id").select("source", F.col("draft_text").alias("reply"))
         every = stage_table(terms.fill_targets(every, replies), "filled")
         outcomes = {r["outcome"]: r["count"] for r in every.groupBy("outcome").count().collect()}
+    run.go_on()
     done = stage_table(terms.normalise_targets(every), "normal")
     listed = done.orderBy("branch", "place", F.desc(F.length("source")), "source").select("source", "target", "force", "note").collect()
     payload = {"version": 1, "generated_at": datetime.now(timezone.utc).isoformat(), "source_epub": name, "settings": asdict(options), "terms": [r.asDict() for r in listed]}

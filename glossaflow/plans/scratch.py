@@ -12,6 +12,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,8 +38,8 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a reader of what was written.
+def stage_table(df: DataFrame, name: str, apart: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once, in a folder for each value of ``apart``, and return a reader of what was written.
 
     Nothing reads the shuffle files of the write later, so they go with it.
     """
@@ -47,7 +48,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     kept = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*apart).parquet(path)
     finally:
         spark.conf.set(CLEANUP, kept) if kept is not None else spark.conf.unset(CLEANUP)
     staged = spark.read.schema(df.schema).parquet(path)

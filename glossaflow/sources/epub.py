@@ -67,37 +67,53 @@ def entries(books: DataFrame) -> DataFrame:
     return _each(books, ["book", "content"], ENTRY, rows)
 
 
-def _package(book: str, content: bytes) -> tuple[str, ET.Element]:
+def _root_file(book: str, container: bytes | None) -> str:
+    if container is None:
+        raise ValueError(f"Invalid EPUB: {CONTAINER} missing in {book}")
+    root = markup.parse_xml(container)
+    path = next((n.get("full-path") for n in root.iter() if isinstance(n.tag, str) and markup.name_of(n.tag) == "rootfile"), None)
+    if not path:
+        raise ValueError(f"Invalid EPUB: no rootfile in {CONTAINER} of {book}")
+    return path
+
+
+def _package(book: str, content: bytes) -> tuple[str, bytes | None]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
-        if CONTAINER not in names:
-            raise ValueError(f"Invalid EPUB: {CONTAINER} missing in {book}")
-        root = markup.parse_xml(z.read(CONTAINER))
-        path = next((n.get("full-path") for n in root.iter() if isinstance(n.tag, str) and markup.name_of(n.tag) == "rootfile"), None)
-        if not path:
-            raise ValueError(f"Invalid EPUB: no rootfile in {CONTAINER} of {book}")
-        if path not in names:
-            raise ValueError(f"Invalid EPUB: OPF file missing: {path} in {book}")
-        return path, markup.parse_xml(z.read(path))
+        path = _root_file(book, z.read(CONTAINER) if CONTAINER in names else None)
+        return path, z.read(path) if path in names else None
 
 
 def _under(root: ET.Element, parent: str, name: str) -> list[ET.Element]:
     return [n for p in root if isinstance(p.tag, str) and markup.name_of(p.tag) == parent for n in p if isinstance(n.tag, str) and markup.name_of(n.tag) == name]
 
 
+def _package_rows(book: str, path: str, content: bytes | None) -> Iterator[tuple]:
+    if content is None:
+        raise ValueError(f"Invalid EPUB: OPF file missing: {path} in {book}")
+    root = markup.parse_xml(content)
+    toc = next((p.get("toc") for p in root if isinstance(p.tag, str) and markup.name_of(p.tag) == "spine"), None)
+    for i, n in enumerate(_under(root, "manifest", "item")):
+        yield book, i, n.get("id") or "", n.get("href") or "", n.get("media-type") or "", n.get("properties") or "", posixpath.dirname(path), toc or "", "item", None
+    for i, n in enumerate(_under(root, "spine", "itemref")):
+        if n.get("idref"):
+            yield book, i, None, None, None, None, None, None, "itemref", n.get("idref")
+
+
+PACKAGE = f"{MANIFEST}, part string, idref string"
+
+
 def package(books: DataFrame) -> DataFrame:
     """Rows of the package file of each archive, of one opening: ``part`` says of which of the two tables below."""
+    return _each(books, ["book", "content"], PACKAGE, lambda book, content: _package_rows(book, *_package(book, content)))
 
-    def rows(book: str, content: bytes) -> Iterator[tuple]:
-        path, root = _package(book, content)
-        toc = next((p.get("toc") for p in root if isinstance(p.tag, str) and markup.name_of(p.tag) == "spine"), None)
-        for i, n in enumerate(_under(root, "manifest", "item")):
-            yield book, i, n.get("id") or "", n.get("href") or "", n.get("media-type") or "", n.get("properties") or "", posixpath.dirname(path), toc or "", "item", None
-        for i, n in enumerate(_under(root, "spine", "itemref")):
-            if n.get("idref"):
-                yield book, i, None, None, None, None, None, None, "itemref", n.get("idref")
-
-    return _each(books, ["book", "content"], f"{MANIFEST}, part string, idref string", rows)
+
+def package_of(files: DataFrame) -> DataFrame:
+    """The same of files (book, file_path, content), of which only the container and the package file go to Python."""
+    held = files.groupBy("book").agg(F.max(F.when(F.col("file_path") == CONTAINER, F.col("content"))).alias("container"))
+    roots = _each(held, ["book", "container"], "book string, file_path string", lambda book, container: [(book, _root_file(book, container))])
+    found = roots.join(files.select("book", "file_path", "content"), ["book", "file_path"], "left")
+    return _each(found, ["book", "file_path", "content"], PACKAGE, _package_rows)
 
 
 def manifest(rows: DataFrame) -> DataFrame:

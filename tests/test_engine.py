@@ -213,9 +213,63 @@ def test_keyed_table(spark, tmp_path, monkeypatch):
     store.compact()
     assert {r["segment_id"]: r["draft_text"] for r in store.read().collect()} == {"s1": "three", "x": "a", "y": "b"}
     assert len(list((tmp_path / "tm").glob("p*"))) == 3  # the whole, and what it replaced
-    monkeypatch.setattr(memory, "PARTS", 1)
-    store.upsert(row("four", "2020-01-01 00:00:00"))
-    assert len(store.parts()) == 1 and store.read().filter("segment_id = 's1'").first()["draft_text"] == "four"
+
+
+def test_memory_levels_match_the_latest_of_all_rows(spark, tmp_path, monkeypatch):
+    """Upserts at random: the table is what the last writer of each key left, and each level is merged when it is full."""
+    monkeypatch.setattr(memory, "PARTS", 2)
+    table = memory.KeyedTable(spark, str(tmp_path / "t"), "k bigint, v string, at bigint", ["k"], "at")
+    rng, want, merges = random.Random(4), {}, []
+    plain = table._merge
+    monkeypatch.setattr(table, "_merge", lambda parts, level: (merges.append((len(parts), level)), plain(parts, level)))
+    for n in range(10):
+        rows = [(rng.randrange(40), f"{n}-{i}", rng.randrange(5)) for i in range(12)]
+        table.upsert(spark.createDataFrame(rows, "k bigint, v string, at bigint"))
+        for k in {r[0] for r in rows}:
+            want[k] = max((r[2] for r in rows if r[0] == k)), {r[1] for r in rows if r[0] == k}
+        got = {r["k"]: r for r in table.read().collect()}
+        assert set(got) == set(want) and all(got[k]["at"] == at and got[k]["v"] in names for k, (at, names) in want.items())
+    assert merges == [(3, 1)] * 3 + [(3, 2)]
+    assert [table.level(p) for p in table.parts()] == [2, 0]
+    keys = spark.createDataFrame([(k,) for k in [*list(want)[:7], 999]], "k bigint")
+    few = {r["k"]: r["v"] for r in table.lookup(keys).collect()}
+    assert few == {r["k"]: r["v"] for r in table.read().collect() if r["k"] in few} and len(few) == 7
+    monkeypatch.setattr(memory, "LITERALS", 3)
+    assert {r["k"]: r["v"] for r in table.lookup(keys).collect()} == few
+    assert table.lookup(keys.filter("k < 0")).count() == 0
+
+
+def _scanned(df):
+    """(files, rows) that the scans of a finished plan have read."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    leaves = plan.collectLeaves()
+    files = rows = 0
+    todo = [leaves.apply(i) for i in range(leaves.size())]
+    while todo:
+        node = todo.pop()
+        inner = node.getClass().getSimpleName()
+        if inner.endswith("QueryStageExec"):
+            below = node.plan().collectLeaves()
+            todo += [below.apply(i) for i in range(below.size())]
+        elif node.metrics().contains("numFiles"):
+            files, rows = files + node.metrics().apply("numFiles").value(), rows + node.metrics().apply("numOutputRows").value()
+    return files, rows
+
+
+def test_a_lookup_reads_what_can_hold_its_keys(spark, tmp_path):
+    table = memory.KeyedTable(spark, str(tmp_path / "t"), "k bigint, v string, at bigint", ["k"], "at")
+    table.upsert(spark.range(200_000).selectExpr("id AS k", "CAST(id AS string) AS v", "id AS at"))
+    table.compact()
+    table.upsert(spark.range(50).selectExpr("id AS k", "'new' AS v", "id AS at"))
+    table.compact()
+    table.upsert(spark.range(5, 10).selectExpr("id AS k", "'newer' AS v", "id AS at"))
+    every = _scanned(table.read())
+    found = table.lookup(spark.createDataFrame([(7,), (199_999,)], "k bigint"))
+    some = _scanned(found)
+    assert {(r["k"], r["v"]) for r in found.collect()} == {(7, "newer"), (199_999, "199999")}
+    assert every[1] >= 200_000 and some[0] <= 4 and some[1] < every[1] / 10
 
 
 def test_probe(spark):
@@ -290,6 +344,13 @@ def test_provider_plans(monkeypatch):
     assert plan("dashscope-mt", "qwen-mt-plus") == translate.Plan(step("dashscope-mt", "qwen-mt-plus"), None)
     with pytest.raises(ValueError):
         plan("mixed", draft="absent").maker()
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    with pytest.raises(RuntimeError, match="OPENAI_API_KEY is not set"):
+        plan("openai", "m").maker()
+    monkeypatch.setenv("OPENAI_API_KEY", "secret")
+    make = plan("openai", "m", revise="none").maker()
+    monkeypatch.delenv("OPENAI_API_KEY")
+    assert make().draft.key == "secret" and "secret" not in repr(make().draft)
     for name in ("one", "two"):
         monkeypatch.setitem(translate.PROVIDERS, name, Marks)
     rows = [{"segment_id": "1", "source_text": "a"}]
@@ -389,5 +450,5 @@ def test_streaming_resume(spark, tmp_path):
     put([("b", 3, "s3", "three")])
     run()
     assert {r["segment_id"]: r["revise_text"] for r in store.read().collect()} == {"s1": "[中]one", "s2": "[中]two", "s3": "[中]three"}
-    again = translate_missing(spark.read.schema(schema).parquet(str(source)), store.read(), "c")
-    assert again.count() == 0
+    for held in (store.read(), store):
+        assert translate_missing(spark.read.schema(schema).parquet(str(source)), held, "c").count() == 0
