@@ -1,6 +1,9 @@
-"""Masking, chunking and phrase mining: stateful text logic that built-ins can't express.
+"""Masking, chunking and phrase mining: logic that keeps state along a text.
 
-Each is a plain Python function with an Arrow-batched column function beside it.
+Each is a plain Python function with a column function beside it. Masking of
+texts is built-in expressions alone: a pass of a pattern is one list of matches
+and one list of what lies between, put together again. The others are
+Arrow-batched. Markup is masked in Python, for it is parsed there anyway.
 """
 
 from __future__ import annotations
@@ -24,6 +27,17 @@ LITERALS = tuple(
         r"\b(?:c\.|fl\.|r\.)",
     )
 )
+#: The same for the JVM's patterns, where classes must say what words, digits and spaces are in
+#: all scripts, and where a match may neither run into a token nor lie in one. (A digit beyond 16
+#: bits, though it is among \\p{N}, makes them look back by code points.)
+_W, _SPACE, _HELD = r"[\p{L}\p{N}_𝟎]", r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}", r"⟦PH:\p{Nd}{6}⟧"
+_RUN = rf"(?:(?!{_HELD})[^{_SPACE}])+"
+JVM_LITERALS = (
+    rf"https?://{_RUN}|mailto:{_RUN}",
+    rf"(?<!{_W})(?!(?<=⟦PH:)\p{{Nd}}{{6}}⟧)(?:\p{{Nd}}{{1,3}}(?:,\p{{Nd}}{{3}})*(?:\.\p{{Nd}}+)?(?:st|nd|rd|th)?(?!{_W})|\p{{Nd}}+(?!{_W}))",
+    rf"(?<!{_W})[IVXLCDM]{{2,}}(?!{_W})",
+    rf"(?<!{_W})(?:c\.|fl\.|r\.)",
+)
 INLINE = frozenset({"a", "em", "strong", "i", "b", "sup", "sub", "span", "br", "img", "q", "cite"})
 BREAK = re.compile(r"(?<=[。！？.!?;；:：])\s+")
 MARKS = (" ", "，", ",", "；", ";", "。", ".")
@@ -162,23 +176,47 @@ def phrases(text: str, single: bool = False) -> list[str]:
     return out
 
 
-def _masked(f: Callable[[str], tuple[str, list[tuple[str, str]]]]):
-    @F.pandas_udf(f"struct<text:string,pairs:{PAIRS}>")
-    def mask(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in texts:
-            done = [(None, None) if t is None else f(t) for t in s]
-            yield pd.DataFrame({"text": [t for t, _ in done], "pairs": [p and [{"token": a, "raw": b} for a, b in p] or ([] if t is not None else None) for t, p in done]})
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _pass(before: Column, pattern: str) -> Column:
+    """struct<text, pairs> after a further pattern: its matches take the next numbers in their order."""
+
+    def after(done: Column) -> Column:
+        def number(k: Column) -> Column:
+            return F.format_string("⟦PH:%06d⟧", F.size(done["pairs"]) + k)
 
-    return mask
+        def both(found: Column) -> Column:
+            between = F.transform(F.split(done["text"], pattern, -1), lambda text, i: F.when(i < F.size(found), F.concat(text, number(i + 1))).otherwise(text))
+            new = F.transform(found, lambda raw, i: F.struct(number(i + 1).alias("token"), raw.alias("raw")))
+            text = F.when(F.size(found) > 0, F.array_join(between, "")).otherwise(done["text"])
+            return F.struct(text.alias("text"), F.concat(done["pairs"], new).alias("pairs"))
+
+        return _let(F.regexp_extract_all(done["text"], F.lit(pattern), F.lit(0)), both)
+
+    return _let(before, after)
 
 
 def mask_text_column(c: Column) -> Column:
-    """struct<text, pairs> of plain texts; null of null."""
-    return _masked(mask_text)(c)
+    """struct<text, pairs> of plain texts, without Python; both null of null."""
+    out = F.struct(c.alias("text"), F.array().cast(PAIRS).alias("pairs"))
+    for pattern in JVM_LITERALS:
+        out = _pass(out, pattern)
+    return _let(out, lambda done: F.struct(done["text"].alias("text"), F.when(done["text"].isNotNull(), done["pairs"]).alias("pairs")))
 
 
 def mask_markup_column(c: Column) -> Column:
-    return _masked(mask_markup)(c)
+    """The same of fragments of markup."""
+
+    @F.pandas_udf(f"struct<text:string,pairs:{PAIRS}>")
+    def mask(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in texts:
+            done = [(None, None) if t is None else mask_markup(t) for t in s]
+            yield pd.DataFrame({"text": [t for t, _ in done], "pairs": [p and [{"token": a, "raw": b} for a, b in p] or ([] if t is not None else None) for t, p in done]})
+
+    return mask(c)
 
 
 def chunks_column(c: Column, size: int) -> Column:

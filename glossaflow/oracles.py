@@ -221,7 +221,24 @@ ORACLES = {
     "segments_build": f"""WITH RECURSIVE {_CHUNKS}, p AS (SELECT doc_id AS book, n, piece FROM c WHERE piece IS NOT NULL)
         SELECT book, CAST(n - 1 AS INTEGER) AS chunk_index, 'S' || lpad(CAST(n AS VARCHAR), 9, '0') AS segment_id, sha256(piece) AS text_hash,
           sha256(coalesce(right(lag(piece) OVER (PARTITION BY book ORDER BY n), 300), '')) AS context_hash FROM p""",
-    "mask_round_trip": "SELECT doc_id, sha256(text) AS decoded_hash FROM documents",
+    # Word runs stand between marks, so that RE2, which looks neither back nor ahead, can tell whole ones.
+    "mask_literals": r"""WITH RECURSIVE p0 AS (SELECT doc_id, text, regexp_extract_all(text, '(https?://[^\s\x{85}\x{a0}\x{2000}-\x{200a}]+|mailto:[^\s\x{85}\x{a0}\x{2000}-\x{200a}]+)') AS m1,
+          regexp_replace(text, 'https?://[^\s\x{85}\x{a0}\x{2000}-\x{200a}]+|mailto:[^\s\x{85}\x{a0}\x{2000}-\x{200a}]+', '⟦PH⟧', 'g') AS t1 FROM documents),
+        r AS (SELECT *, regexp_replace(t1, '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(2), 'g') AS u FROM p0),
+        p1 AS (SELECT *, regexp_extract_all(u, '\x01\p{Nd}{1,3}(?:\x02,\x01\p{Nd}{3})*(?:\x02\.\x01\p{Nd}+)?(?:st|nd|rd|th)?\x02|\x01\p{Nd}+\x02') AS m2,
+          regexp_replace(u, '\x01\p{Nd}{1,3}(?:\x02,\x01\p{Nd}{3})*(?:\x02\.\x01\p{Nd}+)?(?:st|nd|rd|th)?\x02|\x01\p{Nd}+\x02', '⟦PH⟧', 'g') AS t2 FROM r),
+        p2 AS (SELECT *, regexp_extract_all(t2, '\x01[IVXLCDM]{2,}\x02') AS m3, regexp_replace(t2, '\x01[IVXLCDM]{2,}\x02', '⟦PH⟧', 'g') AS t3 FROM p1),
+        p3 AS (SELECT *, regexp_extract_all(t3, '\x01(?:c|fl|r)\x02\.') AS m4, regexp_replace(t3, '\x01(?:c|fl|r)\x02\.', '⟦PH⟧', 'g') AS t4 FROM p2),
+        q AS (SELECT doc_id, text, list_concat(list_concat(m1, m2), list_concat(m3, m4)) AS ms, regexp_replace(t4, '[\x01\x02]', '', 'g') AS masked FROM p3)
+        SELECT doc_id, len(ms) AS n_masked, sha256(masked) AS masked_hash, sha256(regexp_replace(array_to_string(ms, '|'), '[\x01\x02]', '', 'g')) AS raws_hash,
+          true AS in_order, sha256(text) AS decoded_hash FROM q""",
+    "mask_round_trip": r"""WITH u AS (SELECT doc_id, text, regexp_replace(text, 'https?://[^\s\x{85}\x{a0}\x{2000}-\x{200a}]+|mailto:[^\s\x{85}\x{a0}\x{2000}-\x{200a}]+', '⟦⟧', 'g') AS t1 FROM documents),
+        v AS (SELECT *, regexp_replace(regexp_replace(t1, '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(2), 'g'),
+          '\x01\p{Nd}{1,3}(?:\x02,\x01\p{Nd}{3})*(?:\x02\.\x01\p{Nd}+)?(?:st|nd|rd|th)?\x02|\x01\p{Nd}+\x02|\x01[IVXLCDM]{2,}\x02|\x01(?:c|fl|r)\x02\.', '⟦⟧', 'g') AS t2 FROM u)
+        SELECT doc_id, sha256(text) AS decoded_hash, length(text) - length(regexp_replace(t2, '[\x01\x02⟦⟧]', '', 'g')) AS n_masked_chars FROM v""",
+    "attribute_signatures": r"""WITH t AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS h FROM pages),
+        s AS (SELECT page_id, list_transform(regexp_extract_all(h, '<a href="([^"]*)"', 1), lambda x: 'a|{"href": "' || x || '"}') AS s FROM t)
+        SELECT CAST(page_id AS VARCHAR) AS book, len(s) AS n_signatures, sha256(array_to_string(s, chr(10))) AS signatures_hash FROM s""",
     "html_text_nodes": r"""WITH t AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<!DOCTYPE[^>]*>', '', 'g') AS h FROM pages),
         n AS (SELECT page_id, unnest(regexp_split_to_array(h, '<[^>]*>')) AS x FROM t)
         SELECT CAST(page_id AS VARCHAR) AS book, count(*) AS n_nodes FROM n WHERE length(trim(x, ' ' || chr(10) || chr(9) || chr(13))) >= 2 GROUP BY page_id""",

@@ -325,14 +325,32 @@ def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select("file_path", "href", T.link_target("file_path", "href").alias("target"), T.link_fragment("href").alias("fragment"), T.is_external("href").alias("outside"))
 
 
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", masking.mask_text_column(F.col("text")).alias("m"))
+
+
 def mask_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", masking.mask_text_column(F.col("text")).alias("m"))
-    return docs.select("doc_id", F.size("m.pairs").alias("n_masked"), T.text_hash("m.text").alias("masked_hash"), T.text_hash(T.decode_tokens("m.text", "m.pairs")).alias("decoded_hash"))
+    """Every text masked: its tokens without their numbers, what they stand for in the order of numbers, the numbers themselves, and the text put together again."""
+    bare = F.regexp_replace("m.text", "(⟦PH):[0-9]{6}⟧", "$1⟧")
+    numbers = F.transform("m.pairs", lambda p: F.regexp_extract(p["token"], "([0-9]+)", 1).cast("int"))
+    return _masked(spark, sf_dir).select(
+        "doc_id", F.size("m.pairs").alias("n_masked"), T.text_hash(bare).alias("masked_hash"), T.text_hash(F.array_join(F.transform("m.pairs", lambda p: p["raw"]), "|")).alias("raws_hash"),
+        (numbers == F.transform("m.pairs", lambda p, i: i + 1)).alias("in_order"), T.text_hash(T.decode_tokens("m.text", "m.pairs")).alias("decoded_hash"),
+    )
 
 
 def mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text masked and put together again."""
-    return mask_literals(spark, sf_dir).select("doc_id", "decoded_hash")
+    """Every text masked and put together again, and the length of what was masked."""
+    decoded = T.decode_tokens("m.text", "m.pairs")
+    taken = F.aggregate("m.pairs", F.lit(0), lambda n, p: n + F.length(p["raw"]))
+    return _masked(spark, sf_dir).select("doc_id", T.text_hash(decoded).alias("decoded_hash"), taken.cast("long").alias("n_masked_chars"))
+
+
+def attribute_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The watched attributes of each page's elements, in document order."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("book"), F.col("url").alias("file_path"), F.col("html").alias("content"))
+    found = epub.signatures(pages, tolerant=True)
+    return found.select("book", F.size("signatures").alias("n_signatures"), T.text_hash(F.array_join("signatures", "\n")).alias("signatures_hash"))
 
 
 def segments_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -438,7 +456,7 @@ QUERIES = {
         seg_hash, mock_translate, token_counts, placeholder_mismatch, empty_translation, unchanged_detect, needs_repair, unchanged_count,
         candidate_choice, repair_tokens, decode_tokens, term_hits, term_inconsistency, batch_term_hits, format_term, normalise_targets,
         fill_outcomes, new_terms_anti, term_freq_topk, term_mining, cache_probe, tm_upsert, greedy_batches, prev_context, merge_chunks,
-        poetry_lines, qa_issues, qa_type_counts, qa_gate, link_break, toc_changes, attribute_changes, task_union, node_ids, revise_join,
+        poetry_lines, qa_issues, qa_type_counts, qa_gate, link_break, toc_changes, attribute_changes, attribute_signatures, task_union, node_ids, revise_join,
         translated_tasks, failed_ids, segment_types, class_filter, style_guides, reply_check, run_counts, link_targets, mask_literals, mask_round_trip,
         segments_build, chunk_text, html_nodes, html_simple_nodes, html_text_nodes, parse_failures, epub_round_trip, epub_rewrite, toc_snapshot, provider_run,
     )

@@ -218,8 +218,7 @@ def file_facts(files: DataFrame) -> DataFrame:
     """Per file (book, file_path, content): parse_error, ids, hrefs and signatures."""
 
     def rows(book: str, file_path: str, content: bytes) -> Iterator[tuple]:
-        why = markup.parse_error(content)
-        root = markup.parse_xml(content) if why is None else None
+        root, why = markup.parsed(content)
         ids, hrefs = markup.anchor_rows(root) if root is not None else ([], [])
         yield book, file_path, why, ids, hrefs, markup.signatures(root) if root is not None else []
 
@@ -227,10 +226,21 @@ def file_facts(files: DataFrame) -> DataFrame:
     return _each(files, ["book", "file_path", "content"], schema, rows)
 
 
+def _root(content, tolerant: bool) -> ET.Element:
+    if not tolerant:
+        return markup.parse_xml(content)
+    return markup.parse_html(content if isinstance(content, str) else content.decode("utf-8", "replace"))
+
+
+def signatures(files: DataFrame, tolerant: bool = False) -> DataFrame:
+    """(book, file_path, signatures) of files (book, file_path, content)."""
+    rows = lambda book, file_path, content: [(book, file_path, markup.signatures(_root(content, tolerant)))]
+    return _each(files, ["book", "file_path", "content"], "book string, file_path string, signatures array<string>", rows)
+
+
 def text_nodes(files: DataFrame, tolerant: bool = False) -> DataFrame:
     def rows(book: str, file_path: str, content) -> Iterator[tuple]:
-        root = markup.parse_html(content if isinstance(content, str) else content.decode("utf-8", "replace")) if tolerant else markup.parse_xml(content)
-        for t in markup.text_rows(root):
+        for t in markup.text_rows(_root(content, tolerant)):
             yield book, file_path, t
 
     return _each(files, ["book", "file_path", "content"], "book string, file_path string, text string", rows)

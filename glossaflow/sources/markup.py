@@ -34,12 +34,12 @@ def parse_xml(data: bytes | str) -> ET.Element:
     return ET.fromstring(data)
 
 
-def parse_error(data: bytes | str | None) -> str | None:
+def parsed(data: bytes | str | None) -> tuple[ET.Element | None, str | None]:
+    """The root of a file, or why it doesn't parse."""
     try:
-        ET.fromstring(data or "")
+        return parse_xml(data), None
     except ET.ParseError as e:
-        return str(e)
-    return None
+        return None, str(e)
 
 
 class _Tolerant(HTMLParser):

@@ -1,5 +1,7 @@
 """Text functions: edges of patterns and thresholds."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +141,16 @@ def test_arrow_columns_keep_nulls(spark):
     assert m[1]["text"] == "" and m[2]["pairs"][0]["raw"] == "1"
     assert [r[0] for r in df.select(masking.chunks_column(F.col("t"), 5)).collect()] == [None, [""], ["A 1"]]
     assert df.select(F.explode(masking.phrases_column(F.col("t")))).count() == 0
+
+
+def test_masking_without_python_matches_the_masker(spark):
+    """Texts of the pieces that matter, beside each other at random, tokens and half tokens among them."""
+    bits = ["1", "23", "456", "7890", ",", ".", "st", "th", " ", "\n", "https://", "http://x.y", "mailto:", "a@b", "IV", "XX", "I", "c.", "fl.", "r.", "PH", "⟦PH:000001⟧", "⟦PH:12⟧", "⟦PH:", "⟧"]
+    bits += ["٣", "é", "e\u0301", "中", "_", "²", "½", "-", "(", "\u2003", "\xa0", "\x1c", "\u3000", "😀", "𝟗", "x", "C", "MM", "/"]
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(18))) for _ in range(5000)] + [None, "", "x" * 50_000 + " 12 " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", masking.mask_text_column(F.col("t")).alias("m"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        want = (None, None) if texts[r["i"]] is None else masking.mask_text(texts[r["i"]])
+        assert (r["m"]["text"], r["m"]["pairs"] and [tuple(p) for p in r["m"]["pairs"]] or ([] if r["m"]["pairs"] is not None else None)) == want, repr(texts[r["i"]])[:200]
