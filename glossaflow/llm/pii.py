@@ -54,6 +54,7 @@ SUPPORT = {
     "local_phone": {"phone", "tel", "call", "mobile", "fax", "telephone"},
     "secret": {"token", "secret", "password", "passwd", "key", "apikey", "auth", "bearer", "credential", "credentials"},
 }
+CONFIRMED = ("card", "iban")  # by a checksum, which no word beside them outvotes
 DOUBT = {"version", "order", "isbn", "page", "token", "invoice", "example"}
 DOUBT_SECRET = {"commit", "checksum", "digest", "hash", "sha", "md", "version", "example"}
 
@@ -141,7 +142,7 @@ def _proposed(text: str, numeric: bool) -> Iterator[tuple[str, int, int]]:
 def score(kind: str, text: str, start: int, stop: int) -> float:
     around = text[max(0, start - CONTEXT_CHARS) : start], text[stop : stop + CONTEXT_CHARS]
     near = {w for part in around for w in _WORD.findall(part.lower())}
-    doubt = DOUBT_SECRET if kind == "secret" else DOUBT
+    doubt = set() if kind in CONFIRMED else DOUBT_SECRET if kind == "secret" else DOUBT
     return min(1.0, max(0.0, PRIOR[kind] + 0.3 * bool(near & SUPPORT[kind]) - 0.2 * bool(near & doubt)))
 
 
