@@ -7,11 +7,13 @@ is fitted to them by dual coordinate descent, and its margin is mapped to a
 probability by a logistic fit on labelled rows that the descent did not see.
 
 The fit uses at most ``SAMPLE`` labelled rows, those of the smallest hash of
-their id; scores cover all rows and whole texts.
+their id (repeated rows once), and of these as many, in the order of the hash, as
+have ``PLACES`` features together, which is what bounds the driver where texts are long. Scores
+cover all rows and whole texts.
 
 Defined cases: a null text is empty, and an empty text is scored as one without
 features; rows without an id are scored, never learned from and not held out;
-repeated rows have equal scores, a row each; ids with several labels take the largest; labels of unknown documents
+repeated rows have equal scores, a row each; ids may be of any type; ids with several labels take the largest; labels of unknown documents
 and null labels are not used; if the sample has one class or none, every score
 is that class's smoothed share, or a half.
 """
@@ -27,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossaflow.plans.scratch import bounded_batches
+from glossaflow.plans.scratch import bounded_batches, release, stage_table
 
 BITS = 18
 DIMS = 1 << BITS
 SAMPLE = 5_000
+PLACES = 64_000_000  # 256 MB on the driver
 EPOCHS = 12
 PART = 1 << 20
 C = 0.05
@@ -147,7 +150,7 @@ def remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string")) % mod
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, places: int = PLACES) -> Model:
     """Fit on labelled rows whose id has a crc32 of other than 1 modulo 3."""
     bounded_batches(docs.sparkSession)
     known = labels.filter(F.col("quality").isNotNull() & (remainder(F.col("doc_id"), 3) != 1))
@@ -159,9 +162,22 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             packed = [features(t).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["doc_id", "label", "places"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).join(F.broadcast(known), "doc_id")
-    rows = rows.select(F.col("doc_id").cast("long"), F.col("_quality").cast("int"), "_text").mapInArrow(run, "doc_id bigint, label int, places binary")
-    got = sorted(((r["doc_id"], r["label"], bytes(r["places"])) for r in rows.collect()))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+    rows = texts.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id", "_hash"]).select("doc_id", F.col("_quality").cast("int"), "_text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    staged = stage_table(rows.mapInArrow(run, f"doc_id {kind}, label int, places binary"), "labelled-features")
+    made = staged.withColumn("_place", F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("places").alias("own")))
+    left, last = 4 * places, None
+    for row in made.select("_place", F.length("places").alias("size")).orderBy("_place").limit(sample).collect():
+        left -= row["size"]
+        if left < 0 and last:
+            break
+        last = row["_place"]
+    got = []
+    if last:
+        upto = F.struct(F.lit(last["h"]).alias("h"), F.lit(last["doc_id"]).cast(kind).alias("doc_id"), F.lit(last["own"]).alias("own"))
+        got = sorted((r["doc_id"], r["label"], bytes(r["places"])) for r in made.filter(F.col("_place") <= upto).select("doc_id", "label", "places").collect())
+    release(staged)
     return fit([np.frombuffer(p, dtype=np.int32) for _, _, p in got], np.array([y for _, y, _ in got]))
 
 

@@ -847,3 +847,28 @@ def test_substring_dedup_defined_cases(spark):
 def test_packing():
     for a in ([], [5], [9, 2, 2**40, -3, 0]):
         assert substring_dedup._unpack(substring_dedup._pack(np.array(a, dtype=np.int64))).tolist() == a
+
+
+def test_result_columns_replace_those_of_any_case(spark):
+    rules = spark.createDataFrame([("org", "/", "block")], "rule_host string, rule_path string, rule_verdict string")
+    pages = spark.createDataFrame([(1, "http://a.org/x", "own")], "page_id int, url string, Rule string")
+    assert url_filter.apply_rules(pages, rules).select("rule", "verdict").first()[:] == ("org/", "block")
+    docs = spark.createDataFrame([(1, "a\nb", 7, 8)], "doc_id int, text string, N_Lines int, Kept_Text int")
+    assert line_dedup.drop_common_lines(docs).select("n_lines", "kept_text").first()[:] == (2, "a\nb")
+    docs = spark.createDataFrame([(1, "a b", 7)], "doc_id int, text string, N_Words int")
+    assert substring_dedup.remove_repeats(docs).select("n_words", "kept_text").first()[:] == (2, "a b")
+
+
+def test_no_word_outvotes_a_checksum():
+    for text in ("DE89 3704 0044 0532 0130 00 2024 invoice", "order page version example DE89370400440532013000"):
+        assert "iban" in {k for k, *_ in pii.find_spans(text)}
+
+
+def test_quality_sample_is_bounded_and_takes_any_ids(spark):
+    docs = spark.createDataFrame([(f"d{i}", ("good words here " if i % 2 else "xq zz kk ") * 5) for i in range(60)] + [("d1", "good words here " * 5)] * 3, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(60)], "doc_id string, quality int")
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r["predicted"] for r in quality.add_scores(docs, model).collect()}
+    assert all(got[f"d{i}"] == i % 2 for i in range(60))
+    few = quality.train(docs, labels, places=1)  # the first row always stays
+    assert not few.weights.any() and few.slope == 1.0
