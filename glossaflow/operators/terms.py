@@ -1,20 +1,29 @@
-"""Termbase: normalisation, hits in texts, consistency, mining and filling."""
+"""Termbase: normalisation, hits in texts, consistency, mining and filling.
+
+Texts are matched with terms by an inverted index of one entry a term: its
+anchor, the run of ``GRAM`` code points in it that is rarest in a few texts. A
+text is scanned once, whatever the number of terms; what it holds around anchors
+meets the terms in an equality join, where the term itself is verified.
+"""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
 
-import ahocorasick
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaflow.functions import text as T
 from glossaflow.functions.masking import phrases_column
+from glossaflow.plans.scratch import stage_table
 
 TERM = "source string, target string, force boolean, note string"
-BLOCK_CHARS = 4_000_000
+GRAM = 4
+ANCHORS = 4_000_000  # of a pass over the texts; 16 bytes each are sent to every worker
+TRIED = 512  # texts that say how rare a gram is
 
 
 def accepted(terms: DataFrame) -> DataFrame:
@@ -28,53 +37,83 @@ def accepted(terms: DataFrame) -> DataFrame:
     return out.filter((F.col("source") != "") & (F.col("target") != "") & T.has_cjk_left("source", "target"))
 
 
-def _blocks(terms: DataFrame) -> Iterator[list[str]]:
-    """Distinct lower-cased sources, in blocks of bounded size."""
-    sources = terms.select(F.lower("source").alias("s")).filter("s <> ''").distinct()
-    chars = sources.agg(F.sum(F.length("s"))).first()[0] or 0
-    n = 1 + chars // BLOCK_CHARS
-    dealt = sources.withColumn("k", F.pmod(F.xxhash64("s"), F.lit(n)))
-    for k in range(n):
-        yield [r["s"] for r in dealt.filter(F.col("k") == k).select("s").collect()]
+def grams(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k code points, by their place."""
+    n = max(0, len(codes) - k + 1)
+    h = np.full(n, k, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n].astype(np.uint64)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def _finder(words: list[str]):
-    machine = ahocorasick.Automaton()
-    for w in words:
-        machine.add_word(w, w)
-    if not words:
-        return lambda text: set()
-    machine.make_automaton()
-    return lambda text: {w for _, w in machine.iter(text)}
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def found_terms(text: Column, terms: DataFrame) -> Column:
-    """array<string>: the lower-cased sources of terms that a text contains, in any case.
+def _own_grams(texts: pd.Series) -> pd.Series:
+    """The grams of terms; a term that is shorter has itself."""
+    return pd.Series([[{"gram": int(g), "at": i} for i, g in enumerate(grams(c, min(GRAM, len(c))))] for c in map(_codes, texts)], dtype=object)
 
-    One pass of a multi-pattern automaton over each text, which alone goes to
-    the task's Python and doesn't come back. Terms are taken in blocks of
-    ``BLOCK_CHARS``, which bounds what is sent out; each block is a pass.
-    """
-    spark = terms.sparkSession
 
-    def finder(block: list[str]):
-        shared = spark.sparkContext.broadcast(block)
+def _distinct_grams(texts: pd.Series) -> pd.Series:
+    return pd.Series([np.unique(np.concatenate([grams(c, k) for k in range(1, GRAM + 1)])) for c in map(_codes, texts)], dtype=object)
 
-        @F.pandas_udf("array<string>")
-        def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            hits = _finder(shared.value)
-            for s in texts:
-                yield pd.Series([sorted(hits(t)) if t else [] for t in s], dtype=object)
 
-        return find(F.lower(text))
+def anchors(terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """(word, gram, at): each lower-cased source once, with its rarest gram and its place; staged.
+
+    ``texts`` (one column) has a bounded number of rows; which they are changes the cost of a search alone.
+    """
+    words = terms.select(F.lower("source").alias("word")).filter("word <> ''").distinct()
+    held = words.select("word", F.explode(F.pandas_udf(_own_grams, "array<struct<gram:bigint,at:int>>")("word")).alias("g")).select("word", "g.gram", "g.at")
+    (text,) = texts.columns
+    seen = texts.filter(F.col(text).isNotNull()).select(F.explode(F.pandas_udf(_distinct_grams, "array<bigint>")(F.lower(text))).alias("gram")).groupBy("gram").agg(F.count("*").alias("texts"))
+    rarest = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "at", "gram")).alias("a")
+    return stage_table(held.join(seen, "gram", "left").groupBy("word").agg(rarest).select("word", "a.gram", "a.at"), "anchors")
 
-    return F.concat(*[finder(block) for block in _blocks(terms)])
+
+def _near(text: Column, table: pd.DataFrame) -> Column:
+    """array<struct<gram, near>>: the anchors that a text has, with what stands around them, as far as terms reach.
+
+    table: gram, sorted; k; before and after, the reach of its terms.
+    """
+    @F.pandas_udf("array<struct<gram:bigint,near:array<struct<text:string,at:int>>>>")
+    def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known, before, after = (shared.value[c].to_numpy() for c in ("gram", "before", "after"))
+        sizes = sorted(set(shared.value["k"]))
+        for s in texts:
+            out = []
+            for t in s:
+                found: dict[int, set[tuple[str, int]]] = {}
+                codes = _codes(t) if t and len(known) else None
+                for k in sizes if codes is not None else ():
+                    h = grams(codes, k)
+                    spot = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    for i in np.flatnonzero(known[spot] == h).tolist():
+                        first = max(0, i - before[spot[i]])
+                        found.setdefault(int(h[i]), set()).add((t[first : i + after[spot[i]]], int(i - first)))
+                out.append([{"gram": g, "near": [{"text": w, "at": a} for w, a in sorted(near)]} for g, near in found.items()])
+            yield pd.Series(out, dtype=object)
+
+    shared = SparkSession.active().sparkContext.broadcast(table)
+    return find(F.lower(text))
 
 
 def term_hits(rows: DataFrame, terms: DataFrame, text: str = "source_text") -> DataFrame:
-    """Rows joined with each term whose source their text contains, in any case: an equality join."""
-    hits = rows.withColumn("_found", F.explode(found_terms(F.col(text), terms)))
-    return hits.join(terms.withColumn("_found", F.lower("source")), "_found").drop("_found")
+    """Rows joined with each term whose source their text contains, in any case."""
+    index = anchors(terms, rows.select(text).limit(TRIED))
+    reach = F.max(F.char_length("word") - F.col("at"))
+    table = index.groupBy("gram").agg(F.max("at").alias("before"), reach.alias("after"), F.max(F.least(F.char_length("word"), F.lit(GRAM))).alias("k"))
+    passes = max(1, -(-table.count() // ANCHORS))
+    spots = F.lit(None)
+    for n in range(passes):
+        part = table.filter(F.pmod(F.xxhash64("gram"), F.lit(passes)) == n).orderBy("gram").toPandas()
+        spots = _near(F.col(text), part) if n == 0 else F.concat(spots, _near(F.col(text), part))
+    met = rows.withColumn("_spot", F.explode(spots)).withColumn("_gram", F.col("_spot.gram")).join(index.select(F.col("gram").alias("_gram"), F.col("word").alias("_word"), F.col("at").alias("_at")), "_gram")
+    stands = F.exists("_spot.near", lambda w: (w["at"] >= F.col("_at")) & (F.substr(w["text"], w["at"] - F.col("_at") + 1, F.char_length("_word")) == F.col("_word")))
+    return met.filter(stands).drop("_spot", "_gram", "_at").join(terms.withColumn("_word", F.lower("source")), "_word").drop("_word")
 
 
 def batch_hits(hits: DataFrame, batch: list[str]) -> DataFrame:

@@ -165,16 +165,39 @@ def test_merge_chunks_loses_space_between_chunks(spark):
     assert segments.merge_chunks(s, t, ["node"], ["segment_id"]).first()["text"] == "three.Four"
 
 
-def test_term_hits_in_blocks(spark, monkeypatch):
-    rows = spark.createDataFrame([(1, "The Norman CONQUEST"), (2, "none"), (3, None)], "i int, source_text string")
-    known = spark.createDataFrame([("norman", "诺曼", True, ""), ("Conquest", "征服", False, ""), ("man", "人", False, "")], terms.TERM)
+def test_term_hits_in_passes(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "The Norman CONQUEST"), (2, "none"), (3, None), (4, "")], "i int, source_text string")
+    known = spark.createDataFrame([("norman", "诺曼", True, ""), ("Conquest", "征服", False, ""), ("man", "人", False, ""), ("", "x", False, "")], terms.TERM)
     want = {(1, "norman"), (1, "Conquest"), (1, "man")}
     assert {(r["i"], r["source"]) for r in terms.term_hits(rows, known).collect()} == want
-    monkeypatch.setattr(terms, "BLOCK_CHARS", 4)
+    monkeypatch.setattr(terms, "ANCHORS", 1)
     assert {(r["i"], r["source"]) for r in terms.term_hits(rows, known).collect()} == want
     assert terms.term_hits(rows, known.limit(0)).count() == 0
 
 
+def test_term_hits_match_plain_search(spark):
+    """Short alphabets, so that anchors repeat, overlap and are shared by terms; a term stands once for each text."""
+    rng = random.Random(6)
+    alphabet = ["a", "b", "B", "É", "中", "😀", " "]
+    word = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    texts = [(i, word(rng.randrange(60))) for i in range(300)] + [(900, "ab" * 30_000)]
+    sources = sorted({word(rng.randrange(1, 12)) for _ in range(400)} | {"ab" * 40, "b" + "ab" * 100})
+    known = spark.createDataFrame([(s, f"t{i}", False, "") for i, s in enumerate(sources)], terms.TERM)
+    got = sorted((r["i"], r["source"]) for r in terms.term_hits(spark.createDataFrame(texts, "i int, source_text string"), known).collect())
+    low = {s: s.lower() for s in sources}
+    assert got == sorted((i, s) for i, t in texts for s in sources if low[s] in t.lower())
+
+
+def test_a_scan_serves_any_number_of_terms(spark):
+    """Terms beyond number: the texts are read by one Python node, and go to no other task whole."""
+    known = spark.range(200_000).selectExpr("concat('term', id, 'x') AS source", "'t' AS target", "false AS force", "'' AS note")
+    rows = spark.range(2_000).selectExpr("id AS i", "concat(repeat('lorem ipsum ', 20), 'Term', id * 7, 'X rest') AS source_text")
+    hits = terms.term_hits(rows, known).select("i", "source")
+    assert hits.count() == 2_000
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_term_filling(spark):
     base = spark.createDataFrame([("Rome", "", False, ""), ("Oslo", "", False, ""), ("Bern", "伯尔尼", False, "")], terms.TERM)
     replies = spark.createDataFrame([("Rome", "罗马"), ("Oslo", "Oslo")], "source string, reply string")
