@@ -9,20 +9,21 @@ similarity of 0.8 or more; groups are the connected components of the links.
    throws all shingles into coordinate i. So every coordinate is filled, after
    one round where a set is large, and two sketches agree in a coordinate with
    the probability of the sets' similarity, concentrated about as if coordinates
-   were independent. A coordinate is kept as 16 bits, four are one long.
-2. ``BANDS`` of these longs are the bands. A pair of similarity 0.8 shares none
-   with a probability of 0.5904^36, below 10^-8; more similar ones sooner share.
+   were independent.
+2. Four coordinates of 16 bits are a band, of which ``BANDS`` are kept. A pair of
+   similarity 0.8 shares none with a probability of 0.5904^28, 4 in 10^7; more
+   similar ones sooner share.
 3. Sets that are equal are one node from the start. Under a band, a hub is the
    least of its nodes, found by aggregation; each node meets the hub with which
    it shares most bands, and the pair is verified on the full sets. What this
    links is one group; bands that still hold several groups choose another hub,
    in up to ``ROUNDS`` rounds, so that a large group of near copies costs a
    comparison or a few for each text.
-4. What is left, texts of different groups under a band, meets in full, dealt
-   by size (at 0.8 the smaller has four fifths of the larger) and by pairs of
-   chunks. There sketches decide which pairs are verified: those that agree in
-   ``LEAST`` coordinates or more, which is seven deviations below what 0.8 has.
-   A pair leaves the one task alone that holds the first band it shares.
+4. What is left, texts of different groups under a band, meets in full, dealt by
+   pairs of chunks. There whole sketches, a byte a coordinate, are made again for
+   these texts alone and decide which pairs are verified: those that agree in
+   ``LEAST`` coordinates or more, which is over five deviations below what 0.8
+   has. A pair leaves the one task alone that holds the first band it shares.
 
 No task holds all texts of a band, and no pair within a group is made but these.
 
@@ -38,6 +39,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -49,14 +51,15 @@ from glossaflow.plans.components import components
 from glossaflow.plans.scratch import bounded_batches, release, stage_table
 
 SHINGLE = 4
-SKETCH = 256
-PACKED = 4  # coordinates in a long
-BANDS = 36
-LEAST = 160
+SKETCH = 1024
+BANDS = 28  # of four coordinates
+LEAST = 750
 ROUNDS = 6
 CHUNK = 1024
-_DRAWS = 2048
+_DRAWS = 8192
 _EMPTY = np.uint64((1 << 64) - 1)
+FILTER_BITS = 24
+_marks = np.random.default_rng(7).integers(-(1 << 62), 1 << 62, BANDS)
 _salts = np.random.default_rng(11).integers(0, 1 << 64, 2 * SKETCH, dtype=np.uint64)
 
 
@@ -73,7 +76,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     while begun < 2 * SKETCH and (least == _EMPTY).any():
         rounds = np.arange(begun, min(begun + step, 2 * SKETCH))
         z = _mixed(h[None, :] ^ _salts[rounds][:, None])
-        free = (z >> np.uint64(56)).astype(np.int64) * SKETCH >> 8
+        free = (z >> np.uint64(54)).astype(np.int64)  # 10 bits
         bins = np.where((rounds < SKETCH)[:, None], free, (rounds - SKETCH)[:, None])
         values = (rounds.astype(np.uint64)[:, None] << np.uint64(48)) | (z & np.uint64((1 << 48) - 1))
         np.minimum.at(least, bins.ravel(), values.ravel())
@@ -87,8 +90,8 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sketched(plain: DataFrame, shingle: int) -> DataFrame:
-    """(number, n, high, low, sketch) of rows (doc_id, text): size, digest and sketch of each set."""
-    schema = "number bigint, n bigint, high bigint, low bigint, sketch array<bigint>"
+    """(number, n, high, low, bands) of rows (doc_id, text): size, digest and bands of each set."""
+    schema = "number bigint, n bigint, high bigint, low bigint, bands array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,41 +100,73 @@ def _sketched(plain: DataFrame, shingle: int) -> DataFrame:
                 _, h = shingles(t, shingle)
                 sizes.append(len(h))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
-                rows.append(sketch(h).view(np.int64) if len(h) else None)
+                rows.append(sketch(h)[: 4 * BANDS].view(np.int64) if len(h) else None)
             digests = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
             columns = [pa.array(sizes, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(rows, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["number", "n", "high", "low", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["number", "n", "high", "low", "bands"])
 
     return plain.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, plain: DataFrame, shingle: int) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets have a similarity of 0.8 or more, staged."""
-    pairs = stage_table(pairs, "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(a, b, h) of rows (a, b, text); rows of one b lie together, and its set is made once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t, shingle)[1] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "h"])
+        last, held = None, np.empty(0, np.int64)
+        for batch in batches:
+            sets = []
+            for b, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if b != last:
+                    last, held = b, shingles(t, shingle)[1]
+                sets.append(held)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["a", "b", "h"])
 
-    sets = stage_table(plain.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node bigint, h array<bigint>"), "sets")
-    met = pairs.join(sets.selectExpr("node AS a", "h AS ha"), "a").join(sets.selectExpr("node AS b", "h AS hb"), "b")
-    out = stage_table(met.filter("9 * size(array_intersect(ha, hb)) >= 4 * (size(ha) + size(hb))").select("a", "b"), "verified")
-    release(pairs, sets)
-    return out
+    return rows.mapInArrow(run, "a bigint, b bigint, h array<bigint>")
+
+
+def _likely(plain: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``plain`` whose id may be in ``ids`` (one column): all that are, and few others.
+
+    A bitmap of ``FILTER_BITS`` bits of a hash, whatever the number of ids, so
+    that a join after it moves the texts it needs and not the corpus. Only ids
+    go to Python.
+    """
+    spot = F.pmod(F.xxhash64(ids.columns[0]), F.lit(1 << FILTER_BITS))
+    words = ids.groupBy(F.floor(spot / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int"))).alias("bits"))
+    found = words.toArrow()
+    bits = np.zeros(1 << FILTER_BITS >> 6, np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool))
+
+    @F.pandas_udf("boolean")
+    def hit(spots: pd.Series) -> pd.Series:
+        return pd.Series(shared.value[spots.to_numpy()])
+
+    return plain.filter(hit(F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))))
+
+
+def _verified(pairs: DataFrame, plain: DataFrame, shingle: int) -> DataFrame:
+    """Those of staged pairs (a, b) whose whole sets have a similarity of 0.8 or more, staged.
+
+    The set of b travels with the pair to that of a, which is made once.
+    """
+    own = _sets(_likely(plain, pairs.select("b")).join(pairs, F.col("doc_id") == F.col("b")).select("a", "b", "text"), shingle)
+    hubs = _likely(plain, pairs.select("a")).join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    hubs = _sets(hubs.select("doc_id", F.col("doc_id").alias("b"), "text"), shingle).select("a", F.col("h").alias("o"))
+    met = own.join(hubs, "a").filter("9 * size(array_intersect(h, o)) >= 4 * (size(h) + size(o))")
+    return stage_table(met.select("a", "b"), "verified")
 
 
 def _nearest(rows: DataFrame) -> DataFrame:
-    """(a, b): each node with the hub it shares most bands with, of rows (node, hub)."""
+    """(a, b): the hub with which each node b shares most bands, of rows (node, hub); staged."""
     counted = rows.groupBy("node", "hub").agg(F.count("*").alias("bands"))
     best = counted.groupBy("node").agg(F.max(F.struct("bands", "hub")).alias("best"))
-    return best.select(F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b")).distinct()
+    return stage_table(best.select(F.col("best.hub").alias("a"), F.col("node").alias("b")), "pairs")
 
 
 def _apart(rows: DataFrame, tied: DataFrame) -> DataFrame:
-    """Rows (key, band, node, n, label) of the bands that hold several groups, staged."""
-    labelled = rows.join(tied, "node", "left").select("key", "band", "node", "n", F.coalesce("root", "node").alias("label"))
+    """Rows (key, node, label) of the bands that hold several groups, staged."""
+    labelled = rows.join(tied, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
     labelled = stage_table(labelled, "labelled")
     several = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
     out = stage_table(labelled.join(stage_table(several, "keys-apart"), "key", "left_semi"), "apart")
@@ -140,40 +175,39 @@ def _apart(rows: DataFrame, tied: DataFrame) -> DataFrame:
 
 
 def _hubs(apart: DataFrame, k: int) -> DataFrame:
-    """(node, hub): nodes of another group than the hub that round ``k`` gives their band, where sizes allow."""
-    hub = F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node", "label", "n")).alias("o")
-    met = apart.join(apart.groupBy("key").agg(hub), "key").filter("label <> o.label AND 5 * least(n, o.n) >= 4 * greatest(n, o.n)")
+    """(node, hub): nodes of another group than the hub that round ``k`` gives their band."""
+    hub = F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node", "label")).alias("o")
+    met = apart.join(apart.groupBy("key").agg(hub), "key").filter("label <> o.label")
     return met.select("node", F.col("o.node").alias("hub"))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs to verify of rows (key, place, i, j, band, step, side, n, node, label, sketch), ordered by the first four."""
+    """Pairs to verify of rows (key, i, j, side, n, node, label, bands, sketch), ordered by the first three."""
 
     def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
-        i, j, band, up, side, n, node, label = (table.column(c).to_numpy() for c in ("i", "j", "band", "up", "side", "n", "node", "label"))
-        longs = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
-        sketches = np.ascontiguousarray(longs).view(np.uint16).reshape(len(n), SKETCH)
+        key, i, j, side, n, node, label = (table.column(c).to_numpy() for c in ("key", "i", "j", "side", "n", "node", "label"))
+        longs = table.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(n), SKETCH)
+        band = int(np.flatnonzero((longs[0] ^ _marks) == key[0])[0])
         names, number, count = np.unique(label, return_inverse=True, return_counts=True)
         most = number == count.argmax()
         a, b = [node[:0]], [node[:0]]
         apart = i[0] != j[0]
         for x in np.flatnonzero(~most).tolist():
             # Rows of the greatest group don't take the lead, so each pair is seen from one end, or from the first of two.
-            near = (number != number[x]) & (most | (np.arange(len(n)) > x)) & ~(up & up[x])
-            near &= (5 * n >= 4 * n[x]) & (4 * n <= 5 * n[x])
+            near = (number != number[x]) & (most | (np.arange(len(n)) > x)) & (5 * n >= 4 * n[x]) & (4 * n <= 5 * n[x])
             near = np.flatnonzero(near & (side != side[x]) if apart else near)
             near = near[agreement(sketches[near], sketches[x]) >= LEAST]
-            same = longs[near, :BANDS] == longs[x, :BANDS]
-            near = near[same.argmax(axis=1) == band[0]] if len(near) else near
-            a.append(np.minimum(node[near], node[x]))
-            b.append(np.maximum(node[near], node[x]))
+            near = near[(longs[near] == longs[x]).argmax(axis=1) == band] if len(near) else near
+            a.append(np.full(len(near), node[x]))
+            b.append(node[near])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     held: list[pa.RecordBatch] = []
     now = None
     for batch in batches:
-        keys = [c.to_numpy() for c in batch.columns[:4]]
+        keys = [c.to_numpy() for c in batch.columns[:3]]
         new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1 if batch.num_rows else []
         cuts = [0, *list(new), batch.num_rows]
         for start, stop in zip(cuts, cuts[1:], strict=False):
@@ -189,34 +223,45 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(held)
 
 
-def _left(apart: DataFrame, once: DataFrame) -> DataFrame:
-    """(a, b): pairs of different groups under a band whose sketches are near enough, once each."""
+def _whole_sketches(nodes: DataFrame, plain: DataFrame, shingle: int) -> DataFrame:
+    """(node, sketch) of nodes, a byte a coordinate; staged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [sketch(shingles(t, shingle)[1]).astype(np.uint8).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["node", "sketch"])
+
+    texts = _likely(plain, nodes.select("node")).join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    return stage_table(texts.mapInArrow(run, "node bigint, sketch binary"), "sketches")
+
+
+def _left(apart: DataFrame, once: DataFrame, plain: DataFrame, shingle: int) -> DataFrame:
+    """(a, b): pairs of different groups under a band whose sketches are near enough, once each; staged."""
     bounded_batches(apart.sparkSession)
-    # Sets of a similarity of 0.8 stand on the same step of sizes or on neighbouring ones.
-    step = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
-    placed = apart.withColumn("place", F.explode(F.array(step, step - 1))).withColumn("up", step > F.col("place"))
-    facts = placed.groupBy("key", "place").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.bool_and("up").alias("none"), F.count("*").alias("rows"))
-    facts = facts.filter("x < y AND NOT none").select("key", "place", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
-    dealt = placed.join(stage_table(facts, "places"), ["key", "place"])
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    dealt = dealt.select("*", other).join(once.select("node", "sketch"), "node")
-    rows = dealt.select("key", "place", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "band", "up", "side", "n", "node", "label", "sketch")
-    return rows.repartition("key", "place", "i", "j").sortWithinPartitions("key", "place", "i", "j").mapInArrow(_meet, "a bigint, b bigint")
+    sketches = _whole_sketches(apart, plain, shingle)
+    chunks = apart.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = apart.join(stage_table(chunks, "chunks"), "key").withColumn("side", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.join(once, "node").join(sketches, "node")
+    rows = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "n", "node", "label", "bands", "sketch")
+    out = stage_table(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_meet, "a bigint, b bigint"), "left-pairs")
+    release(sketches)
+    return out
 
 
 def near_nodes(once: DataFrame, plain: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(node, root) of all nodes of staged rows ``once`` (node, n, sketch) that are no root themselves."""
-    spread = once.select("node", "n", F.posexplode(F.slice("sketch", 1, BANDS)).alias("band", "long"))
-    spread = spread.select(F.xxhash64("band", "long").alias("key"), "band", "node", "n")
+    """(node, root) of all nodes of staged rows ``once`` (node, n, bands) that are no root themselves."""
+    marks = F.array(*[F.lit(int(m)) for m in _marks])  # the same long in two bands is two keys
+    spread = once.select("node", F.explode(F.zip_with("bands", marks, lambda long, mark: long.bitwiseXOR(mark))).alias("key"))
     hubs = spread.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub")
-    rows = stage_table(spread.join(hubs, "key").select("key", "band", "node", "n", "hub"), "bands")
-    links = _verified(_nearest(rows.filter("node <> hub")), plain, shingle)
-    held = [rows, links]
+    rows = stage_table(spread.join(hubs, "key").select("key", "node", "hub"), "bands")
+    pairs = _nearest(rows.filter("node <> hub"))
+    links = _verified(pairs, plain, shingle)
+    held = [rows, pairs, links]
     left = rows.drop("hub")
     for k in range(ROUNDS):
         left = _apart(left, components(links))
-        pairs = stage_table(_nearest(_hubs(left, k)), "pairs")
+        pairs = _nearest(_hubs(left, k))
         found = _verified(pairs, plain, shingle)
         links = links.unionByName(found)
         held += [left, pairs, found]
@@ -226,9 +271,10 @@ def near_nodes(once: DataFrame, plain: DataFrame, shingle: int = SHINGLE) -> Dat
     left = _apart(left, components(links))
     held.append(left)
     if left.limit(1).count():
-        found = _verified(_left(left, once), plain, shingle)
+        pairs = _left(left, once, plain, shingle)
+        found = _verified(pairs, plain, shingle)
         links = links.unionByName(found)
-        held.append(found)
+        held += [pairs, found]
     tied = components(links)
     release(*held)
     return tied
@@ -239,7 +285,7 @@ def _facts(docs: DataFrame, order: str, plain: DataFrame, shingle: int) -> DataF
     bounded_batches(docs.sparkSession)
     sketched = stage_table(_sketched(plain, shingle), "sketched")
     alike = stage_table(sketched.filter("n > 0").groupBy("high", "low").agg(F.min("number").alias("node")), "equal-sets")
-    once = stage_table(sketched.join(alike.select(F.col("node").alias("number")), "number", "left_semi").select(F.col("number").alias("node"), "n", "sketch"), "once")
+    once = stage_table(sketched.join(alike.select(F.col("node").alias("number")), "number", "left_semi").select(F.col("number").alias("node"), "n", "bands"), "once")
     tied = near_nodes(once, plain, shingle)
     named = alike.join(tied, "node", "left").select("high", "low", F.coalesce("root", "node").alias("root"))
     named = stage_table(named, "named")
