@@ -139,6 +139,11 @@ def all_issues(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, numbered)
 
 
+def with_details(issues: DataFrame) -> DataFrame:
+    """Issues with their details as a VARIANT in place of text; null where there are none."""
+    return issues.withColumn("details", F.try_parse_json("meta")).drop("meta")
+
+
 def type_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("issue_type").agg(F.count("*").alias("n"))
 
@@ -149,9 +154,14 @@ def severity_counts(issues: DataFrame) -> DataFrame:
 
 def gate(issues: DataFrame, total_segments: Column | int, ratio: float = 0.005, least: int = 20) -> DataFrame:
     """One row: the counts, the bound of warnings, and whether the gate is passed."""
+    return gated(severity_counts(issues), total_segments, ratio, least)
+
+
+def gated(counts: DataFrame, total_segments: Column | int, ratio: float = 0.005, least: int = 20) -> DataFrame:
+    """The same from a row of error_count and warn_count."""
     total = F.lit(total_segments) if isinstance(total_segments, int) else total_segments
     cap = F.greatest(F.floor(total * F.lit(ratio)), F.lit(least)).cast("long")
-    return severity_counts(issues).withColumn("warn_cap", cap).withColumn("passed", (F.col("error_count") == 0) & (F.col("warn_count") <= F.col("warn_cap")))
+    return counts.withColumn("warn_cap", cap).withColumn("passed", (F.col("error_count") == 0) & (F.col("warn_count") <= F.col("warn_cap")))
 
 
 def report(issues: DataFrame, total_segments: int) -> DataFrame:

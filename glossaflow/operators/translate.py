@@ -269,15 +269,18 @@ def reply_errors(expected: DataFrame, replies: DataFrame) -> DataFrame:
     return differ.join(per_reply, "batch_key", "left").select("batch_key", error.alias("error"))
 
 
+def segment_counts() -> dict[str, Column]:
+    """Counters of rows (state, translated, error), to be aggregated or observed."""
+    return {
+        "total_segments": F.count("*"), "translated_segments": F.count_if(F.coalesce("translated", F.lit("")) != ""),
+        "cached_segments": F.count_if(F.col("state") == "cached"), "failed_segments": F.count_if(F.col("error").isNotNull()),
+    }
+
+
 def run_counts(states: DataFrame) -> DataFrame:
     """One row of run counters from (state, translated, batch_key, error)."""
-    return states.agg(
-        F.count("*").alias("total_segments"),
-        F.count_if(F.coalesce("translated", F.lit("")) != "").alias("translated_segments"),
-        F.count_if(F.col("state") == "cached").alias("cached_segments"),
-        F.count_distinct(F.when(F.col("state") != "cached", F.col("batch_key"))).alias("llm_calls"),
-        F.count_if(F.col("error").isNotNull()).alias("failed_segments"),
-    )
+    calls = F.count_distinct(F.when(F.col("state") != "cached", F.col("batch_key")))
+    return states.agg(*[c.alias(name) for name, c in segment_counts().items()], calls.alias("llm_calls"))
 
 
 def with_candidates(segments: DataFrame, drafts: DataFrame, revisions: DataFrame, keys: list[str]) -> DataFrame:

@@ -236,6 +236,9 @@ ORACLES = {
         v AS (SELECT *, regexp_replace(regexp_replace(t1, '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(2), 'g'),
           '\x01\p{Nd}{1,3}(?:\x02,\x01\p{Nd}{3})*(?:\x02\.\x01\p{Nd}+)?(?:st|nd|rd|th)?\x02|\x01\p{Nd}+\x02|\x01[IVXLCDM]{2,}\x02|\x01(?:c|fl|r)\x02\.', '⟦⟧', 'g') AS t2 FROM u)
         SELECT doc_id, sha256(text) AS decoded_hash, length(text) - length(regexp_replace(t2, '[\x01\x02⟦⟧]', '', 'g')) AS n_masked_chars FROM v""",
+    "issue_details": r"""WITH p AS (SELECT regexp_extract_all(html, '(href|class|lang)=', 1) AS s FROM pages)
+        SELECT 'poetry_line_mismatch' AS issue_type, conv_id || '/' || turn AS node_task_id, -1 AS before_count, -1 AS after_count FROM conversations
+        UNION ALL SELECT 'attribute_changed', '', len(s), len(list_distinct(s)) FROM p WHERE len(s) > len(list_distinct(s))""",
     "attribute_signatures": r"""WITH t AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS h FROM pages),
         s AS (SELECT page_id, list_transform(regexp_extract_all(h, '<a href="([^"]*)"', 1), lambda x: 'a|{"href": "' || x || '"}') AS s FROM t)
         SELECT CAST(page_id AS VARCHAR) AS book, len(s) AS n_signatures, sha256(array_to_string(s, chr(10))) AS signatures_hash FROM s""",

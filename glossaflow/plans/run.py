@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from glossaflow.functions import text as T
 from glossaflow.operators import memory, qa, segments, terms, translate
 from glossaflow.plans.config import Settings, fingerprint, read_document
-from glossaflow.plans.scratch import stage_table
+from glossaflow.plans.scratch import Observed, stage_table
 from glossaflow.sources import epub
 
 TERM = terms.TERM
@@ -87,8 +87,8 @@ class Run:
             raise Cancelled("cancelled")
 
 
-def _in_waves(batched: DataFrame, make: Callable, in_flight: int | None, store: memory.Workspace | None, run: Run) -> DataFrame:
-    """Results of all batches; each wave of them is in the memory before the next begins.
+def _in_waves(batched: DataFrame, make: Callable, in_flight: int | None, store: memory.Workspace | None, run: Run) -> tuple[DataFrame, int, int]:
+    """Results of all batches, how many of them failed, and the number of batches; each wave is in the memory before the next begins.
 
     Batches lie apart by wave, so that a wave reads its own.
     """
@@ -97,17 +97,19 @@ def _in_waves(batched: DataFrame, make: Callable, in_flight: int | None, store:
     if waves > 1:
         batched = stage_table(batched.withColumn("wave", F.pmod(F.xxhash64("batch_key"), F.lit(waves)).cast("int")), "waves", ["wave"])
     log = store.log(run.id) if store else None
-    done = None
+    done, failed = None, 0
     for k in range(waves):
         run.go_on()
         rows = batched.filter(F.col("wave") == k) if waves > 1 else batched
-        found = stage_table(translate.translate(rows, make, in_flight, log), "translated")
+        seen = Observed(failed=F.count_if(F.col("error").isNotNull()))
+        found = stage_table(translate.translate(rows, make, in_flight, log), "translated", observed=seen)
+        failed += seen.values()["failed"]
         if store:
             store.translations.upsert(found.filter("error IS NULL").join(rows.select(*memory.KEY), "segment_id").withColumn("updated_at", F.current_timestamp()))
             log.clear()
         run.say(f"wave {k + 1} of {waves}")
         done = found if done is None else done.unionByName(found)
-    return done
+    return done, failed, batches
 
 
 def _files(books: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -158,11 +160,11 @@ def translate_books(
         shown = F.to_json(F.array_sort(F.collect_list(F.struct("source", "target", "force", "note"))))
         batched = stage_table(batched.join(hits.groupBy("batch_key").agg(shown.alias("hits")), "batch_key", "left"), "asked")
         run.say("translating")
-        done = _in_waves(batched, make, in_flight, store, run)
+        done, failures, batches = _in_waves(batched, make, in_flight, store, run)
         merged = probed.join(done, "segment_id", "left").withColumn("translated", F.coalesce("cached", "revise_text", F.lit("")))
         merged = stage_table(merged.join(batched.select("segment_id", "batch_key"), "segment_id", "left"), "merged")
         run.go_on()
-        run.say(f"{translate.failed_ids(done).count()} segments failed at first")
+        run.say(f"{failures} segments failed at first")
         log = store.log(run.id) if store else None
         repaired = stage_table(translate.repair(merged.select(*memory.KEY, "source_text", "translated"), make, in_flight, log), "repaired")
         if store:
@@ -173,7 +175,8 @@ def translate_books(
             for stage in ("translate", "repair"):
                 store.fail(failed.filter(F.col("stage") == stage).drop("stage"), run.id, stage)
         better = repaired.filter("error IS NULL").select("segment_id", F.col("revise_text").alias("_better"))
-        final = stage_table(merged.join(better, "segment_id", "left").withColumn("translated", F.coalesce("_better", "translated")), "final")
+        seen_rows = Observed(**translate.segment_counts())
+        final = stage_table(merged.join(better, "segment_id", "left").withColumn("translated", F.coalesce("_better", "translated")), "final", observed=seen_rows)
         run.go_on()
 
         pieces = final.select("segment_id", F.col("translated").alias("text"))
@@ -195,9 +198,10 @@ def translate_books(
             qa.broken_links(now.select("book", "file_path", F.explode("hrefs").alias("href")), now, now.select("book", "file_path", F.explode("ids").alias("anchor")), "book"),
             qa.toc_changes(before, after), qa.attribute_changes(facts(was).select("file_path", "signatures"), seen.select("file_path", "signatures")),
         )
-        issues = stage_table(issues, "issues")
-        counts = translate.run_counts(final.select("state", "translated", "batch_key", "error")).first().asDict()
-        gate = qa.gate(issues, counts["total_segments"], settings["qa.warn_ratio_limit"], settings["qa.warn_min_cap"]).first()
+        found = Observed(error_count=F.count_if(F.col("severity") == "error"), warn_count=F.count_if(F.col("severity") == "warn"))
+        issues = stage_table(issues, "issues", observed=found)
+        counts = {**seen_rows.values(), "llm_calls": batches}  # taken while the tables were written
+        gate = qa.gated(spark.createDataFrame([found.values()], "error_count long, warn_count long"), counts["total_segments"], settings["qa.warn_ratio_limit"], settings["qa.warn_min_cap"]).first()
         whole = out.withColumnRenamed("file_path", "entry")
         return Outcome(translate.exit_code(gate["passed"]), counts, epub.pack(whole), whole, issues, qa.summary(issues, counts["total_segments"]))
     except Exception as e:

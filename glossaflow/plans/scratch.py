@@ -14,13 +14,23 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Removes the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _paths: list[tuple[SparkSession, str]] = []
 
 
+class Observed:
+    """Aggregates of a table that are taken while it is written."""
+
+    def __init__(self, **columns: Column):
+        self.columns, self.observation = columns, Observation()
+
+    def values(self) -> dict:
+        return self.observation.get
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the session names; where it names none, a temporary one, on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -38,20 +48,23 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage_table(df: DataFrame, name: str, apart: Sequence[str] = ()) -> DataFrame:
+def stage_table(df: DataFrame, name: str, apart: Sequence[str] = (), observed: Observed | None = None) -> DataFrame:
     """Write ``df`` once, in a folder for each value of ``apart``, and return a reader of what was written.
 
-    Nothing reads the shuffle files of the write later, so they go with it.
+    ``observed`` are sums and counts that the same pass takes along. Nothing reads the shuffle files of the write later, so they go with it.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
+    schema = df.schema
+    if observed:
+        df = df.observe(observed.observation, *[c.alias(name) for name, c in observed.columns.items()])
     kept = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.partitionBy(*apart).parquet(path)
     finally:
         spark.conf.set(CLEANUP, kept) if kept is not None else spark.conf.unset(CLEANUP)
-    staged = spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(schema).parquet(path)
     staged._staged_path = path
     return staged
 

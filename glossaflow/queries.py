@@ -346,6 +346,20 @@ def mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _masked(spark, sf_dir).select("doc_id", T.text_hash(decoded).alias("decoded_hash"), taken.cast("long").alias("n_masked_chars"))
 
 
+def issue_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Details of a kept table of issues, read by their paths."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("node_task_id"), F.coalesce("text", F.lit("")).alias("text"))
+    tasks = turns.select("node_task_id", F.lit(1).alias("poetry_line_count"))
+    poems = qa.poetry_line_mismatch(tasks, turns.withColumn("text", F.concat("text", F.lit("\n\nx"))))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file_path"), F.regexp_extract_all("html", F.lit("(href|class|lang)="), F.lit(1)).alias("signatures"))
+    attributes = qa.attribute_changes(pages, pages.withColumn("signatures", F.array_distinct("signatures")))
+    kept = stage_table(qa.with_details(qa.all_issues(poems, attributes)), "issues")
+    return kept.select(
+        "issue_type", F.coalesce(F.variant_get("details", "$.node_task_id", "string"), F.lit("")).alias("node_task_id"),
+        *[F.coalesce(F.variant_get("details", f"$.{c}", "int"), F.lit(-1)).alias(c) for c in ("before_count", "after_count")],
+    )
+
+
 def attribute_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The watched attributes of each page's elements, in document order."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("book"), F.col("url").alias("file_path"), F.col("html").alias("content"))
@@ -456,7 +470,7 @@ QUERIES = {
         seg_hash, mock_translate, token_counts, placeholder_mismatch, empty_translation, unchanged_detect, needs_repair, unchanged_count,
         candidate_choice, repair_tokens, decode_tokens, term_hits, term_inconsistency, batch_term_hits, format_term, normalise_targets,
         fill_outcomes, new_terms_anti, term_freq_topk, term_mining, cache_probe, tm_upsert, greedy_batches, prev_context, merge_chunks,
-        poetry_lines, qa_issues, qa_type_counts, qa_gate, link_break, toc_changes, attribute_changes, attribute_signatures, task_union, node_ids, revise_join,
+        poetry_lines, qa_issues, qa_type_counts, qa_gate, link_break, toc_changes, attribute_changes, attribute_signatures, issue_details, task_union, node_ids, revise_join,
         translated_tasks, failed_ids, segment_types, class_filter, style_guides, reply_check, run_counts, link_targets, mask_literals, mask_round_trip,
         segments_build, chunk_text, html_nodes, html_simple_nodes, html_text_nodes, parse_failures, epub_round_trip, epub_rewrite, toc_snapshot, provider_run,
     )

@@ -181,6 +181,7 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.epub").write_bytes(archive(['<p id="s1">One plain line.</p>', "<p>Two</p>"]))
     code = main(["translate", str(tmp_path / "in" / "*.epub"), str(tmp_path / "out")])
+    assert dict(spark.read.parquet(str(tmp_path / "out" / "issues")).dtypes)["details"] == "variant"
     report = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out" / "report")).collect()]
     assert code == (0 if not any("severity" in r for r in report) else 2)
     with zipfile.ZipFile(tmp_path / "out" / "books" / "a.epub") as z:
