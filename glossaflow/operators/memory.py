@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from glossaflow.functions import text as T
 from glossaflow.operators.result_log import ResultLog
+from glossaflow.sources import store
 
 KEY = ["segment_id", "source_hash", "config_hash"]
 SCHEMA = "segment_id string, source_hash string, config_hash string, draft_text string, revise_text string, provider string, updated_at timestamp"
@@ -192,12 +193,15 @@ class Workspace:
         self.translations = KeyedTable(spark, f"{self.path}/translations")
         self.segments = KeyedTable(spark, f"{self.path}/segments", SEGMENT_SCHEMA, ["segment_id"])
 
-    def log(self, run_id: str) -> ResultLog:
-        return ResultLog(f"{self.path}/log/{run_id}")
+    def log(self, run_id: str) -> ResultLog | None:
+        """Where a run's answered batches go; none in a store that tasks can't write to by themselves, where waves alone are kept."""
+        path = f"{self.path}/log/{run_id}"
+        return ResultLog(path) if store.known(path) else None
 
     def recover(self, run_id: str = "*") -> int:
         """Takes what logs of a run, or of all, hold into the memory; the number of batches."""
-        found = self.log(run_id).files()
+        log = self.log(run_id)
+        found = log.files() if log else []
         if found:
             self.translations.upsert(self.spark.read.schema(SCHEMA).parquet(*found))
             ResultLog.drop(found)

@@ -106,7 +106,8 @@ def _in_waves(batched: DataFrame, make: Callable, in_flight: int | None, store:
         failed += seen.values()["failed"]
         if store:
             store.translations.upsert(found.filter("error IS NULL").join(rows.select(*memory.KEY), "segment_id").withColumn("updated_at", F.current_timestamp()))
-            log.clear()
+            if log:
+                log.clear()
         run.say(f"wave {k + 1} of {waves}")
         done = found if done is None else done.unionByName(found)
     return done, failed, batches
@@ -169,7 +170,8 @@ def translate_books(
         repaired = stage_table(translate.repair(merged.select(*memory.KEY, "source_text", "translated"), make, in_flight, log), "repaired")
         if store:
             store.translations.upsert(repaired.filter("error IS NULL").join(seg.select(*memory.KEY), "segment_id").withColumn("updated_at", F.current_timestamp()))
-            log.clear()
+            if log:
+                log.clear()
             failed = done.filter("error IS NOT NULL").select("segment_id", F.lit("translate").alias("stage"), F.col("error").alias("message"))
             failed = failed.unionByName(repaired.filter("error IS NOT NULL").select("segment_id", F.lit("repair").alias("stage"), F.col("error").alias("message")))
             for stage in ("translate", "repair"):

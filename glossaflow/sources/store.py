@@ -11,6 +11,7 @@ import posixpath
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
 
 _WILD = re.compile(r"[*?\[]")
@@ -24,10 +25,19 @@ class Found:
 
 def opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
     """The file system of a path, and the path inside it."""
-    path = re.sub(r"^file:/+", "/", path)
+    path = re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "/", path))  # Hadoop's names
     return arrow_fs.FileSystem.from_uri(path if "://" in path else posixpath.abspath(path))
 
 
+def known(path: str) -> bool:
+    """Whether Arrow has a file system for a path."""
+    try:
+        opened(path)
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+    return True
+
+
 def _matches(path: str, pattern: str) -> bool:
     """Wildcards don't reach over a slash."""
     a, b = path.strip("/").split("/"), pattern.strip("/").split("/")
@@ -37,7 +47,8 @@ def _matches(path: str, pattern: str) -> bool:
 def listed(path: str, ending: str = "") -> list[Found]:
     """The files at a path, a pattern, or below a folder that have the ending, in the order of their paths."""
     fs, inner = opened(path)
-    prefix = path[: path.index("://") + 3] if "://" in path and not path.startswith("file:") else ""
+    bare = path.rstrip("/")
+    prefix = bare[: -len(inner)] if "://" in path and not path.startswith("file:") and bare.endswith(inner) else ""
     if _WILD.search(inner):
         base = inner[: _WILD.search(inner).start()].rpartition("/")[0] or "/"
         infos = fs.get_file_info(arrow_fs.FileSelector(base, recursive=True, allow_not_found=True))

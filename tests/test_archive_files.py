@@ -138,3 +138,14 @@ def test_names_and_unfit_rows(spark, tmp_path):
         assert z.read("x") == b""
     A.write_books(make([]), str(tmp_path / "none"))
     assert os.listdir(tmp_path / "none") == []
+
+
+def test_stores_and_their_names(tmp_path, monkeypatch):
+    (tmp_path / "a.epub").write_bytes(b"x")
+    assert [f.path for f in store.listed(f"file:{tmp_path}/", ".epub")] == [f"{tmp_path}/a.epub"]
+    plain = store.opened
+    monkeypatch.setattr(store, "opened", lambda path: (plain("/")[0], path.removeprefix("hdfs://host:8020")))
+    for path in (f"hdfs://host:8020{tmp_path}", f"hdfs://host:8020{tmp_path}/*.epub"):
+        assert [f.path for f in store.listed(path, ".epub")] == [f"hdfs://host:8020{tmp_path}/a.epub"]
+    monkeypatch.undo()
+    assert store.known("/x") and not store.known("nowhere://x/y")
