@@ -214,6 +214,7 @@ ORACLES = {
     "epub_round_trip": f"""WITH {LINES} SELECT book, 'title' AS segment_type, 1 AS n_tasks, 'NT_000001' AS first_id FROM p
         UNION ALL SELECT book, 'paragraph', n, 'NT_000002' FROM p WHERE n > 0""",
     "epub_rewrite": f"WITH {LINES} SELECT book, n AS n_translated, n AS n_paragraphs FROM p WHERE n > 0",
+    "archive_files": f"WITH {LINES} SELECT book, n AS n_paragraphs, 0 AS n_elsewhere FROM p WHERE n > 0",
     "term_freq_topk": f"WITH {_mined(False)} SELECT phrase, freq FROM top",
     "term_mining": f"""WITH {TERMS}, {_mined(True)} SELECT source, target, force, '' AS note, 0 AS branch FROM terms
         UNION ALL SELECT phrase, '', false, 'auto-generated; freq=' || CAST(freq AS VARCHAR), 1 FROM top WHERE phrase NOT IN (SELECT source FROM terms)""",

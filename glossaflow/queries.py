@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from glossaflow.functions import masking
 from glossaflow.functions import text as T
 from glossaflow.operators import memory, qa, segments, terms, translate
-from glossaflow.plans.scratch import stage_table
+from glossaflow.plans.scratch import stage_path, stage_table
+from glossaflow.sources import archive_files as archives
 from glossaflow.sources import epub
 
 
@@ -440,6 +441,15 @@ def epub_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.groupBy("book", "segment_type").agg(F.count("*").alias("n_tasks"), F.min("node_task_id").alias("first_id"))
 
 
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written as an archive of its own, and what a reader of its pages alone finds in the files."""
+    path = stage_path(spark, "archives")
+    archives.write_books(epub_files(spark, sf_dir), path)
+    pages = archives.read_entries(spark, path, ["OEBPS/*.xhtml"]).withColumnRenamed("entry", "file_path")
+    found = epub.nodes(pages).select(F.regexp_extract("book", r"([^/]+)\.epub$", 1).alias("book"), "tag", "file_path")
+    return found.groupBy("book").agg(F.count_if(F.col("tag") == "p").alias("n_paragraphs"), F.count_if((F.col("tag") == "p") & ~F.endswith("file_path", F.lit("/ch1.xhtml"))).alias("n_elsewhere")).filter("n_paragraphs > 0")
+
+
 def epub_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mock translations written back into every file; the files' paragraphs counted after."""
     files = epub_files(spark, sf_dir).filter("entry = 'OEBPS/ch1.xhtml'").withColumnRenamed("entry", "file_path")
@@ -472,6 +482,6 @@ QUERIES = {
         fill_outcomes, new_terms_anti, term_freq_topk, term_mining, cache_probe, tm_upsert, greedy_batches, prev_context, merge_chunks,
         poetry_lines, qa_issues, qa_type_counts, qa_gate, link_break, toc_changes, attribute_changes, attribute_signatures, issue_details, task_union, node_ids, revise_join,
         translated_tasks, failed_ids, segment_types, class_filter, style_guides, reply_check, run_counts, link_targets, mask_literals, mask_round_trip,
-        segments_build, chunk_text, html_nodes, html_simple_nodes, html_text_nodes, parse_failures, epub_round_trip, epub_rewrite, toc_snapshot, provider_run,
+        segments_build, chunk_text, html_nodes, html_simple_nodes, html_text_nodes, parse_failures, epub_round_trip, epub_rewrite, archive_files, toc_snapshot, provider_run,
     )
 }

@@ -45,6 +45,7 @@ from glossaflow.sources import store
 
 SCHEMA = "book string, entry string, content binary"
 SPLIT_BYTES = 64 << 20
+OPEN_BYTES = 1 << 20  # what opening an archive counts for
 BATCH_BYTES = 8 << 20
 _ARROW = pa.schema([("book", pa.string()), ("entry", pa.string()), ("content", pa.binary())])
 
@@ -71,11 +72,12 @@ class ArchiveReader(DataSourceReader):
             if shares > 1:
                 out += [Share([(f.path, f.size, k, shares)]) for k in range(shares)]
                 continue
-            if held and size + f.size > self.split:
+            cost = f.size + OPEN_BYTES
+            if held and size + cost > self.split:
                 out.append(Share(held))
                 held, size = [], 0
             held.append((f.path, f.size, 0, 1))
-            size += f.size
+            size += cost
         return [*out, *([Share(held)] if held or not out else [])]
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
@@ -191,6 +193,7 @@ class ArchiveWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, folder = store.opened(self.temporary)
         done: list[tuple[str, str]] = []
+        seen: set[str] = set()
         now, book = None, None
         for batch in iterator:
             for name, entry, content in zip(*(batch.column(c).to_pylist() for c in ("book", "entry", "content")), strict=True):
@@ -199,12 +202,14 @@ class ArchiveWriter(DataSourceArrowWriter):
                 if name != now:
                     if book:
                         book.close()
-                    if any(name == b for b, _ in done):
+                    if name in seen:
                         raise ValueError(f"rows of a book must lie together: {name}")
-                    fs.create_dir(folder, recursive=True)
+                    if not done:
+                        fs.create_dir(folder, recursive=True)
                     file = f"{folder}/{uuid.uuid4().hex}"
                     now, book = name, _Book(fs, file)
                     done.append((name, file))
+                    seen.add(name)
                 book.add(entry, content)
         if book:
             book.close()
