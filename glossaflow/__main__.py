@@ -89,6 +89,7 @@ def main(argv: list[str] | None = None) -> int:
     if outcome.issues is not None:
         qa.with_details(outcome.issues).write.mode("overwrite").parquet(f"{args.output}-issues" if one else f"{args.output}/issues")
         qa.report(outcome.issues, outcome.counts.get("total_segments", 0)).orderBy("part").select(F.col("line").alias("value")).write.mode("overwrite").text(f"{args.output}-report" if one else f"{args.output}/report")
+    outcome.release()
     print(outcome.summary)
     return outcome.code
 

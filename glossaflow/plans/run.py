@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from glossaflow.functions import text as T
 from glossaflow.operators import memory, qa, segments, terms, translate
 from glossaflow.plans.config import Settings, fingerprint, read_document
-from glossaflow.plans.scratch import Observed, stage_table
+from glossaflow.plans.scratch import Observed, drop_staged, stage_table, staged_here
 from glossaflow.sources import epub
 
 TERM = terms.TERM
@@ -45,6 +45,11 @@ class Outcome:
     issues: DataFrame | None = None
     summary: str = ""
     trace: str = ""
+    staged: list = field(default_factory=list, repr=False)
+
+    def release(self) -> None:
+        """Drops the tables of the run, when its books, files and issues have been written or read."""
+        drop_staged(self.staged)
 
 
 def load_terms(spark: SparkSession, path: str | None) -> tuple[DataFrame, str]:
@@ -129,7 +134,16 @@ def translate_books(
     store: memory.Workspace | None = None, resume: bool = False, run: Run | None = None, in_flight: int | None = None, names: tuple[str, str] = ("", ""),
 ) -> Outcome:
     """Translates archives (book, content), or their files (book, entry, content); ``names`` are those of input and output in the record of runs."""
-    settings, plan, run = settings or Settings(), plan or translate.plan(), run or Run(spark)
+    with staged_here(drop=False) as held:
+        outcome = _translated(spark, books, settings or Settings(), term_path, plan or translate.plan(), store, resume, run or Run(spark), in_flight, names)
+    outcome.staged = held
+    return outcome
+
+
+def _translated(
+    spark: SparkSession, books: DataFrame, settings: Settings, term_path: str | None, plan: translate.Plan, store: memory.Workspace | None, resume: bool, run: Run,
+    in_flight: int | None, names: tuple[str, str],
+) -> Outcome:
     try:
         make = plan.maker(settings)
         known, terms_digest = load_terms(spark, term_path)
@@ -237,7 +251,8 @@ def generate_termbase(
     """(payload to write as YAML or JSON, counts); at most max_terms new terms. Raises ``Cancelled`` when ``run`` is cancelled."""
     run = run or Run(spark)
     try:
-        return _mined(spark, books, options, existing, name, settings, in_flight, run)
+        with staged_here():
+            return _mined(spark, books, options, existing, name, settings, in_flight, run)
     except Exception:
         run.go_on()  # what a cancelled job raises is no failure
         raise

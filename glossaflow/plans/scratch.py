@@ -11,14 +11,17 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Removes the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _paths: list[tuple[SparkSession, str]] = []
+_scope = threading.local()
 
 
 class Observed:
@@ -45,9 +48,33 @@ def scratch_dir(spark: SparkSession) -> str:
 def stage_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     _paths.append((spark, path))
+    for held in getattr(_scope, "open", []):
+        held.append((spark, path))
     return path
 
 
+@contextmanager
+def staged_here(drop: bool = True) -> Iterator[list[tuple[SparkSession, str]]]:
+    """What this thread stages meanwhile; it goes at the end, or with ``drop_staged``."""
+    held: list[tuple[SparkSession, str]] = []
+    outer = getattr(_scope, "open", [])
+    _scope.open = [*outer, held]
+    try:
+        yield held
+    finally:
+        _scope.open = outer
+        if drop:
+            drop_staged(held)
+
+
+def drop_staged(held: list[tuple[SparkSession, str]]) -> None:
+    for item in held:
+        if item in _paths:
+            drop_path(*item)
+            _paths.remove(item)
+    held.clear()
+
+
 def stage_table(df: DataFrame, name: str, apart: Sequence[str] = (), observed: Observed | None = None) -> DataFrame:
     """Write ``df`` once, in a folder for each value of ``apart``, and return a reader of what was written.
 

@@ -17,7 +17,7 @@ from glossaflow.functions import text as T
 from glossaflow.operators.memory import KEY, KeyedTable, probe
 from glossaflow.operators.segments import greedy_batches
 from glossaflow.operators.translate import translate
-from glossaflow.plans.scratch import stage_table
+from glossaflow.plans.scratch import stage_table, staged_here
 
 
 def translate_missing(segments: DataFrame, memory: DataFrame | KeyedTable, config_hash: str, provider="mock", max_chars: int = 8000, max_rows: int = 20) -> DataFrame:
@@ -38,7 +38,8 @@ def resume(segments: DataFrame, table: KeyedTable, config_hash: str, checkpoint:
     """Starts a query that handles what is there in micro-batches, then stops."""
 
     def each(batch: DataFrame, epoch: int) -> None:
-        table.upsert(translate_missing(batch, table, config_hash, provider))
+        with staged_here():  # a stream may run for long; each micro-batch leaves nothing
+            table.upsert(translate_missing(batch, table, config_hash, provider))
         if after:
             after(epoch)
 

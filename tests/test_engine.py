@@ -462,6 +462,20 @@ def test_stage_table(spark):
     assert staged.count() == 2 and staged.count() == 2
 
 
+def test_staged_tables_of_a_step_go_with_it(spark):
+    from glossaflow.plans import scratch
+
+    before = list(scratch._paths)
+    with scratch.staged_here(drop=False) as held:
+        first = stage_table(spark.range(3), "first")
+        with scratch.staged_here():
+            assert stage_table(spark.range(4), "second").count() == 4
+        assert first.count() == 3 and len(held) == 2
+    assert len(scratch._paths) == len(before) + 1
+    scratch.drop_staged(held)
+    assert scratch._paths == before and not held
+
+
 def test_streaming_resume(spark, tmp_path):
     source = tmp_path / "in"
     schema = "book string, order_index int, segment_id string, source_text string"
@@ -469,9 +483,13 @@ def test_streaming_resume(spark, tmp_path):
     store = memory.KeyedTable(spark, str(tmp_path / "tm"))
     put([("b", 1, "s1", "one"), ("b", 2, "s2", "two")])
     run = lambda: resume(spark.readStream.schema(schema).parquet(str(source)), store, "c", str(tmp_path / "cp")).awaitTermination(120)
+    from glossaflow.plans import scratch
+
+    before = list(scratch._paths)
     run()
     put([("b", 3, "s3", "three")])
     run()
+    assert scratch._paths == before
     assert {r["segment_id"]: r["revise_text"] for r in store.read().collect()} == {"s1": "[中]one", "s2": "[中]two", "s3": "[中]three"}
     for held in (store.read(), store):
         assert translate_missing(spark.read.schema(schema).parquet(str(source)), held, "c").count() == 0

@@ -34,6 +34,8 @@ def test_translation(spark, books, tmp_path):
         text = z.read("OEBPS/ch0.xhtml").decode()
         assert ">raw<" in text and "[中]see" in text and ">no<" in text
         assert "[中]One 1" in z.read("OEBPS/nav.xhtml").decode() and "[中]A" in z.read("OEBPS/toc.ncx").decode()
+    out.release()
+    assert not out.staged
     rows = store.translations.read().count()
     again = runs.translate_books(spark, books, store=store, resume=True)
     assert store.translations.read().count() == rows and again.counts["cached_segments"] == again.counts["total_segments"] == rows
