@@ -47,46 +47,16 @@ from pyspark.sql import functions as F
 
 from glossaflow.llm.columns import numbered
 from glossaflow.llm.near_copies import shingles
+from glossaflow.llm.sketches import LEAST, SKETCH, agreement, sketch
 from glossaflow.plans.components import components
 from glossaflow.plans.scratch import bounded_batches, release, stage_table
 
 SHINGLE = 4
-SKETCH = 1024
 BANDS = 28  # of four coordinates
-LEAST = 750
 ROUNDS = 6
 CHUNK = 1024
-_DRAWS = 8192
-_EMPTY = np.uint64((1 << 64) - 1)
 FILTER_BITS = 24
 _marks = np.random.default_rng(7).integers(-(1 << 62), 1 << 62, BANDS)
-_salts = np.random.default_rng(11).integers(0, 1 << 64, 2 * SKETCH, dtype=np.uint64)
-
-
-def _mixed(z: np.ndarray) -> np.ndarray:
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """``SKETCH`` coordinates of 16 bits of a set of hashes (not empty)."""
-    least = np.full(SKETCH, _EMPTY)
-    h, step, begun = hashes.view(np.uint64), max(1, _DRAWS // len(hashes)), 0
-    while begun < 2 * SKETCH and (least == _EMPTY).any():
-        rounds = np.arange(begun, min(begun + step, 2 * SKETCH))
-        z = _mixed(h[None, :] ^ _salts[rounds][:, None])
-        free = (z >> np.uint64(54)).astype(np.int64)  # 10 bits
-        bins = np.where((rounds < SKETCH)[:, None], free, (rounds - SKETCH)[:, None])
-        values = (rounds.astype(np.uint64)[:, None] << np.uint64(48)) | (z & np.uint64((1 << 48) - 1))
-        np.minimum.at(least, bins.ravel(), values.ravel())
-        begun += step
-    return (_mixed(least) >> np.uint64(48)).astype(np.uint16)
-
-
-def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many coordinates sketches agree, along the last axis."""
-    return (a == b).sum(axis=-1)
 
 
 def _sketched(plain: DataFrame, shingle: int) -> DataFrame:

@@ -23,8 +23,15 @@ Of a shingle that several texts share, each text first meets the one before it
 and the first; what these join is one group from then on. In up to ``ROUNDS``
 rounds, neighbours of different groups in another order meet, as long as one in
 twenty of them is linked, and what is left of different groups then meets in
-full. So many near copies of one text cost few comparisons, and none is missed. A shingle that by the sample has more than ``CHUNK`` texts is
-dealt to several tasks, with its first text in each.
+full, dealt by pairs of chunks, so that no task has all texts of a shingle. There
+sketches of op11's kind, made for these texts alone, discard pairs that agree in
+fewer coordinates than five deviations below what 0.8 has, and a pair leaves the
+task of the first shingle it shares alone. So many near copies of one text cost
+few comparisons. A shingle that by the sample has more than ``CHUNK`` texts is
+dealt to several tasks in the first pass too, with its first text in each.
+
+The bounds of steps 2 and of the sketches are such by probability: a pair of
+just 0.8 is lost to them with less than one in ten million. All else loses none.
 
 Defined cases: texts of fewer words have one shingle, of all words; texts
 without words and null texts are equal; rows without an id are linked but name
@@ -44,6 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from glossaflow.llm.columns import apart
+from glossaflow.llm.sketches import LEAST, agreement, sketch
 from glossaflow.plans.components import components
 from glossaflow.plans.scratch import bounded_batches, release, stage_table
 
@@ -194,32 +202,14 @@ def _few_and_first(group: np.ndarray, large: np.ndarray, n: np.ndarray, p: np.nd
         yield keep, keep + step
 
 
-def _across(group: np.ndarray, label: np.ndarray, n: np.ndarray, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of different labels in each group."""
-    stops = np.cumsum(np.bincount(group))
-    for a, b in zip(np.concatenate(([0], stops[:-1])).tolist(), stops.tolist(), strict=True):
-        names, number, count = np.unique(label[a:b], return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            continue
-        most = number == count.argmax()
-        rows = np.arange(a, b)
-        for i in np.flatnonzero(~most).tolist():
-            # The others of its size, once: those of the greatest label, and those after it.
-            near = rows[(number != number[i]) & (most | (rows > a + i))]
-            near = near[(5 * n[near] >= 4 * n[a + i]) & (5 * n[a + i] >= 4 * n[near])]
-            x = np.full(len(near), a + i)
-            keep = _possible(n, p, x, near)
-            yield x[keep], near[keep]
-
-
 MET = "a bigint, b bigint, key bigint, n bigint, p bigint, node bigint"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) among rows (key, chunk, n, p, node[, label]) ordered by all but p, whole groups at a time.
+    """Candidates (a, b) among rows (key, chunk, n, p, node) ordered by all but p, whole groups at a time.
 
-    Without labels, the rows of large groups and of those dealt to several tasks
-    follow, which may have to meet again; other groups are chunk -1.
+    The rows of large groups and of those dealt to several tasks follow, which
+    may have to meet again; other groups are chunk -1.
     """
     kinds = pa.schema([(c.split()[0], pa.int64()) for c in MET.split(", ")])
 
@@ -234,16 +224,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1)))]
         return rows_of(pairs[:, 0], pairs[:, 1])
 
-    def solve(key: np.ndarray, chunk: np.ndarray, n: np.ndarray, p: np.ndarray, node: np.ndarray, *label: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def solve(key: np.ndarray, chunk: np.ndarray, n: np.ndarray, p: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])))) - 1
         alone = np.bincount(group)[group] < 2
         if alone.all():
             return
-        group, key, chunk, n, p, node, *label = (c[~alone] for c in (group, key, chunk, n, p, node, *label))
+        group, key, chunk, n, p, node = (c[~alone] for c in (group, key, chunk, n, p, node))
         group = np.unique(group, return_inverse=True)[1]
         large = (np.bincount(group)[group] > FEW) | (chunk >= 0)
         held, count = [], 0
-        for x, y in _across(group, label[0], n, p) if label else _few_and_first(group, large, n, p):
+        for x, y in _few_and_first(group, large, n, p):
             u, v = node[x], node[y]
             u, v = u[u != v], v[u != v]  # the first of a run is in each of its chunks
             held.append(np.stack((np.minimum(u, v), np.maximum(u, v)), axis=1))
@@ -253,7 +243,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, count = [], 0
         if count:
             yield pairs_of(held)
-        if not label and large.any():
+        if large.any():
             yield rows_of(key[large], n[large], p[large], node[large])
 
     held: list[list[np.ndarray]] = []
@@ -274,7 +264,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """What ``_meet`` finds among rows (key, chunk, n, p, node[, label]), staged."""
+    """What ``_meet`` finds among rows (key, chunk, n, p, node), staged."""
     dealt = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "n", "node")
     return stage_table(dealt.mapInArrow(_meet, MET), "met")
 
@@ -338,6 +328,66 @@ def _neighbours(rows: DataFrame, k: int) -> DataFrame:
     return pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
 
 
+def _last_meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different labels in groups (key, i, j) of rows (key, i, j, side, n, p, node, label, keys, sketch), ordered by the first three."""
+
+    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        i, j, side, n, p, node, label = (table.column(c).to_numpy() for c in ("i", "j", "side", "n", "p", "node", "label"))
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(n), -1)
+        lists = table.column("keys").combine_chunks()
+        places, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+        keys = [places[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        _, number, count = np.unique(label, return_inverse=True, return_counts=True)
+        most, every = number == count.argmax(), np.arange(len(n))
+        a, b = [node[:0]], [node[:0]]
+        for x in np.flatnonzero(~most).tolist():
+            # Rows of the greatest group don't take the lead, so each pair is seen from one end, or from the first of two.
+            near = (number != number[x]) & (most | (every > x)) & similar(n, n[x], np.minimum(n - p, n[x] - p[x]))
+            near = np.flatnonzero(near & (side != side[x]) if i[0] != j[0] else near)
+            near = near[agreement(sketches[near], sketches[x]) >= LEAST]
+            first = [y for y in near.tolist() if np.isin(keys[x], keys[y]).argmax() == p[x]]
+            a.append(np.minimum(node[first], node[x]))
+            b.append(np.maximum(node[first], node[x]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        names = [c.to_numpy() for c in batch.columns[:3]]
+        new = (np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in names])) + 1).tolist() if batch.num_rows else []
+        for start, stop in zip([0, *new], [*new, batch.num_rows], strict=True):
+            if start < stop:
+                own = tuple(int(c[start]) for c in names)
+                if held and own != now:
+                    yield solve(held)
+                    held = []
+                now = own
+                held.append(batch.slice(start, stop - start))
+    if held:
+        yield solve(held)
+
+
+def _left(apart_rows: DataFrame, once: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): pairs of different groups under a shingle whose sketches are near enough."""
+    bounded_batches(apart_rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [sketch(shingles(t)[1]).astype(np.uint8).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["node", "sketch"])
+
+    wanted = stage_table(apart_rows.select("node").distinct().join(once.select("node", F.col("id").alias("wanted_id"), "raw"), "node"), "wanted")
+    met = (texts["raw"] == wanted["raw"]) & texts["id"].eqNullSafe(wanted["wanted_id"])
+    sketches = stage_table(texts.join(wanted, met).select("node", "text").mapInArrow(run, "node bigint, sketch binary").dropDuplicates(["node"]), "sketches")
+    chunks = stage_table(apart_rows.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")), "parts")
+    dealt = apart_rows.join(chunks, "key").withColumn("side", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.join(once.select("node", "keys"), "node").join(sketches, "node")
+    rows = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "n", "p", "node", "label", "keys", "sketch")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_last_meeting, _PAIR).distinct()
+
+
 def near_nodes(once: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) of all nodes of staged rows ``once`` that are no root themselves."""
     spread = once.filter("n > 0").select(F.posexplode(F.arrays_zip("keys", "chunks")).alias("p", "k"), "n", "node")
@@ -361,9 +411,7 @@ def near_nodes(once: DataFrame, texts: DataFrame) -> DataFrame:
             break
     apart_rows = _apart_rows(large, components(near))
     if apart_rows.limit(1).count():
-        more = _candidates(apart_rows.withColumn("chunk", F.lit(-1).cast("long")).select(*columns, "label"))
-        near = near.unionByName(_verified(_pairs(more), once, texts))
-        release(more)
+        near = near.unionByName(_verified(_left(apart_rows, once, texts), once, texts))
     release(met, apart_rows)
     return components(near)
 
