@@ -10,20 +10,25 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaflow.functions import text as T
 from glossaflow.functions.masking import PAIRS, mask_text_column
+from glossaflow.plans.scratch import bounded_batches
 from glossaflow.sources import markup
 
 CONTAINER = "META-INF/container.xml"
-FRAME_ROWS, FRAME_BYTES = 5_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
+SLICE = 32  # rows of a batch that are Python objects at a time
 NCX_TYPE = "application/x-dtbncx+xml"
+BOOK = "book string, content binary"
 ENTRY = "book string, entry string, content binary"
 MANIFEST = "book string, pos int, item_id string, href string, media_type string, properties string, opf_dir string, toc_id string"
 NODE = f"book string, file_path string, order_in_file int, node_selector string, tag string, classes string, footnote boolean, source_text string, pairs {PAIRS}"
@@ -35,24 +40,53 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("book"), "content")
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), PAIRS: pa.list_(pa.struct([("token", pa.string()), ("raw", pa.string())]))}
+
+
+def _size(value) -> int:
+    """About how large a value is, with all that it holds."""
+    if isinstance(value, str | bytes):
+        return len(value)
+    if isinstance(value, dict):
+        value = value.values()
+    elif not isinstance(value, list):
+        return 8
+    return 64 + sum(map(_size, value))
+
+
+def _values(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of batches, few of them as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True)
+
+
+def _batches(rows: Iterable[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``BATCH_ROWS`` rows or ``BATCH_BYTES``, all that rows hold counted."""
+    fields = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), fields, strict=True)], schema=fields)
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(map(_size, row))
+        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 def _each(books: DataFrame, columns: list[str], schema: str, rows) -> DataFrame:
-    """What ``rows`` makes of each row, in frames of about ``FRAME_ROWS`` rows or ``FRAME_BYTES`` of content."""
-    names = [c.split()[0] for c in schema.replace("array<struct<token:string,raw:string>>", "x").split(", ")]
+    """What ``rows`` makes of each row; both ways in batches that are bounded in rows and bytes, so that a worker holds no more of a larger table."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for frame in frames:
-            for values in zip(*(frame[c] for c in columns), strict=True):
-                for row in rows(*values):
-                    held.append(row)
-                    size += sum(len(v) for v in row if isinstance(v, str | bytes))
-                    if len(held) >= FRAME_ROWS or size >= FRAME_BYTES:
-                        yield pd.DataFrame(held, columns=names)
-                        held, size = [], 0
-        if held:
-            yield pd.DataFrame(held, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches((row for values in _values(batches) for row in rows(*values)), schema)
 
-    return books.select(*columns).mapInPandas(run, schema)
+    bounded_batches(books.sparkSession, BATCH_ROWS, BATCH_BYTES)
+    return books.select(*columns).mapInArrow(run, schema)
 
 
 def entries(books: DataFrame) -> DataFrame:
@@ -269,14 +303,19 @@ def pack(files: DataFrame) -> DataFrame:
     An archive is made in one task, for it is one file.
     """
 
-    def zipped(frame: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            rows = sorted(zip(frame["entry"], frame["content"], strict=True), key=lambda x: (x[0] != "mimetype", x[0].split("/")))
-            for name, content in rows:
-                info = zipfile.ZipInfo(name)  # a fixed date: equal files give equal archives
-                info.compress_type = zipfile.ZIP_STORED if name == "mimetype" else zipfile.ZIP_DEFLATED
-                z.writestr(info, content)
-        return pd.DataFrame({"book": [frame["book"].iloc[0]], "content": [out.getvalue()]})
-
-    return files.select("book", "entry", "content").groupBy("book").applyInPandas(zipped, "book string, content binary")
+    def archives(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for book, files_of in groupby(rows, key=itemgetter(0)):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                for _, name, content in files_of:
+                    info = zipfile.ZipInfo(name)  # a fixed date: equal files give equal archives
+                    info.compress_type = zipfile.ZIP_STORED if name == "mimetype" else zipfile.ZIP_DEFLATED
+                    z.writestr(info, content)
+            yield book, out.getvalue()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(archives(_values(batches)), BOOK)
+
+    bounded_batches(files.sparkSession, BATCH_ROWS, BATCH_BYTES)
+    rows = files.select("book", "entry", "content").repartition("book")
+    return rows.sortWithinPartitions("book", F.col("entry") != "mimetype", F.split("entry", "/")).mapInArrow(run, BOOK)

@@ -9,3 +9,25 @@ def test_titles_cut_in_an_entity(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = entry.queries()["parse_failures"](spark, str(tmp_path)).collect()
     assert sorted((r["file_path"], r["why"]) for r in got) == [(str(i), "mismatched tag") for i in (1, 2, 4)]
+
+
+def test_rows_of_files_go_in_small_batches(spark):
+    from glossaflow.sources import epub
+
+    pairs = [{"token": f"t{i}", "raw": "x" * 1000} for i in range(100)]
+    rows = ((str(i), "f", i, "/p[1]", "p", None, False, "text", pairs) for i in range(200))
+    sizes = [b.num_rows for b in epub._batches(rows, epub.NODE)]
+    assert sum(sizes) == 200 and max(sizes) * 100_000 <= 2 * epub.BATCH_BYTES  # what pairs hold counts
+    files = spark.createDataFrame([("b", "f", "<p>One</p>")], "book string, file_path string, content string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert epub.nodes(files, tolerant=True).count() == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= epub.BATCH_ROWS
+
+
+def test_paths_are_looked_up_in_what_has_become_of_a_file():
+    from glossaflow.sources import markup
+
+    data = "<r>" + "<p>a<b>c</b></p>" * 3 + "</r>"
+    tasks = [{"node_selector": "/r[1]/p[2]/b[1]", "text": "B"}, {"node_selector": "/r[1]/p[2]", "text": "<i>x</i><b>n</b><b>m</b>"}, {"node_selector": "/r[1]/p[2]/b[2]", "text": "M"}, {"node_selector": "/r[1]/p[3]/b[1]", "text": "C"}]
+    out = markup.rewritten(data.encode(), tasks).decode()
+    assert out.endswith("<r><p>a<b>c</b></p><p><i>x</i><b>n</b><b>M</b></p><p>a<b>C</b></p></r>")
