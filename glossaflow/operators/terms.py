@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from glossaflow.functions import text as T
 from glossaflow.functions.masking import phrases_column
-from glossaflow.plans.scratch import stage_table
+from glossaflow.plans.scratch import bounded_batches, stage_table
 
 TERM = "source string, target string, force boolean, note string"
 GRAM = 4
@@ -103,6 +103,7 @@ def _near(text: Column, table: pd.DataFrame) -> Column:
 
 def term_hits(rows: DataFrame, terms: DataFrame, text: str = "source_text") -> DataFrame:
     """Rows joined with each term whose source their text contains, in any case."""
+    bounded_batches(rows.sparkSession, 128, 1 << 20)  # a text has many grams
     index = anchors(terms, rows.select(text).limit(TRIED))
     reach = F.max(F.char_length("word") - F.col("at"))
     table = index.groupBy("gram").agg(F.max("at").alias("before"), reach.alias("after"), F.max(F.least(F.char_length("word"), F.lit(GRAM))).alias("k"))
