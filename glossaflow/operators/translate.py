@@ -10,19 +10,23 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import groupby
+from operator import itemgetter
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaflow.functions import text as T
+from glossaflow.functions.batches import BATCH_BYTES, BATCH_ROWS, record_batches, values_of
 from glossaflow.operators import chat
 from glossaflow.operators.result_log import ResultLog
 from glossaflow.plans.config import Settings
+from glossaflow.plans.scratch import bounded_batches
 
 RESULT = "segment_id string, draft_text string, revise_text string, provider string, calls int, error string"
 REPLY = "results array<struct<id:string,translated_text:string>>"
@@ -202,24 +206,32 @@ def translate(batches: DataFrame, provider: str | Plan | Callable[[], Provider]
     """
     make = provider if callable(provider) else (plan(provider) if isinstance(provider, str) else provider).maker()
 
-    def call(frame: pd.DataFrame) -> pd.DataFrame:
+    columns = ["batch_key", "segment_id", "source_text", "hits", *["source_hash", "config_hash"] * bool(log)]
+
+    def call(batch_key, batch: list[dict]) -> list[tuple]:
         engine = make()
         name = getattr(engine, "name", None) or type(engine).__name__
-        rows = frame[["segment_id", "source_text"]].to_dict("records")
-        hits = json.loads(frame["hits"].iloc[0] or "[]")
+        rows = [{"segment_id": r["segment_id"], "source_text": r["source_text"]} for r in batch]
+        hits = json.loads(batch[0]["hits"] or "[]")
         try:
             drafts, texts, rounds = run_batch(engine, rows, hits)
             out = [(r["segment_id"], drafts.get(r["segment_id"]), texts[r["segment_id"]], name, rounds, None) for r in rows]
             if log:
-                keys = frame[["segment_id", "source_hash", "config_hash"]].to_dict("records")
-                log.commit(str(frame["batch_key"].iloc[0]), [{**k, "draft_text": drafts.get(k["segment_id"]), "revise_text": texts[k["segment_id"]], "provider": name} for k in keys])
+                keys = [{c: r[c] for c in ("segment_id", "source_hash", "config_hash")} for r in batch]
+                log.commit(str(batch_key), [{**k, "draft_text": drafts.get(k["segment_id"]), "revise_text": texts[k["segment_id"]], "provider": name} for k in keys])
         except Exception as e:
             out = [(r["segment_id"], None, None, name, 1, f"Batch translation failed: {e}") for r in rows]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of segments as they follow each other in sorted rows; one is held at a time."""
+        groups = groupby(values_of(batches), key=itemgetter(0))
+        yield from record_batches((row for key, rows in groups for row in call(key, [dict(zip(columns, r, strict=True)) for r in rows])), RESULT)
 
-    rows = batches.select("batch_key", "segment_id", "source_text", "hits", *["source_hash", "config_hash"] * bool(log))
-    rows = rows.repartition(in_flight, "batch_key") if in_flight else rows
-    return rows.groupBy("batch_key").applyInPandas(call, RESULT)
+    bounded_batches(batches.sparkSession, BATCH_ROWS, BATCH_BYTES)
+    rows = batches.select(*columns)
+    rows = rows.repartition(in_flight, "batch_key") if in_flight else rows.repartition("batch_key")
+    return rows.sortWithinPartitions("batch_key").mapInArrow(run, RESULT)
 
 
 def repair(segments: DataFrame, provider: str | Plan | Callable[[], Provider] = "mock", in_flight: int | None = None, log: ResultLog | None = None) -> DataFrame:

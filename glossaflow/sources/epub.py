@@ -20,13 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaflow.functions import text as T
+from glossaflow.functions.batches import BATCH_BYTES, BATCH_ROWS, record_batches, values_of
 from glossaflow.functions.masking import PAIRS, mask_text_column
 from glossaflow.plans.scratch import bounded_batches
 from glossaflow.sources import markup
 
 CONTAINER = "META-INF/container.xml"
-BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
-SLICE = 32  # rows of a batch that are Python objects at a time
 NCX_TYPE = "application/x-dtbncx+xml"
 BOOK = "book string, content binary"
 ENTRY = "book string, entry string, content binary"
@@ -40,50 +39,11 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("book"), "content")
 
 
-_ARROW = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), PAIRS: pa.list_(pa.struct([("token", pa.string()), ("raw", pa.string())]))}
-
-
-def _size(value) -> int:
-    """About how large a value is, with all that it holds."""
-    if isinstance(value, str | bytes):
-        return len(value)
-    if isinstance(value, dict):
-        value = value.values()
-    elif not isinstance(value, list):
-        return 8
-    return 64 + sum(map(_size, value))
-
-
-def _values(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    """The rows of batches, few of them as Python objects at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield from zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True)
-
-
-def _batches(rows: Iterable[tuple], schema: str) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``BATCH_ROWS`` rows or ``BATCH_BYTES``, all that rows hold counted."""
-    fields = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in schema.split(", "))])
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), fields, strict=True)], schema=fields)
-
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += sum(map(_size, row))
-        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
-            yield batch()
-            held, size = [], 0
-    if held:
-        yield batch()
-
-
 def _each(books: DataFrame, columns: list[str], schema: str, rows) -> DataFrame:
     """What ``rows`` makes of each row; both ways in batches that are bounded in rows and bytes, so that a worker holds no more of a larger table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches((row for values in _values(batches) for row in rows(*values)), schema)
+        yield from record_batches((row for values in values_of(batches) for row in rows(*values)), schema)
 
     bounded_batches(books.sparkSession, BATCH_ROWS, BATCH_BYTES)
     return books.select(*columns).mapInArrow(run, schema)
@@ -314,7 +274,7 @@ def pack(files: DataFrame) -> DataFrame:
             yield book, out.getvalue()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(archives(_values(batches)), BOOK)
+        yield from record_batches(archives(values_of(batches)), BOOK)
 
     bounded_batches(files.sparkSession, BATCH_ROWS, BATCH_BYTES)
     rows = files.select("book", "entry", "content").repartition("book")
