@@ -13,9 +13,11 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from glossaflow.plans.scratch import bounded_batches
+
 # What is masked, in this order, and the inline elements.
 TOKEN = re.compile(r"⟦PH:\d{6}⟧")
 LITERALS = tuple(
@@ -222,6 +224,8 @@ def mask_text_column(c: Column) -> Column:
 def mask_markup_column(c: Column) -> Column:
     """The same of fragments of markup."""
 
+    _bounded()
+
     @F.pandas_udf(f"struct<text:string,pairs:{PAIRS}>")
     def mask(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
@@ -231,7 +235,13 @@ def mask_markup_column(c: Column) -> Column:
     return mask(c)
 
 
+def _bounded() -> None:
+    bounded_batches(SparkSession.active(), 512, 2 << 20)
+
+
 def chunks_column(c: Column, size: int) -> Column:
+    _bounded()
+
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else chunks(t, size) for t in texts], dtype=object)
@@ -240,6 +250,8 @@ def chunks_column(c: Column, size: int) -> Column:
 
 
 def phrases_column(c: Column, single: bool = False) -> Column:
+    _bounded()
+
     @F.pandas_udf("array<string>")
     def mine(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else phrases(t, single) for t in texts], dtype=object)

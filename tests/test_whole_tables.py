@@ -12,16 +12,17 @@ def test_titles_cut_in_an_entity(spark, tmp_path):
 
 
 def test_rows_of_files_go_in_small_batches(spark):
+    from glossaflow.functions import batches
     from glossaflow.sources import epub
 
     pairs = [{"token": f"t{i}", "raw": "x" * 1000} for i in range(100)]
     rows = ((str(i), "f", i, "/p[1]", "p", None, False, "text", pairs) for i in range(200))
-    sizes = [b.num_rows for b in epub._batches(rows, epub.NODE)]
-    assert sum(sizes) == 200 and max(sizes) * 100_000 <= 2 * epub.BATCH_BYTES  # what pairs hold counts
+    sizes = [b.num_rows for b in batches.record_batches(rows, epub.NODE)]
+    assert sum(sizes) == 200 and max(sizes) * 100_000 <= 2 * batches.BATCH_BYTES  # what pairs hold counts
     files = spark.createDataFrame([("b", "f", "<p>One</p>")], "book string, file_path string, content string")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     assert epub.nodes(files, tolerant=True).count() == 1
-    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= epub.BATCH_ROWS
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= batches.BATCH_ROWS
 
 
 def test_paths_are_looked_up_in_what_has_become_of_a_file():
@@ -31,3 +32,41 @@ def test_paths_are_looked_up_in_what_has_become_of_a_file():
     tasks = [{"node_selector": "/r[1]/p[2]/b[1]", "text": "B"}, {"node_selector": "/r[1]/p[2]", "text": "<i>x</i><b>n</b><b>m</b>"}, {"node_selector": "/r[1]/p[2]/b[2]", "text": "M"}, {"node_selector": "/r[1]/p[3]/b[1]", "text": "C"}]
     out = markup.rewritten(data.encode(), tasks).decode()
     assert out.endswith("<r><p>a<b>c</b></p><p><i>x</i><b>n</b><b>M</b></p><p>a<b>C</b></p></r>")
+
+
+def _bounds(spark, make):
+    """Rows of an Arrow batch that the session has after ``make``, from a bound of 10,000."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    make()
+    return int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+
+
+def test_texts_meet_terms_in_small_batches(spark):
+    from glossaflow.operators import terms
+
+    texts = spark.createDataFrame([("One Two",), (None,)], "source_text string")
+    known = spark.createDataFrame([("one", "x")], "source string, target string")
+    assert _bounds(spark, lambda: terms.term_hits(texts, known).collect()) <= 128
+
+
+def test_texts_are_mined_and_cut_in_small_batches(spark):
+    from glossaflow.functions import masking
+
+    texts = spark.createDataFrame([("The Red House",)], "text string")
+    for column in (masking.phrases_column("text"), masking.mask_markup_column("text")):
+        assert len(texts.select(column).collect()) == 1
+    assert _bounds(spark, lambda: masking.phrases_column("text")) <= 512
+    assert _bounds(spark, lambda: masking.chunks_column("text", 10)) <= 512
+
+
+def test_a_batch_of_segments_is_one_call_across_arrow_batches(spark):
+    from glossaflow.operators import translate
+
+    class Counting(translate.MockProvider):
+        def translate(self, rows, hits):
+            return {r["segment_id"]: f"[中]{len(rows)}" for r in rows}
+
+    rows = [(key, f"{key}{i}", "t", "[]") for i in range(700) for key in ("a", "b", "c")] + [(None, "n", "t", "[]")]
+    done = translate.translate(spark.createDataFrame(rows, "batch_key string, segment_id string, source_text string, hits string"), Counting)
+    assert "MapInArrow" in done._jdf.queryExecution().toString()
+    assert {(r["draft_text"], r["n"]) for r in done.groupBy("draft_text").count().withColumnRenamed("count", "n").collect()} == {("[中]700", 2100), ("[中]1", 1)}
