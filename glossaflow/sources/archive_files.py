@@ -33,6 +33,7 @@ import posixpath
 import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -41,12 +42,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from glossaflow.functions.batches import BATCH_BYTES, BATCH_ROWS
+from glossaflow.plans.scratch import bounded_batches
 from glossaflow.sources import store
 
 SCHEMA = "book string, entry string, content binary"
 SPLIT_BYTES = 64 << 20
-OPEN_BYTES = 1 << 20  # what opening an archive counts for
-BATCH_BYTES = 8 << 20
+OPEN_BYTES = 128 << 10  # what opening an archive counts for
+WHOLE_BYTES = 256 << 10  # archives up to this are read at once, larger ones by the ranges of their entries
+MOVES = 16  # files that the driver moves at a time
+READ_BYTES = 8 << 20
 _ARROW = pa.schema([("book", pa.string()), ("entry", pa.string()), ("content", pa.binary())])
 
 
@@ -86,7 +91,7 @@ class ArchiveReader(DataSourceReader):
             fs, inner = store.opened(path)
             with fs.open_input_file(inner) as raw:
                 try:
-                    archive = zipfile.ZipFile(io.BufferedReader(raw, 1 << 16))
+                    archive = zipfile.ZipFile(io.BytesIO(raw.read()) if total <= WHOLE_BYTES else io.BufferedReader(raw, 1 << 16))
                 except (zipfile.BadZipFile, pa.ArrowInvalid) as e:  # Arrow's files refuse to seek before their start
                     raise ValueError(f"Invalid EPUB: {e}: {path}") from None
                 with archive:
@@ -97,7 +102,7 @@ class ArchiveReader(DataSourceReader):
                         content = archive.read(info)
                         held.append((path, info.filename, content))
                         size += len(content)
-                        if size >= BATCH_BYTES:
+                        if size >= READ_BYTES:
                             yield _batch(held)
                             held, size = [], 0
         if held:
@@ -222,8 +227,9 @@ class ArchiveWriter(DataSourceArrowWriter):
             raise ValueError("a book was written by two tasks")
         names = file_names([b for b, _ in files], self.one)
         fs.create_dir(folder, recursive=True)
-        for book, file in files:
-            fs.move(file, f"{folder}/{names[book]}")
+        with ThreadPoolExecutor(MOVES) as pool:  # a move waits for its store
+            for _ in pool.map(lambda x: fs.move(x[1], f"{folder}/{names[x[0]]}"), files):
+                pass
         store.drop(self.temporary)
         if self.overwrite and not self.one:
             kept = {f"{folder}/{n}" for n in names.values()}
@@ -265,5 +271,6 @@ def write_books(files: DataFrame, path: str, mode: str = "overwrite", name: str
     files.sparkSession.dataSource.register(Archives)
     rows = files.select("book", "entry", "content").repartition("book")
     rows = rows.sortWithinPartitions("book", F.col("entry") != "mimetype", F.split("entry", "/"))
+    bounded_batches(files.sparkSession, BATCH_ROWS, BATCH_BYTES)
     writer = rows.write.format("epub").mode(mode)
     (writer.option("name", name) if name else writer).save(path)

@@ -70,3 +70,32 @@ def test_a_batch_of_segments_is_one_call_across_arrow_batches(spark):
     done = translate.translate(spark.createDataFrame(rows, "batch_key string, segment_id string, source_text string, hits string"), Counting)
     assert "MapInArrow" in done._jdf.queryExecution().toString()
     assert {(r["draft_text"], r["n"]) for r in done.groupBy("draft_text").count().withColumnRenamed("count", "n").collect()} == {("[中]700", 2100), ("[中]1", 1)}
+
+
+def test_small_archives_share_tasks_and_are_read_at_once(spark, tmp_path):
+    import zipfile
+
+    from glossaflow.sources import archive_files as A
+    from glossaflow.sources import store
+
+    for k in range(400):
+        with zipfile.ZipFile(tmp_path / f"{k}.epub", "w") as z:
+            z.writestr("a.xhtml", "x")
+    reader = A.ArchiveReader({"path": str(tmp_path)})
+    (part,) = reader.partitions()
+    reads, plain = [], store.opened
+
+    class Counted:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def open_input_file(self, path):
+            reads.append(path)
+            return self.fs.open_input_file(path)
+
+    try:
+        store.opened = lambda path: (Counted(plain(path)[0]), plain(path)[1])
+        assert sum(b.num_rows for b in reader.read(part)) == 400
+    finally:
+        store.opened = plain
+    assert len(reads) == 400
