@@ -99,3 +99,13 @@ def test_small_archives_share_tasks_and_are_read_at_once(spark, tmp_path):
     finally:
         store.opened = plain
     assert len(reads) == 400
+
+
+def test_pages_of_many_links_go_in_small_batches(spark):
+    from glossaflow.functions import batches
+    from glossaflow.sources import epub
+
+    page = "<html><body>" + "".join(f'<p>{i} <a href="u{i}">{"x" * 200}</a> y</p>' for i in range(600)) + "</body></html>"
+    pages = spark.createDataFrame([(str(k), "u", page) for k in range(4)], "book string, file_path string, content string")
+    assert _bounds(spark, lambda: epub.nodes(pages, tolerant=True)) <= batches.BATCH_ROWS
+    assert epub.nodes(pages, tolerant=True).filter("tag = 'p'").count() == 2400
