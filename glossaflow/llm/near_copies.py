@@ -24,7 +24,7 @@ and the first; what these join is one group from then on. In up to ``ROUNDS``
 rounds, neighbours of different groups in another order meet, as long as one in
 twenty of them is linked, and what is left of different groups then meets in
 full, dealt by pairs of chunks, so that no task has all texts of a shingle. There
-sketches of op11's kind, made for these texts alone, discard pairs that agree in
+sketches of op11's kind, of two bits a coordinate, discard pairs that agree in
 fewer coordinates than five deviations below what 0.8 has, and a pair leaves the
 task of the first shingle it shares alone. So many near copies of one text cost
 few comparisons. A shingle that by the sample has more than ``CHUNK`` texts is
@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from glossaflow.llm.columns import apart
-from glossaflow.llm.sketches import LEAST, agreement, sketch
+from glossaflow.llm.sketches import LEAST_PACKED, packed, packed_agreement, sketch
 from glossaflow.plans.components import components
 from glossaflow.plans.scratch import bounded_batches, release, stage_table
 
@@ -329,15 +329,15 @@ def _neighbours(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _last_meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different labels in groups (key, i, j) of rows (key, i, j, side, n, p, node, label, keys, sketch), ordered by the first three."""
+    """Pairs of different labels in groups (key, i, j) of rows (key, i, j, side, n, p, node, label, before, sketch), ordered by the first three."""
 
     def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
         i, j, side, n, p, node, label = (table.column(c).to_numpy() for c in ("i", "j", "side", "n", "p", "node", "label"))
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(n), -1)
-        lists = table.column("keys").combine_chunks()
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(n), -1)
+        lists = table.column("before").combine_chunks()
         places, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-        keys = [places[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        before = [places[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         _, number, count = np.unique(label, return_inverse=True, return_counts=True)
         most, every = number == count.argmax(), np.arange(len(n))
         a, b = [node[:0]], [node[:0]]
@@ -345,8 +345,8 @@ def _last_meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             # Rows of the greatest group don't take the lead, so each pair is seen from one end, or from the first of two.
             near = (number != number[x]) & (most | (every > x)) & similar(n, n[x], np.minimum(n - p, n[x] - p[x]))
             near = np.flatnonzero(near & (side != side[x]) if i[0] != j[0] else near)
-            near = near[agreement(sketches[near], sketches[x]) >= LEAST]
-            first = [y for y in near.tolist() if np.isin(keys[x], keys[y]).argmax() == p[x]]
+            near = near[packed_agreement(sketches[near], sketches[x]) >= LEAST_PACKED]
+            first = [y for y in near.tolist() if not len(before[x]) or not len(before[y]) or not np.isin(before[x], before[y]).any()]
             a.append(np.minimum(node[first], node[x]))
             b.append(np.maximum(node[first], node[x]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -368,24 +368,36 @@ def _last_meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield solve(held)
 
 
-def _left(apart_rows: DataFrame, once: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): pairs of different groups under a shingle whose sketches are near enough."""
+def _meeting_rows(apart_rows: DataFrame, once: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (key, i, j, side, n, p, node, label, before, sketch) for ``_last_meeting``.
+
+    A row goes to many tasks, so it has two bits a coordinate, and of its text's shingles those alone that
+    come before its own in the common order and are in ``apart_rows`` too: a pair that shares one of them
+    meets there. One that shares an earlier shingle of few texts has met there in full before.
+    """
     bounded_batches(apart_rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [sketch(shingles(t)[1]).astype(np.uint8).tobytes() for t in b.column(1).to_pylist()]
+            rows = [packed(sketch(shingles(t)[1])).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["node", "sketch"])
 
     wanted = stage_table(apart_rows.select("node").distinct().join(once.select("node", F.col("id").alias("wanted_id"), "raw"), "node"), "wanted")
     met = (texts["raw"] == wanted["raw"]) & texts["id"].eqNullSafe(wanted["wanted_id"])
     sketches = stage_table(texts.join(wanted, met).select("node", "text").mapInArrow(run, "node bigint, sketch binary").dropDuplicates(["node"]), "sketches")
     chunks = stage_table(apart_rows.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")), "parts")
+    held = apart_rows.groupBy("node").agg(F.collect_list(F.struct("p", "key")).alias("held"))  # a prefix at most
     dealt = apart_rows.join(chunks, "key").withColumn("side", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.join(once.select("node", "keys"), "node").join(sketches, "node")
-    rows = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "n", "p", "node", "label", "keys", "sketch")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_last_meeting, _PAIR).distinct()
+    dealt = dealt.join(held, "node").join(sketches, "node")
+    before = F.transform(F.filter("held", lambda x: x["p"] < F.col("p")), lambda x: x["key"])
+    rows = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "n", "p", "node", "label", before.alias("before"), "sketch")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _left(apart_rows: DataFrame, once: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): pairs of different groups under a shingle whose sketches are near enough."""
+    return _meeting_rows(apart_rows, once, texts).mapInArrow(_last_meeting, _PAIR).distinct()
 
 
 def near_nodes(once: DataFrame, texts: DataFrame) -> DataFrame:

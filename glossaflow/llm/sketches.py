@@ -12,6 +12,8 @@ import numpy as np
 
 SKETCH = 1024
 LEAST = 750  # coordinates in which sets of a similarity of 0.8 agree: 820 on average, with a deviation of 12.8
+#: The same for two bits of each coordinate, in which different ones agree by chance in one of four: 870.4 on average, with a deviation of 11.4.
+LEAST_PACKED = 808
 _DRAWS = 8192
 _EMPTY = np.uint64((1 << 64) - 1)
 _salts = np.random.default_rng(11).integers(0, 1 << 64, 2 * SKETCH, dtype=np.uint64)
@@ -41,3 +43,14 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """In how many coordinates sketches agree, along the last axis."""
     return (a == b).sum(axis=-1)
+
+
+def packed(coordinates: np.ndarray) -> np.ndarray:
+    """The two low bits of each coordinate, four in a byte."""
+    return np.bitwise_or.reduce((coordinates & 3).astype(np.uint8).reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8), axis=1)
+
+
+def packed_agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many coordinates packed sketches agree, along the last axis, seen as 64-bit words."""
+    x = a ^ b
+    return SKETCH - np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=-1, dtype=np.int64)

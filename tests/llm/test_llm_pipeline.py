@@ -11,7 +11,7 @@ import tiktoken
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from glossaflow.llm import bpe, decontaminate, near_copies, quality, simhash
+from glossaflow.llm import bpe, decontaminate, near_copies, quality, simhash, sketches
 from tests.test_entry import SF, _rows, duck  # noqa: F401
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -179,3 +179,34 @@ def test_query(spark, duck, name):  # noqa: F811
     else:
         columns = sorted(got.columns)
         assert _rows(frame, columns) == _rows(duck.sql(sql).df(), columns)
+
+
+def test_packed_sketches_and_rows_of_the_last_meeting(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    for real, n in ((0.8, 900), (0.8, 90), (0.6, 900)):
+        shared = round(2 * n * real / (1 + real))
+        means = []
+        for _ in range(20):
+            h = rng.integers(-(1 << 63), 1 << 63, 2 * n - shared)
+            a, b = (sketches.packed(sketches.sketch(x)) for x in (h[:n], h[n - shared :]))
+            assert a.nbytes == 256
+            means.append(int(sketches.packed_agreement(a.view(np.uint64), b.view(np.uint64))))
+        assert abs(np.mean(means) / sketches.SKETCH - (real + (1 - real) / 4)) < 0.01
+        assert (min(means) >= sketches.LEAST_PACKED) == (real == 0.8)
+
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([f"x{k}", *words, f"y{k}"]) for k in range(7)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS)
+    once = near_copies.marked(docs)
+    rows = once.selectExpr("posexplode(keys) AS (p, key)", "n", "node").selectExpr("key", "n", "CAST(p AS BIGINT) AS p", "node", "node AS label")
+    apart = rows.join(rows.groupBy("key").count().filter("count > 1").select("key"), "key")
+    source = docs.selectExpr("doc_id AS id", "xxhash64(text) AS raw", "text")
+    for chunk in (near_copies.CHUNK, 3):
+        monkeypatch.setattr(near_copies, "CHUNK", chunk)
+        met = near_copies._meeting_rows(apart, once, source)
+        held = {(r["node"], r["p"]): r["key"] for r in apart.collect()}
+        found = met.collect()
+        assert {len(r["sketch"]) for r in found} == {256}
+        assert all(set(r["before"]) == {k for (node, p), k in held.items() if node == r["node"] and p < r["p"]} for r in found)
+        pairs = [(r["a"], r["b"]) for r in met.mapInArrow(near_copies._last_meeting, near_copies._PAIR).collect()]
+        assert len(pairs) == len(set(pairs)) == 21  # each pair leaves one task alone
