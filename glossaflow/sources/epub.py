@@ -61,6 +61,20 @@ def entries(books: DataFrame) -> DataFrame:
     return _each(books, ["book", "content"], ENTRY, rows)
 
 
+def files_of(books: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(book, file_path, content) of the files of archives that ``wanted`` (book, file_path) names; no other is inflated or leaves its task."""
+
+    def rows(book: str, content: bytes, names: list[str]) -> Iterator[tuple]:
+        held = frozenset(names)
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for name in z.namelist():
+                if name in held and not name.endswith("/"):
+                    yield book, name, z.read(name)
+
+    named = wanted.groupBy("book").agg(F.collect_set("file_path").alias("names"))  # the files of one archive
+    return _each(books.join(named, "book"), ["book", "content", "names"], "book string, file_path string, content binary", rows)
+
+
 def _root_file(book: str, container: bytes | None) -> str:
     if container is None:
         raise ValueError(f"Invalid EPUB: {CONTAINER} missing in {book}")
@@ -162,13 +176,11 @@ def nodes(files: DataFrame, titles: bool = True, tolerant: bool = False) -> Data
 
 def node_tasks(node_rows: DataFrame, order: DataFrame) -> DataFrame:
     """Typed and numbered tasks in reading order; order: book, file_path, pos."""
-    from glossaflow.operators.segments import numbered
-
     kind = F.when(F.col("footnote"), "footnote").when(T.is_poetry("classes"), "poetry_line").otherwise(T.segment_type("tag"))
     lines = F.when(T.is_poetry("classes"), T.line_count("source_text"))
     rows = node_rows.join(order.select("book", "file_path", "pos"), ["book", "file_path"])
     rows = rows.withColumns({"segment_type": kind, "poetry_line_count": lines, "order_index": F.row_number().over(_reading())})
-    return numbered(rows, ["book"], ["order_index"], "NT_", 6, "node_task_id")
+    return rows.withColumn("node_task_id", T.seq_id("NT_", "order_index", 6))  # which is dense in each book
 
 
 def _reading():

@@ -109,3 +109,29 @@ def test_pages_of_many_links_go_in_small_batches(spark):
     pages = spark.createDataFrame([(str(k), "u", page) for k in range(4)], "book string, file_path string, content string")
     assert _bounds(spark, lambda: epub.nodes(pages, tolerant=True)) <= batches.BATCH_ROWS
     assert epub.nodes(pages, tolerant=True).filter("tag = 'p'").count() == 2400
+
+
+def test_only_wanted_files_leave_an_archive(spark):
+    from glossaflow.sources import epub
+    from tests.test_engine import archive
+
+    books = spark.createDataFrame([("a", bytearray(archive(["<p>one</p>", "<p>two 2</p>"]))), ("b", bytearray(archive(["<p>three</p>"]))), ("c", bytearray(archive([])))], "book string, content binary")
+    order = epub.reading_order(*(part(epub.package(books)) for part in (epub.manifest, epub.spine)))
+    want = epub.entries(books).withColumnRenamed("entry", "file_path").join(order.select("book", "file_path"), ["book", "file_path"], "left_semi")
+    got = epub.files_of(books, order)
+    key = lambda df: sorted((r["book"], r["file_path"], bytes(r["content"])) for r in df.select("book", "file_path", "content").collect())
+    assert key(got) == key(want) and got.count() == 3
+    tasks = epub.node_tasks(epub.nodes(got), order)
+    assert tasks.filter("node_task_id <> format_string('NT_%06d', order_index)").count() == 0
+    assert str(tasks._jdf.queryExecution().executedPlan()).count("row_number") == 1  # one order of a book numbers its tasks
+
+
+def test_plain_searches_find_what_patterns_find():
+    import re
+
+    from glossaflow.functions import masking
+
+    for text in ("", "a", "Ab", "x1", "١", "é٣", "é", "IV", "I V", "MIX", "ix", "c. fl."):
+        digit, roman = masking.HOLDS[1](text), masking.HOLDS[2](text)
+        assert bool(digit) == bool(re.search(r"\d", text)) and bool(roman) == bool(re.search("[IVXLCDM]{2}", text))
+        assert masking.mask_markup(text) == masking.mask_text(text)
