@@ -14,6 +14,7 @@ and later positions out. Windows are scored many at a time.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import prod
 
 import numpy as np
 
@@ -89,6 +90,48 @@ def blocks(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(inputs), np.concatenate(targets), np.concatenate(owner)
 
 
+def _places(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class and number of each id; padding, -1, is in a class after the last."""
+    place = np.append(place, IDS)
+    return (place // WIDE).astype(np.uint8), place % WIDE
+
+
+def _joined(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The products that attention needs: queries against ids' own rows, values as hidden units see them, and each id's share of the hidden layer."""
+    return p["wq"] @ p["wk"].T / np.float32(np.sqrt(DIM)), p["wv"] @ p["w2"], p["emb"] @ p["w1"] + p["b1"]
+
+
+def _sides(emb: np.ndarray) -> np.ndarray:
+    """Each id as a key, without the last column, and as a value, without the first."""
+    out = np.ones((IDS + 1, DIM + 2), np.float32)
+    out[:, 0], out[PAD, 0] = 0, -1e4
+    out[:, 1:-1] = emb
+    return out
+
+
+def _far(near: np.ndarray) -> np.ndarray:
+    return (near[_distance] - 1e4 * (1 - _causal)).astype(np.float32)
+
+
+def _tanh(x: np.ndarray, out: np.ndarray) -> None:
+    """tanh of half of x, of which nothing is kept; faster than numpy's."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    np.add(x, 1, out=out)
+
+
+class _Room(dict):
+    """Arrays by name that are used again for each batch."""
+
+    def __call__(self, name: str, *shape: int, kind: type = np.float32) -> np.ndarray:
+        size = prod(shape)
+        if name not in self or len(self[name]) < size:
+            self[name] = np.empty(size, kind)
+        return self[name][:size].reshape(shape)
+
+
 def _tables(model: Model) -> dict[str, np.ndarray]:
     p = model.params
     q = p["emb"] @ p["wq"] / np.float32(np.sqrt(DIM))
@@ -109,7 +152,7 @@ class Scorer:
         padding = np.zeros((IDS + 1, 1), np.float32)
         padding[PAD] = -1e4
         self.q, self.k, self.v = np.hstack((t["q"], ones)), np.hstack((t["k"], padding)), np.hstack((t["v"], ones))
-        self.w, self.w2 = t["w"], p["w2"]
+        self.w, self.w2 = 2 * t["w"], 2 * p["w2"]
         self.far = (p["near"][_distance] - 1e4 * (1 - _causal)).astype(np.float32)
         self.class_ones, self.wide_ones = np.ones(CLASSES, np.float32), np.ones(WIDE, np.float32)
         self.wc = np.vstack((p["wc"], p["bc"]))
@@ -141,7 +184,7 @@ class Scorer:
         np.divide(flat[:, :DIM], flat[:, DIM:], out=mean)
         np.matmul(mean, self.w2, out=inner)
         inner += own
-        np.tanh(inner, out=h[:, :HIDDEN])
+        _tanh(inner, h[:, :HIDDEN])
         np.matmul(h, self.wc, out=ec)
         real = (aim >= 0).ravel()
         place = self.place[np.where(real, aim.ravel(), 0)]
@@ -173,12 +216,13 @@ class Scorer:
 class Trainer:
     """Adam on blocks of windows.
 
-    Keys, queries, values and the hidden layer's share of each id are rows of
-    tables, so gradients are summed by id first, and what depends on the
-    parameters alone is done on tables. Positions are ordered by the class of
-    their id once; padding comes last there and is left out of the outputs.
-    The exponentials of the attention are never divided by their sums: the
-    sums go into the smaller factors of each product.
+    Queries and keys meet as one product of their matrices between the rows of
+    ids, values and the hidden layer's weights as another, so a position's
+    gradient in its id's row comes without a detour by key and value, and the
+    matrices' own gradients from those of the products. Positions are ordered
+    by the class of their id once; padding comes last there and is left out of
+    the outputs. The exponentials of the attention are never divided by their
+    sums: the sums go into the smaller factors of each product.
     """
 
     def __init__(self, model: Model, rate: float = RATE):
@@ -186,6 +230,8 @@ class Trainer:
         self.model, self.rate, self.steps = model.with_flat(self.flat), rate, 0
         self.mean, self.square, self.slope = np.zeros_like(self.flat), np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.g = model.with_flat(self.slope).params  # views too
+        self.klass, self.number = _places(model.place)
+        self.own, self.sides, self.room = np.ones((IDS + 1, 1 + DIM + HIDDEN), np.float32), _sides(model.params["emb"]), _Room()
 
     def step(self, window: np.ndarray, aim: np.ndarray) -> float:
         """One update; returns the mean loss of the ids, in nats."""
@@ -196,38 +242,47 @@ class Trainer:
     def slopes(self, window: np.ndarray, aim: np.ndarray) -> float:
         """Sets the gradients of the mean loss, which it returns."""
         window, aim = window.astype(np.intp), aim.ravel()
-        block = np.ascontiguousarray(window[:, CONTEXT:]).ravel()
         size, n = len(window), len(aim)
-        p, g, t = self.model.params, self.g, _tables(self.model)
-        ones = np.ones((IDS + 1, 1), np.float32)
-        padding = np.zeros((IDS + 1, 1), np.float32)
-        padding[PAD] = -1e4
-        query = np.hstack((t["q"], ones)).take(block, axis=0).reshape(size, STRIDE, DIM + 1)
-        sides = np.hstack((t["k"], padding, t["v"], ones)).take(window.ravel(), axis=0).reshape(size, WINDOW, 2 * DIM + 2)
-        key, value = sides[:, :, : DIM + 1], sides[:, :, DIM + 1 :]
-        weight = np.matmul(query, key.transpose(0, 2, 1))
-        weight += (p["near"][_distance] - 1e4 * (1 - _causal)).astype(np.float32)
+        p, g, room = self.model.params, self.g, self.room
+        joined, shown, own = _joined(p)
+        e = p["emb"]
+        np.matmul(e, joined, out=self.own[:, 1 : DIM + 1])
+        np.multiply(own, 2, out=self.own[:, DIM + 1 :])
+        self.sides[:, 1:-1] = e
+        own, sides = room("own", size, STRIDE, 1 + DIM + HIDDEN), room("sides", size, WINDOW, DIM + 2)
+        np.take(self.own, window[:, CONTEXT:], axis=0, out=own, mode="clip")
+        np.take(self.sides, window, axis=0, out=sides, mode="clip")
+        # Weights with what comes to their sums, and slopes with queries, lie side by side for one product at the end.
+        both, right = room("both", size, 2 * STRIDE, WINDOW), room("right", size, 2 * STRIDE, DIM)
+        weight, weight_slope = both[:, :STRIDE], both[:, STRIDE:]
+        right[:, STRIDE:] = own[:, :, 1 : DIM + 1]
+        np.matmul(own[:, :, : DIM + 1], sides[:, :, :-1].transpose(0, 2, 1), out=weight)
+        weight += _far(p["near"])
         np.exp(weight, out=weight)
-        mixed = np.matmul(weight, value)
+        mixed, mean = room("mixed", size, STRIDE, DIM + 1), room("mean", size, STRIDE, DIM)
+        np.matmul(weight, sides[:, :, 1:], out=mixed)
         share = 1 / (mixed[:, :, DIM:] + np.float32(1e-30))
-        mean = (mixed[:, :, :DIM] * share).reshape(n, DIM)
-        hidden = mean @ p["w2"]
-        hidden += t["w"].take(block, axis=0)
-        np.tanh(hidden, out=hidden)
+        np.multiply(mixed[:, :, :DIM], share, out=mean)
+        mean = mean.reshape(n, DIM)
+        hidden, h = room("hidden", n, HIDDEN), room("h", n, HIDDEN + 1)
+        np.matmul(mean, 2 * shown, out=hidden)
+        hidden += own.reshape(n, -1)[:, DIM + 1 :]
+        _tanh(hidden, h[:, :HIDDEN])
+        h[:, HIDDEN] = 1
 
-        place = np.where(aim >= 0, self.model.place[aim], IDS)
-        klass = place // WIDE
-        order = np.argsort(klass.astype(np.uint8), kind="stable")
+        klass = self.klass[aim]
+        order = np.argsort(klass, kind="stable")
         counts = np.bincount(klass, minlength=CLASSES + 1)
         real, stops = n - int(counts[CLASSES]), np.cumsum(counts)
         order, rows = order[:real], np.arange(real)
-        klass, number = klass[order], place[order] % WIDE
-        h = np.empty((real, HIDDEN + 1), np.float32)
-        h[:, HIDDEN] = 1
-        h[:, :HIDDEN] = hidden.take(order, axis=0)
-        outer = h @ np.vstack((p["wc"], p["bc"]))
+        place = np.full(n, real)
+        place[order] = rows
+        klass, number = klass[order], self.number[aim[order]]
+        ordered, outer, inner = room("ordered", real, HIDDEN + 1), room("outer", real, CLASSES), room("inner", real, WIDE)
+        np.take(h, order, axis=0, out=ordered, mode="clip")
+        h = ordered
+        np.matmul(h, np.vstack((p["wc"], p["bc"])), out=outer)
         np.exp(outer, out=outer)
-        inner = np.empty((real, WIDE), np.float32)
         within = np.concatenate((p["wi"], p["bi"][:, None, :]), axis=1)
         parts = [(c, slice(stops[c] - counts[c], stops[c])) for c in np.flatnonzero(counts[:CLASSES]).tolist()]
         for c, s in parts:
@@ -240,44 +295,49 @@ class Trainer:
             x *= (1 / (total * np.float32(real)))[:, None]
             x[rows, hit] -= np.float32(1 / real)
 
-        both = h.T @ outer
-        g["wc"][:], g["bc"][:] = both[:HIDDEN], both[HIDDEN]
-        dh = outer @ p["wc"].T
+        dhs, more = room("dh", real + 1, HIDDEN), room("more", real, HIDDEN)
+        dh, dhs[real] = dhs[:real], 0  # the last for padding
+        slope = h.T @ outer
+        g["wc"][:], g["bc"][:] = slope[:HIDDEN], slope[HIDDEN]
+        np.matmul(outer, p["wc"].T, out=dh)
         g["wi"][:], g["bi"][:] = 0, 0
         for c, s in parts:
-            both = h[s].T @ inner[s]
-            g["wi"][c], g["bi"][c] = both[:HIDDEN], both[HIDDEN]
-            dh[s] += inner[s] @ p["wi"][c].T
-        h = h[:, :HIDDEN]
-        dh -= dh * h * h
-        dhidden = np.zeros((n, HIDDEN), np.float32)
-        dhidden[order] = dh
-        g["w2"][:], g["b1"][:] = mean.T @ dhidden, dhidden.sum(axis=0)
-
-        dmean = dhidden @ p["w2"].T
-        left = np.empty((n, DIM + 1), np.float32)
-        left[:, :DIM] = dmean
-        np.einsum("ij,ij->i", dmean, mean, out=left[:, DIM])
-        left[:, DIM] *= -1
-        left = left.reshape(size, STRIDE, DIM + 1)
-        left *= share
-        upward = weight.transpose(0, 2, 1)
-        dsides = np.empty((size, WINDOW, 2 * DIM), np.float32)
-        np.matmul(upward, left[:, :, :DIM], out=dsides[:, :, DIM:])
-        weight_slope = np.matmul(left, value.transpose(0, 2, 1))
+            slope = h[s].T @ inner[s]
+            g["wi"][c], g["bi"][c] = slope[:HIDDEN], slope[HIDDEN]
+            np.dot(inner[s], p["wi"][c].T, out=more[s])
+        dh += more
+        np.multiply(h[:, :HIDDEN], h[:, :HIDDEN], out=more)
+        more *= dh
+        dh -= more
+        dhidden = room("dhidden", n, HIDDEN)
+        np.take(dhs, place, axis=0, out=dhidden, mode="clip")
+        down = room("down", size, STRIDE, DIM + HIDDEN)
+        down[:, :, DIM:] = dhidden.reshape(size, STRIDE, HIDDEN)
+        dshown = mean.T @ dhidden
+        g["b1"][:] = np.ones(n, np.float32) @ dhidden
+        g["wv"][:], g["w2"][:] = dshown @ p["w2"].T, p["wv"].T @ dshown
+
+        dmean, left = room("dmean", n, DIM), room("left", size, STRIDE, DIM + 1)
+        np.matmul(dhidden, shown.T, out=dmean)
+        np.multiply(dmean.reshape(size, STRIDE, DIM), share, out=left[:, :, :DIM])
+        left[:, :, DIM] = np.einsum("ij,ij->i", dmean, mean).reshape(size, STRIDE) * -share[:, :, 0]
+        right[:, :STRIDE] = left[:, :, :DIM]
+        np.matmul(left, sides[:, :, 1:].transpose(0, 2, 1), out=weight_slope)
         weight_slope *= weight
-        down = np.empty((n, DIM + HIDDEN), np.float32)
-        np.matmul(weight_slope, key[:, :, :DIM], out=down.reshape(size, STRIDE, DIM + HIDDEN)[:, :, :DIM])
-        down[:, DIM:] = dhidden
-        np.matmul(weight_slope.transpose(0, 2, 1), query[:, :, :DIM], out=dsides[:, :, :DIM])
+        np.matmul(weight_slope, sides[:, :, 1:-1], out=down[:, :, :DIM])
+        around, block = room("around", size, WINDOW, DIM), room("block", size, STRIDE, DIM)
+        np.matmul(both.transpose(0, 2, 1), right, out=around)
         g["near"][:] = np.bincount(_distance.ravel(), weights=weight_slope.sum(axis=0).ravel(), minlength=WINDOW)
 
-        own, around = _summed(block, down, IDS + 1), _summed(window.ravel(), dsides.reshape(-1, 2 * DIM), IDS + 1)
-        dq, dw, dk, dv = own[:, :DIM] / np.float32(np.sqrt(DIM)), own[:, DIM:], around[:, :DIM], around[:, DIM:]
-        e = p["emb"]
-        for name, d in (("wq", dq), ("wk", dk), ("wv", dv), ("w1", dw)):
-            g[name][:] = e.T @ d
-        g["emb"][:] = dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T + dw @ p["w1"].T
+        block[:] = sides[:, CONTEXT:, 1:-1]
+        down = down.reshape(n, DIM + HIDDEN)
+        slope = block.reshape(n, DIM).T @ down
+        g["w1"][:], slope = slope[:, DIM:], slope[:, :DIM] / np.float32(np.sqrt(DIM))
+        g["wq"][:], g["wk"][:] = slope @ p["wk"], slope.T @ p["wq"]
+        np.matmul(down, np.hstack((joined, p["w1"])).T, out=block.reshape(n, DIM))
+        around[:, CONTEXT:] += block
+        places = np.add((window * DIM)[:, :, None], np.arange(DIM), out=room("places", size, WINDOW, DIM, kind=np.intp))
+        g["emb"][:] = np.bincount(places.ravel(), weights=around.ravel(), minlength=(IDS + 1) * DIM).reshape(IDS + 1, DIM)
         g["emb"][PAD] = 0
         return loss / real
 
@@ -295,13 +355,3 @@ class Trainer:
         np.divide(self.mean, slope, out=slope)
         slope *= np.float32(rate)
         self.flat -= slope
-
-
-def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Values summed by row: ordered, then summed by run."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
-    ordered = rows[order]
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    out = np.zeros((n, values.shape[1]), np.float32)
-    out[ordered[first]] = np.add.reduceat(values.take(order, axis=0), first, axis=0)
-    return out

@@ -32,11 +32,10 @@ from array import array
 from base64 import b64decode
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -60,6 +59,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def split(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts, each different one held once, and the row of each word."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    real = pc.greater(pc.binary_length(words), 0)
+    return words.filter(real).cast(pa.binary()).dictionary_encode(), pc.list_parent_indices(lists).filter(real).to_numpy()
+
+
 def remainder(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % MOD, F.lit(-1))
 
@@ -84,13 +91,28 @@ class Subwords:
     """Ids of words, each with the space before it."""
 
     def __init__(self, content: bytes):
-        ranks = {b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
-        self.known = _Known(tiktoken.Encoding("subwords", pat_str=r"[\s\S]+", mergeable_ranks={t: i for t, i in ranks.items() if i < attention.END}, special_tokens={}))
+        ranks = {t: i for t, i in ((b64decode(a), int(b)) for a, b in map(bytes.split, content.splitlines())) if i < attention.END}
+        self.coder = tiktoken.Encoding("subwords", pat_str=r" [^ ]+", mergeable_ranks=ranks, special_tokens={})
+        self.known = _Known(self.coder)
+        self.length = np.zeros(attention.IDS, np.int64)
+        self.length[list(ranks.values())] = list(map(len, ranks))
 
     def ids(self, words: list[bytes], end: bool = True) -> np.ndarray:
         packed = b"".join(map(self.known.__getitem__, words))
         return np.frombuffer(packed + _END_ID if end else packed, dtype=np.int16)
 
+    def rows(self, words: pa.DictionaryArray, row: np.ndarray, n: int) -> list[np.ndarray]:
+        """Ids of each of n rows, and the end, of the words that ``split`` gives; different words are encoded once, in one text."""
+        each = words.dictionary
+        ids = self.coder.encode_to_numpy("".join(" " + w for w in each.cast(pa.string()).to_numpy(zero_copy_only=False)), disallowed_special=())
+        spans = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(pc.binary_length(each).to_numpy() + 1)) + 1  # an id ends with each word
+        offsets = np.concatenate(([0], 2 * spans)).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(np.int16))]).take(words.indices)
+        ids, stops = np.frombuffer(packed.buffers()[2] or b"", np.int16), np.concatenate(([0], np.cumsum(pc.binary_length(packed).to_numpy() // 2)))
+        cuts = stops[np.searchsorted(row, np.arange(n + 1))]
+        end = np.frombuffer(_END_ID, np.int16)
+        return [np.concatenate((ids[a:b], end)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
 
 _END_ID = np.uint16(attention.END).tobytes()
 _subwords: dict[str, Subwords] = {}
@@ -113,13 +135,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         counts: Counter = Counter()
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for t in texts:
-                counts.update(words_of(t))
-                if len(counts) > COUNTED:
-                    yield rows(counts)
-                    counts = Counter()
-            counts[END_WORD] += len(texts)
+            words, _ = split(b.column(0))
+            times = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)).tolist()
+            for w, c in zip(words.dictionary.to_numpy(zero_copy_only=False).tolist(), times, strict=True):
+                counts[w] += c
+            counts[END_WORD] += b.num_rows
+            if len(counts) > COUNTED:
+                yield rows(counts)
+                counts = Counter()
         if counts:
             yield rows(counts)
 
@@ -189,14 +212,14 @@ def learned(batches: Iterator[pa.RecordBatch], first: attention.Model, coder: Su
         return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([float(seen)]), pa.array([flat.tobytes()], pa.binary())], names=names)
 
     for b in batches:
-        for shard, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for shard, ids in zip(b.column(0).to_pylist(), coder.rows(*split(b.column(1)), b.num_rows), strict=True):
             if now is not None and shard != now:
                 seen += learn() if held else 0
                 yield result()
                 trainer, seen, held, size = attention.Trainer(first), 0, [], 0
             now = shard
-            held.append(coder.ids(words_of(t)))
-            size += len(held[-1])
+            held.append(ids)
+            size += len(ids)
             if size >= HELD_IDS:
                 seen += learn()
                 held, size = [], 0
@@ -249,24 +272,27 @@ def _scored(docs: DataFrame, model: attention.Model, frequent: dict[bytes, int],
         coder, scorer = _coder(ranks.value), attention.Scorer(net)
         row = TaskContext.get().partitionId() << 40  # what a task writes is kept once, so its number and a row's are an id
         for b in batches:
-            rows, sequences, size, scores = [], [], 0, []
-            for t in b.column(1).to_pylist():
-                words = words_of(t)
-                sequences.append(coder.ids(words))
-                size += len(sequences[-1])
+            words, at = split(b.column(1))
+            sequences, size, scores = [], 0, []
+            for ids in coder.rows(words, at, b.num_rows):
+                sequences.append(ids)
+                size += len(ids)
                 if size >= HELD_IDS:
                     scores.extend(scorer.scores(sequences).tolist())
                     sequences, size = [], 0
-                words.append(END_WORD)
-                got = list(map(logs.get, words))
-                rest = Counter(compress(words, map(is_, got, repeat(None)))) if None in got else {}
-                part = sum(filter(None, got))  # no logarithm of a count plus one is zero
-                known = len(words) - sum(rest.values())
-                rows.append((row, len(words), known, float(part), list(rest.keys()), list(rest.values())))
-                row += 1
             scores.extend(scorer.scores(sequences).tolist())
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            cols = [*cols[:4], scores, *cols[4:]]
+            # No logarithm of a count plus one is zero: that marks the words that are not frequent.
+            each, end = words.dictionary.to_numpy(zero_copy_only=False).tolist(), logs.get(END_WORD, 0.0)
+            got = np.array([logs.get(w, 0.0) for w in each])[words.indices.to_numpy()] if each else np.zeros(0)
+            n = np.bincount(at, minlength=b.num_rows) + 1
+            known = np.bincount(at[got > 0], minlength=b.num_rows) + (end > 0)
+            part = np.bincount(at, weights=got, minlength=b.num_rows) + end
+            rest = [Counter() if end else Counter([END_WORD]) for _ in range(b.num_rows)]
+            rare = np.flatnonzero(got == 0)
+            for r, w in zip(at[rare].tolist(), words.indices.to_numpy()[rare].tolist(), strict=True):
+                rest[r][each[w]] += 1
+            cols = [np.arange(row, row + b.num_rows), n, known, part, scores, [list(r.keys()) for r in rest], [list(r.values()) for r in rest]]
+            row += b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names.split())
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

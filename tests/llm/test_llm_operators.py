@@ -5,6 +5,7 @@ import math
 import random
 import time
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -582,6 +583,31 @@ def test_lm_defined_cases(spark):
     assert len(rows) == 2 and all(r["n_tokens"] == 1 and r["held_out"] is False and r["train_tokens"] == 2 for r in rows)
 
 
+def test_attention_steps_use_their_arrays_again():
+    rng = np.random.default_rng(4)
+    windows, aims, _ = attention.blocks([rng.integers(0, attention.IDS, attention.STRIDE * 256).astype(np.int16)])
+    trainer = attention.Trainer(attention.start(np.ones(attention.IDS)))
+    trainer.step(windows, aims)
+    tracemalloc.start()
+    trainer.step(windows, aims)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20  # 256 windows of weights, units and classes are more than that by themselves
+
+
+def test_lm_encodes_different_words_of_a_batch_once(monkeypatch):
+    coder = lm.Subwords(content())
+    texts = [*ODD, "  b a\x0bA", "x\x1cy \u00a0z", "zoë zoë " * 50]
+    batch = pa.array(["left out", *texts])[1:]
+    want = [coder.ids(lm.words_of(t)) for t in texts]
+    got = coder.rows(*lm.split(batch), len(batch))
+    assert len(got) == len(want) and all(map(np.array_equal, got, want))
+    rows = pa.RecordBatch.from_arrays([pa.array([0] * len(texts)), batch], names=["shard", "text"])
+    monkeypatch.setattr(lm, "words_of", None)  # no text is cut word by word
+    (out,) = lm.learned(iter([rows]), attention.start(np.ones(attention.IDS)), coder)
+    assert out.to_pylist()[0]["weight"] == sum(map(len, want))
+
+
 # 8 ------------------------------------------------------------------------------------------
 
 
