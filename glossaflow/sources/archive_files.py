@@ -10,12 +10,18 @@ saves the bytes and the decompression of images, not only their rows. That is an
 option and no pushed filter, since Spark 4.1 keeps what was pushed with the loaded
 table: after ``t.filter(...)`` the whole of ``t`` would read as filtered.
 
-Writing makes one file of each book. Tasks write under names of their attempt in
+Writing makes one file of each book. Tasks write into a folder of their attempt in
 a folder of the job, the driver moves whole files to their own names when all
 tasks have ended, and removes the folder whether the job succeeds or fails. So
 a task that is killed, repeated or run twice leaves nothing behind. An archive
 is written entry by entry; a task holds one entry at a time.
 
+The driver holds no list of books or files, as there may be millions of them. Of a
+task that writes it gets a folder and a number; the books are in a list there, sorted
+by the names that they would like. These lists are merged as they are read, so that
+books which contend for a name meet, and moved some thousands at a time. Of files to
+read it holds the shares of tasks, packed (some ten bytes a file).
+
 Defined cases: an empty path pattern reads as an empty table; folders are read
 with all files that end in ``.epub`` below them; a file that is no archive fails
 the read with its name; folders inside archives are no entries. A book is named
@@ -28,13 +34,19 @@ fail the write.
 from __future__ import annotations
 
 import fnmatch
+import heapq
 import io
+import json
 import posixpath
+import re
+import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,15 +63,23 @@ SPLIT_BYTES = 64 << 20
 OPEN_BYTES = 128 << 10  # what opening an archive counts for
 WHOLE_BYTES = 256 << 10  # archives up to this are read at once, larger ones by the ranges of their entries
 MOVES = 16  # files that the driver moves at a time
+MOVES_HELD, MOVES_CALL = 4096, 64  # of which it knows at a time, and of one call
+LIST = "books"  # of a task's folder
+LISTS_BYTES = 16 << 20  # of all tasks' lists that the driver holds at a time
+BUCKETS = 64  # in which old and new names meet
 READ_BYTES = 8 << 20
 _ARROW = pa.schema([("book", pa.string()), ("entry", pa.string()), ("content", pa.binary())])
 
 
-@dataclass
 class Share(InputPartition):
-    """Archives of a task: (path, size, which share, of how many)."""
+    """Archives of a task: (path, size, which share, of how many), packed, for the driver holds the shares of all tasks."""
+
+    def __init__(self, parts: Iterable[tuple[str, int, int, int]]):
+        self.packed = zlib.compress(json.dumps(sorted(parts)).encode())
 
-    parts: list[tuple[str, int, int, int]]
+    @property
+    def parts(self) -> list[tuple[str, int, int, int]]:
+        return [tuple(x) for x in json.loads(zlib.decompress(self.packed))]
 
 
 class ArchiveReader(DataSourceReader):
@@ -72,7 +92,7 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out, held, size = [], [], 0
-        for f in store.listed(self.path, ".epub"):
+        for f in store.scanned(self.path, ".epub"):
             shares = max(1, -(-f.size // self.split))
             if shares > 1:
                 out += [Share([(f.path, f.size, k, shares)]) for k in range(shares)]
@@ -165,40 +185,141 @@ class _Book:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """(book, attempt file) of a task."""
+    """The folder of a task's attempt, and how many books it has."""
+
+    folder: str
+    books: int
+
+
+_SUFFIX = re.compile(r"-([2-9]|[1-9][0-9]{1,8})\Z")
+Stem = tuple[str, str, tuple[int, ...]]
+
+
+def _named(book: str) -> tuple[str, str]:
+    """Stem and ending of the name that a book would like."""
+    stem, ending = posixpath.splitext(posixpath.basename(book.rstrip("/")) or "book")
+    return (stem, ending) if ending.lower() == ".epub" else (stem + ending, ".epub")
+
+
+def _stem(book: str) -> Stem:
+    """The same in parts: ending, stem without the numbers that contending books get, these numbers. In this order a stem comes before all that is named after it."""
+    stem, ending = _named(book)
+    numbers: list[int] = []
+    while found := _SUFFIX.search(stem):
+        stem = stem[: found.start()]
+        numbers.append(int(found[1]))
+    return ending, stem, tuple(reversed(numbers))
+
 
-    books: list[tuple[str, str]]
+def _after(a: Stem, b: Stem) -> bool:
+    """Whether ``a`` is ``b`` or named after it."""
+    return a[:2] == b[:2] and a[2][: len(b[2])] == b[2]
+
+
+def _only(n: int, one: str) -> None:
+    if n > 1:
+        raise ValueError(f"{n} books can't be one file {one}")
 
 
 def file_names(books: list[str], one: str = "") -> dict[str, str]:
     """The name of each book's file; ``one`` names that of a single book."""
     if one:
-        if len(books) > 1:
-            raise ValueError(f"{len(books)} books can't be one file {one}")
+        _only(len(books), one)
         return dict.fromkeys(books, one)
     out: dict[str, str] = {}
     taken: set[str] = set()
+    tried: dict[tuple[str, str], int] = {}
     for book in sorted(books):
-        stem, ending = posixpath.splitext(posixpath.basename(book.rstrip("/")) or "book")
-        stem, ending = (stem, ending) if ending.lower() == ".epub" else (stem + ending, ".epub")
-        name, k = stem + ending, 1
+        stem, ending = _named(book)
+        name, k = stem + ending, tried.get((stem, ending), 1)
         while name in taken:
             k += 1
             name = f"{stem}-{k}{ending}"
         taken.add(name)
+        tried[stem, ending] = k
         out[book] = name
     return out
 
 
+Book = tuple[Stem, str, str]  # its stem, the book, its attempt file
+
+
+def mixed_families(books: Iterable[Book]) -> tuple[int, set[Stem]]:
+    """Of books in the order of their stems: how many, and stems that several have and that others are named after, whose names depend on each other."""
+    n, mixed = 0, set()
+    top, several, last = None, False, None
+    for stem, book, _ in books:
+        n += 1
+        if book == last:
+            raise ValueError(f"a book was written by two tasks: {book}")
+        last = book
+        if stem == top:
+            several = True
+        elif several and _after(stem, top):
+            mixed.add(top)
+        else:
+            top, several = stem, False
+    return n, mixed
+
+
+def names_in_order(books: Iterable[Book], mixed: set[Stem]) -> Iterator[tuple[str, str]]:
+    """(attempt file, name) of books in the order of their stems, the names of ``file_names``; none is held but one mixed family."""
+    held: dict[str, str] = {}
+    top, k = None, 0
+    for stem, book, file in books:
+        if held and _after(stem, top):
+            held[book] = file
+            continue
+        yield from ((held[b], name) for b, name in file_names(list(held)).items())
+        held = {}
+        top, k = stem, k + 1 if stem == top else 1
+        if stem in mixed:
+            held[book] = file
+        else:
+            plain, ending = _named(book)
+            yield file, f"{plain}-{k}{ending}" if k > 1 else plain + ending
+    yield from ((held[b], name) for b, name in file_names(list(held)).items())
+
+
+def _lines(fs, path: str, size: int) -> Iterator[bytes]:
+    """Lines of a file, about ``size`` bytes at a time; it isn't kept open, as there is one for each task."""
+    at, rest = 0, b""
+    while True:
+        with fs.open_input_file(path) as f:
+            more = f.read_at(size, at)
+        if not more:
+            return
+        at += len(more)
+        *lines, rest = (rest + more).split(b"\n")
+        yield from lines
+
+
+class _Names:
+    """Names on the driver's disk, in buckets."""
+
+    def __init__(self, folder: str, kind: str):
+        self.files = [open(f"{folder}/{kind}{k}", "w+") for k in range(BUCKETS)]  # noqa: SIM115
+        self.n = 0
+
+    def add(self, name: str) -> None:
+        self.files[zlib.crc32(name.encode()) % BUCKETS].write(json.dumps(name) + "\n")
+        self.n += 1
+
+    def bucket(self, k: int) -> set[str]:
+        with self.files[k] as f:
+            f.seek(0)
+            return set(map(json.loads, f))
+
+
 class ArchiveWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.one, self.overwrite = options["path"].rstrip("/"), options.get("name", ""), overwrite
         self.temporary = f"{self.path}/_temporary-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        fs, folder = store.opened(self.temporary)
-        done: list[tuple[str, str]] = []
-        seen: set[str] = set()
+        attempt = uuid.uuid4().hex
+        fs, folder = store.opened(f"{self.temporary}/{attempt}")
+        places: dict[str, int] = {}
         now, book = None, None
         for batch in iterator:
             for name, entry, content in zip(*(batch.column(c).to_pylist() for c in ("book", "entry", "content")), strict=True):
@@ -207,36 +328,63 @@ class ArchiveWriter(DataSourceArrowWriter):
                 if name != now:
                     if book:
                         book.close()
-                    if name in seen:
+                    if name in places:
                         raise ValueError(f"rows of a book must lie together: {name}")
-                    if not done:
+                    if not places:
                         fs.create_dir(folder, recursive=True)
-                    file = f"{folder}/{uuid.uuid4().hex}"
-                    now, book = name, _Book(fs, file)
-                    done.append((name, file))
-                    seen.add(name)
+                    now, book = name, _Book(fs, f"{folder}/{len(places)}")
+                    places[name] = len(places)
                 book.add(entry, content)
         if book:
             book.close()
-        return Written(done)
+            with fs.open_output_stream(f"{folder}/{LIST}", buffer_size=1 << 20) as out:
+                for stem, name in sorted((_stem(b), b) for b in places):
+                    out.write(json.dumps([*stem, name, places[name]]).encode() + b"\n")
+        return Written(attempt, len(places))
+
+    def _books(self, tasks: list[Written]) -> Iterator[Book]:
+        """All books in the order of their stems."""
+        fs, folder = store.opened(self.temporary)
+        size = max(4096, min(1 << 20, LISTS_BYTES // max(1, len(tasks))))
+
+        def books(attempt: str) -> Iterator[Book]:
+            for line in _lines(fs, f"{folder}/{attempt}/{LIST}", size):
+                ending, stem, numbers, book, place = json.loads(line)
+                yield (ending, stem, tuple(numbers)), book, f"{folder}/{attempt}/{place}"
+
+        return heapq.merge(*(books(t.folder) for t in tasks))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, folder = store.opened(self.path)
-        files = [f for m in messages if m for f in m.books]
-        if len({b for b, _ in files}) < len(files):
-            raise ValueError("a book was written by two tasks")
-        names = file_names([b for b, _ in files], self.one)
+        tasks = [m for m in messages if m and m.books]
+        n = sum(t.books for t in tasks)
+        if self.one:
+            _only(n, self.one)
+        listed, mixed = mixed_families(self._books(tasks))
+        if listed != n:
+            raise ValueError(f"{n} books were written, {listed} are in their lists")
+        names = ((file, self.one) for _, _, file in self._books(tasks)) if self.one else names_in_order(self._books(tasks), mixed)
         fs.create_dir(folder, recursive=True)
-        with ThreadPoolExecutor(MOVES) as pool:  # a move waits for its store
-            for _ in pool.map(lambda x: fs.move(x[1], f"{folder}/{names[x[0]]}"), files):
-                pass
+
+        def move(files: Sequence[tuple[str, str]]) -> None:
+            for file, name in files:
+                fs.move(file, f"{folder}/{name}")
+
+        with tempfile.TemporaryDirectory() as local, ThreadPoolExecutor(MOVES) as pool:  # a move waits for its store
+            old, new = _Names(local, "old"), _Names(local, "new")
+            if self.overwrite and not self.one:
+                for found, _ in store.walked(fs, folder, False, lambda p: p.endswith(".epub")):
+                    old.add(posixpath.basename(found))
+            for some in batched(names, MOVES_HELD):
+                for _ in pool.map(move, batched(some, MOVES_CALL)):
+                    pass
+                if old.n:
+                    for _, name in some:
+                        new.add(name)
+            for k in range(BUCKETS):
+                for name in old.bucket(k) - new.bucket(k):
+                    fs.delete_file(f"{folder}/{name}")
         store.drop(self.temporary)
-        if self.overwrite and not self.one:
-            kept = {f"{folder}/{n}" for n in names.values()}
-            for old in store.listed(self.path, ".epub"):
-                inner = store.opened(old.path)[1]
-                if posixpath.dirname(inner) == folder and inner not in kept:
-                    fs.delete_file(inner)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         store.drop(self.temporary)

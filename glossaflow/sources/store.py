@@ -7,8 +7,10 @@ is written is written under another name first and moved when it is whole.
 from __future__ import annotations
 
 import fnmatch
+import os
 import posixpath
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -44,24 +46,57 @@ def _matches(path: str, pattern: str) -> bool:
     return len(a) == len(b) and all(fnmatch.fnmatchcase(x, y) for x, y in zip(a, b, strict=True))
 
 
-def listed(path: str, ending: str = "") -> list[Found]:
-    """The files at a path, a pattern, or below a folder that have the ending, in the order of their paths."""
+def walked(fs: arrow_fs.FileSystem, folder: str, deep: bool, wanted: Callable[[str], bool]) -> Iterator[tuple[str, int]]:
+    """(path, size) of the wanted files of a folder that is there, as they come: a local folder is never held, however much is in it; Arrow lists one of another store whole."""
+    if not isinstance(fs, arrow_fs.LocalFileSystem):
+        for i in fs.get_file_info(arrow_fs.FileSelector(folder, recursive=deep)):
+            if i.type == arrow_fs.FileType.File and wanted(i.path):
+                yield i.path, i.size or 0
+        return
+    stack = [os.scandir(folder)]
+    try:
+        while stack:
+            entry = next(stack[-1], None)
+            if entry is None:
+                stack.pop().close()
+            elif entry.is_dir():
+                if deep:
+                    stack.append(os.scandir(entry.path))
+            elif wanted(entry.path) and entry.is_file():
+                try:
+                    size = entry.stat().st_size
+                except FileNotFoundError:  # it went meanwhile
+                    continue
+                yield entry.path, size
+    finally:
+        for scan in stack:
+            scan.close()
+
+
+def scanned(path: str, ending: str = "") -> Iterator[Found]:
+    """The files at a path, a pattern, or below a folder that have the ending, in no order, so that no list of them is made."""
     fs, inner = opened(path)
     bare = path.rstrip("/")
     prefix = bare[: -len(inner)] if "://" in path and not path.startswith("file:") and bare.endswith(inner) else ""
     if _WILD.search(inner):
         base = inner[: _WILD.search(inner).start()].rpartition("/")[0] or "/"
-        infos = fs.get_file_info(arrow_fs.FileSelector(base, recursive=True, allow_not_found=True))
-        infos = [i for i in infos if _matches(i.path, inner)]
+        there = fs.get_file_info(base).type != arrow_fs.FileType.NotFound
+        files = walked(fs, base, True, lambda p: _matches(p, inner)) if there else ()
     else:
         info = fs.get_file_info(inner)
         if info.type == arrow_fs.FileType.NotFound:
             raise FileNotFoundError(path)
-        infos = [info]
         if info.type == arrow_fs.FileType.Directory:
-            infos = [i for i in fs.get_file_info(arrow_fs.FileSelector(inner, recursive=True)) if i.path.endswith(ending)]
-    files = [Found(prefix + i.path, i.size or 0) for i in infos if i.type == arrow_fs.FileType.File]
-    return sorted(files, key=lambda f: f.path)
+            files = walked(fs, inner, True, lambda p: p.endswith(ending))
+        else:
+            files = [(info.path, info.size or 0)] if info.type == arrow_fs.FileType.File else ()
+    for found, size in files:
+        yield Found(prefix + found, size)
+
+
+def listed(path: str, ending: str = "") -> list[Found]:
+    """The files of ``scanned`` in the order of their paths."""
+    return sorted(scanned(path, ending), key=lambda f: f.path)
 
 
 def drop(path: str) -> None:

@@ -149,3 +149,105 @@ def test_stores_and_their_names(tmp_path, monkeypatch):
         assert [f.path for f in store.listed(path, ".epub")] == [f"hdfs://host:8020{tmp_path}/a.epub"]
     monkeypatch.undo()
     assert store.known("/x") and not store.known("nowhere://x/y")
+
+
+def _written(writer, books):
+    import pyarrow as pa
+
+    rows = [pa.array([str(b) for b in books]), pa.array(["a.xhtml"] * len(books)), pa.array([b"x"] * len(books), pa.binary())]
+    return writer.write(iter([pa.RecordBatch.from_arrays(rows, names=["book", "entry", "content"])]))
+
+
+def test_the_driver_holds_no_list_of_files(tmp_path):
+    import pickle
+    import tracemalloc
+
+    n, tasks = 12_000, 3
+    writer = A.ArchiveWriter({"path": str(tmp_path)}, True)
+    messages = [_written(writer, range(k, n, tasks)) for k in range(tasks)]
+    assert sum(len(pickle.dumps(m)) for m in messages) < 100 * n / 10
+    tracemalloc.start()
+    try:
+        writer.commit(messages)
+        assert tracemalloc.get_traced_memory()[1] < 500 * n
+        tracemalloc.reset_peak()
+        shares = A.ArchiveReader({"path": str(tmp_path)}).partitions()
+        assert tracemalloc.get_traced_memory()[1] < 100 * n
+    finally:
+        tracemalloc.stop()
+    assert sum(len(pickle.dumps(s)) for s in shares) < 20 * n
+    assert sorted(os.listdir(tmp_path)) == sorted(f"{k}.epub" for k in range(n))
+    assert sorted(path for s in shares for path, *_ in s.parts) == sorted(f"{tmp_path}/{k}.epub" for k in range(n))
+
+
+def test_names_are_given_as_books_are_merged():
+    import random
+
+    def merged(books):
+        rows = [(A._stem(b), b, f"file of {b}") for b in sorted(books, key=lambda b: (A._stem(b), b))]
+        n, mixed = A.mixed_families(rows)
+        assert n == len(books)
+        return {file.removeprefix("file of "): name for file, name in A.names_in_order(rows, mixed)}, mixed
+
+    few = ["/a/x.epub", "/b/x.epub", "y", "z.v1", "/b/x-2.epub"]
+    assert merged(few) == (A.file_names(few), {(".epub", "x", ())})
+    assert merged([f"/{k}/x.epub" for k in range(50)])[1] == set()  # all of one name need no list
+    rng = random.Random(4)
+    for _ in range(3000):
+        parts = [(rng.choice("abc"), rng.choice(["x", "x-1", "y", "-2", ""]), rng.choice(["", "", "-2", "-3", "-2-2", "-02", "-2\n", "-12345678901"]), rng.choice(["", ".epub", ".epub", ".EPUB", ".v1"])) for _ in range(rng.randint(1, 9))]
+        books = list({f"/{folder}/{stem}{suffix}{ending}" for folder, stem, suffix, ending in parts})
+        names = merged(books)[0]
+        assert names == A.file_names(books) and len(set(names.values())) == len(books)
+
+
+def test_overwriting_removes_old_archives_of_the_folder_alone(tmp_path):
+    out = tmp_path / "o[u]t"  # a folder's name is no pattern
+    (out / "below").mkdir(parents=True)
+    for old in ("old.epub", "1.epub", "below/kept.epub", "kept.txt"):
+        (out / old).write_bytes(b"old")
+    writer = A.ArchiveWriter({"path": str(out)}, True)
+    writer.commit([_written(writer, [1, "/a/x"]), None, _written(writer, ["/b/x", "x-2"]), _written(writer, [])])
+    assert sorted(os.listdir(out)) == ["1.epub", "below", "kept.txt", "x-2-2.epub", "x-2.epub", "x.epub"]
+    assert os.listdir(out / "below") == ["kept.epub"] and (out / "1.epub").read_bytes() != b"old"
+
+
+def test_nothing_is_moved_if_a_book_has_two_tasks_or_a_list_is_cut(tmp_path):
+    (tmp_path / "old.epub").write_bytes(b"old")
+    writer = A.ArchiveWriter({"path": str(tmp_path)}, True)
+    messages = [_written(writer, ["a", "b"]), _written(writer, ["b", "c"])]
+    with pytest.raises(ValueError, match="two tasks: b"):
+        writer.commit(messages)
+    writer.abort(messages)
+    assert os.listdir(tmp_path) == ["old.epub"]
+    message = _written(writer, ["a", "b"])
+    (cut,) = tmp_path.glob("_temporary-*/*/books")
+    cut.write_bytes(cut.read_bytes()[:-3])
+    with pytest.raises(ValueError, match="2 books were written, 1"):
+        writer.commit([message])
+    writer.abort([message])
+    assert os.listdir(tmp_path) == ["old.epub"]
+
+
+def test_lists_longer_than_what_is_read_at_a_time(tmp_path, monkeypatch):
+    monkeypatch.setattr(A, "LISTS_BYTES", 1)
+    writer = A.ArchiveWriter({"path": str(tmp_path)}, False)
+    books = ["é" * 100 + f" {k}\n{k}" for k in range(60)]
+    writer.commit([_written(writer, books[:40]), _written(writer, books[40:])])
+    assert sorted(os.listdir(tmp_path)) == sorted(f"{b}.epub" for b in books)
+
+
+def test_files_are_listed_as_arrow_lists_them(tmp_path):
+    from pyarrow import fs
+
+    for name in ("a.epub", "b/c.epub", "b/d/e.epub", "b/d/f.txt", "g.epub/h.epub", "far/i.epub"):
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_bytes(name.encode())
+    (tmp_path / "t/link.epub").symlink_to(tmp_path / "t/a.epub")
+    (tmp_path / "t/links").symlink_to(tmp_path / "t/far")
+    (tmp_path / "t/gone.epub").symlink_to(tmp_path / "nowhere")
+    os.mkfifo(tmp_path / "t/pipe.epub")
+    infos = fs.LocalFileSystem().get_file_info(fs.FileSelector(str(tmp_path / "t"), recursive=True))
+    want = sorted((i.path, i.size) for i in infos if i.type == fs.FileType.File)
+    assert [(f.path, f.size) for f in store.listed(str(tmp_path / "t"))] == want
+    assert [(f.path, f.size) for f in store.listed(f"file://{tmp_path}/t", ".epub")] == [x for x in want if x[0].endswith(".epub")]
+    assert [f.path for f in store.listed(f"{tmp_path}/t/*/?.epub")] == [f"{tmp_path}/t/{x}.epub" for x in ("b/c", "far/i", "g.epub/h", "links/i")]
