@@ -14,10 +14,12 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+from glossaflow.sources import store
+
 #: Removes the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _paths: list[tuple[SparkSession, str]] = []
@@ -107,7 +109,12 @@ def release(*staged: DataFrame) -> None:
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() == "file":  # of a local folder Hadoop holds a list of all files
+        with suppress(OSError):
+            store.drop(target.toUri().getPath())
+    else:
+        fs.delete(target, True)
 
 
 @atexit.register

@@ -99,8 +99,26 @@ def listed(path: str, ending: str = "") -> list[Found]:
     return sorted(scanned(path, ending), key=lambda f: f.path)
 
 
+def _emptied(folder: str) -> None:
+    """Removes a local folder, of which nothing is listed, as a folder may have millions of files."""
+    while True:
+        gone = 0
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                gone += 1
+                if entry.is_dir(follow_symlinks=False):
+                    _emptied(entry.path)
+                else:
+                    os.unlink(entry.path)
+        try:
+            return os.rmdir(folder)
+        except OSError:  # while files go, a store may pass over others
+            if not gone:
+                raise
+
+
 def drop(path: str) -> None:
     """Removes a folder and what is in it, if it is there."""
     fs, inner = opened(path)
     if fs.get_file_info(inner).type == arrow_fs.FileType.Directory:
-        fs.delete_dir(inner)
+        _emptied(inner) if isinstance(fs, arrow_fs.LocalFileSystem) else fs.delete_dir(inner)

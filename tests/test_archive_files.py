@@ -251,3 +251,38 @@ def test_files_are_listed_as_arrow_lists_them(tmp_path):
     assert [(f.path, f.size) for f in store.listed(str(tmp_path / "t"))] == want
     assert [(f.path, f.size) for f in store.listed(f"file://{tmp_path}/t", ".epub")] == [x for x in want if x[0].endswith(".epub")]
     assert [f.path for f in store.listed(f"{tmp_path}/t/*/?.epub")] == [f"{tmp_path}/t/{x}.epub" for x in ("b/c", "far/i", "g.epub/h", "links/i")]
+
+
+def test_a_folder_goes_without_a_list_of_its_files(spark, tmp_path):
+    import tracemalloc
+
+    from glossaflow.plans import scratch
+
+    n = 5000
+    (tmp_path / "t/below/empty").mkdir(parents=True)
+    (tmp_path / "kept").mkdir()
+    (tmp_path / "kept/a").write_bytes(b"a")
+    (tmp_path / "t/link").symlink_to(tmp_path / "kept")
+    for k in range(n):
+        (tmp_path / f"t/{k}").touch()
+    (tmp_path / "t/below/b c%20").write_bytes(b"b")
+    tracemalloc.start()
+    try:
+        scratch.drop_path(spark, f"file://{tmp_path}/t")
+        assert tracemalloc.get_traced_memory()[1] < 200_000
+    finally:
+        tracemalloc.stop()
+    assert os.listdir(tmp_path) == ["kept"] and os.listdir(tmp_path / "kept") == ["a"]
+    scratch.drop_path(spark, f"{tmp_path}/kept")
+    scratch.drop_path(spark, f"{tmp_path}/kept")
+    assert os.listdir(tmp_path) == []
+
+
+def test_a_staged_folder_is_not_listed_by_hadoop(spark, tmp_path, monkeypatch):
+    from glossaflow.plans import scratch
+
+    (tmp_path / "t").mkdir()
+    dropped, plain = [], store.drop
+    monkeypatch.setattr(store, "drop", lambda path: (dropped.append(path), plain(path)))
+    scratch.drop_path(spark, f"file:{tmp_path}/t")
+    assert dropped == [f"{tmp_path}/t"] and os.listdir(tmp_path) == []
